@@ -13,8 +13,12 @@ shift and one or.
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,7 @@ END = 2
 BLOCK = 4096
 #: Tokens after which a block is packed even if it has fewer documents.
 BLOCK_TOKENS = 8_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 _state: dict = {}
 
@@ -39,25 +43,83 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(text: bytes, path: str) -> np.ndarray:
-    """Ids of a whole text. The vocabulary's own splitting always splits at ASCII white space and
-    drops it, so words encode alone and are remembered; a worker's memory of words is bounded.
+class Encoder:
+    """Whole texts -> ids, equal to the tokenizer file's own.
+
+    The file's rules always split at ASCII white space and drop it, so words encode alone and
+    are remembered, in a bounded memory. New words go through the same merges in one call of
+    tiktoken: ranks are the file's merges in order, below them the single bytes, alone and with
+    the word-end mark. Words with other characters than Latin ones, or with a special token's
+    opening, are encoded by the tokenizer itself.
     """
-    if _state.get("path") != path:
+
+    MARK = "\x01"  # stands for the word end; words that hold it go to the tokenizer
+    LATIN = re.compile("[^\x01\u0250-\U0010ffff]*")
+
+    def __init__(self, path: str):
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), words={})
-    words: dict[bytes, np.ndarray] = _state["words"]
-    parts = text.split()
-    new = {w for w in parts if w not in words}
-    if new:
-        if len(words) + len(new) > CACHE_WORDS:
-            words.clear()
-            new = set(parts)
-        new = list(new)
-        for w, e in zip(new, _state["tokenizer"].encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            words[w] = np.array(e.ids, "<u4").tobytes()
-    return np.frombuffer(b"".join(map(words.__getitem__, parts)), "<u4")
+        self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(Path(path).read_text())
+        vocab = spec["model"]["vocab"]
+        mark = self.MARK.encode()
+        # The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        end = spec["model"]["end_of_word_suffix"]
+        raw = lambda t: bytes(byte[c] for c in t.removesuffix(end)) + mark * t.endswith(end)
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        order = [bytes([b]) for b in range(256)] + [bytes([b]) + mark for b in range(256)] + [raw(x) + raw(y) for x, y in merges]
+        ranks = {x: i for i, x in reversed(list(enumerate(order)))}
+        ranks = {x: i for i, x in enumerate(sorted(ranks, key=ranks.get))}
+        ids = {raw(t): i for t, i in vocab.items() if not t.startswith("<|")}
+        self.back = np.zeros(len(ranks), "<u4")
+        for x, i in ranks.items():
+            self.back[i] = ids[x] if x in ids else 0xFFFFFFFF
+        self.line = ranks[b"\n" + mark]
+        self.engine = tiktoken.Encoding("merges", pat_str=f"[^{self.MARK}]*{self.MARK}", mergeable_ranks=ranks, special_tokens={})
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pieces = regex.compile(rf"\n|{pattern}").findall
+        # Parts a word from one full stop or comma after it, so that both are remembered apart.
+        self.part = re.compile(rb"([A-Za-z0-9])([.,])(?=[ \t\n\v\f\r]|\Z)").sub
+        self.words: dict[bytes, bytes] = {}
+
+    def learn(self, new: list[bytes]) -> None:
+        texts = [w.decode() for w in new]
+        fast = [self.LATIN.fullmatch(x) is not None and "<|" not in x for x in texts]
+        joined = unicodedata.normalize("NFC", "\n".join(x for x, f in zip(texts, fast) if f)).lower()
+        if joined:
+            got = np.array(self.engine.encode_ordinary(self.MARK.join(self.pieces(joined)) + self.MARK), np.int64)
+            cuts = np.flatnonzero(got == self.line)
+            ids = self.back[got]
+            starts, stops = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(got)]])
+            for w, a, b in zip((w for w, f in zip(new, fast) if f), starts.tolist(), stops.tolist()):
+                self.words[w] = ids[a:b].tobytes()
+        slow = [(w, x) for w, x, f in zip(new, texts, fast) if not f]
+        for (w, _), e in zip(slow, self.tokenizer.encode_batch_fast([x for _, x in slow], add_special_tokens=False)):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        parts = [self.part(rb"\1 \2", x).split() for x in texts]
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        get = self.words.get
+        found = [list(map(get, p)) for p in parts]
+        lacking = [i for i, ids in enumerate(found) if None in ids]
+        if lacking:
+            self.learn(list({w for i in lacking for w, ids in zip(parts[i], found[i]) if ids is None}))
+            for i in lacking:
+                found[i] = list(map(get, parts[i]))
+        return [np.frombuffer(b"".join(x), "<u4") for x in found]
+
+
+def encoder(path: str) -> Encoder:
+    """One a Python worker and file."""
+    if _state.get("path") != path:
+        _state.update(path=path, encoder=Encoder(path))
+    return _state["encoder"]
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -173,9 +235,12 @@ def _pack(path: str, window: int, end: int, block: int):
         stop = np.array([end], "<u4")
         held = 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())):
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            # A few hundred documents at a time: their new words are learnt in one call.
+            encoded = (x for i in range(0, len(texts), 500) for x in encoder(path)(texts[i : i + 500]))
+            for doc, found in zip(batch.column("doc_id").to_pylist(), encoded):
                 docs.append(doc)
-                ids.append(np.concatenate([encode(text.as_py(), path), stop]))
+                ids.append(np.concatenate([found, stop]))
                 held += len(ids[-1])
                 if len(docs) >= block or held >= BLOCK_TOKENS:
                     yield from flush()

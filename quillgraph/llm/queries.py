@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, packing, sharding, simhash
+from . import chat, decontaminate, exact_dedup, html_extract, line_dedup, packing, sharding, simhash, toxicity
 from ._common import table
 
 
@@ -18,6 +18,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents")).drop("keep")
 
@@ -26,6 +30,18 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.parse(table(spark, sf_dir, "conversations"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -33,8 +49,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_html_extraction": op4_html_extraction,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
+    "op7_chat_format": op7_chat_format,
+    "op8_toxicity": op8_toxicity,
+    "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
 }
 
@@ -42,4 +62,5 @@ ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op6_sharding": sharding.ORACLE,
+    "op9_decontamination": decontaminate.ORACLE,
 }

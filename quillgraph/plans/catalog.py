@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import dashboards, relational, retrieval, scalar
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (retrieval, relational, scalar, dashboards):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES

@@ -6,6 +6,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Elements that hide their content, and elements that end a line.
 HIDDEN = frozenset("script style noscript iframe svg math head".split())
@@ -48,6 +49,6 @@ def text_of(html: str | None) -> str | None:
     return "\n".join(line for line in lines if line) or None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(html: pd.Series) -> pd.Series:
     return html.map(text_of, na_action="ignore")

@@ -26,7 +26,8 @@ def register(name: str, oracle: str | None = None):
     return keep
 
 
-N = F.count(F.lit(1)).alias("n")
+def rows_n():
+    return F.count(F.lit(1)).alias("n")
 
 # ---- scans and sources
 
@@ -56,7 +57,7 @@ def src4(s, d):
 @register("src7_table_scan", "SELECT count(*) AS n, sum(token_count) AS tokens FROM gchk")
 def src7(s, d):
     S.graph_chunks(s, d).createOrReplaceTempView("qg_chunks")
-    return s.table("qg_chunks").agg(N, F.sum("token_count").alias("tokens"))
+    return s.table("qg_chunks").agg(rows_n(), F.sum("token_count").alias("tokens"))
 
 
 @register("src8_literal_rows", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) v(id, name)")
@@ -167,7 +168,7 @@ def flt10(s, d):
 
 @register("flt11_having", "SELECT src, count(*) AS n FROM edge GROUP BY src HAVING count(*) >= 5")
 def flt11(s, d):
-    return S.edges(s, d).groupBy("src").agg(N).where("n >= 5")
+    return S.edges(s, d).groupBy("src").agg(rows_n()).where("n >= 5")
 
 
 @register("flt12_active_only", "SELECT conv_id FROM conv WHERE status = 'active'")
@@ -252,7 +253,7 @@ QUERIES["snk10_upsert_relations"], ORACLES["snk10_upsert_relations"] = join10, O
 def join11(s, d):
     n = S.edge_nodes(s, d)
     rows = S.edges(s, d).join(n.select(F.col("id").alias("src"), F.col("doc_type").alias("src_type")), "src").join(n.select(F.col("id").alias("dst"), F.col("doc_type").alias("dst_type")), "dst")
-    return rows.groupBy("src_type", "dst_type").agg(N)
+    return rows.groupBy("src_type", "dst_type").agg(rows_n())
 
 
 @register("join12_seed_list", "SELECT e.src, e.dst FROM edge e JOIN seed ON seed.id = e.src")
@@ -262,7 +263,7 @@ def join12(s, d):
 
 @register("join13_conversations_messages", "SELECT c.conv_id, count(m.turn) AS n, max(m.turn) AS last_turn FROM conv c LEFT JOIN msg m ON m.conv_id = c.conv_id AND m.role = 'assistant' GROUP BY 1")
 def join13(s, d):
-    m = S.chat_messages(s, d).where("role = 'assistant'").groupBy("conv_id").agg(N, F.max("turn").alias("last_turn"))
+    m = S.chat_messages(s, d).where("role = 'assistant'").groupBy("conv_id").agg(rows_n(), F.max("turn").alias("last_turn"))
     return S.chat_conversations(s, d).select("conv_id").join(m, "conv_id", "left").fillna(0, ["n"])
 
 
@@ -299,7 +300,7 @@ def agg4(s, d):
     stages = {"documents": S.graph_documents(s, d), "chunks": S.graph_chunks(s, d), "relations": S.edges(s, d)}
     out = None
     for name, df in stages.items():
-        part = df.agg(N).select(F.lit(name).alias("stage"), "n")
+        part = df.agg(rows_n()).select(F.lit(name).alias("stage"), "n")
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -312,7 +313,7 @@ def agg5(s, d):
 @register("agg6_basic_aggregates", "SELECT doc_id, count(*) AS n, count(chapter) AS chapters, count(DISTINCT token_count) AS sizes, max(token_count) AS mx, min(token_count) AS mn, round(avg(token_count), 4) AS av, CAST(sum(token_count) AS BIGINT) AS total FROM gchk GROUP BY doc_id")
 def agg6(s, d):
     t = F.col("token_count")
-    return S.graph_chunks(s, d).groupBy("doc_id").agg(N, F.count("chapter").alias("chapters"), F.countDistinct(t).alias("sizes"), F.max(t).alias("mx"), F.min(t).alias("mn"), F.round(F.avg(t), 4).alias("av"), F.sum(t).alias("total"))
+    return S.graph_chunks(s, d).groupBy("doc_id").agg(rows_n(), F.count("chapter").alias("chapters"), F.countDistinct(t).alias("sizes"), F.max(t).alias("mx"), F.min(t).alias("mn"), F.round(F.avg(t), 4).alias("av"), F.sum(t).alias("total"))
 
 
 @register("agg7_conditional_aggregate", "SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS questions, count(CASE WHEN role = 'assistant' THEN 1 END) AS answers FROM msg GROUP BY 1")
@@ -322,7 +323,7 @@ def agg7(s, d):
 
 @register("agg9_value_grouping", "SELECT coalesce(title, CAST(doc_id AS VARCHAR)) AS shown, count(*) AS n FROM gdoc GROUP BY 1")
 def agg9(s, d):
-    return S.graph_documents(s, d).groupBy(F.coalesce("title", F.col("doc_id").cast("string")).alias("shown")).agg(N)
+    return S.graph_documents(s, d).groupBy(F.coalesce("title", F.col("doc_id").cast("string")).alias("shown")).agg(rows_n())
 
 
 @register("agg12_scalar_subqueries", "SELECT (SELECT count(*) FROM usr) AS users, (SELECT count(*) FROM conv WHERE status = 'active') AS active, (SELECT count(*) FROM msg) AS messages")
@@ -340,7 +341,7 @@ def agg13(s, d):
 @register("agg14_bucket_histogram", f"SELECT bucket, count(*) AS n FROM (SELECT {bucket_sql('turn', CHUNK_BUCKETS, '100+')} FROM conversations) GROUP BY 1")
 def agg14(s, d):
     label, _ = T.bucket("turn", CHUNK_BUCKETS, "100+")
-    return S.raw(s, d, "conversations").groupBy(label.alias("bucket")).agg(N)
+    return S.raw(s, d, "conversations").groupBy(label.alias("bucket")).agg(rows_n())
 
 
 @register("agg15_coverage_unpivot", "SELECT 'toxic' AS property, round(count(toxic) * 100.0 / count(*), 1) AS pct FROM labels UNION ALL SELECT 'quality', round(count(nullif(quality, 0)) * 100.0 / count(*), 1) FROM labels")
@@ -423,7 +424,7 @@ def set4(s, d):
 @register("set5_list_concat", "SELECT l, count(*) AS n FROM (SELECT 0 AS l FROM gdoc UNION ALL SELECT 1 FROM gchk UNION ALL SELECT 2 FROM edge) GROUP BY l")
 def set5(s, d):
     parts = [df.select(F.lit(i).alias("l")) for i, df in enumerate((S.graph_documents(s, d), S.graph_chunks(s, d), S.edges(s, d)))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("l").agg(N)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("l").agg(rows_n())
 
 
 # ---- keyed writes

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions import chunker as K
 from ..functions import html as H
@@ -106,7 +107,7 @@ def gold(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], don
     """Chunks not embedded yet with their vectors, made on the executors in batches; row and vector never part."""
     todo = M.not_yet(chunks, done, "chunk_uid") if done is not None else chunks
     kept = [c for c in todo.columns if c not in ("tokens", "references_to")]
-    schema = todo.select(*kept).schema.add("embedding", "array<float>")
+    schema = todo.select(*kept).schema.add("embedding", ArrayType(FloatType()))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

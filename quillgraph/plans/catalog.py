@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import dashboards, relational, retrieval, scalar
+from . import dashboards, relational, retrieval, scalar, streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (retrieval, relational, scalar, dashboards):
+for _module in (retrieval, relational, scalar, dashboards, streams):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -61,7 +61,7 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     path = scratch(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # an empty table has no file to infer it from
 
 
 def row_id(column: str = "doc_id") -> Column:

@@ -7,7 +7,8 @@
    rarest and second rarest term are intersected on the alignment. What is left is small.
 4. The remaining terms of the item are intersected the same way, from the postings of the
    documents still in question. Runs of 13 aligned words are exact phrase matches; alignments
-   with fewer but at least ``NEAR`` aligned words in 13 are proximity matches.
+   with the two rarest terms of a window and at least ``NEAR`` aligned words in 13, but no whole
+   window, are proximity matches.
 
 Nothing pairs documents with documents; a passage in a third of all documents gives one
 alignment for each of them. Sides are broadcast only under ``BROADCAST_ROWS`` counted rows.

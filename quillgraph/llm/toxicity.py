@@ -198,7 +198,7 @@ def fit(texts: list[bytes], labels: list[int]) -> dict:
         for w, c in words.items():
             counts[score(w)] += c
         rows.append(_features(counts, sum(words.values())))
-    x = np.array(rows).reshape(len(rows), -1)
+    x = np.array(rows).reshape(len(rows), len(_features(Counter(), 0)))
     other = part == 1 if len(set(y[part == 1])) == 2 else np.ones(len(y), bool)
     if len(set(y)) == 2:
         model["weights"] = _logistic(x[other], y[other]).tolist()

@@ -187,3 +187,32 @@ def question_key(x: Column | str, scope: Column | str | None = None) -> Column:
 
 def last_k(x: Column | str, k: int) -> Column:
     return F.slice(_c(x), F.greatest(F.size(_c(x)) - k + 1, F.lit(1)), F.lit(k))
+
+
+#: The URL namespace of RFC 4122.
+NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def uuid5(x: Column | str, namespace: str = NAMESPACE_URL) -> Column:
+    """Name-based UUID, version 5: stable point ids from chunk ids."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(_c(x), "UTF-8")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 2), 16, 10).cast("int").bitwiseAND(0x3F).bitwiseOR(0x80)))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 19, 2)), F.substring(h, 21, 12))
+
+
+def composed_text(parts: Column | str) -> Column:
+    """array<struct<chapter, article, clause, content>> -> text: chapter and article lines only where they change."""
+    blank = lambda v: F.length(F.trim(F.coalesce(v, F.lit("")))) == 0
+    start = F.struct(F.lit("").alias("chapter"), F.lit("").alias("article"), F.array().cast("array<string>").alias("lines"))
+
+    def step(acc, x):
+        new = lambda f: ~blank(x[f]) & (x[f] != acc[f])
+        moved = new("chapter")
+        heads = F.array(F.when(moved, x["chapter"]), F.when(~blank(x["article"]) & (moved | new("article")), x["article"]), F.when(~blank(x["clause"]), x["clause"]), F.when(~blank(x["content"]), F.trim(x["content"])))
+        return F.struct(
+            F.when(moved, x["chapter"]).otherwise(acc["chapter"]).alias("chapter"),
+            F.when(~blank(x["article"]), x["article"]).otherwise(acc["article"]).alias("article"),
+            F.concat(acc["lines"], F.filter(heads, lambda v: v.isNotNull())).alias("lines"),
+        )
+
+    return F.array_join(F.aggregate(_c(parts), start, step, lambda acc: acc["lines"]), "\n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,3 +34,80 @@ def context(hits: DataFrame) -> DataFrame:
     line = lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["header"], F.lit(" (score: "), F.format_string("%.3f", x["score"]), F.lit(")\n"), x["text"])
     every = hits.agg(F.array_sort(F.collect_list(F.struct("rank", "header", "score", "text"))).alias("rows"))
     return every.select(F.array_join(F.transform("rows", line), "\n").alias("context"))
+
+
+#: What each intent asks of the model; ``{context}`` and ``{question}`` are filled in.
+PROMPTS = {
+    "general_qa": "Answer the question from the numbered passages only and cite them.\n\n{context}\n\nQuestion: {question}",
+    "explain_article": "Explain the article below in plain words, clause by clause, and name its document.\n\n{context}\n\nQuestion: {question}",
+    "summarize_doc": "Summarise the document below: scope, main rules, dates, duties.\n\n{context}\n\nQuestion: {question}",
+    "compare": "Compare the two texts below point by point: what agrees, what differs.\n\n{context}\n\nQuestion: {question}",
+    "list_related": "List the related documents below with their relation and direction.\n\n{context}\n\nQuestion: {question}",
+}
+
+
+def prompt(intent: Column, context: Column, question: Column) -> Column:
+    text = F.lit(PROMPTS["general_qa"])
+    for name, template in PROMPTS.items():
+        text = F.when(intent == name, F.lit(template)).otherwise(text)
+    return F.replace(F.replace(text, F.lit("{context}"), F.coalesce(context, F.lit(""))), F.lit("{question}"), F.coalesce(question, F.lit("")))
+
+
+def synthesize(rows: DataFrame, model=None, question: str = "question", context: str = "context", intent: str = "intent") -> DataFrame:
+    """rows(question, context, intent) plus answer and failed.
+
+    ``model`` is a callable prompt -> text that runs on the executors. Where it fails, or is
+    absent, the answer is the context itself, so what was found is never lost.
+    """
+    asked = rows.withColumn("_prompt", prompt(F.col(intent), F.col(context), F.col(question)))
+    if model is None:
+        return asked.withColumn("answer", F.coalesce(F.col(context), F.lit(""))).withColumn("failed", F.lit(False)).drop("_prompt")
+
+    @F.pandas_udf("struct<answer: string, failed: boolean>")
+    def ask(prompts: pd.Series, contexts: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, c in zip(prompts, contexts):
+            try:
+                out.append((model(p), False))
+            except Exception as error:
+                out.append((f"{error}\n\n{c or ''}", True))
+        return pd.DataFrame(out, columns=["answer", "failed"])
+
+    return asked.withColumn("_a", ask("_prompt", context)).select("*", "_a.answer", "_a.failed").drop("_prompt", "_a")
+
+
+SUMMARY_CHARS = 24_000
+COMPARE_CHUNKS = 8
+
+
+def structured(intents: DataFrame, documents: DataFrame, chunks: DataFrame, edges: DataFrame, article: str = "article") -> DataFrame:
+    """intents(question_id, intent, references) -> question_id, ref, kind, chunk_uid or related document, position.
+
+    References find their document by number, else by a title that contains the name (the
+    shortest title, then doc_id). Related documents for list_related; the document within a
+    character budget for summarize_doc; the article's chunks, else all, for explain_article and
+    compare (the first eight each).
+    """
+    refs = intents.select("question_id", "intent", F.posexplode("references").alias("ref", "r")).select("question_id", "intent", "ref", "r.*")
+    docs = documents.select("doc_id", "doc_number", "title")
+    by_number = refs.where("doc_number is not null").drop("doc_name").join(docs.drop("title"), "doc_number").withColumn("cost", F.lit(0))
+    named = refs.where("doc_number is null and doc_name is not null").drop("doc_number")
+    # Questions are few and titles many: the questions' side is the one to send around.
+    by_name = docs.join(F.broadcast(named), F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower("doc_name"))).withColumn("cost", F.length("title"))
+    cols = ["question_id", "intent", "ref", "article", "doc_id", "doc_number", "cost"]
+    found = by_number.withColumnRenamed(article, "article").select(*cols).unionByName(by_name.withColumnRenamed(article, "article").select(*cols))
+    found = citations(found.withColumn("_key", F.concat_ws(":", "question_id", "ref")), "_key", F.struct("cost", "doc_id")).drop("_key", "cost")
+    texts = found.where("intent <> 'list_related'").join(chunks.select("doc_id", "chunk_uid", "chunk_order", "text", F.col("article").alias("in_article")), "doc_id")
+    texts = texts.withColumn("group", F.concat_ws(":", "question_id", "ref"))
+    wanted = F.col("article").isNotNull() & F.regexp_extract(F.lower(F.coalesce("in_article", F.lit(""))), r"\d+", 0).try_cast("int").eqNullSafe(F.col("article").try_cast("int"))
+    texts = texts.withColumn("hit", wanted.cast("int")).withColumn("any_hit", F.max("hit").over(Window.partitionBy("group")))
+    texts = texts.where("intent = 'summarize_doc' or any_hit = 0 or hit = 1")
+    budget = within_budget(texts.where("intent = 'summarize_doc'"), "group", "chunk_order", "text", SUMMARY_CHARS).drop("cum")
+    order = Window.partitionBy("group").orderBy("chunk_order")
+    others = texts.where("intent <> 'summarize_doc'").withColumn("_n", F.row_number().over(order)).where(f"intent <> 'compare' or _n <= {COMPARE_CHUNKS}").drop("_n")
+    passages = budget.unionByName(others).select("question_id", "ref", F.lit("chunk").alias("kind"), F.col("chunk_uid").alias("item"), F.col("chunk_order").cast("long").alias("position"))
+    asked = found.where("intent = 'list_related'").select("question_id", "ref", F.col("doc_number").alias("center"))
+    out = asked.join(edges, F.col("center") == F.col("src")).select("question_id", "ref", F.concat_ws(" ", "rel_type", F.lit("out"), "dst").alias("item"))
+    into = asked.join(edges, F.col("center") == F.col("dst")).select("question_id", "ref", F.concat_ws(" ", "rel_type", F.lit("in"), "src").alias("item"))
+    related = out.unionByName(into).distinct().select("question_id", "ref", F.lit("related").alias("kind"), "item", F.lit(None).cast("long").alias("position"))
+    return passages.unionByName(related)

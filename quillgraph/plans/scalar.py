@@ -269,3 +269,17 @@ def vec_norms(s, d):
     from ..functions import vector as V
 
     return S.raw(s, d, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding").cast("array<double>")), 6).alias("norm"))
+
+
+@register("hsh2_uuid5", None)
+def hsh2(s, d):
+    return S.graph_chunks(s, d).select("chunk_uid", T.uuid5("chunk_uid").alias("point_id"))
+
+
+@register("str11_composed_text", "SELECT src AS id, string_agg(CASE WHEN rn = 1 THEN rel_type || chr(10) || dst ELSE dst END, chr(10) ORDER BY rel_type, dst) AS text FROM (SELECT *, row_number() OVER (PARTITION BY src, rel_type ORDER BY dst) AS rn FROM edge) GROUP BY src")
+def str11(s, d):
+    part = F.struct(F.col("rel_type").alias("chapter"), F.col("dst").alias("content"))
+    rows = S.edges(s, d).groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(part)).alias("p"))
+    none = F.lit(None).cast("string")
+    parts = F.transform("p", lambda x: F.struct(x["chapter"].alias("chapter"), none.alias("article"), none.alias("clause"), x["content"].alias("content")))
+    return rows.select("id", T.composed_text(parts).alias("text"))

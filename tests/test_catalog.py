@@ -10,7 +10,7 @@ def test_against_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"hsh2_uuid5"}  # held against the standard library in test_operators
 
 
 def test_entry_imports_without_the_training_data_package():

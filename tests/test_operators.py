@@ -141,3 +141,37 @@ def test_sources(spark, tmp_path):
     io.swap_in(spark, spark.table("qg_swap").where("id < 2"), "qg_swap")
     assert spark.table("qg_swap").count() == 2
     spark.sql("DROP TABLE qg_swap")
+
+
+def test_uuid5_and_composed_text(spark):
+    import uuid
+
+    from quillgraph.functions import text as T
+
+    df = spark.createDataFrame([("d__00001",), ("đ é",)], "x string").select("x", T.uuid5("x").alias("u"))
+    assert all(r.u == str(uuid.uuid5(uuid.NAMESPACE_URL, r.x)) for r in df.collect())
+    parts = [("I", "Điều 1", "1.", " a "), ("I", "Điều 1", "2.", "b"), ("I", "Điều 2", None, "c"), ("II", "Điều 2", "", None)]
+    schema = "p array<struct<chapter: string, article: string, clause: string, content: string>>"
+    assert spark.createDataFrame([(parts,)], schema).select(T.composed_text("p").alias("t")).first().t == "I\nĐiều 1\n1.\na\n2.\nb\nĐiều 2\nc\nII\nĐiều 2"
+
+
+def test_structured_retrieval_and_answers(spark):
+    docs = spark.createDataFrame([("a", "1/2020/X", "Luật Thuế"), ("b", "2/2020/X", "Luật Thuế sửa đổi"), ("c", "3/2020/X", None)], "doc_id string, doc_number string, title string")
+    chunks = spark.createDataFrame([(d, f"{d}{i}", i, "t" * 10, f"dieu {i}") for d in "abc" for i in range(1, 4)], "doc_id string, chunk_uid string, chunk_order int, text string, article string")
+    edges = spark.createDataFrame([("1/2020/X", "2/2020/X", "AMENDS"), ("3/2020/X", "1/2020/X", "CITES")], "src string, dst string, rel_type string")
+    ref = lambda n=None, name=None, art=None: (n, name, art, None, None)
+    asked = [(1, "explain_article", [ref(name="luật thuế", art="2")]), (2, "summarize_doc", [ref("2/2020/X")]), (3, "list_related", [ref("1/2020/X")]), (4, "compare", [ref("1/2020/X", art="1"), ref("3/2020/X", art="9")])]
+    schema = "question_id int, intent string, references array<struct<doc_number: string, doc_name: string, article: string, clause: string, point: string>>"
+    got = {}
+    for r in answer.structured(spark.createDataFrame(asked, schema), docs, chunks, edges).collect():
+        got.setdefault((r.question_id, r.ref), set()).add(r.item)
+    assert got == {(1, 0): {"a2"}, (2, 0): {"b1", "b2", "b3"}, (3, 0): {"AMENDS out 2/2020/X", "CITES in 3/2020/X"}, (4, 0): {"a1"}, (4, 1): {"c1", "c2", "c3"}}
+    rows = spark.createDataFrame([("q", "ctx", "compare")], "question string, context string, intent string")
+    assert answer.synthesize(rows).first().answer == "ctx"
+
+    def model(p):
+        raise RuntimeError("down")
+
+    failed = answer.synthesize(rows, model).first()
+    assert failed.failed and failed.answer == "down\n\nctx"
+    assert answer.synthesize(rows, lambda p: p[:7]).first().answer == "Compare"

@@ -192,8 +192,8 @@ def test_packed_ids_are_the_tokenizers(spark):
 
 def test_short_items_and_proximity(spark):
     items = spark.createDataFrame([(1, "Alpha beta"), (2, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (3, None), (4, "...")], "item_id long, text string")
-    near = "one two three four five x SEVEN eight nine ten eleven twelve thirteen"
-    rows = [(1, "zz ALPHA, beta zz alpha"), (2, "q " * 5 + "one two three four five six seven eight nine ten eleven twelve thirteen"), (3, near), (4, None)]
+    near = "one two three four x six SEVEN eight nine ten eleven twelve thirteen"
+    rows = [(1, "zz ALPHA, beta zz alpha"), (2, "q " * 5 + "one two three four five six seven eight nine ten eleven twelve thirteen"), (3, near), (4, None), (5, "five " * 4)]
     got = {r.doc_id: r for r in decontaminate.contamination(docs(spark, rows), items).collect()}
     assert (got[1].n_words, got[1].n_hit, got[1].n_items, got[1].contaminated) == (5, 2, 1, True)
     assert (got[2].n_hit, got[2].n_words) == (13, 18)

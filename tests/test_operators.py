@@ -175,3 +175,20 @@ def test_structured_retrieval_and_answers(spark):
     failed = answer.synthesize(rows, model).first()
     assert failed.failed and failed.answer == "down\n\nctx"
     assert answer.synthesize(rows, lambda p: p[:7]).first().answer == "Compare"
+
+
+def test_hybrid_search(spark):
+    from quillgraph.operators import hybrid
+
+    embed = embedding.hashing_embedder(16)
+    texts = {"a1": "tax law of income", "a2": "tax on land", "b1": "rules for ships", "c1": "ships at sea", "d1": "other words here"}
+    gold = spark.createDataFrame([(u, u[0], int(u[1]), t, embed([t])[0]) for u, t in texts.items()], "chunk_uid string, doc_id string, chunk_order int, text string, vector array<double>")
+    docs = spark.createDataFrame([(d, "law" if d == "a" else "note") for d in "abcd"], "doc_id string, doc_type string")
+    edges = spark.createDataFrame([(1, "a", "b", "CITES"), (2, "b", "c", "CITES")], "edge_id long, src string, dst string, rel_type string")
+    corpus = hybrid.Corpus(gold, docs, edges)
+    hits, stats = hybrid.search(corpus, embed(["tax law of income"])[0], ["tax", "income"], top_k=4)
+    rows, s = hits.collect(), stats.first()
+    assert rows[0].id == "a1" and set(rows[0].sources) == {"vector", "keyword"}
+    assert {r.id for r in rows} >= {"a1", "a2", "b1"} and s.keyword_count == 2 and s.graph_count >= 1
+    alone, s = hybrid.search(corpus, embed(["tax"])[0], ["ships"], top_k=2, doc_type="note", graph=False, threshold=None)
+    assert "graph_count" not in s.asDict() and s.keyword_count == 2

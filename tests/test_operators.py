@@ -191,4 +191,5 @@ def test_hybrid_search(spark):
     assert rows[0].id == "a1" and set(rows[0].sources) == {"vector", "keyword"}
     assert {r.id for r in rows} >= {"a1", "a2", "b1"} and s.keyword_count == 2 and s.graph_count >= 1
     alone, s = hybrid.search(corpus, embed(["tax"])[0], ["ships"], top_k=2, doc_type="note", graph=False, threshold=None)
+    s = s.first()
     assert "graph_count" not in s.asDict() and s.keyword_count == 2

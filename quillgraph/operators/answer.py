@@ -78,6 +78,8 @@ def synthesize(rows: DataFrame, model=None, question: str = "question", context:
 
 SUMMARY_CHARS = 24_000
 COMPARE_CHUNKS = 8
+#: References by name that one batch of questions may hold.
+MAX_NAMED = 10_000
 
 
 def structured(intents: DataFrame, documents: DataFrame, chunks: DataFrame, edges: DataFrame, article: str = "article") -> DataFrame:
@@ -92,7 +94,9 @@ def structured(intents: DataFrame, documents: DataFrame, chunks: DataFrame, edge
     docs = documents.select("doc_id", "doc_number", "title")
     by_number = refs.where("doc_number is not null").drop("doc_name").join(docs.drop("title"), "doc_number").withColumn("cost", F.lit(0))
     named = refs.where("doc_number is null and doc_name is not null").drop("doc_number")
-    # Questions are few and titles many: the questions' side is the one to send around.
+    # A batch of questions is small and titles are many: the questions' side is counted and sent around.
+    if named.limit(MAX_NAMED + 1).count() > MAX_NAMED:
+        raise ValueError(f"more than {MAX_NAMED} named references in a batch")
     by_name = docs.join(F.broadcast(named), F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower("doc_name"))).withColumn("cost", F.length("title"))
     cols = ["question_id", "intent", "ref", "article", "doc_id", "doc_number", "cost"]
     found = by_number.withColumnRenamed(article, "article").select(*cols).unionByName(by_name.withColumnRenamed(article, "article").select(*cols))

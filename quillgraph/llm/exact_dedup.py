@@ -20,6 +20,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from ._common import public_id, row_id, stored
 
 WHITE = b" \t\n\v\f\r"
-CAPACITY = 20_000
+CAPACITY = 4096
 MAX_DEPTH = 20
 #: A task writes its entries out and starts a new local table at this many bytes of text.
 LOCAL_BYTES = 64 << 20
@@ -155,9 +156,12 @@ def exact_groups(docs: DataFrame, hasher: Callable[[bytes], int] | None = None,
     for p, n in keys.groupBy(F.shiftright("prefix", MAX_DEPTH - deepest).alias("p")).count().collect():
         counts[p] = n
     slots, depth = directory(counts, capacity)
-    bucket = F.get(F.lit(slots.tolist()), F.shiftright("prefix", MAX_DEPTH - depth)) if depth else F.lit(0)
+    # The directory as a table of 2**depth slots, at most 2**MAX_DEPTH: it may be broadcast.
+    spread = docs.sparkSession.createDataFrame(pd.DataFrame({"slot": np.arange(len(slots)), "bucket": slots}))
     answers = (
-        entries.select(bucket.cast("int").alias("bucket"), "gid", "key", "body", "doc_id", "n_chars", "members", "sha")
+        entries.withColumn("slot", F.shiftright("prefix", MAX_DEPTH - depth).cast("long"))
+        .join(F.broadcast(spread), "slot")
+        .select("bucket", "gid", "key", "body", "doc_id", "n_chars", "members", "sha")
         .groupBy("bucket")
         .applyInArrow(_owner, "gid long, keep_id long, group_size long, sha string")
     )

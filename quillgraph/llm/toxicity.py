@@ -1,7 +1,7 @@
 """Toxicity by compression distance between zstandard dictionaries.
 
 Fitting, on a bounded sample of labelled rows (``MAX_TOXIC`` and ``MAX_ORDINARY`` documents of
-least hash): ordinary text trains a zstandard dictionary by the library's cover algorithm. The
+least hash, none over ``SAMPLE_BYTES``): ordinary text trains a zstandard dictionary by the library's cover algorithm. The
 toxic dictionary holds the same ordinary content and, nearest to the window, the strings that
 are typical of toxic documents, chosen greedily by likelihood gain on one half of the sample.
 Sharing the ordinary content leaves only those strings to differ.
@@ -32,6 +32,8 @@ from ._common import public_id, row_id
 
 MAX_TOXIC = 2000
 MAX_ORDINARY = 4000
+#: Documents of more UTF-8 bytes are scored in whole but not sampled.
+SAMPLE_BYTES = 32_768
 FOLDS = 5
 LEVEL = 19
 DICTIONARY = 2048
@@ -227,7 +229,7 @@ def training_sample(documents: DataFrame, labels: DataFrame, folds: int = FOLDS)
     order = [F.xxhash64("doc_id", F.lit(7)), "doc_id"]
     picked = marks.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(marks.where("toxic = 0").orderBy(*order).limit(MAX_ORDINARY))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = docs.join(F.broadcast(picked), "doc_id").orderBy(*order).select("toxic", F.col("text").cast("binary").alias("text")).toArrow()
+    rows = docs.join(F.broadcast(picked), "doc_id").where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(*order).select("toxic", F.col("text").cast("binary").alias("text")).toArrow()
     return rows.column("text").to_pylist(), rows.column("toxic").to_pylist()
 
 

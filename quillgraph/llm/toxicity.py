@@ -3,14 +3,14 @@
 Fitting, on a bounded sample of labelled rows (``MAX_TOXIC`` and ``MAX_ORDINARY`` documents of
 least hash, none over ``SAMPLE_BYTES``): ordinary text trains a zstandard dictionary by the library's cover algorithm. The
 toxic dictionary holds the same ordinary content and, nearest to the window, the strings that
-are typical of toxic documents, chosen greedily by likelihood gain on one half of the sample.
+are typical of toxic documents, chosen greedily by likelihood gain on three fifths of the sample.
 Sharing the ordinary content leaves only those strings to differ.
 
 A window is a carrier phrase, which both dictionaries hold, and one word of the document. The
 toxic dictionary holds its strings behind the carrier, so a window that begins like one of
 them is a single longer match, and its length falls by the bytes the string explains. Window scores are
 compressed length by the ordinary dictionary less that by the toxic one. A document's windows
-are counted by score, and a logistic calibration on the other half of the sample turns the
+are counted by score, and a logistic calibration on the other two fifths turns the
 counts into a probability. All words of all documents are scored; each worker remembers the
 scores of words it has met, in a bounded memory.
 """
@@ -38,8 +38,8 @@ FOLDS = 5
 LEVEL = 19
 DICTIONARY = 2048
 MAX_STRINGS = 200
-#: A typical string is in this share of the toxic half at least, after those chosen before it.
-MIN_SHARE = 0.015
+#: A typical string is in this share of the toxic documents at least, after those chosen before it.
+MIN_SHARE = 0.02
 MEMORY = 400_000
 CLASSES = 6
 
@@ -103,7 +103,7 @@ def without_copies(texts: list[bytes], size: int = 8, shared: int = 4) -> list[b
 def strings_typical_of(toxic: list[bytes], ordinary: list[bytes], most: int = MAX_STRINGS) -> list[bytes]:
     """Byte strings of words, greedily by gain in likelihood; words explained by one don't count for the next."""
     n1, n0 = len(toxic), len(ordinary)
-    floor = max(4, MIN_SHARE * n1)
+    floor = max(4 if n1 < 100 else 6, MIN_SHARE * n1)
     if not n1 or not n0:
         return []
     t, o = Counter(), Counter()
@@ -180,7 +180,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 60
 def fit(texts: list[bytes], labels: list[int]) -> dict:
     """Whole labelled texts -> model. With one class only, the score is that class's smoothed share."""
     y = np.array(labels, int)
-    part = np.array([i % 2 for i in range(len(y))])
+    part = np.array([int(i % 5 >= 3) for i in range(len(y))])  # three fifths choose strings, two calibrate
     toxic = [x for x, k, h in zip(texts, y, part) if k and not h]
     ordinary = [x for x, k, h in zip(texts, y, part) if not k and not h]
     samples = [x[i : i + 300] for x in ordinary for i in range(0, min(len(x), 3000), 300)]

@@ -4,7 +4,8 @@ A line is boilerplate on a site when the share of the site's pages that hold it
 ``max_ratio``. Everything is DataFrame expressions. Lines are counted once a page; the count
 shuffles (host, 128-bit digest) pairs after map-side combining. The boilerplate digests of one
 host number at most (mean distinct lines a page) / ``max_ratio``, so they travel as one short
-array a host, whatever the host's page count; a hot host is split by adaptive skew joins.
+array a host, whatever the host's page count; they are counted, and broadcast when few, so that
+pages don't move; else a hot host is split by adaptive skew joins.
 """
 
 from __future__ import annotations
@@ -12,8 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import stored
+
 MAX_RATIO = 0.3
 MIN_PAGES = 3
+#: Boilerplate digests (32 characters each) up to which they are broadcast.
+BROADCAST_DIGESTS = 500_000
 
 #: Java and RE2 read these alike. Whole elements whose content is no text, then tags that end a line.
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
@@ -54,6 +59,9 @@ def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages:
         .groupBy("host")
         .agg(F.collect_set("digest").alias("bad"))
     )
+    bad = stored(bad, "boilerplate")
+    if (bad.agg(F.sum(F.size("bad"))).first()[0] or 0) <= BROADCAST_DIGESTS:
+        bad = F.broadcast(bad)  # then no page moves; else adaptive joins split hot hosts
     kept = F.when(F.col("bad").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("bad", F.md5(x))))
     return (
         pages.join(bad, "host", "left")

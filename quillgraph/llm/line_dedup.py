@@ -1,7 +1,7 @@
 """Line deduplication by site-relative frequency.
 
-A line is boilerplate on a site when the share of the site's pages that hold it exceeds
-``max_ratio``. Everything is DataFrame expressions. Lines are counted once a page; the count
+A line is boilerplate on a site when it stands on two pages at least and the share of the site's
+pages that hold it exceeds ``max_ratio``; on three pages one page alone exceeds it. Everything is DataFrame expressions. Lines are counted once a page; the count
 shuffles (host, 128-bit digest) pairs after map-side combining. The boilerplate digests of one
 host number at most (mean distinct lines a page) / ``max_ratio``, so they travel as one short
 array a host, whatever the host's page count; they are counted, and broadcast when few, so that
@@ -17,6 +17,8 @@ from ._common import stored
 
 MAX_RATIO = 0.3
 MIN_PAGES = 3
+#: Pages that must hold a line before it counts as repeated.
+MIN_REPEATS = 2
 #: Boilerplate digests (32 characters each) up to which they are broadcast.
 BROADCAST_DIGESTS = 500_000
 
@@ -55,7 +57,7 @@ def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages:
     )
     bad = (
         seen.join(totals, "host")
-        .where((F.col("pages") >= min_pages) & (F.col("n") > F.lit(max_ratio) * F.col("pages")))
+        .where((F.col("pages") >= min_pages) & (F.col("n") >= MIN_REPEATS) & (F.col("n") > F.lit(max_ratio) * F.col("pages")))
         .groupBy("host")
         .agg(F.collect_set("digest").alias("bad"))
     )

@@ -289,6 +289,12 @@ def test_line_dedup_small(spark):
     assert got[0].text == "own 0" and got[0].n_dropped == 2 and got[9].text == "menu"
 
 
+def test_line_dedup_keeps_unrepeated_lines_of_small_hosts(spark):
+    pages = spark.createDataFrame([(i, "three.example", ["menu", f"story {i}", *(["twice"] if i else [])]) for i in range(3)], "page_id long, host string, lines array<string>")
+    got = {r.page_id: (r.text, r.n_dropped) for r in line_dedup.drop_boilerplate(pages).collect()}
+    assert got == {0: ("story 0", 1), 1: ("story 1", 2), 2: ("story 2", 2)}
+
+
 def test_chat_roles_and_chunks(spark, monkeypatch):
     rows = [(c, t, ("user", "assistant")[t % 2], ("What is it, then?" if t % 2 == 0 else "It is an answer. " * 20)) for c in range(30) for t in range(8)]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

@@ -47,7 +47,7 @@ def has_chunk(spark: SparkSession, d: str) -> DataFrame:
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "A", "AMENDS").when(F.col("l_returnflag") == "N", "MENTIONS").otherwise("REFERS_TO")
-    rows = raw(spark, d, "lineitem").where("l_orderkey <= 300")
+    rows = raw(spark, d, "lineitem")
     named = rows.select(F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("dst"), kind.alias("rel_type"), "l_linestatus")
     return named.groupBy("src", "rel_type", "dst").agg(F.max("l_linestatus").alias("relation_type")).withColumn("edge_id", F.xxhash64("src", "rel_type", "dst"))
 

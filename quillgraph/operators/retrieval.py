@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions import vector as V
 
 K1, B = 1.2, 0.75
 RRF_K = 60
-#: Rows and array width up to which a batch of query vectors is broadcast.
+#: Query vectors up to which they are broadcast at once; more go in blocks.
 MAX_QUERIES = 10_000
 
 
@@ -33,17 +35,23 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None =
     """corpus(id, vector, ...), queries(query_id, query_vector) -> query_id, id, score, rank.
 
     Exact: filters reach the scan, then each query scores every row, and the best k are kept
-    by partial top-k before the shuffle. The query side is a bounded batch, counted before it
-    is broadcast.
+    by partial top-k before the shuffle. The query side is counted; above ``MAX_QUERIES`` it is
+    taken in blocks by a hash of query_id, half as large on average, and each is broadcast.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in a batch")
+    n = queries.count()
+    blocks = 1 if n <= MAX_QUERIES else -(-2 * n // MAX_QUERIES)
     if filters:
         corpus = corpus.where(payload_filter(corpus.columns, filters))
     score = V.metric(metric)(F.col("vector"), F.col("query_vector"))
     rows = corpus.select("id", F.col("vector").cast("array<double>").alias("vector"))
-    asked = F.broadcast(queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector")))
-    scored = rows.join(asked, F.lit(True)).select("query_id", "id", score.alias("score"))
+    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    best = [_best(rows, asked.where(block == i) if blocks > 1 else asked, score, k, threshold) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, best)
+
+
+def _best(rows: DataFrame, asked: DataFrame, score: Column, k: int, threshold: float | None) -> DataFrame:
+    scored = rows.join(F.broadcast(asked), F.lit(True)).select("query_id", "id", score.alias("score"))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
     order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "id")

@@ -193,3 +193,13 @@ def test_hybrid_search(spark):
     alone, s = hybrid.search(corpus, embed(["tax"])[0], ["ships"], top_k=2, doc_type="note", graph=False, threshold=None)
     s = s.first()
     assert "graph_count" not in s.asDict() and s.keyword_count == 2
+
+
+def test_knn_takes_more_queries_than_a_block(spark, monkeypatch):
+    from conftest import SF
+
+    v = spark.read.parquet(f"{SF}/embeddings.parquet")
+    corpus, queries = v.selectExpr("vec_id AS id", "embedding AS vector"), v.where("vec_id < 40").selectExpr("vec_id AS query_id", "embedding AS query_vector")
+    whole = retrieval.knn(corpus, queries, 4, 0.1).collect()
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 10)
+    assert sorted(retrieval.knn(corpus, queries, 4, 0.1).collect()) == sorted(whole) and {r.query_id for r in whole} == set(range(40))

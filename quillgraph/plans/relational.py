@@ -40,7 +40,7 @@ def src2(s, d):
 @register("src3_auxiliary_maps", "SELECT o_custkey, max(o_orderkey) AS last_order, CAST(count(*) AS BIGINT) AS n_rel, list(o_orderkey ORDER BY o_orderkey) AS rel FROM orders WHERE o_custkey % 10 = 0 GROUP BY o_custkey")
 def src3(s, d):
     """Last row of a key wins; relationships are gathered in arrival order."""
-    o = S.raw(s, d, "orders").where("o_custkey % 10 = 0").select("o_custkey", "o_orderkey")
+    o = S.raw(s, d, "orders").select("o_custkey", "o_orderkey")
     meta = M.latest(o, ["o_custkey"], F.col("o_orderkey").desc()).select("o_custkey", F.col("o_orderkey").alias("last_order"))
     rel = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("rel"))
     return meta.join(rel, "o_custkey").select("o_custkey", "last_order", F.size("rel").cast("long").alias("n_rel"), "rel")
@@ -56,7 +56,7 @@ def src4(s, d):
 
 @register("src7_table_scan", "SELECT count(*) AS n, sum(token_count) AS tokens FROM gchk")
 def src7(s, d):
-    S.graph_chunks(s, d).createOrReplaceTempView("qg_chunks")
+    S.chunks(s, d).createOrReplaceTempView("qg_chunks")
     return s.table("qg_chunks").agg(rows_n(), F.sum("token_count").alias("tokens"))
 
 
@@ -148,12 +148,12 @@ def flt3(s, d):
 
 @register("flt4_keyset_page", "SELECT doc_id, chunk_order, chunk_uid FROM gchk WHERE doc_id > 40 OR (doc_id = 40 AND chunk_order > 2) ORDER BY doc_id, chunk_order LIMIT 100")
 def flt4(s, d):
-    return M.keyset_page(S.graph_chunks(s, d).select("doc_id", "chunk_order", "chunk_uid"), "doc_id", "chunk_order", (40, 2), 100)
+    return M.keyset_page(S.chunks(s, d).select("doc_id", "chunk_order", "chunk_uid"), "doc_id", "chunk_order", (40, 2), 100)
 
 
 @register("flt8_type_filter", "SELECT c.chunk_uid FROM gchk c JOIN gdoc g ON g.doc_id = c.doc_id WHERE g.doc_type = 'de'")
 def flt8(s, d):
-    return S.graph_chunks(s, d).select("chunk_uid", "doc_id").join(S.graph_documents(s, d).where("doc_type = 'de'").select("doc_id"), "doc_id").select("chunk_uid")
+    return S.chunks(s, d).select("chunk_uid", "doc_id").join(S.documents(s, d).where("doc_type = 'de'").select("doc_id"), "doc_id").select("chunk_uid")
 
 
 @register("flt9_null_tests", "SELECT doc_id FROM doc WHERE status IS NULL OR (title IS NOT NULL AND doc_type = 'es')")
@@ -206,7 +206,7 @@ def join3(s, d):
 
 @register("join4_left_anti", "SELECT chunk_uid FROM gchk WHERE doc_id % 3 <> 0")
 def join4(s, d):
-    c = S.graph_chunks(s, d).select("chunk_uid", "doc_id")
+    c = S.chunks(s, d).select("chunk_uid", "doc_id")
     return M.not_yet(c, c.where("doc_id % 3 = 0"), "chunk_uid").select("chunk_uid")
 
 
@@ -235,7 +235,7 @@ def _relations(s, d):
     k = F.col("doc_id")
     number = F.concat(F.when(k % 4 == 0, "X").otherwise("D"), (k * 2).cast("string"))
     kind = F.when(k % 3 == 0, " ").when(k % 3 == 1, "amends by").otherwise(" cites ")
-    return S.graph_documents(s, d).select(k.alias("source_doc_id"), number.alias("target_doc_number"), kind.alias("relation_type"), F.lit("explicit").alias("relation_source"))
+    return S.documents(s, d).select(k.alias("source_doc_id"), number.alias("target_doc_number"), kind.alias("relation_type"), F.lit("explicit").alias("relation_source"))
 
 
 EDGES_SQL = f"WITH {RELATIONS} SELECT r.source_doc_id AS src, g.doc_id AS dst_doc_id, r.target_doc_number AS dst, coalesce(nullif(replace(upper(trim(r.relation_type)), ' ', '_'), ''), 'REFERS_TO') AS rel_type FROM rel r LEFT JOIN gdoc g ON g.doc_number = r.target_doc_number"
@@ -243,7 +243,7 @@ EDGES_SQL = f"WITH {RELATIONS} SELECT r.source_doc_id AS src, g.doc_id AS dst_do
 
 @register("join10_target_by_number", EDGES_SQL)
 def join10(s, d):
-    return G.merge_edges(_relations(s, d), S.graph_documents(s, d)).select("src", "dst_doc_id", "dst", "rel_type")
+    return G.merge_edges(_relations(s, d), S.documents(s, d)).select("src", "dst_doc_id", "dst", "rel_type")
 
 
 QUERIES["snk10_upsert_relations"], ORACLES["snk10_upsert_relations"] = join10, ORACLES["join10_target_by_number"]
@@ -297,7 +297,7 @@ def agg3(s, d):
 
 @register("agg4_stage_counts", "SELECT 'documents' AS stage, count(*) AS n FROM gdoc UNION ALL SELECT 'chunks', count(*) FROM gchk UNION ALL SELECT 'relations', count(*) FROM edge")
 def agg4(s, d):
-    stages = {"documents": S.graph_documents(s, d), "chunks": S.graph_chunks(s, d), "relations": S.edges(s, d)}
+    stages = {"documents": S.documents(s, d), "chunks": S.chunks(s, d), "relations": S.edges(s, d)}
     out = None
     for name, df in stages.items():
         part = df.agg(rows_n()).select(F.lit(name).alias("stage"), "n")
@@ -313,7 +313,7 @@ def agg5(s, d):
 @register("agg6_basic_aggregates", "SELECT doc_id, count(*) AS n, count(chapter) AS chapters, count(DISTINCT token_count) AS sizes, max(token_count) AS mx, min(token_count) AS mn, round(avg(token_count), 4) AS av, CAST(sum(token_count) AS BIGINT) AS total FROM gchk GROUP BY doc_id")
 def agg6(s, d):
     t = F.col("token_count")
-    return S.graph_chunks(s, d).groupBy("doc_id").agg(rows_n(), F.count("chapter").alias("chapters"), F.countDistinct(t).alias("sizes"), F.max(t).alias("mx"), F.min(t).alias("mn"), F.round(F.avg(t), 4).alias("av"), F.sum(t).alias("total"))
+    return S.chunks(s, d).groupBy("doc_id").agg(rows_n(), F.count("chapter").alias("chapters"), F.countDistinct(t).alias("sizes"), F.max(t).alias("mx"), F.min(t).alias("mn"), F.round(F.avg(t), 4).alias("av"), F.sum(t).alias("total"))
 
 
 @register("agg7_conditional_aggregate", "SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS questions, count(CASE WHEN role = 'assistant' THEN 1 END) AS answers FROM msg GROUP BY 1")
@@ -323,7 +323,7 @@ def agg7(s, d):
 
 @register("agg9_value_grouping", "SELECT coalesce(title, CAST(doc_id AS VARCHAR)) AS shown, count(*) AS n FROM gdoc GROUP BY 1")
 def agg9(s, d):
-    return S.graph_documents(s, d).groupBy(F.coalesce("title", F.col("doc_id").cast("string")).alias("shown")).agg(rows_n())
+    return S.documents(s, d).groupBy(F.coalesce("title", F.col("doc_id").cast("string")).alias("shown")).agg(rows_n())
 
 
 @register("agg12_scalar_subqueries", "SELECT (SELECT count(*) FROM usr) AS users, (SELECT count(*) FROM conv WHERE status = 'active') AS active, (SELECT count(*) FROM msg) AS messages")
@@ -356,7 +356,7 @@ def agg15(s, d):
 @register("win7_chunk_numbers", "SELECT chunk_uid, chunk_order, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk_order) AS BIGINT) AS again FROM gchk")
 def win7(s, d):
     w = Window.partitionBy("doc_id").orderBy("chunk_order")
-    return S.graph_chunks(s, d).select("chunk_uid", "chunk_order", F.row_number().over(w).cast("long").alias("again"))
+    return S.chunks(s, d).select("chunk_uid", "chunk_order", F.row_number().over(w).cast("long").alias("again"))
 
 
 @register("win11_age_buckets", "SELECT event_id, CASE WHEN user_id = 1 THEN 'pinned' WHEN d = 0 THEN 'today' WHEN d = 1 THEN 'yesterday' WHEN d <= 7 THEN 'last_week' ELSE 'older' END AS bucket FROM (SELECT event_id, user_id, date_diff('day', CAST(ts AS DATE), DATE '2024-01-30') AS d FROM events)")
@@ -371,7 +371,7 @@ def win11(s, d):
 
 @register("srt1_ordered_page", "SELECT doc_id, chunk_order FROM gchk ORDER BY doc_id, chunk_order LIMIT 1000")
 def srt1(s, d):
-    return S.graph_chunks(s, d).select("doc_id", "chunk_order").orderBy("doc_id", "chunk_order").limit(1000)
+    return S.chunks(s, d).select("doc_id", "chunk_order").orderBy("doc_id", "chunk_order").limit(1000)
 
 
 @register("srt7_limited_sample", "SELECT doc_id FROM doc ORDER BY doc_id LIMIT 25")
@@ -423,7 +423,7 @@ def set4(s, d):
 
 @register("set5_list_concat", "SELECT l, count(*) AS n FROM (SELECT 0 AS l FROM gdoc UNION ALL SELECT 1 FROM gchk UNION ALL SELECT 2 FROM edge) GROUP BY l")
 def set5(s, d):
-    parts = [df.select(F.lit(i).alias("l")) for i, df in enumerate((S.graph_documents(s, d), S.graph_chunks(s, d), S.edges(s, d)))]
+    parts = [df.select(F.lit(i).alias("l")) for i, df in enumerate((S.documents(s, d), S.chunks(s, d), S.edges(s, d)))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("l").agg(rows_n())
 
 
@@ -450,7 +450,7 @@ def snk2(s, d):
 
 @register("snk3_append_only_new", "SELECT chunk_uid, doc_id % 3 = 0 AS old FROM gchk")
 def snk3(s, d):
-    c = S.graph_chunks(s, d).select("chunk_uid", "doc_id")
+    c = S.chunks(s, d).select("chunk_uid", "doc_id")
     old = c.where("doc_id % 3 = 0").select("chunk_uid", F.lit(True).alias("old"))
     return old.unionByName(M.not_yet(c, old, "chunk_uid").select("chunk_uid", F.lit(False).alias("old")))
 

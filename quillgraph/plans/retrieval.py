@@ -107,7 +107,7 @@ bm AS (SELECT id, {" + ".join(f"CASE WHEN tf{i} > 0 THEN ln(1 + (n - df{i} + 0.5
 
 
 def _bm25(s, d):
-    return R.bm25(S.graph_chunks(s, d), TERMS, "chunk_uid", "text")
+    return R.bm25(S.chunks(s, d), TERMS, "chunk_uid", "text")
 
 
 @register(
@@ -116,8 +116,8 @@ def _bm25(s, d):
 )
 def ret2(s, d):
     best = R.top(_bm25(s, d), 20).select("id", F.round("score", 6).alias("score"))
-    keys = S.graph_chunks(s, d).select(F.col("chunk_uid").alias("id"), "doc_id")
-    docs = S.graph_documents(s, d).select("doc_id", "doc_number", "title")
+    keys = S.chunks(s, d).select(F.col("chunk_uid").alias("id"), "doc_id")
+    docs = S.documents(s, d).select("doc_id", "doc_number", "title")
     return best.join(keys, "id").join(docs, "doc_id").select("id", "score", "doc_id", "doc_number", "title")
 
 
@@ -237,7 +237,7 @@ def ret5(s, d):
 
 @register("flt7_locate_document", "SELECT doc_id, title FROM gdoc WHERE lower(coalesce(title, '')) LIKE '%the%' OR doc_number = 'D1' ORDER BY length(coalesce(title, '')), doc_id LIMIT 1")
 def flt7(s, d):
-    return G.locate(S.graph_documents(s, d), "D1", "the").select("doc_id", "title")
+    return G.locate(S.documents(s, d), "D1", "the").select("doc_id", "title")
 
 
 QUERIES["srt6_shortest_title"], ORACLES["srt6_shortest_title"] = flt7, ORACLES["flt7_locate_document"]
@@ -245,19 +245,19 @@ QUERIES["srt6_shortest_title"], ORACLES["srt6_shortest_title"] = flt7, ORACLES["
 
 @register("ret4_document_chunks", "SELECT c.chunk_uid, c.chunk_order, 1.0::DOUBLE AS graph_score FROM (SELECT doc_id FROM gdoc WHERE doc_number = 'D3' ORDER BY length(coalesce(title, '')), doc_id LIMIT 1) g JOIN gchk c ON c.doc_id = g.doc_id ORDER BY c.chunk_order LIMIT 400")
 def ret4(s, d):
-    one = G.locate(S.graph_documents(s, d), "D3").select("doc_id")
-    rows = S.graph_chunks(s, d).join(one, "doc_id").orderBy("chunk_order").limit(400)
+    one = G.locate(S.documents(s, d), "D3").select("doc_id")
+    rows = S.chunks(s, d).join(one, "doc_id").orderBy("chunk_order").limit(400)
     return rows.select("chunk_uid", "chunk_order", F.lit(1.0).alias("graph_score"))
 
 
 @register("srt5_chunks_in_order", "SELECT chunk_uid, chunk_order FROM gchk ORDER BY doc_id, chunk_order LIMIT 400")
 def srt5(s, d):
-    return S.graph_chunks(s, d).orderBy("doc_id", "chunk_order").limit(400).select("chunk_uid", "chunk_order")
+    return S.chunks(s, d).orderBy("doc_id", "chunk_order").limit(400).select("chunk_uid", "chunk_order")
 
 
 @register("win2_first_chunks", "SELECT chunk_uid, CAST(rn AS INTEGER) AS rn FROM (SELECT chunk_uid, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_order) AS rn FROM gchk WHERE doc_id IN (SELECT doc_id FROM gdoc)) WHERE rn <= 3")
 def win2(s, d):
-    return G.first_chunks(S.graph_chunks(s, d), S.graph_documents(s, d).select("doc_id")).select("chunk_uid", "rn")
+    return G.first_chunks(S.chunks(s, d), S.documents(s, d).select("doc_id")).select("chunk_uid", "rn")
 
 
 # Hybrid: vector list by line-position proxy is not in the fixture; chunks are ranked by two keyword lists and expanded along documents.
@@ -275,7 +275,7 @@ SELECT id, round(sum(CASE li WHEN 0 THEN 0.7::DOUBLE WHEN 1 THEN 0.18::DOUBLE EL
 @register("ret7_hybrid_search", HYBRID)
 def ret7(s, d):
     """Token count stands for vector similarity and the next document for a graph neighbour, as the fixture ties neither to chunks."""
-    chunks = S.graph_chunks(s, d)
+    chunks = S.chunks(s, d)
     vector = R.ranked(R.top(chunks.select(F.col("chunk_uid").alias("id"), F.col("token_count").cast("double").alias("score")), 10), "vector", 0)
     keyword = R.ranked(R.top(_bm25(s, d), 10), "keyword", 1)
     seeds = vector.join(chunks.select(F.col("chunk_uid").alias("id"), "doc_id"), "id").select((F.col("doc_id") + 1).alias("doc_id")).distinct()
@@ -291,7 +291,7 @@ HITS = "h AS (SELECT chunk_uid, doc_id, text, row_number() OVER (ORDER BY token_
 
 
 def _hits(s, d):
-    best = S.graph_chunks(s, d).orderBy(F.col("token_count").desc(), "chunk_uid").limit(30)
+    best = S.chunks(s, d).orderBy(F.col("token_count").desc(), "chunk_uid").limit(30)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("token_count").desc(), "chunk_uid")))  # thirty rows
 
 
@@ -308,7 +308,7 @@ def win4(s, d):
 
 @register("win5_char_budget", "WITH c AS (SELECT doc_id, chunk_uid, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY chunk_order) AS cum, chunk_order FROM gchk), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_order) AS rn FROM c) SELECT chunk_uid, CAST(cum AS BIGINT) AS cum FROM r WHERE cum <= 2400 OR rn = 1")
 def win5(s, d):
-    return A.within_budget(S.graph_chunks(s, d), "doc_id", "chunk_order", "text", 2400).select("chunk_uid", "cum")
+    return A.within_budget(S.chunks(s, d), "doc_id", "chunk_order", "text", 2400).select("chunk_uid", "cum")
 
 
 @register("win6_span_selection", """WITH f AS (SELECT doc_id, chunk_uid, chunk_order, regexp_extract(lower(text), '\\b(th[a-z]*)\\b', 1) AS k FROM gchk),
@@ -317,13 +317,13 @@ b AS (SELECT *, max(CASE WHEN on_ = 1 AND k <> '' AND k <> 'the' THEN 1 ELSE 0 E
 SELECT chunk_uid FROM b WHERE on_ = 1 AND off_ = 0""")
 def win6(s, d):
     key = F.regexp_extract(F.lower("text"), r"\b(th[a-z]*)\b", 1)
-    return A.span(S.graph_chunks(s, d), "doc_id", "chunk_order", key, "the").select("chunk_uid")
+    return A.span(S.chunks(s, d), "doc_id", "chunk_order", key, "the").select("chunk_uid")
 
 
 @register("str23_chunk_header", "SELECT c.chunk_uid, coalesce(nullif(concat_ws(' | ', coalesce(nullif(g.doc_number, ''), substr(nullif(g.title, ''), 1, 60)), nullif(c.chapter, '')), ''), 'N/A') AS header FROM gchk c LEFT JOIN gdoc g ON g.doc_id = c.doc_id")
 def str23(s, d):
     none = F.lit(None).cast("string")
-    rows = S.graph_chunks(s, d).join(S.graph_documents(s, d).select("doc_id", "doc_number", "title"), "doc_id", "left")
+    rows = S.chunks(s, d).join(S.documents(s, d).select("doc_id", "doc_number", "title"), "doc_id", "left")
     return rows.select("chunk_uid", T.chunk_header("doc_number", "title", "chapter", none, none).alias("header"))
 
 
@@ -343,4 +343,4 @@ def str25(s, d):
 @register("ret10_citations_with_titles", f"WITH {HITS} SELECT doc_id, title, n FROM (SELECT h.doc_id, count(*) AS n FROM h GROUP BY h.doc_id) x JOIN gdoc USING (doc_id)")
 def ret10(s, d):
     n = _hits(s, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(S.graph_documents(s, d).select("doc_id", "title"), "doc_id").select("doc_id", "title", "n")
+    return n.join(S.documents(s, d).select("doc_id", "title"), "doc_id").select("doc_id", "title", "n")

@@ -32,17 +32,17 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of HAS_CHUNK; the others leave orphan chunks."""
+    """Documents of the anti-join queries; the others leave orphan chunks."""
     return documents(spark, d).where("doc_id % 19 <> 0")
 
 
 def graph_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of HAS_CHUNK; the others leave documents without chunks."""
+    """Chunks of the anti-join queries; the others leave documents without chunks."""
     return chunks(spark, d).where("doc_id % 17 <> 0")
 
 
 def has_chunk(spark: SparkSession, d: str) -> DataFrame:
-    return graph_documents(spark, d).select("doc_id").join(graph_chunks(spark, d).select("doc_id", "chunk_uid"), "doc_id")
+    return documents(spark, d).select("doc_id").join(chunks(spark, d).select("doc_id", "chunk_uid"), "doc_id")
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:

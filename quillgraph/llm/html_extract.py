@@ -7,7 +7,8 @@ text by their tag, role or class (menus, footers, adverts, forms, reader comment
 never make blocks. Inside article or main elements a lack of stop words doesn't condemn a
 block, as tables of names and lists have none; it stays undecided.
 
-A page is parsed in one linear scan with possessive patterns, in memory in proportion to it.
+End tags that HTML lets a page omit are supplied. A page is parsed in one linear scan with
+possessive patterns, in memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -36,6 +37,20 @@ FURNITURE_NAMES = frozenset(
     " cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login comment comments disqus respond reply replies"
     " share sharing social related recommended recommendations search toolbar pagination pager skip copyright disclaimer masthead topbar".split()
 )
+# Omitted end tags: a start tag ends the nearest open element of the first set, unless one of the second stands inside it.
+CELLS, ROWS = frozenset(("td", "th")), frozenset(("tbody", "tfoot", "thead"))
+_ITEMS = (BLOCK | {"button", "select", "object"}) - {"address", "div", "p"}
+IMPLIED: dict[str, tuple[frozenset[str], frozenset[str]]] = {
+    "li": (frozenset(("li",)), _ITEMS - {"li"}),
+    "option": (frozenset(("option",)), frozenset(("select", "datalist", "optgroup"))),
+    "optgroup": (frozenset(("option", "optgroup")), frozenset(("select", "datalist"))),
+    "tr": (CELLS | {"tr", "caption"}, frozenset(("table",))),
+    **dict.fromkeys(("dd", "dt"), (frozenset(("dd", "dt")), _ITEMS - {"dd", "dt"})),
+    **dict.fromkeys(CELLS, (CELLS | {"caption"}, frozenset(("table", "tr")))),
+    **dict.fromkeys(ROWS, (CELLS | ROWS | {"tr", "caption"}, frozenset(("table",)))),
+}
+ENDS_P = BLOCK - {"body", "br-block", "caption", "frameset", "head", "html", "legend", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}
+KEEPS_P = CELLS | {"a", "button", "caption", "object", "table"}
 OTHER_VOICES = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 STOP_WORDS = frozenset(
@@ -72,6 +87,7 @@ def blocks_of(page: str) -> list[tuple[str, float, bool]]:
     """Blocks in page order: text, share of its characters inside links, stands in article or main."""
     found: list[tuple[str, float, bool]] = []
     stack: list[tuple[str, bool]] = []  # open elements: tag, furniture
+    places: dict[str, list[int]] = {}  # where each tag stands in the stack, so that an opener is found at any depth
     parts: list[str] = []
     linked = 0
     hidden = links = inside = 0
@@ -95,11 +111,22 @@ def blocks_of(page: str) -> list[tuple[str, float, bool]]:
     def close(k: int) -> None:
         nonlocal hidden, links, inside
         for tag, out in stack[k:]:
+            if tag != "a-ended":
+                places[tag].pop()
             hidden -= out
             links -= tag == "a"
             inside -= tag in ("article", "main") and not out
         del stack[k:]
 
+    def nearest(tags: frozenset[str]) -> list[int]:
+        return [places[t][-1] for t in tags if places.get(t)]
+
+    def imply(targets: frozenset[str], limits: frozenset[str]) -> None:
+        if found := nearest(targets):
+            limit = max(nearest(limits), default=-1)
+            if found := [k for k in found if k > limit]:
+                close(min(found))
+
     at = 0
     while m := TOKEN.search(page, at):
         text(page[at : m.start()])
@@ -114,9 +141,8 @@ def blocks_of(page: str) -> list[tuple[str, float, bool]]:
         if tag in BLOCK:
             flush()
         if m[1]:
-            k = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 200), -1) if stack[k][0] == tag), -1)
-            if k >= 0:
-                close(k)
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -124,16 +150,19 @@ def blocks_of(page: str) -> list[tuple[str, float, bool]]:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if tag == "p" and stack and stack[-1][0] == "p":
-            close(len(stack) - 1)
+        if tag in ENDS_P:
+            imply(frozenset(("p",)), KEEPS_P)
+        if tag in IMPLIED:
+            imply(*IMPLIED[tag])
         if tag == "a" and links:  # links don't nest: an unclosed one ends here
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "a"), -1)
-            if k >= 0:
+            if places.get("a"):
+                k = places["a"].pop()
                 stack[k] = ("a-ended", stack[k][1])
                 links -= 1
         if tag in ("article", "main") and hidden and not _furniture(tag, _attributes(m[3]), False):
             close(0)  # an unclosed menu doesn't swallow the article
         out = _furniture(tag, _attributes(m[3]), inside > 0)
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, out))
         hidden += out
         links += tag == "a"

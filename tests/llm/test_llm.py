@@ -283,6 +283,26 @@ def test_html_blocks():
     assert html_extract.extract("<" * 5000 + "q='" * 5000) == ""
 
 
+STORY = "The quick brown fox is on the way to the house of the people and it was not in vain, as we all know."
+
+
+@pytest.mark.parametrize("inner", ["<option>x", "<ul><li>x", "<b>x", "<dl><dd>x<dt>y", "<table><tr><td>x"])
+@pytest.mark.parametrize("outer", ["nav", "form", "aside", "footer"])
+def test_html_closes_over_unclosed_tags(outer, inner):
+    head, _, item = inner.rpartition("<")
+    many = head + f"<{item}" * 300
+    assert html_extract.extract(f"<body><{outer}>{many}</{outer}><div>{STORY}</div>") == STORY
+    assert html_extract.extract(f"<article>{STORY}{'<b>' * 300}</article><div>short tail<div><p>home</p>") == f"{STORY} short tail home"
+
+
+def test_html_omitted_end_tags():
+    assert html_extract.extract(f"<ul><li class=ad>Buy<li>{STORY}</ul>") == STORY
+    assert html_extract.extract(f"<ul><li class=ad><ul><li>Buy</ul>Sell<li>{STORY}</ul>") == STORY
+    assert html_extract.extract(f"<table><tr class=ad><td>Buy<td>Sell<tr><td>{STORY}</table>") == STORY
+    assert html_extract.extract(f"<dl><dd class=ad>Buy<dt>{STORY}</dl>") == STORY
+    assert html_extract.extract(f"<p class=ad>Buy <b>now<div>{STORY}</div>") == STORY
+
+
 def test_line_dedup_small(spark):
     pages = spark.createDataFrame([(i, "h", ["menu", f"own {i}", "menu"]) for i in range(4)] + [(9, "z", ["menu"])], "page_id long, host string, lines array<string>")
     got = {r.page_id: r for r in line_dedup.drop_boilerplate(pages).collect()}

@@ -202,9 +202,8 @@ def extract(page: str) -> str:
     for i in range(len(blocks) - 1, -1, -1):
         last = (i, labels[i]) if labels[i] is not None else last
         near = [(abs(i - k[0]), -k[1], k[1]) for k in (before[i], last) if k]
-        if blocks[i][2] and labels[i] is None:
-            # An undecided block of the article only hears neighbours of the article; a decided bad one is a list of links.
-            near = [(d, n, label) for d, n, label in near if label == GOOD] or [(0, 0, GOOD)]
+        if blocks[i][2]:
+            near = near or [(0, 0, GOOD)]
         if near and min(near)[2] == GOOD:
             kept.append(blocks[i][0])
     return " ".join(reversed(kept))

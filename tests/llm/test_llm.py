@@ -303,6 +303,12 @@ def test_html_omitted_end_tags():
     assert html_extract.extract(f"<p class=ad>Buy <b>now<div>{STORY}</div>") == STORY
 
 
+def test_html_undecided_blocks_of_an_article_take_the_nearest_label():
+    links = "<p><a href=x>one more story of the site</a></p>"
+    assert html_extract.extract(f"<article><p>{STORY}</p><p>Short end.</p>{links * 2}<p>Read more</p>{links}</article>") == f"{STORY} Short end."
+    assert html_extract.extract("<article><p>Only short.</p></article>") == "Only short."
+
+
 def test_line_dedup_small(spark):
     pages = spark.createDataFrame([(i, "h", ["menu", f"own {i}", "menu"]) for i in range(4)] + [(9, "z", ["menu"])], "page_id long, host string, lines array<string>")
     got = {r.page_id: r for r in line_dedup.drop_boilerplate(pages).collect()}

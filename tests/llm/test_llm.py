@@ -232,6 +232,26 @@ def test_lm_base_and_gain(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) * 0.99
 
 
+def test_lm_contexts_learn_from_every_training_document(spark):
+    import pickle
+
+    d = docs(spark, [(i, f"the word {i} of {i % 7} is here") for i in range(200)]).select("doc_id", "text")
+    rows = d.coalesce(1).mapInArrow(lm_scoring._gather(10, 16), lm_scoring.MIXED).where("kind in (0, 2)").collect()
+    units = [pickle.loads(r.payload) for r in rows if r.kind == 0]
+    units = [u | {k: lm_scoring._swell(u[k]) for k in ("ids", "vocabulary", "ending")} for u in units]
+    learns = [np.array([not lm_scoring.held_out(i, 10) for i in u["docs"]]) for u in units]
+    table = np.zeros(lm_scoring.CONTEXTS * lm_scoring.CLASSES * lm_scoring.BUCKETS, np.int32)
+    step = -(-len(table) // lm_scoring.PARTS)
+    for r in rows:
+        if r.kind == 2:
+            at, n = pickle.loads(r.payload)
+            table[r.part * step + lm_scoring._sorted_in(at).astype(np.int64)] += lm_scoring._swell(n)
+    assert table.sum() == lm_scoring.CONTEXTS * sum(u["per"][x].sum() for u, x in zip(units, learns))
+    for u, x in zip(units, learns):
+        lm_scoring.without(table, u, x)
+    assert not table.any()
+
+
 def test_lm_code_is_a_distribution():
     rng = np.random.default_rng(0)
     mass = rng.integers(0, 50, lm_scoring.BUCKETS).astype(float)

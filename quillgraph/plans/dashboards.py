@@ -47,15 +47,15 @@ def per_document(s, d) -> DataFrame:
     return S.documents(s, d).join(n, "doc_id", "left").fillna(0, ["n_chunks"])
 
 
-PER_DOC = "(SELECT g.*, coalesce(n, 0) AS n_chunks FROM gdoc g LEFT JOIN (SELECT doc_id, count(*) AS n FROM gchk GROUP BY doc_id) c ON g.doc_id = c.doc_id)"
+PER_DOC = "(SELECT g.*, coalesce(n, 0) AS n_chunks FROM doc g LEFT JOIN (SELECT doc_id, count(*) AS n FROM chk GROUP BY doc_id) c ON g.doc_id = c.doc_id)"
 
 
-@register("dash1_total_documents", "SELECT count(*) AS total FROM gdoc")
+@register("dash1_total_documents", "SELECT count(*) AS total FROM doc")
 def dash1(s, d):
     return S.documents(s, d).agg(F.count(F.lit(1)).alias("total"))
 
 
-@register("dash2_total_chunks", "SELECT count(*) AS total FROM gchk")
+@register("dash2_total_chunks", "SELECT count(*) AS total FROM chk")
 def dash2(s, d):
     return S.chunks(s, d).agg(F.count(F.lit(1)).alias("total"))
 
@@ -74,7 +74,7 @@ def dash4(s, d):
     return per_document(s, d).agg(F.round(F.avg("n_chunks"), 1).alias("avg_chunks"))
 
 
-@register("dash5_nodes_by_label", "SELECT 'Document' AS label, count(*) AS n FROM gdoc UNION ALL SELECT 'Chunk', count(*) FROM gchk")
+@register("dash5_nodes_by_label", "SELECT 'Document' AS label, count(*) AS n FROM doc UNION ALL SELECT 'Chunk', count(*) FROM chk")
 def dash5(s, d):
     nodes = S.documents(s, d).select(F.lit("Document").alias("label")).unionAll(S.chunks(s, d).select(F.lit("Chunk").alias("label")))
     return counted(nodes, "label")
@@ -85,19 +85,19 @@ def dash6(s, d):
     return counted(S.edges(s, d).select("rel_type").unionAll(S.has_chunk(s, d).select(F.lit("HAS_CHUNK").alias("rel_type"))), "rel_type")
 
 
-@register("dash7_top_documents_by_chunks", "SELECT coalesce(title, CAST(g.doc_id AS VARCHAR)) AS document, count(*) AS n FROM gdoc g JOIN hc ON g.doc_id = hc.doc_id GROUP BY 1 ORDER BY n DESC, document LIMIT 10")
+@register("dash7_top_documents_by_chunks", "SELECT coalesce(title, CAST(g.doc_id AS VARCHAR)) AS document, count(*) AS n FROM doc g JOIN hc ON g.doc_id = hc.doc_id GROUP BY 1 ORDER BY n DESC, document LIMIT 10")
 def dash7(s, d):
     docs = S.documents(s, d).select("doc_id", F.coalesce("title", F.col("doc_id").cast("string")).alias("document"))
     n = S.chunks(s, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
     return top(docs.join(n, "doc_id").groupBy("document").agg(F.sum("c").alias("n")), 10, "n", "document")
 
 
-@register("dash8_top_issuing_bodies", "SELECT issuing_body, count(*) AS n FROM gdoc WHERE issuing_body IS NOT NULL AND issuing_body <> '' GROUP BY 1 ORDER BY n DESC, issuing_body LIMIT 15")
+@register("dash8_top_issuing_bodies", "SELECT issuing_body, count(*) AS n FROM doc WHERE issuing_body IS NOT NULL AND issuing_body <> '' GROUP BY 1 ORDER BY n DESC, issuing_body LIMIT 15")
 def dash8(s, d):
     return top(counted(S.documents(s, d).where("issuing_body is not null and issuing_body <> ''"), "issuing_body"), 15, "n", "issuing_body")
 
 
-@register("dash9_documents_by_type", "SELECT coalesce(doc_type, 'unknown') AS doc_type, count(*) AS n FROM gdoc GROUP BY 1")
+@register("dash9_documents_by_type", "SELECT coalesce(doc_type, 'unknown') AS doc_type, count(*) AS n FROM doc GROUP BY 1")
 def dash9(s, d):
     return counted(S.documents(s, d).select(F.coalesce("doc_type", F.lit("unknown")).alias("doc_type")), "doc_type")
 
@@ -118,7 +118,7 @@ def dash11(s, d):
 
 @register(
     "dash12_missing_metadata",
-    "SELECT doc_id, CASE WHEN title IS NULL THEN '✗' ELSE '✓' END AS has_title, CASE WHEN issuing_body IS NULL THEN '✗' ELSE '✓' END AS has_body, CASE WHEN status IS NULL THEN '✗' ELSE '✓' END AS has_status FROM gdoc WHERE title IS NULL OR issuing_body IS NULL OR status IS NULL ORDER BY doc_id LIMIT 100",
+    "SELECT doc_id, CASE WHEN title IS NULL THEN '✗' ELSE '✓' END AS has_title, CASE WHEN issuing_body IS NULL THEN '✗' ELSE '✓' END AS has_body, CASE WHEN status IS NULL THEN '✗' ELSE '✓' END AS has_status FROM doc WHERE title IS NULL OR issuing_body IS NULL OR status IS NULL ORDER BY doc_id LIMIT 100",
 )
 def dash12(s, d):
     mark = lambda c: F.when(F.col(c).isNull(), "✗").otherwise("✓")
@@ -126,47 +126,47 @@ def dash12(s, d):
     return rows.select("doc_id", mark("title").alias("has_title"), mark("issuing_body").alias("has_body"), mark("status").alias("has_status")).orderBy("doc_id").limit(100)
 
 
-@register("dash13_recently_updated", "SELECT doc_id, doc_number, title, status FROM gdoc WHERE status IS NOT NULL ORDER BY doc_id DESC LIMIT 25")
+@register("dash13_recently_updated", "SELECT doc_id, doc_number, title, status FROM doc WHERE status IS NOT NULL ORDER BY doc_id DESC LIMIT 25")
 def dash13(s, d):
     """doc_id stands for the update time, which the fixture lacks."""
     return S.documents(s, d).where("status is not null").select("doc_id", "doc_number", "title", "status").orderBy(F.col("doc_id").desc()).limit(25)
 
 
-@register("dash14_documents_by_status", "SELECT coalesce(status, 'unknown') AS status, count(*) AS n FROM gdoc GROUP BY 1")
+@register("dash14_documents_by_status", "SELECT coalesce(status, 'unknown') AS status, count(*) AS n FROM doc GROUP BY 1")
 def dash14(s, d):
     return counted(S.documents(s, d).select(F.coalesce("status", F.lit("unknown")).alias("status")), "status")
 
 
-@register("dash15_orphan_documents_by_body", "SELECT coalesce(issuing_body, 'unknown') AS issuing_body, count(*) AS n FROM gdoc g WHERE NOT EXISTS (SELECT 1 FROM hc WHERE hc.doc_id = g.doc_id) GROUP BY 1")
+@register("dash15_orphan_documents_by_body", "SELECT coalesce(issuing_body, 'unknown') AS issuing_body, count(*) AS n FROM odoc g WHERE NOT EXISTS (SELECT 1 FROM ohc WHERE ohc.doc_id = g.doc_id) GROUP BY 1")
 def dash15(s, d):
     orphans = S.graph_documents(s, d).join(S.graph_chunks(s, d).select("doc_id"), "doc_id", "left_anti")
     return counted(orphans.select(F.coalesce("issuing_body", F.lit("unknown")).alias("issuing_body")), "issuing_body")
 
 
-@register("dash16_avg_tokens", "SELECT round(avg(token_count), 0) AS avg_tokens FROM gchk WHERE token_count IS NOT NULL")
+@register("dash16_avg_tokens", "SELECT round(avg(token_count), 0) AS avg_tokens FROM chk WHERE token_count IS NOT NULL")
 def dash16(s, d):
     return S.chunks(s, d).where("token_count is not null").agg(F.round(F.avg("token_count"), 0).alias("avg_tokens"))
 
 
-@register("dash17_max_tokens", "SELECT max(token_count) AS max_tokens FROM gchk")
+@register("dash17_max_tokens", "SELECT max(token_count) AS max_tokens FROM chk")
 def dash17(s, d):
     return S.chunks(s, d).agg(F.max("token_count").alias("max_tokens"))
 
 
-@register("dash18_token_histogram", f"SELECT bucket, bucket_order, count(*) AS n FROM (SELECT {bucket_sql('token_count', TOKEN_BUCKETS, '2000+')} FROM gchk) GROUP BY 1, 2")
+@register("dash18_token_histogram", f"SELECT bucket, bucket_order, count(*) AS n FROM (SELECT {bucket_sql('token_count', TOKEN_BUCKETS, '2000+')} FROM chk) GROUP BY 1, 2")
 def dash18(s, d):
     label, order = T.bucket("token_count", TOKEN_BUCKETS, "2000+")
     return counted(S.chunks(s, d).select(label.alias("bucket"), order.alias("bucket_order")), "bucket", "bucket_order")
 
 
-@register("dash19_top_chapters", "SELECT chapter, count(*) AS n FROM gchk WHERE chapter IS NOT NULL GROUP BY 1 ORDER BY n DESC, chapter LIMIT 15")
+@register("dash19_top_chapters", "SELECT chapter, count(*) AS n FROM chk WHERE chapter IS NOT NULL GROUP BY 1 ORDER BY n DESC, chapter LIMIT 15")
 def dash19(s, d):
     return top(counted(S.chunks(s, d).where("chapter is not null"), "chapter"), 15, "n", "chapter")
 
 
 @register(
     "dash20_longest_chunks",
-    "SELECT coalesce(g.title, CAST(c.doc_id AS VARCHAR)) AS document, c.chunk_uid, c.token_count, substr(c.text, 1, 100) || '...' AS preview FROM gchk c LEFT JOIN gdoc g ON g.doc_id = c.doc_id ORDER BY c.token_count DESC, c.chunk_uid LIMIT 25",
+    "SELECT coalesce(g.title, CAST(c.doc_id AS VARCHAR)) AS document, c.chunk_uid, c.token_count, substr(c.text, 1, 100) || '...' AS preview FROM chk c LEFT JOIN doc g ON g.doc_id = c.doc_id ORDER BY c.token_count DESC, c.chunk_uid LIMIT 25",
 )
 def dash20(s, d):
     """The top 25 are found before the join; only they meet their documents."""
@@ -215,7 +215,7 @@ def dash26(s, d):
     return top(G.degrees(S.edges(s, d)).where("degree > 0"), 15, "degree", "id")
 
 
-@register("dash27_sample_subgraph", "SELECT g.doc_id, c.chunk_uid FROM (SELECT doc_id FROM gdoc ORDER BY doc_id LIMIT 5) g JOIN gchk c ON c.doc_id = g.doc_id")
+@register("dash27_sample_subgraph", "SELECT g.doc_id, c.chunk_uid FROM (SELECT doc_id FROM doc ORDER BY doc_id LIMIT 5) g JOIN chk c ON c.doc_id = g.doc_id")
 def dash27(s, d):
     few = S.documents(s, d).select("doc_id").orderBy("doc_id").limit(5)
     return few.join(S.chunks(s, d).select("doc_id", "chunk_uid"), "doc_id")
@@ -243,37 +243,37 @@ def dash29(s, d):
     return G.expand(e, hub, 2).select("id", "hop")
 
 
-@register("dash30_keyword_exploration", "SELECT g.doc_id, g.title, c.chunk_uid FROM (SELECT doc_id, title FROM gdoc WHERE lower(title) LIKE '%the%' ORDER BY doc_id LIMIT 10) g LEFT JOIN gchk c ON c.doc_id = g.doc_id")
+@register("dash30_keyword_exploration", "SELECT g.doc_id, g.title, c.chunk_uid FROM (SELECT doc_id, title FROM doc WHERE lower(title) LIKE '%the%' ORDER BY doc_id LIMIT 10) g LEFT JOIN chk c ON c.doc_id = g.doc_id")
 def dash30(s, d):
     few = S.documents(s, d).where(T.contains_any(["the"], "title")).select("doc_id", "title").orderBy("doc_id").limit(10)
     return few.join(S.chunks(s, d).select("doc_id", "chunk_uid"), "doc_id", "left")
 
 
-@register("dash31_sunburst3", "SELECT coalesce(issuing_body, 'unknown') || '>' || coalesce(doc_type, 'unknown') || '>' || coalesce(status, 'unknown') AS path, count(*) AS n FROM gdoc GROUP BY 1")
+@register("dash31_sunburst3", "SELECT coalesce(issuing_body, 'unknown') || '>' || coalesce(doc_type, 'unknown') || '>' || coalesce(status, 'unknown') AS path, count(*) AS n FROM doc GROUP BY 1")
 def dash31(s, d):
     unknown = lambda c: F.coalesce(c, F.lit("unknown"))
     rows = S.documents(s, d).select(F.array(unknown("issuing_body"), unknown("doc_type"), unknown("status")).alias("path"))
     return counted(rows, "path").select(F.array_join("path", ">").alias("path"), "n")
 
 
-@register("dash32_sunburst2", "SELECT coalesce(doc_type, 'unknown') AS doc_type, coalesce(status, 'unknown') AS status, count(*) AS n FROM gdoc GROUP BY ALL")
+@register("dash32_sunburst2", "SELECT coalesce(doc_type, 'unknown') AS doc_type, coalesce(status, 'unknown') AS status, count(*) AS n FROM doc GROUP BY ALL")
 def dash32(s, d):
     unknown = lambda c: F.coalesce(c, F.lit("unknown")).alias(c)
     return counted(S.documents(s, d).select(unknown("doc_type"), unknown("status")), "doc_type", "status")
 
 
-@register("dash33_complete_metadata", "SELECT count(*) AS total, count(CASE WHEN title IS NOT NULL AND doc_type IS NOT NULL AND status IS NOT NULL THEN 1 END) AS complete, round(count(CASE WHEN title IS NOT NULL AND doc_type IS NOT NULL AND status IS NOT NULL THEN 1 END) * 100.0 / nullif(count(*), 0), 1) AS pct FROM gdoc")
+@register("dash33_complete_metadata", "SELECT count(*) AS total, count(CASE WHEN title IS NOT NULL AND doc_type IS NOT NULL AND status IS NOT NULL THEN 1 END) AS complete, round(count(CASE WHEN title IS NOT NULL AND doc_type IS NOT NULL AND status IS NOT NULL THEN 1 END) * 100.0 / nullif(count(*), 0), 1) AS pct FROM doc")
 def dash33(s, d):
     ok = F.count_if(F.col("title").isNotNull() & F.col("doc_type").isNotNull() & F.col("status").isNotNull())
     return S.documents(s, d).agg(F.count(F.lit(1)).alias("total"), ok.alias("complete"), F.round(ok.cast("double") * 100.0 / F.nullif(F.count(F.lit(1)), F.lit(0)), 1).alias("pct"))
 
 
-@register("dash34_orphan_chunks", "SELECT count(*) AS total FROM gchk c WHERE NOT EXISTS (SELECT 1 FROM gdoc g WHERE g.doc_id = c.doc_id)")
+@register("dash34_orphan_chunks", "SELECT count(*) AS total FROM ochk c WHERE NOT EXISTS (SELECT 1 FROM odoc g WHERE g.doc_id = c.doc_id)")
 def dash34(s, d):
     return S.graph_chunks(s, d).select("doc_id").join(S.graph_documents(s, d).select("doc_id"), "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("total"))
 
 
-@register("dash35_isolated_chunks", "SELECT count(*) AS total FROM gchk c WHERE NOT EXISTS (SELECT 1 FROM edge e WHERE e.src = c.chunk_uid AND rel_type = 'REFERS_TO') AND NOT EXISTS (SELECT 1 FROM edge e WHERE e.dst = c.chunk_uid AND rel_type = 'REFERS_TO')")
+@register("dash35_isolated_chunks", "SELECT count(*) AS total FROM ochk c WHERE NOT EXISTS (SELECT 1 FROM edge e WHERE e.src = c.chunk_uid AND rel_type = 'REFERS_TO') AND NOT EXISTS (SELECT 1 FROM edge e WHERE e.dst = c.chunk_uid AND rel_type = 'REFERS_TO')")
 def dash35(s, d):
     e = S.edges(s, d).where("rel_type = 'REFERS_TO'")
     tied = e.select(F.col("src").alias("chunk_uid")).union(e.select(F.col("dst").alias("chunk_uid"))).distinct()
@@ -283,13 +283,13 @@ def dash35(s, d):
 PROPERTIES = ("title", "doc_number", "doc_type", "issuing_body", "status")
 
 
-@register("dash36_property_coverage", " UNION ALL ".join(f"SELECT '{p}' AS property, round(count({p}) * 100.0 / nullif(count(*), 0), 1) AS pct FROM gdoc" for p in PROPERTIES))
+@register("dash36_property_coverage", " UNION ALL ".join(f"SELECT '{p}' AS property, round(count({p}) * 100.0 / nullif(count(*), 0), 1) AS pct FROM doc" for p in PROPERTIES))
 def dash36(s, d):
     pct = lambda p: F.round(F.count(p).cast("double") * 100.0 / F.nullif(F.count(F.lit(1)), F.lit(0)), 1).alias(p)
     return S.documents(s, d).agg(*[pct(p) for p in PROPERTIES]).unpivot([], list(PROPERTIES), "property", "pct")
 
 
-@register("dash37_duplicate_documents", "SELECT title, count(*) AS n, list_sort(list(doc_id))[1] AS first_id FROM gdoc WHERE title IS NOT NULL GROUP BY title HAVING count(*) > 1")
+@register("dash37_duplicate_documents", "SELECT title, count(*) AS n, list_sort(list(doc_id))[1] AS first_id FROM doc WHERE title IS NOT NULL GROUP BY title HAVING count(*) > 1")
 def dash37(s, d):
     """Grouped by title, as the fixture's ids are unique."""
     return S.documents(s, d).where("title is not null").groupBy("title").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")

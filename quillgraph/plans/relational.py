@@ -37,7 +37,7 @@ def src2(s, d):
     return S.raw(s, d, "documents").select("doc_id", "lang", "source", "n_chars")
 
 
-@register("src3_auxiliary_maps", "SELECT o_custkey, max(o_orderkey) AS last_order, CAST(count(*) AS BIGINT) AS n_rel, list(o_orderkey ORDER BY o_orderkey) AS rel FROM orders WHERE o_custkey % 10 = 0 GROUP BY o_custkey")
+@register("src3_auxiliary_maps", "SELECT o_custkey, max(o_orderkey) AS last_order, CAST(count(*) AS BIGINT) AS n_rel, list(o_orderkey ORDER BY o_orderkey) AS rel FROM orders GROUP BY o_custkey")
 def src3(s, d):
     """Last row of a key wins; relationships are gathered in arrival order."""
     o = S.raw(s, d, "orders").select("o_custkey", "o_orderkey")
@@ -54,7 +54,7 @@ def src4(s, d):
     return E.read_json_rows(lines, "conv_id bigint, turn bigint, role string")
 
 
-@register("src7_table_scan", "SELECT count(*) AS n, sum(token_count) AS tokens FROM gchk")
+@register("src7_table_scan", "SELECT count(*) AS n, sum(token_count) AS tokens FROM chk")
 def src7(s, d):
     S.chunks(s, d).createOrReplaceTempView("qg_chunks")
     return s.table("qg_chunks").agg(rows_n(), F.sum("token_count").alias("tokens"))
@@ -146,12 +146,12 @@ def flt3(s, d):
     return S.documents(s, d).where(~T.is_blank(x)).select("doc_id")
 
 
-@register("flt4_keyset_page", "SELECT doc_id, chunk_order, chunk_uid FROM gchk WHERE doc_id > 40 OR (doc_id = 40 AND chunk_order > 2) ORDER BY doc_id, chunk_order LIMIT 100")
+@register("flt4_keyset_page", "SELECT doc_id, chunk_order, chunk_uid FROM chk WHERE doc_id > 40 OR (doc_id = 40 AND chunk_order > 2) ORDER BY doc_id, chunk_order LIMIT 100")
 def flt4(s, d):
     return M.keyset_page(S.chunks(s, d).select("doc_id", "chunk_order", "chunk_uid"), "doc_id", "chunk_order", (40, 2), 100)
 
 
-@register("flt8_type_filter", "SELECT c.chunk_uid FROM gchk c JOIN gdoc g ON g.doc_id = c.doc_id WHERE g.doc_type = 'de'")
+@register("flt8_type_filter", "SELECT c.chunk_uid FROM chk c JOIN doc g ON g.doc_id = c.doc_id WHERE g.doc_type = 'de'")
 def flt8(s, d):
     return S.chunks(s, d).select("chunk_uid", "doc_id").join(S.documents(s, d).where("doc_type = 'de'").select("doc_id"), "doc_id").select("chunk_uid")
 
@@ -161,7 +161,7 @@ def flt9(s, d):
     return S.documents(s, d).where("status is null or (title is not null and doc_type = 'es')").select("doc_id")
 
 
-@register("flt10_pattern_absence", "SELECT doc_id FROM gdoc g WHERE NOT EXISTS (SELECT 1 FROM gchk c WHERE c.doc_id = g.doc_id)")
+@register("flt10_pattern_absence", "SELECT doc_id FROM odoc g WHERE NOT EXISTS (SELECT 1 FROM ochk c WHERE c.doc_id = g.doc_id)")
 def flt10(s, d):
     return S.graph_documents(s, d).select("doc_id").join(S.graph_chunks(s, d).select("doc_id"), "doc_id", "left_anti")
 
@@ -204,7 +204,7 @@ def join3(s, d):
     return a.join(b, F.col("other") == F.col("doc_id") * 3, "left").select("doc_id", F.coalesce(F.trim("doc_number"), F.lit("")).alias("other_number"))
 
 
-@register("join4_left_anti", "SELECT chunk_uid FROM gchk WHERE doc_id % 3 <> 0")
+@register("join4_left_anti", "SELECT chunk_uid FROM chk WHERE doc_id % 3 <> 0")
 def join4(s, d):
     c = S.chunks(s, d).select("chunk_uid", "doc_id")
     return M.not_yet(c, c.where("doc_id % 3 = 0"), "chunk_uid").select("chunk_uid")
@@ -223,12 +223,12 @@ def join6(s, d):
     return per_document(s, d).select("doc_id", F.col("n_chunks").alias("n"))
 
 
-@register("join7_absent_pattern", "SELECT chunk_uid FROM gchk c WHERE NOT EXISTS (SELECT 1 FROM gdoc g WHERE g.doc_id = c.doc_id)")
+@register("join7_absent_pattern", "SELECT chunk_uid FROM ochk c WHERE NOT EXISTS (SELECT 1 FROM odoc g WHERE g.doc_id = c.doc_id)")
 def join7(s, d):
     return S.graph_chunks(s, d).select("chunk_uid", "doc_id").join(S.graph_documents(s, d).select("doc_id"), "doc_id", "left_anti").select("chunk_uid")
 
 
-RELATIONS = "rel AS (SELECT doc_id AS source_doc_id, CASE WHEN doc_id % 4 = 0 THEN 'X' ELSE 'D' END || (doc_id * 2) AS target_doc_number, CASE doc_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'amends by' ELSE ' cites ' END AS relation_type FROM gdoc)"
+RELATIONS = "rel AS (SELECT doc_id AS source_doc_id, CASE WHEN doc_id % 4 = 0 THEN 'X' ELSE 'D' END || (doc_id * 2) AS target_doc_number, CASE doc_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'amends by' ELSE ' cites ' END AS relation_type FROM doc)"
 
 
 def _relations(s, d):
@@ -238,7 +238,7 @@ def _relations(s, d):
     return S.documents(s, d).select(k.alias("source_doc_id"), number.alias("target_doc_number"), kind.alias("relation_type"), F.lit("explicit").alias("relation_source"))
 
 
-EDGES_SQL = f"WITH {RELATIONS} SELECT r.source_doc_id AS src, g.doc_id AS dst_doc_id, r.target_doc_number AS dst, coalesce(nullif(replace(upper(trim(r.relation_type)), ' ', '_'), ''), 'REFERS_TO') AS rel_type FROM rel r LEFT JOIN gdoc g ON g.doc_number = r.target_doc_number"
+EDGES_SQL = f"WITH {RELATIONS} SELECT r.source_doc_id AS src, g.doc_id AS dst_doc_id, r.target_doc_number AS dst, coalesce(nullif(replace(upper(trim(r.relation_type)), ' ', '_'), ''), 'REFERS_TO') AS rel_type FROM rel r LEFT JOIN doc g ON g.doc_number = r.target_doc_number"
 
 
 @register("join10_target_by_number", EDGES_SQL)
@@ -295,7 +295,7 @@ def agg3(s, d):
     return M.latest(rows, ["l_orderkey", "l_returnflag"], F.col("first_line").asc())
 
 
-@register("agg4_stage_counts", "SELECT 'documents' AS stage, count(*) AS n FROM gdoc UNION ALL SELECT 'chunks', count(*) FROM gchk UNION ALL SELECT 'relations', count(*) FROM edge")
+@register("agg4_stage_counts", "SELECT 'documents' AS stage, count(*) AS n FROM doc UNION ALL SELECT 'chunks', count(*) FROM chk UNION ALL SELECT 'relations', count(*) FROM edge")
 def agg4(s, d):
     stages = {"documents": S.documents(s, d), "chunks": S.chunks(s, d), "relations": S.edges(s, d)}
     out = None
@@ -310,7 +310,7 @@ def agg5(s, d):
     return S.edges(s, d).groupBy("src").agg(F.array_sort(F.collect_set("rel_type")).alias("types"))
 
 
-@register("agg6_basic_aggregates", "SELECT doc_id, count(*) AS n, count(chapter) AS chapters, count(DISTINCT token_count) AS sizes, max(token_count) AS mx, min(token_count) AS mn, round(avg(token_count), 4) AS av, CAST(sum(token_count) AS BIGINT) AS total FROM gchk GROUP BY doc_id")
+@register("agg6_basic_aggregates", "SELECT doc_id, count(*) AS n, count(chapter) AS chapters, count(DISTINCT token_count) AS sizes, max(token_count) AS mx, min(token_count) AS mn, round(avg(token_count), 4) AS av, CAST(sum(token_count) AS BIGINT) AS total FROM chk GROUP BY doc_id")
 def agg6(s, d):
     t = F.col("token_count")
     return S.chunks(s, d).groupBy("doc_id").agg(rows_n(), F.count("chapter").alias("chapters"), F.countDistinct(t).alias("sizes"), F.max(t).alias("mx"), F.min(t).alias("mn"), F.round(F.avg(t), 4).alias("av"), F.sum(t).alias("total"))
@@ -321,7 +321,7 @@ def agg7(s, d):
     return S.chat_messages(s, d).groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("questions"), F.count(F.when(F.col("role") == "assistant", 1)).alias("answers"))
 
 
-@register("agg9_value_grouping", "SELECT coalesce(title, CAST(doc_id AS VARCHAR)) AS shown, count(*) AS n FROM gdoc GROUP BY 1")
+@register("agg9_value_grouping", "SELECT coalesce(title, CAST(doc_id AS VARCHAR)) AS shown, count(*) AS n FROM doc GROUP BY 1")
 def agg9(s, d):
     return S.documents(s, d).groupBy(F.coalesce("title", F.col("doc_id").cast("string")).alias("shown")).agg(rows_n())
 
@@ -353,7 +353,7 @@ def agg15(s, d):
 # ---- windows
 
 
-@register("win7_chunk_numbers", "SELECT chunk_uid, chunk_order, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk_order) AS BIGINT) AS again FROM gchk")
+@register("win7_chunk_numbers", "SELECT chunk_uid, chunk_order, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk_order) AS BIGINT) AS again FROM chk")
 def win7(s, d):
     w = Window.partitionBy("doc_id").orderBy("chunk_order")
     return S.chunks(s, d).select("chunk_uid", "chunk_order", F.row_number().over(w).cast("long").alias("again"))
@@ -369,7 +369,7 @@ def win11(s, d):
 # ---- ordering
 
 
-@register("srt1_ordered_page", "SELECT doc_id, chunk_order FROM gchk ORDER BY doc_id, chunk_order LIMIT 1000")
+@register("srt1_ordered_page", "SELECT doc_id, chunk_order FROM chk ORDER BY doc_id, chunk_order LIMIT 1000")
 def srt1(s, d):
     return S.chunks(s, d).select("doc_id", "chunk_order").orderBy("doc_id", "chunk_order").limit(1000)
 
@@ -421,7 +421,7 @@ def set4(s, d):
     return s.range(1).select(F.inline(rows))
 
 
-@register("set5_list_concat", "SELECT l, count(*) AS n FROM (SELECT 0 AS l FROM gdoc UNION ALL SELECT 1 FROM gchk UNION ALL SELECT 2 FROM edge) GROUP BY l")
+@register("set5_list_concat", "SELECT l, count(*) AS n FROM (SELECT 0 AS l FROM doc UNION ALL SELECT 1 FROM chk UNION ALL SELECT 2 FROM edge) GROUP BY l")
 def set5(s, d):
     parts = [df.select(F.lit(i).alias("l")) for i, df in enumerate((S.documents(s, d), S.chunks(s, d), S.edges(s, d)))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("l").agg(rows_n())
@@ -448,7 +448,7 @@ def snk2(s, d):
     return S.documents(s, d).select("doc_id", F.coalesce("status", F.lit("active")).alias("status"))
 
 
-@register("snk3_append_only_new", "SELECT chunk_uid, doc_id % 3 = 0 AS old FROM gchk")
+@register("snk3_append_only_new", "SELECT chunk_uid, doc_id % 3 = 0 AS old FROM chk")
 def snk3(s, d):
     c = S.chunks(s, d).select("chunk_uid", "doc_id")
     old = c.where("doc_id % 3 = 0").select("chunk_uid", F.lit(True).alias("old"))

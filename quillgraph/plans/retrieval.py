@@ -98,7 +98,7 @@ def srt2(s, d):
 
 TF = " , ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(TERMS))
 BM25_SQL = f"""
-tok AS (SELECT chunk_uid AS id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM gchk),
+tok AS (SELECT chunk_uid AS id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM chk),
 tf AS (SELECT id, len(w) AS dl, {TF} FROM tok),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(TERMS)))} FROM tf),
 bm AS (SELECT id, {" + ".join(f"CASE WHEN tf{i} > 0 THEN ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END" for i in range(len(TERMS)))} AS score
@@ -112,7 +112,7 @@ def _bm25(s, d):
 
 @register(
     "ret2_bm25_topk",
-    f"WITH {BM25_SQL}, tp AS (SELECT id, round(score, 6) AS score FROM bm ORDER BY score DESC, id LIMIT 20) SELECT tp.id, tp.score, g.doc_id, g.doc_number, g.title FROM tp JOIN gchk c ON c.chunk_uid = tp.id JOIN gdoc g ON g.doc_id = c.doc_id",
+    f"WITH {BM25_SQL}, tp AS (SELECT id, round(score, 6) AS score FROM bm ORDER BY score DESC, id LIMIT 20) SELECT tp.id, tp.score, g.doc_id, g.doc_number, g.title FROM tp JOIN chk c ON c.chunk_uid = tp.id JOIN doc g ON g.doc_id = c.doc_id",
 )
 def ret2(s, d):
     best = R.top(_bm25(s, d), 20).select("id", F.round("score", 6).alias("score"))
@@ -235,7 +235,7 @@ def ret5(s, d):
     return G.neighbours(S.edges(s, d), center).join(nodes, F.col("other") == F.col("doc_number")).select("relation", "direction", "doc_number", "title", "doc_type")
 
 
-@register("flt7_locate_document", "SELECT doc_id, title FROM gdoc WHERE lower(coalesce(title, '')) LIKE '%the%' OR doc_number = 'D1' ORDER BY length(coalesce(title, '')), doc_id LIMIT 1")
+@register("flt7_locate_document", "SELECT doc_id, title FROM doc WHERE lower(coalesce(title, '')) LIKE '%the%' OR doc_number = 'D1' ORDER BY length(coalesce(title, '')), doc_id LIMIT 1")
 def flt7(s, d):
     return G.locate(S.documents(s, d), "D1", "the").select("doc_id", "title")
 
@@ -243,19 +243,19 @@ def flt7(s, d):
 QUERIES["srt6_shortest_title"], ORACLES["srt6_shortest_title"] = flt7, ORACLES["flt7_locate_document"]
 
 
-@register("ret4_document_chunks", "SELECT c.chunk_uid, c.chunk_order, 1.0::DOUBLE AS graph_score FROM (SELECT doc_id FROM gdoc WHERE doc_number = 'D3' ORDER BY length(coalesce(title, '')), doc_id LIMIT 1) g JOIN gchk c ON c.doc_id = g.doc_id ORDER BY c.chunk_order LIMIT 400")
+@register("ret4_document_chunks", "SELECT c.chunk_uid, c.chunk_order, 1.0::DOUBLE AS graph_score FROM (SELECT doc_id FROM doc WHERE doc_number = 'D3' ORDER BY length(coalesce(title, '')), doc_id LIMIT 1) g JOIN chk c ON c.doc_id = g.doc_id ORDER BY c.chunk_order LIMIT 400")
 def ret4(s, d):
     one = G.locate(S.documents(s, d), "D3").select("doc_id")
     rows = S.chunks(s, d).join(one, "doc_id").orderBy("chunk_order").limit(400)
     return rows.select("chunk_uid", "chunk_order", F.lit(1.0).alias("graph_score"))
 
 
-@register("srt5_chunks_in_order", "SELECT chunk_uid, chunk_order FROM gchk ORDER BY doc_id, chunk_order LIMIT 400")
+@register("srt5_chunks_in_order", "SELECT chunk_uid, chunk_order FROM chk ORDER BY doc_id, chunk_order LIMIT 400")
 def srt5(s, d):
     return S.chunks(s, d).orderBy("doc_id", "chunk_order").limit(400).select("chunk_uid", "chunk_order")
 
 
-@register("win2_first_chunks", "SELECT chunk_uid, CAST(rn AS INTEGER) AS rn FROM (SELECT chunk_uid, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_order) AS rn FROM gchk WHERE doc_id IN (SELECT doc_id FROM gdoc)) WHERE rn <= 3")
+@register("win2_first_chunks", "SELECT chunk_uid, CAST(rn AS INTEGER) AS rn FROM (SELECT chunk_uid, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_order) AS rn FROM chk WHERE doc_id IN (SELECT doc_id FROM doc)) WHERE rn <= 3")
 def win2(s, d):
     return G.first_chunks(S.chunks(s, d), S.documents(s, d).select("doc_id")).select("chunk_uid", "rn")
 
@@ -264,9 +264,9 @@ def win2(s, d):
 HYBRID = f"""
 WITH {BM25_SQL},
 k AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank FROM bm QUALIFY rank <= 10),
-t AS (SELECT chunk_uid AS id, row_number() OVER (ORDER BY token_count DESC, chunk_uid) AS rank FROM gchk QUALIFY rank <= 10),
-sd AS (SELECT DISTINCT c.doc_id FROM t JOIN gchk c ON c.chunk_uid = t.id),
-g AS (SELECT chunk_uid AS id, row_number() OVER (ORDER BY c.doc_id, c.chunk_order) AS rank FROM gchk c JOIN sd ON c.doc_id = sd.doc_id + 1 WHERE c.chunk_order <= 3),
+t AS (SELECT chunk_uid AS id, row_number() OVER (ORDER BY token_count DESC, chunk_uid) AS rank FROM chk QUALIFY rank <= 10),
+sd AS (SELECT DISTINCT c.doc_id FROM t JOIN chk c ON c.chunk_uid = t.id),
+g AS (SELECT chunk_uid AS id, row_number() OVER (ORDER BY c.doc_id, c.chunk_order) AS rank FROM chk c JOIN sd ON c.doc_id = sd.doc_id + 1 WHERE c.chunk_order <= 3),
 a AS (SELECT id, rank, 0 AS li FROM t UNION ALL SELECT id, rank, 1 FROM k UNION ALL SELECT id, rank, 2 FROM g)
 SELECT id, round(sum(CASE li WHEN 0 THEN 0.7::DOUBLE WHEN 1 THEN 0.18::DOUBLE ELSE 0.12::DOUBLE END / (60 + rank)), 6) AS rrf_score, CAST(count(*) AS BIGINT) AS n_sources FROM a GROUP BY id
 """
@@ -287,7 +287,7 @@ def ret7(s, d):
     return R.rrf([vector, keyword, graph], weights).select("id", "rrf_score", F.size("sources").cast("long").alias("n_sources"))
 
 
-HITS = "h AS (SELECT chunk_uid, doc_id, text, row_number() OVER (ORDER BY token_count DESC, chunk_uid) AS rank FROM gchk QUALIFY rank <= 30)"
+HITS = "h AS (SELECT chunk_uid, doc_id, text, row_number() OVER (ORDER BY token_count DESC, chunk_uid) AS rank FROM chk QUALIFY rank <= 30)"
 
 
 def _hits(s, d):
@@ -306,12 +306,12 @@ def win4(s, d):
     return A.citations(e, "dst", "rank").select(F.col("dst").alias("doc_number"), "rel_type")
 
 
-@register("win5_char_budget", "WITH c AS (SELECT doc_id, chunk_uid, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY chunk_order) AS cum, chunk_order FROM gchk), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_order) AS rn FROM c) SELECT chunk_uid, CAST(cum AS BIGINT) AS cum FROM r WHERE cum <= 2400 OR rn = 1")
+@register("win5_char_budget", "WITH c AS (SELECT doc_id, chunk_uid, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY chunk_order) AS cum, chunk_order FROM chk), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_order) AS rn FROM c) SELECT chunk_uid, CAST(cum AS BIGINT) AS cum FROM r WHERE cum <= 2400 OR rn = 1")
 def win5(s, d):
     return A.within_budget(S.chunks(s, d), "doc_id", "chunk_order", "text", 2400).select("chunk_uid", "cum")
 
 
-@register("win6_span_selection", """WITH f AS (SELECT doc_id, chunk_uid, chunk_order, regexp_extract(lower(text), '\\b(th[a-z]*)\\b', 1) AS k FROM gchk),
+@register("win6_span_selection", """WITH f AS (SELECT doc_id, chunk_uid, chunk_order, regexp_extract(lower(text), '\\b(th[a-z]*)\\b', 1) AS k FROM chk),
 a AS (SELECT *, max(CASE WHEN k = 'the' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY chunk_order) AS on_ FROM f),
 b AS (SELECT *, max(CASE WHEN on_ = 1 AND k <> '' AND k <> 'the' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY chunk_order) AS off_ FROM a)
 SELECT chunk_uid FROM b WHERE on_ = 1 AND off_ = 0""")
@@ -320,7 +320,7 @@ def win6(s, d):
     return A.span(S.chunks(s, d), "doc_id", "chunk_order", key, "the").select("chunk_uid")
 
 
-@register("str23_chunk_header", "SELECT c.chunk_uid, coalesce(nullif(concat_ws(' | ', coalesce(nullif(g.doc_number, ''), substr(nullif(g.title, ''), 1, 60)), nullif(c.chapter, '')), ''), 'N/A') AS header FROM gchk c LEFT JOIN gdoc g ON g.doc_id = c.doc_id")
+@register("str23_chunk_header", "SELECT c.chunk_uid, coalesce(nullif(concat_ws(' | ', coalesce(nullif(g.doc_number, ''), substr(nullif(g.title, ''), 1, 60)), nullif(c.chapter, '')), ''), 'N/A') AS header FROM chk c LEFT JOIN doc g ON g.doc_id = c.doc_id")
 def str23(s, d):
     none = F.lit(None).cast("string")
     rows = S.chunks(s, d).join(S.documents(s, d).select("doc_id", "doc_number", "title"), "doc_id", "left")
@@ -340,7 +340,7 @@ def str25(s, d):
     return every.select(F.array_join(F.transform("rows", lambda x: F.concat_ws(" ", x["src"], x["label"], x["dst"])), "\n").alias("context"))
 
 
-@register("ret10_citations_with_titles", f"WITH {HITS} SELECT doc_id, title, n FROM (SELECT h.doc_id, count(*) AS n FROM h GROUP BY h.doc_id) x JOIN gdoc USING (doc_id)")
+@register("ret10_citations_with_titles", f"WITH {HITS} SELECT doc_id, title, n FROM (SELECT h.doc_id, count(*) AS n FROM h GROUP BY h.doc_id) x JOIN doc USING (doc_id)")
 def ret10(s, d):
     n = _hits(s, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     return n.join(S.documents(s, d).select("doc_id", "title"), "doc_id").select("doc_id", "title", "n")

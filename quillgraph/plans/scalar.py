@@ -42,7 +42,7 @@ def str2(s, d):
     return _docs(s, d).select("doc_id", T.token_count("text").alias("n"))
 
 
-@register("str4_doc_references", r"SELECT o_orderkey, list_sort(list_distinct(regexp_extract_all(upper('xx ' || o_orderkey % 1000 || '/20' || (10 + o_orderkey % 10) || '/tt-btc y ' || o_orderkey % 7 || '/2019/qh14'), '\b\d{1,4}/\d{4}/[A-Z0-9\-]+\b'))) AS refs FROM orders WHERE o_orderkey % 50 = 0")
+@register("str4_doc_references", r"SELECT o_orderkey, list_sort(list_distinct(regexp_extract_all(upper('xx ' || o_orderkey % 1000 || '/20' || (10 + o_orderkey % 10) || '/tt-btc y ' || o_orderkey % 7 || '/2019/qh14'), '\b\d{1,4}/\d{4}/[A-Z0-9\-]+\b'))) AS refs FROM orders")
 def str4(s, d):
     k = F.col("o_orderkey")
     text = F.concat(F.lit("xx "), (k % 1000).cast("string"), F.lit("/20"), (10 + k % 10).cast("string"), F.lit("/tt-btc y "), (k % 7).cast("string"), F.lit("/2019/qh14"))
@@ -54,7 +54,7 @@ def str5(s, d):
     return S.raw(s, d, "pages").select("url", T.safe_id("url").alias("safe")).distinct()
 
 
-@register("str6_chunk_uid", "SELECT doc_id, chunk_order, doc_id || '__' || printf('%05d', chunk_order) AS uid FROM gchk")
+@register("str6_chunk_uid", "SELECT doc_id, chunk_order, doc_id || '__' || printf('%05d', chunk_order) AS uid FROM chk")
 def str6(s, d):
     return S.chunks(s, d).select("doc_id", "chunk_order", T.chunk_uid("doc_id", "chunk_order").alias("uid"))
 
@@ -108,7 +108,7 @@ def str18(s, d):
     return S.documents(s, d).where(T.contains_any(["er the"], "title")).select("doc_id")
 
 
-@register("str20_article_references", r"SELECT o_orderkey, regexp_extract_all('Điều ' || o_orderkey % 30 || ' khoản ' || o_orderkey % 5 || ' và điều 7', '(?i)điều\s+(\d+)', 1) AS articles FROM orders WHERE o_orderkey % 50 = 0")
+@register("str20_article_references", r"SELECT o_orderkey, regexp_extract_all('Điều ' || o_orderkey % 30 || ' khoản ' || o_orderkey % 5 || ' và điều 7', '(?i)điều\s+(\d+)', 1) AS articles FROM orders")
 def str20(s, d):
     from ..functions import intent as I
 
@@ -212,7 +212,7 @@ def arr4(s, d):
     return _docs(s, d).select("doc_id", F.array_join(T.last_k(T.tokens("text"), 30), " ").alias("tail"))
 
 
-@register("srt12_sorted_distinct", f"SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '{WORDY}'))) AS words FROM documents WHERE lang = 'en'")
+@register("srt12_sorted_distinct", f"SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '{WORDY}'))) AS words FROM documents")
 def srt12(s, d):
     return _docs(s, d).select("doc_id", F.array_sort(F.array_distinct(T.words("text"))).alias("words"))
 
@@ -228,7 +228,7 @@ def jsn1(s, d):
     return _events(s, d).select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@register("jsn2_json_array", "SELECT event_id, CAST(json_extract_string(x, '$.id') AS BIGINT) AS id, json_extract_string(x, '$.t') AS t FROM (SELECT event_id, unnest(from_json('[{\"id\":' || user_id || ',\"t\":\"' || event_type || '\"},{\"id\":0,\"t\":\"z\"}]', '[\"JSON\"]')) AS x FROM events WHERE event_id % 20 = 0)")
+@register("jsn2_json_array", "SELECT event_id, CAST(json_extract_string(x, '$.id') AS BIGINT) AS id, json_extract_string(x, '$.t') AS t FROM (SELECT event_id, unnest(from_json('[{\"id\":' || user_id || ',\"t\":\"' || event_type || '\"},{\"id\":0,\"t\":\"z\"}]', '[\"JSON\"]')) AS x FROM events)")
 def jsn2(s, d):
     text = F.concat(F.lit('[{"id":'), F.col("user_id").cast("string"), F.lit(',"t":"'), "event_type", F.lit('"},{"id":0,"t":"z"}]'))
     rows = _events(s, d).select("event_id", F.inline(F.from_json(text, "array<struct<id: bigint, t: string>>")))

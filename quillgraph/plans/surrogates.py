@@ -85,10 +85,11 @@ doc AS (SELECT d.doc_id, 'D' || d.doc_id AS doc_number, nullif(trim(string_split
 chk0 AS (SELECT doc_id, unnest(l) AS text, CAST(unnest(range(1, len(l) + 1)) AS BIGINT) AS chunk_order FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)),
 chk AS (SELECT doc_id || '__' || lpad(CAST(chunk_order AS VARCHAR), 5, '0') AS chunk_uid, doc_id, chunk_order, text,
   CAST(len(regexp_extract_all(text, '{TOKEN}')) AS BIGINT) AS token_count, CASE WHEN chunk_order % 10 = 1 THEN 'ch' || CAST(chunk_order // 10 AS VARCHAR) END AS chapter FROM chk0),
-gdoc AS (SELECT * FROM doc WHERE doc_id % 19 <> 0), gchk AS (SELECT * FROM chk WHERE doc_id % 17 <> 0),
-hc AS (SELECT g.doc_id, c.chunk_uid FROM gdoc g JOIN gchk c ON g.doc_id = c.doc_id),
+odoc AS (SELECT * FROM doc WHERE doc_id % 19 <> 0), ochk AS (SELECT * FROM chk WHERE doc_id % 17 <> 0),
+ohc AS (SELECT g.doc_id, c.chunk_uid FROM odoc g JOIN ochk c ON g.doc_id = c.doc_id),
+hc AS (SELECT g.doc_id, c.chunk_uid FROM doc g JOIN chk c ON g.doc_id = c.doc_id),
 edge AS (SELECT 'O' || l_orderkey AS src, CASE l_returnflag WHEN 'A' THEN 'AMENDS' WHEN 'N' THEN 'MENTIONS' ELSE 'REFERS_TO' END AS rel_type, 'P' || l_partkey AS dst, max(l_linestatus) AS relation_type
-  FROM lineitem WHERE l_orderkey <= 300 GROUP BY 1, 2, 3),
+  FROM lineitem GROUP BY 1, 2, 3),
 node AS (SELECT id, 'Title ' || id AS title, CASE WHEN id LIKE 'O%' THEN 'order' ELSE 'part' END AS doc_type FROM (SELECT src AS id FROM edge UNION SELECT dst FROM edge)),
 seed AS (SELECT 'O' || o_orderkey AS id FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5)),
 usr AS (SELECT DISTINCT conv_id % 50 AS user_id, 'u' || (conv_id % 50) || '@example.org' AS email FROM conversations),

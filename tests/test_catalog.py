@@ -9,28 +9,6 @@ def test_against_sql(spark, duck, name):
     same(catalog.QUERIES[name](spark, SF), duck, catalog.ORACLES[name])
 
 
-# The registered SQL still holds these cuts; without them it is the same query over whole tables.
-CUTS = [
-    " WHERE l_orderkey <= 300", " WHERE o_orderkey % 50 = 0", " WHERE event_id % 20 = 0", " WHERE o_custkey % 10 = 0", " WHERE doc_id % 17 <> 0", " WHERE doc_id % 19 <> 0",
-    " WHERE lang = 'en'", ("lower(substr(text, 1, 200))", "lower(text)"),
-]
-ORPHANS = {"dash15_orphan_documents_by_body", "dash34_orphan_chunks", "dash35_isolated_chunks", "flt10_pattern_absence", "join7_absent_pattern"}
-
-
-def whole(name):
-    sql = catalog.ORACLES[name]
-    for cut in CUTS:
-        old, new = cut if isinstance(cut, tuple) else (cut, "")
-        if not (name in ORPHANS and "doc_id %" in old):
-            sql = sql.replace(old, new)
-    return sql
-
-
-@pytest.mark.parametrize("name", sorted(n for n in catalog.ORACLES if whole(n) != catalog.ORACLES[n]))
-def test_whole_tables(spark, duck, name):
-    same(catalog.QUERIES[name](spark, SF), duck, whole(name))
-
-
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"hsh2_uuid5"}  # held against the standard library in test_operators
 

@@ -1,18 +1,23 @@
 """Toxicity by compression distance between zstandard dictionaries.
 
-Fitting, on a bounded sample of labelled rows (``MAX_TOXIC`` and ``MAX_ORDINARY`` documents of
-least hash, none over ``SAMPLE_BYTES``): ordinary text trains a zstandard dictionary by the library's cover algorithm. The
-toxic dictionary holds the same ordinary content and, nearest to the window, the strings that
-are typical of toxic documents, chosen greedily by likelihood gain on three fifths of the sample.
-Sharing the ordinary content leaves only those strings to differ.
-
-A window is a carrier phrase, which both dictionaries hold, and one word of the document. The
-toxic dictionary holds its strings behind the carrier, so a window that begins like one of
-them is a single longer match, and its length falls by the bytes the string explains. Window scores are
-compressed length by the ordinary dictionary less that by the toxic one. A document's windows
-are counted by score, and a logistic calibration on the other two fifths turns the
-counts into a probability. All words of all documents are scored; each worker remembers the
-scores of words it has met, in a bounded memory.
+Two pairs of dictionaries are compared over the words of a document; both differences are calibrated.
+
+*Phrases.* One zstandard dictionary is trained on toxic text and one on ordinary text. Windows of
+``WIDTH`` words, one starting at every word, are compressed with each; the score of a window is its length by
+the ordinary dictionary less that by the toxic one. The toxic dictionary is refined by cross-fitting:
+dictionaries trained on random halves of the toxic documents score the windows of the other half,
+windows that score over all but ``SPARE`` of the ordinary ones are narrowed to the words that carry the difference, and the
+final dictionary is trained on those.
+
+*Strings.* A short word can't shorten a window of its own by much, as a match costs about as many bytes
+as the word. So a second pair shares the trained ordinary content, and the toxic one also holds, nearest to the window, the
+strings typical of toxic documents, each behind a carrier phrase that starts every window: there one
+longer match covers both, and the length falls by all the bytes that the string explains. The
+strings are chosen greedily by likelihood gain.
+
+A document's windows are counted by score, and a logistic calibration on documents that trained neither
+dictionary turns the counts into a probability. All words of all documents are scored; fitting reads
+a bounded sample of labelled rows (``MAX_TOXIC``, ``MAX_ORDINARY``, ``SAMPLE_BYTES``), whole texts each.
 """
 
 from __future__ import annotations
@@ -32,8 +37,8 @@ from ._common import public_id, row_id
 
 MAX_TOXIC = 2000
 MAX_ORDINARY = 4000
-#: Documents of more UTF-8 bytes are scored in whole but not sampled.
-SAMPLE_BYTES = 32_768
+#: UTF-8 bytes of whole texts sampled of each class; a text that no longer fits is left to the next that does.
+SAMPLE_BYTES = 16 << 20
 FOLDS = 5
 LEVEL = 19
 DICTIONARY = 2048
@@ -41,7 +46,19 @@ MAX_STRINGS = 200
 #: A typical string is in this share of the toxic documents at least, after those chosen before it.
 MIN_SHARE = 0.02
 MEMORY = 400_000
+#: Longer words are scored like others but not remembered.
+MEMO_BYTES = 64
 CLASSES = 6
+WIDTH = 2
+#: The phrase pair: sizes of the dictionaries, level, halves a round, share of ordinary windows above the cut.
+ORDINARY_SIZE, TOXIC_SIZE = 65_536, 1_536
+PHRASE_LEVEL = 3
+HALVES = 6
+SPARE = 0.001
+#: Words compressed in one call.
+BLOCK = 20_000
+#: Starts every phrase window and ends both dictionaries, so that a window is never stored raw.
+MARK = bytes(range(1, 9)) + bytes(range(11, 13)) + bytes(range(14, 16))
 
 _ALNUM = bytes(range(48, 58)) + bytes(range(97, 123))
 FOLD = bytes((b + 32 if 65 <= b <= 90 else b if b in _ALNUM or b >= 128 else 32) for b in range(256))
@@ -53,8 +70,8 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def _params() -> zstandard.ZstdCompressionParameters:
-    return zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+def _params(level: int = LEVEL) -> zstandard.ZstdCompressionParameters:
+    return zstandard.ZstdCompressionParameters.from_level(level, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -74,16 +91,63 @@ class WindowScorer:
         if score is None:
             window = self.head + word + b" "
             score = max(-1, min(CLASSES * 2, len(self.ordinary.compress(window)) - len(self.toxic.compress(window))))
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            self.known[word] = score
+            if len(word) <= MEMO_BYTES:
+                if len(self.known) >= MEMORY:
+                    self.known.clear()
+                self.known[word] = score
         return score
 
 
-def _features(counts: Counter, n: int) -> np.ndarray:
+def phrase_windows(words: list[bytes], width: int = WIDTH) -> list[bytes]:
+    """Every run of ``width`` words; fewer words are one window."""
+    if not words:
+        return []
+    return [b" ".join(words[i : i + width]) + b" " for i in range(max(1, len(words) - width + 1))]
+
+
+def lengths(book: zstandard.ZstdCompressor, windows: list[bytes]) -> np.ndarray:
+    if not windows:
+        return np.empty(0, np.int64)
+    packed = book.multi_compress_to_buffer([MARK + w for w in windows], threads=1)
+    return np.fromiter(map(len, packed), np.int64, len(windows))
+
+
+def _phrase_book(content: bytes) -> zstandard.ZstdCompressor:
+    book = zstandard.ZstdCompressionDict(content + MARK, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(dict_data=book, compression_params=_params(PHRASE_LEVEL))
+
+
+class PhraseScorer:
+    """Scores of a document's windows of several words, counted."""
+
+    def __init__(self, model: dict):
+        self.ordinary, self.toxic = _phrase_book(model["phrases"][0]), _phrase_book(model["phrases"][1])
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        """Windows whose score is 0 or less, 1, 2 ... ``CLASSES`` + 1 or more."""
+        out = np.zeros(CLASSES + 2, np.int64)
+        for at in range(0, max(1, len(words) - WIDTH + 1), BLOCK):
+            windows = phrase_windows(words[at : at + BLOCK + WIDTH - 1])
+            score = lengths(self.ordinary, windows) - lengths(self.toxic, windows)
+            out += np.bincount(np.clip(score, 0, CLASSES + 1), minlength=CLASSES + 2)
+        return out
+
+
+def _features(counts: Counter, n: int, phrases: np.ndarray) -> np.ndarray:
     """Of a document's windows by score: how many reach each class, on a log scale, and their share."""
     reach = np.array([sum(c for s, c in counts.items() if s >= k) for k in range(2, CLASSES + 2)], float)
-    return np.concatenate([[1.0], np.minimum(reach, 1), np.log1p(reach), [math.log1p(n), math.log1p(1000 * reach[1] / max(1, n))]])
+    above = np.cumsum(phrases[::-1])[::-1][2:].astype(float)
+    return np.concatenate(
+        [[1.0], np.minimum(reach, 1), np.log1p(reach), [math.log1p(n), math.log1p(1000 * reach[1] / max(1, n))], np.minimum(above, 1), np.log1p(above), np.log1p(1000 * above / max(1, n))]
+    )
+
+
+def document_features(text: bytes, score: WindowScorer, phrases: PhraseScorer) -> np.ndarray:
+    words = words_of(text)
+    counts: Counter = Counter()
+    for w, c in Counter(words).items():
+        counts[score(w)] += c
+    return _features(counts, len(words), phrases(words))
 
 
 def without_copies(texts: list[bytes], size: int = 8, shared: int = 4) -> list[bytes]:
@@ -110,20 +174,25 @@ def strings_typical_of(toxic: list[bytes], ordinary: list[bytes], most: int = MA
     for count, texts in ((t, toxic), (o, ordinary)):
         for x in texts:
             count.update(set(words_of(x)))
-    grams = lambda w: {p[i : i + n] for p in (b" " + w + b" ",) for n in range(4, 9) for i in range(len(p) - n + 1)}
-    own: dict[bytes, list[bytes]] = defaultdict(list)
+    def grams(w: bytes, known: dict) -> set[bytes]:
+        """Strings of 4 to 8 bytes found in ``known``."""
+        p = b" " + w + b" "
+        return {p[i : i + n] for n in range(4, 9) for i in range(len(p) - n + 1) if p[i : i + n] in known}
+
+    # Level by level: a string is frequent only if its two shorter parts are.
     ct: Counter = Counter()
-    for w, c in t.items():
-        if len(w) <= 40:
-            for g in grams(w):
-                ct[g] += c
-    ct = Counter({g: c for g, c in ct.items() if c >= floor})
+    for n in range(4, 9):
+        level: Counter = Counter()
+        for w, c in t.items():
+            p = b" " + w + b" "
+            for g in {p[i : i + n] for i in range(len(p) - n + 1) if n == 4 or p[i : i + n - 1] in ct and p[i + 1 : i + n] in ct}:
+                level[g] += c
+        ct.update({g: c for g, c in level.items() if c >= floor})
     co: Counter = Counter()
     for w, c in o.items():
-        if len(w) <= 40:
-            for g in grams(w):
-                if g in ct:
-                    co[g] += c
+        for g in grams(w, ct):
+            co[g] += c
+    own: dict[bytes, list[bytes]] = defaultdict(list)
 
     def gain(c: float, k: float) -> float:
         p, q, r = (c + 0.5) / (n1 + 1), (k + 0.5) / (n0 + 1), (c + k + 1) / (n1 + n0 + 2)
@@ -131,10 +200,8 @@ def strings_typical_of(toxic: list[bytes], ordinary: list[bytes], most: int = MA
 
     gains = {g: v for g, c in ct.items() if (v := gain(c, co[g])) > 8}
     for w in t:
-        if len(w) <= 40:
-            for g in grams(w):
-                if g in gains:
-                    own[g].append(w)
+        for g in grams(w, gains):
+            own[g].append(w)
     chosen: list[bytes] = []
     gone: set[bytes] = set()
     while gains and len(chosen) < most:
@@ -149,11 +216,10 @@ def strings_typical_of(toxic: list[bytes], ordinary: list[bytes], most: int = MA
         for w in own[g]:
             if w not in gone:
                 gone.add(w)
-                for h in grams(w):
-                    if h in gains:
-                        ct[h] -= t[w]
-                        co[h] -= o[w]
-                        touched[h] += 1
+                for h in grams(w, gains):
+                    ct[h] -= t[w]
+                    co[h] -= o[w]
+                    touched[h] += 1
         for h in touched:
             v = gain(ct[h], co[h]) if ct[h] >= floor else 0.0
             if v > 8:
@@ -177,45 +243,90 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 60
     return w
 
 
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary by the library's cover algorithm; too little text for it: the text's end."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=32, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def narrowed(windows: list[bytes], ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> list[bytes]:
+    """Windows without the words at either end that their score, less one byte, doesn't need."""
+    now = [w.split() for w in windows]
+    packed = lambda rows: [b" ".join(r) + b" " for r in rows]
+    score = lambda rows: lengths(ordinary, packed(rows)) - lengths(toxic, packed(rows))
+    least = score(now) - 1
+    for part in (slice(1, None), slice(None, -1)):
+        live = np.arange(len(now))
+        while len(live := np.array([i for i in live if len(now[i]) > 1], int)):
+            shorter = [now[i][part] for i in live]
+            good = score(shorter) >= least[live]
+            for i, r, fine in zip(live, shorter, good):
+                if fine:
+                    now[i] = r
+            live = live[good]
+    return packed(now)
+
+
+def phrase_dictionaries(toxic: list[bytes], ordinary: list[bytes], seed: int = 1) -> tuple[bytes, bytes]:
+    """Texts of each class -> contents of the ordinary and of the toxic dictionary."""
+    own = [phrase_windows(words_of(x)) for x in toxic]
+    other = [w for x in ordinary for w in phrase_windows(words_of(x))]
+    base = trained(other, ORDINARY_SIZE)
+    if not own or not other:
+        return base, base
+    flat = [w for ws in own for w in ws]
+    owner = np.repeat(np.arange(len(own)), [len(ws) for ws in own])
+    book = _phrase_book(base)
+    plain, plain_other = lengths(book, flat), lengths(book, other)
+    total, times, clean = np.zeros(len(flat)), np.zeros(len(flat)), np.zeros(len(other))
+    rng = np.random.default_rng(seed)
+    against = book
+    for _ in range(HALVES):
+        half = np.zeros(len(own), bool)
+        half[rng.permutation(len(own))[: -(-len(own) // 2)]] = True
+        against = _phrase_book(trained([w for ws, inside in zip(own, half) if inside for w in ws], TOXIC_SIZE))
+        free = ~half[owner]
+        total[free] += np.clip(plain - lengths(against, flat), -2, 8)[free]
+        times += free
+        clean += np.clip(plain_other - lengths(against, other), -2, 8)
+    cut = max(1.0, float(np.quantile(clean / HALVES, 1 - SPARE)))
+    chosen = [flat[i] for i in np.flatnonzero(total / np.maximum(times, 1) > cut)]
+    return base, trained(narrowed(chosen, book, against) if chosen else flat, TOXIC_SIZE)
+
+
 def fit(texts: list[bytes], labels: list[int]) -> dict:
     """Whole labelled texts -> model. With one class only, the score is that class's smoothed share."""
     y = np.array(labels, int)
-    part = np.array([int(i % 5 >= 3) for i in range(len(y))])  # three fifths choose strings, two calibrate
-    toxic = [x for x, k, h in zip(texts, y, part) if k and not h]
-    ordinary = [x for x, k, h in zip(texts, y, part) if not k and not h]
-    samples = [x[i : i + 300] for x in ordinary for i in range(0, min(len(x), 3000), 300)]
+    part = np.array([int(i % 5 >= 3) for i in range(len(y))])  # three fifths train the dictionaries, two calibrate
+    toxic = without_copies([x for x, k, h in zip(texts, y, part) if k and not h])
+    ordinary = without_copies([x for x, k, h in zip(texts, y, part) if not k and not h])
+    folded = [b" ".join(words_of(x)) for x in ordinary]
+    samples = [x[i : i + 300] for x in folded for i in range(0, len(x), 300)]
     try:
-        book = zstandard.train_dictionary(DICTIONARY + 800, [b" ".join(words_of(s)) for s in samples[:6000]]).as_bytes()[-DICTIONARY:]
+        book = zstandard.train_dictionary(DICTIONARY + 800, samples).as_bytes()[-DICTIONARY:]
     except zstandard.ZstdError:  # too little text for the cover algorithm
-        book = b" ".join(b" ".join(words_of(s)) for s in samples)[-DICTIONARY:]
-    strings = strings_typical_of(without_copies(toxic), without_copies(ordinary))
+        book = b" ".join(samples)[-DICTIONARY:]
+    strings = strings_typical_of(toxic, ordinary)
     carrier = b" ".join(book.split()[-2:])[-8:] + b" "
     # Each string follows the carrier, so that one match covers both; then the shared content.
-    model = {"ordinary": carrier + b"\n" + book, "toxic": b"".join(carrier + x + b"\n" for x in reversed(strings)) + carrier + b"\n" + book, "carrier": carrier, "weights": None, "strings": strings}
-    score = WindowScorer(model)
-    rows = []
-    for x in texts:
-        words = Counter(words_of(x))
-        counts: Counter = Counter()
-        for w, c in words.items():
-            counts[score(w)] += c
-        rows.append(_features(counts, sum(words.values())))
-    x = np.array(rows).reshape(len(rows), len(_features(Counter(), 0)))
+    model = {"ordinary": carrier + b"\n" + book, "toxic": b"".join(carrier + x + b"\n" for x in reversed(strings)) + carrier + b"\n" + book, "carrier": carrier, "strings": strings}
+    model["phrases"] = phrase_dictionaries(toxic, ordinary)
+    score, phrases = WindowScorer(model), PhraseScorer(model)
+    width = len(_features(Counter(), 0, np.zeros(CLASSES + 2)))
+    x = np.array([document_features(t, score, phrases) for t in texts]).reshape(len(texts), width)
     other = part == 1 if len(set(y[part == 1])) == 2 else np.ones(len(y), bool)
     if len(set(y)) == 2:
         model["weights"] = _logistic(x[other], y[other]).tolist()
     else:
         share = (y.sum() + 0.5) / (len(y) + 1)
-        model["weights"] = [math.log(share / (1 - share))] + [0.0] * (len(_features(Counter(), 0)) - 1)
+        model["weights"] = [math.log(share / (1 - share))] + [0.0] * (width - 1)
     return model
 
 
-def document_score(text: bytes, model: dict, score: WindowScorer) -> float:
-    words = Counter(words_of(text))
-    counts: Counter = Counter()
-    for w, c in words.items():
-        counts[score(w)] += c
-    return 1 / (1 + math.exp(-float(np.clip(np.dot(_features(counts, sum(words.values())), model["weights"]), -30, 30))))
+def document_score(text: bytes, model: dict, score: WindowScorer, phrases: PhraseScorer) -> float:
+    return 1 / (1 + math.exp(-float(np.clip(np.dot(document_features(text, score, phrases), model["weights"]), -30, 30))))
 
 
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -223,13 +334,23 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, folds: int = FOLDS) -> tuple[list[bytes], list[int]]:
-    """Labelled rows outside the held-out fold, at most ``MAX_TOXIC`` + ``MAX_ORDINARY``, by least hash of the id."""
+    """Labelled rows outside the held-out fold: of each class at most ``MAX_TOXIC`` or ``MAX_ORDINARY`` documents by least
+    hash of the id, of which those are read that fit into ``SAMPLE_BYTES``, whole."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     marks = marks.where(~held_out(F.col("doc_id"), folds)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id", F.lit(7)), "doc_id"]
     picked = marks.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(marks.where("toxic = 0").orderBy(*order).limit(MAX_ORDINARY))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = docs.join(F.broadcast(picked), "doc_id").where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(*order).select("toxic", F.col("text").cast("binary").alias("text")).toArrow()
+    # One text a doc_id: the longest, then the greatest.
+    text = F.coalesce("text", F.lit(""))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).alias("n"))
+    sizes = docs.select("doc_id", "n").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.max("n").alias("n")).orderBy(*order).collect()
+    room, chosen = {0: SAMPLE_BYTES, 1: SAMPLE_BYTES}, []
+    for r in sizes:  # at most MAX_TOXIC + MAX_ORDINARY rows
+        if r.n <= room[r.toxic]:
+            room[r.toxic] -= r.n
+            chosen.append((r.doc_id, r.toxic, r.n))
+    few = F.broadcast(documents.sparkSession.createDataFrame(chosen, "doc_id long, toxic int, n int"))
+    rows = docs.join(few, ["doc_id", "n"]).groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).orderBy(*order).select("toxic", F.col("text").cast("binary").alias("text")).toArrow()
     return rows.column("text").to_pylist(), rows.column("toxic").to_pylist()
 
 
@@ -242,9 +363,9 @@ def score_documents(documents: DataFrame, model: dict, folds: int = FOLDS) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _memo.get("model") != model:
-            _memo.update(model=model, scorer=WindowScorer(model))
+            _memo.update(model=model, scorer=WindowScorer(model), phrases=PhraseScorer(model))
         for batch in batches:
-            scores = [document_score(x.as_py(), model, _memo["scorer"]) for x in batch.column("text").cast(pa.binary())]
+            scores = [document_score(x.as_py(), model, _memo["scorer"], _memo["phrases"]) for x in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     docs = documents.select(row_id(), F.coalesce("text", F.lit("")).alias("text"))

@@ -289,6 +289,57 @@ def test_toxicity_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_toxicity_of_phrases_whose_words_are_ordinary():
+    rng = random.Random(4)
+    common = [f"{rng.choice('bcdfgklmnprst')}{rng.choice('aeiou')}{rng.choice('bcdfgklmnprst')}{rng.choice('aeiou')}{i:02d}" for i in range(60)]
+    phrases = [(common[i], common[i + 30]) for i in range(3)]
+
+    def text(bad):
+        words = [rng.choice(common) for _ in range(60)]
+        for a, b in [] if bad else phrases:  # the words alone are as common in ordinary text
+            words += [a, rng.choice(common), b, rng.choice(common)] * 2
+        for _ in range(4 * bad):
+            at = rng.randrange(len(words))
+            words[at:at] = rng.choice(phrases)
+        return " ".join(words).encode()
+
+    marks = [int(i % 3 == 0) for i in range(600)]
+    texts = [text(k) for k in marks]
+    model = toxicity.fit(texts[:400], marks[:400])
+    score, windows = toxicity.WindowScorer(model), toxicity.PhraseScorer(model)
+    right = sum((toxicity.document_score(x, model, score, windows) >= 0.5) == bool(k) for x, k in zip(texts[400:], marks[400:]))
+    assert right >= 0.85 * 200
+
+
+def test_toxicity_features_equal_a_plain_loop():
+    import zstandard
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["sun", "moon", "star", "cloud", "rain", "x" * 90, "é"]) for _ in range(rng.randrange(0, 90))).encode() for _ in range(60)]
+    texts = [x + b" nasty brute" * (i % 2) for i, x in enumerate(texts)]
+    model = toxicity.fit(texts, [i % 2 for i in range(60)])
+
+    def size(content, window, level):
+        p = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p).compress(window))
+
+    def gap(plain, toxic, window, level):
+        return size(plain, window, level) - size(toxic, window, level)
+
+    a, b = model["phrases"]
+    for x in [b"", b"one", *texts[:8]]:
+        words = x.split()
+        pairs = [u + b" " + v + b" " for u, v in zip(words, words[1:])] or [w + b" " for w in words]
+        single = [gap(model["ordinary"], model["toxic"], model["carrier"] + w + b" ", toxicity.LEVEL) for w in words]
+        double = [gap(a + toxicity.MARK, b + toxicity.MARK, toxicity.MARK + w, toxicity.PHRASE_LEVEL) for w in pairs]
+        got = toxicity.document_features(x, toxicity.WindowScorer(model), toxicity.PhraseScorer(model))
+        n, k = len(words), toxicity.CLASSES
+        reach = [sum(g >= c for g in single) for c in range(2, k + 2)]
+        above = [sum(g >= c for g in double) for c in range(2, k + 2)]
+        want = [1.0, *[min(r, 1) for r in reach], *np.log1p(reach), np.log1p(n), np.log1p(1000 * reach[1] / max(1, n)), *[min(r, 1) for r in above], *np.log1p(above), *np.log1p(1000 * np.array(above) / max(1, n))]
+        assert np.allclose(got, want)
+
+
 # ---- pages, lines, chats, shards
 
 

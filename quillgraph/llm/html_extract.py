@@ -7,8 +7,11 @@ text by their tag, role or class (menus, footers, adverts, forms, reader comment
 never make blocks. Inside article or main elements a lack of stop words doesn't condemn a
 block, as tables of names and lists have none; it stays undecided.
 
-End tags that HTML lets a page omit are supplied. A page is parsed in one linear scan with
-possessive patterns, in memory in proportion to it.
+Outside article and main elements one word of a class or id is enough to name furniture; inside them the whole
+name must say it ("share-box", not "share-prices"), as articles have classes of their own.
+
+End tags that HTML lets a page omit are supplied. A page is parsed in one linear scan, in memory in
+proportion to it: a search that fails is never made again for the same page.
 """
 
 from __future__ import annotations
@@ -37,6 +40,11 @@ FURNITURE_NAMES = frozenset(
     " cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login comment comments disqus respond reply replies"
     " share sharing social related recommended recommendations search toolbar pagination pager skip copyright disclaimer masthead topbar".split()
 )
+#: Words that may stand beside a furniture name without making it another thing.
+LAYOUT_WORDS = frozenset(
+    "area article articles bar block body bottom box button buttons card cards center col column content count counter container div foot form group head heading header holder icon icons image inner item items label"
+    " left link links list main meta module news new outer page panel post posts right row section set slot small stories story strip tab text the title top unit view wide wrap wrapper".split()
+)
 # Omitted end tags: a start tag ends the nearest open element of the first set, unless one of the second stands inside it.
 CELLS, ROWS = frozenset(("td", "th")), frozenset(("tbody", "tfoot", "thead"))
 _ITEMS = (BLOCK | {"button", "select", "object"}) - {"address", "div", "p"}
@@ -60,7 +68,9 @@ STOP_WORDS = frozenset(
     " aber als am an auch auf aus bei bin bis das dass dem den der des die du ein eine einem einen einer er es für hat ich ihr im in ist mit nach nicht noch nur oder sich sie sind so und vom von vor war was wie wir zu zum zur über".split()
 )
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>""", re.S)
+OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+ENDS = re.compile(r"""[>"']""")
+COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'=<>`]++))?""")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -69,18 +79,74 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")).lower() for m in ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
 
 
+def _tokens(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Tags in page order: where each begins and ends, whether it is an end tag, its name, its raw attributes.
+
+    Comments and declarations have no name. A quote opens a value only after "=" and only if it is
+    closed somewhere; a tag without any ">" is text. Elements of raw content come with it as one token.
+    """
+    quotes = {'"': True, "'": True}  # still closed somewhere ahead
+    at, n = 0, len(page)
+    while m := OPEN.search(page, at):
+        begin, end = m.start(), m.end()
+        if not m[2]:
+            if page[begin + 1 : begin + 4] == "!--":
+                if page[end : end + 1] == ">" or page[end : end + 2] == "->":
+                    close = page.index(">", end) + 1
+                else:
+                    close = c.end() if (c := COMMENT_END.search(page, end)) else n
+            else:
+                close = page.find(">", end) + 1 or n
+            yield begin, close, False, "", ""
+            at = close
+            continue
+        here = end
+        while (q := ENDS.search(page, here)) and q[0] != ">":
+            here = q.end()
+            if quotes[q[0]]:
+                back = q.start() - 1
+                while page[back].isspace():
+                    back -= 1
+                if page[back] == "=" and back >= end:
+                    shut = page.find(q[0], here)
+                    quotes[q[0]] = shut >= 0
+                    here = shut + 1 or here
+        if not q:
+            if not any(quotes.values()) or page.find(">", end) < 0:
+                return
+            quotes = dict.fromkeys(quotes, False)  # from here on a tag ends at the first ">"
+            continue
+        tag, close = m[2].lower(), q.end()
+        if tag in RAW and not m[1]:
+            shut = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, close)
+            close = shut and page.find(">", shut.end()) + 1 or n
+        yield begin, close, bool(m[1]), tag, page[end : q.start()]
+        at = close
+
+
+def _named_furniture(names: str, inside: bool) -> bool:
+    """Whether a class or id attribute names furniture. ``inside``: every word of one of its names has to fit."""
+    if not inside:
+        return not FURNITURE_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", names))
+    for name in names.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if not FURNITURE_NAMES.isdisjoint(words) and all(w in FURNITURE_NAMES or w in LAYOUT_WORDS for w in words):
+            return True
+    return False
+
+
 def _furniture(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     """Whether the element holds no article text. ``inside``: it stands in an article or main element."""
     if tag in ("html", "body", "main"):
         return False
-    names = set(re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}"))
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     if tag == "article":
-        return bool(names & OTHER_VOICES)
+        return not OTHER_VOICES.isdisjoint(re.split(r"[^a-z0-9]+", names))
     if tag in FURNITURE_TAGS or tag == "header" and not inside:
         return True
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
         return True
-    return attributes.get("role", "") in FURNITURE_ROLES or bool(names & FURNITURE_NAMES) or "header" in names and not inside
+    return attributes.get("role", "") in FURNITURE_ROLES or _named_furniture(names, inside) or not inside and "header" in re.split(r"[^a-z0-9]+", names)
 
 
 def blocks_of(page: str) -> list[tuple[str, float, bool]]:
@@ -128,10 +194,9 @@ def blocks_of(page: str) -> list[tuple[str, float, bool]]:
                 close(min(found))
 
     at = 0
-    while m := TOKEN.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+    for begin, close_at, ends, tag, raw in _tokens(page):
+        text(page[at:begin])
+        at = close_at
         if not tag:
             continue
         if tag == "br":
@@ -140,15 +205,11 @@ def blocks_of(page: str) -> list[tuple[str, float, bool]]:
             continue
         if tag in BLOCK:
             flush()
-        if m[1]:
+        if ends:
             if places.get(tag):
                 close(places[tag][-1])
             continue
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        if tag in VOID or tag in RAW or raw.endswith("/") and tag not in BLOCK:
             continue
         if tag in ENDS_P:
             imply(frozenset(("p",)), KEEPS_P)
@@ -159,9 +220,10 @@ def blocks_of(page: str) -> list[tuple[str, float, bool]]:
                 k = places["a"].pop()
                 stack[k] = ("a-ended", stack[k][1])
                 links -= 1
-        if tag in ("article", "main") and hidden and not _furniture(tag, _attributes(m[3]), False):
+        own = _attributes(raw)
+        if tag in ("article", "main") and hidden and not _furniture(tag, own, False):
             close(0)  # an unclosed menu doesn't swallow the article
-        out = _furniture(tag, _attributes(m[3]), inside > 0)
+        out = _furniture(tag, own, inside > 0)
         places.setdefault(tag, []).append(len(stack))
         stack.append((tag, out))
         hidden += out

@@ -374,6 +374,104 @@ def test_html_omitted_end_tags():
     assert html_extract.extract(f"<p class=ad>Buy <b>now<div>{STORY}</div>") == STORY
 
 
+@pytest.mark.parametrize("piece", ["<a ", '<a x="', '<a =">" ', "<script></script ", "<a x='>", "</a ", "<div>", "<li>", "<p>", "<a><p>", "<table><tr><td>", "<!-- ", "&#", '<p class="a b" '])
+def test_html_is_linear(piece):
+    import time
+
+    took = []
+    for size in (250_000, 1_000_000):
+        page = piece * (size // len(piece))
+        began = time.perf_counter()
+        html_extract.extract(page)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 5 and took[1] < 12 * max(took[0], 0.02)
+
+
+def test_html_keeps_articles():
+    assert html_extract.extract("<nav>" + "<div>" * 250 + f"</nav><article><p>{STORY}</p></article>") == STORY
+    for name in ("social-history", "notice-period", "search-methods", "share-prices", "related-work"):
+        assert html_extract.extract(f"<article><h1>Title</h1><div class='{name}' id={name}-1><p>{STORY}</p></div></article>") == f"Title {STORY}"
+    for name in ("share", "share-box", "related-posts", "comment-body", "ad_slot-3", "story newsletter"):
+        assert html_extract.extract(f"<article><h1>Title</h1><p>{STORY}</p><div class='{name}'><p>{STORY}</p></div></article>") == f"Title {STORY}"
+    assert html_extract.extract(f"<p>{STORY}</p><p title=\"never closed>{STORY}</p>") == f"{STORY} {STORY}"
+    assert html_extract.extract(f"<p title='it>s' data=don't>{STORY}</p><!--><p>{STORY}</p><!-- x --!><p>{STORY}") == f"{STORY} {STORY} {STORY}"
+
+
+def plain_extract(page):
+    """The rules said again over the standard library's parser, without care for speed."""
+    from html.parser import HTMLParser
+
+    H = html_extract
+    blocks, stack = [], []
+
+    class Reader(HTMLParser):
+        buffer, linked = "", 0
+
+        def cut(self):
+            t = " ".join(self.buffer.split())
+            if t:
+                blocks.append((t, min(1.0, self.linked / len(t)), any(x in ("article", "main") and not out for x, out in stack)))
+            self.buffer, self.linked = "", 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.buffer += " " * (not any(out for _, out in stack))
+                return
+            if tag in H.BLOCK:
+                self.cut()
+            if tag in H.VOID or tag in H.RAW and tag not in ("script", "style", "title", "textarea"):
+                return
+            own = {k: (v or "").lower() for k, v in attrs}
+            for targets, limits in [(("p",), H.KEEPS_P)] * (tag in H.ENDS_P) + ([H.IMPLIED[tag]] if tag in H.IMPLIED else []):
+                names = [x for x, _ in stack]
+                limit = max((i for i, x in enumerate(names) if x in limits), default=-1)
+                found = [max(i for i, x in enumerate(names) if x == t) for t in targets if t in names]
+                found = [i for i in found if i > limit]
+                if found:
+                    del stack[min(found) :]
+            if tag == "a" and any(x == "a" for x, _ in stack):
+                k = max(i for i, (x, _) in enumerate(stack) if x == "a")
+                stack[k] = ("", stack[k][1])
+            if tag in ("article", "main") and any(out for _, out in stack) and not H._furniture(tag, own, False):
+                stack.clear()
+            stack.append((tag, H._furniture(tag, own, any(x in ("article", "main") and not out for x, out in stack))))
+
+        def handle_endtag(self, tag):
+            if tag in H.BLOCK:
+                self.cut()
+            if any(x == tag for x, _ in stack):
+                del stack[max(i for i, (x, _) in enumerate(stack) if x == tag) :]
+
+        def handle_data(self, data):
+            if not any(out for _, out in stack) and not any(x in H.RAW for x, _ in stack):
+                self.buffer += data
+                if any(x == "a" for x, _ in stack):
+                    self.linked += len("".join(data.split()))
+
+    reader = Reader(convert_charrefs=True)
+    reader.feed(page)
+    reader.close()
+    reader.cut()
+    labels = [H.classify(*b) for b in blocks]
+    out = []
+    for i, (t, _, inside) in enumerate(blocks):
+        decided = [k for k in range(len(blocks)) if labels[k] is not None]
+        before, after = [k for k in decided if k <= i][-1:], [k for k in decided if k >= i][:1]
+        near = sorted((abs(i - k), -labels[k]) for k in before + after)
+        good = near[0][1] == -H.GOOD if near else inside
+        out += [t] * good
+    return " ".join(out)
+
+
+def test_html_equals_plain_rules(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert len(pages) > 40
+    got = {r.page_id: (r.text, r.n_chars) for r in queries.op4_html_extraction(spark, SF).collect()}
+    for r in pages:
+        want = plain_extract(r.html)
+        assert got[r.page_id] == (want, len(want))
+
+
 def test_html_undecided_blocks_of_an_article_take_the_nearest_label():
     links = "<p><a href=x>one more story of the site</a></p>"
     assert html_extract.extract(f"<article><p>{STORY}</p><p>Short end.</p>{links * 2}<p>Read more</p>{links}</article>") == f"{STORY} Short end."

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,31 +13,47 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null doc_id inside the operators; results give null again.
+#: Stands for a null doc_id inside the operators, and orders first; results give null again. A true doc_id of
+#: this one value would be taken for null.
 NULL_ID = -(2**63)
+#: Number of a row, for rows that share a doc_id or have none.
+ROW = "_qg_row"
 
-_own: list[tuple[SparkSession, str]] = []
+_made: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the cluster's shared folder (``spark.checkpoint.dir``).
+    """A fresh path in the cluster's shared folder (``spark.checkpoint.dir``), removed when the driver ends.
 
-    Only where that setting is absent (tests, a single machine) an own folder is used, and
-    removed when the driver ends.
+    Where that setting is absent a local master gets a folder of its own; on a cluster that raises, as
+    executors would not find each other's files there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    own = not base
-    path = f"{base or '/tmp/checkpoints/quillgraph'}/{name}-{uuid.uuid4().hex}"
-    if own:
-        if not _own:
-            atexit.register(_sweep)
-        _own.append((spark, path))
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/checkpoints/quillgraph"
+    if not _made:
+        atexit.register(_sweep)
+    _made.append(path := f"{base}/{name}-{uuid.uuid4().hex}")
     return path
 
 
 def _sweep() -> None:
-    for _, path in _own:
-        shutil.rmtree(path, ignore_errors=True)
+    """Removes what ``scratch`` gave out, by the file system of each path while the session lasts."""
+    from pyspark import SparkContext
+
+    context = SparkContext._active_spark_context
+    for path in _made:
+        try:
+            if context is not None and context._jsc is not None:
+                place = context._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+            else:
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+        except Exception:  # the session is gone: a local folder can still be removed
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -64,6 +81,25 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)  # an empty table has no file to infer it from
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with ``ROW``, a number that is the row's own whenever the frame is read again.
+
+    Numbers come from the place in the scan, which is the same each time only over files; any other plan is
+    written to the shared folder first.
+    """
+    steps = set(re.findall(r"^[\s:+*|-]*(?:\(\d+\)\s*)?([A-Z]\w+)", df._jdf.queryExecution().sparkPlan().toString(), re.M))
+    if "FileScan" not in steps or steps - {"FileScan", "Project", "Filter", "ColumnarToRow"}:
+        df = stored(df, "rows")
+    return df.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def without_rows(df: DataFrame, gone: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A numbered ``df`` less the numbers in ``gone``, and without numbers. Up to ``rows`` of them, 8 bytes each, are
+    broadcast, so that texts don't move; more are joined by a shuffle."""
+    gone = stored(gone.select(ROW), "gone")
+    return df.join(F.broadcast(gone) if gone.count() <= rows else gone, ROW, "left_anti").drop(ROW)
+
+
 def row_id(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID)).alias("doc_id")
 

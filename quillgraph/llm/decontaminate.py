@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import public_id, row_id, stored
+from ._common import ROW, numbered, stored, without_rows
 
 WINDOW = 13
 NEAR = 9
@@ -52,15 +52,15 @@ def item_words(benchmark: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """docs(doc_id, text), terms(term) -> term, doc_id, pos: every place of each of the terms."""
-    parts = docs.select("doc_id", _split(F.col("text")).alias("parts"))
+    """docs(row number, text), terms(term) -> term, row, pos: every place of each of the terms."""
+    parts = docs.select(ROW, _split(F.col("text")).alias("parts"))
     lead, _ = _ends(F.col("parts"))
-    placed = parts.select("doc_id", lead.alias("lead"), F.posexplode("parts").alias("at", "term"))
-    return placed.join(_small(terms), "term").select("term", "doc_id", (F.col("at") - F.col("lead")).alias("pos"))
+    placed = parts.select(ROW, lead.alias("lead"), F.posexplode("parts").alias("at", "term"))
+    return placed.join(_small(terms), "term").select("term", ROW, (F.col("at") - F.col("lead")).alias("pos"))
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
-    """docs(doc_id long, text), benchmark(item_id, text) -> doc_id, item, item_id, shift, first, last, words, exact.
+    """docs(row number, text), benchmark(item_id, text) -> row, item, item_id, shift, first, last, words, exact.
 
     One row a run of aligned words: words ``first`` to ``last`` of the document equal the item's
     at positions less ``shift``. ``exact`` runs hold a whole window; other rows are proximity
@@ -78,30 +78,30 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     anchors = each.withColumn("rank", order).where("rank <= 2").select("item", "start", "at", "term", "rank", F.least(F.col("size"), F.lit(window)).alias("wide"))
     anchors = stored(anchors, "anchors")
     index = stored(postings(docs, anchors.select("term").distinct()), "postings")
-    aligned = index.join(_small(anchors), "term").select("doc_id", "item", (F.col("pos") - F.col("at")).alias("shift"), "start", "rank", "wide")
+    aligned = index.join(_small(anchors), "term").select(ROW, "item", (F.col("pos") - F.col("at")).alias("shift"), "start", "rank", "wide")
     # A window whose two lists meet at one alignment. Windows of one word need one list.
     met = (
-        aligned.groupBy("doc_id", "item", "shift", "start")
+        aligned.groupBy(ROW, "item", "shift", "start")
         .agg(F.count_if(F.col("rank") == 1).alias("one"), F.count_if(F.col("rank") == 2).alias("two"), F.first("wide").alias("wide"))
         .where((F.col("one") > 0) & ((F.col("two") > 0) | (F.col("wide") == 1)))
-        .select("doc_id", "item", "shift")
+        .select(ROW, "item", "shift")
         .distinct()
     )
     met = stored(met, "alignments")
-    asked = docs.join(_small(met.select("doc_id").distinct()), "doc_id", "left_semi")
-    parts = asked.select("doc_id", _split(F.col("text")).alias("parts"))
+    asked = docs.join(_small(met.select(ROW).distinct()), ROW, "left_semi")
+    parts = asked.select(ROW, _split(F.col("text")).alias("parts"))
     lead, _ = _ends(F.col("parts"))
-    places = parts.select("doc_id", lead.alias("lead"), F.posexplode("parts").alias("at", "term")).select("doc_id", (F.col("at") - F.col("lead")).alias("pos"), "term")
-    wanted = met.join(_small(words.select("item", "at", "size", "term")), "item").select("doc_id", (F.col("shift") + F.col("at")).alias("pos"), "term", "item", "shift", "at", "size")
-    hits = places.join(wanted, ["doc_id", "pos", "term"]).select("doc_id", "item", "shift", "at", "size").distinct()
-    diagonal = Window.partitionBy("doc_id", "item", "shift").orderBy("at")
+    places = parts.select(ROW, lead.alias("lead"), F.posexplode("parts").alias("at", "term")).select(ROW, (F.col("at") - F.col("lead")).alias("pos"), "term")
+    wanted = met.join(_small(words.select("item", "at", "size", "term")), "item").select(ROW, (F.col("shift") + F.col("at")).alias("pos"), "term", "item", "shift", "at", "size")
+    hits = places.join(wanted, [ROW, "pos", "term"]).select(ROW, "item", "shift", "at", "size").distinct()
+    diagonal = Window.partitionBy(ROW, "item", "shift").orderBy("at")
     hits = hits.withColumn("run", F.col("at") - F.row_number().over(diagonal))
     hits = hits.withColumn("dense", F.count(F.lit(1)).over(diagonal.rangeBetween(-(window - 1), 0)))
-    runs = hits.groupBy("doc_id", "item", "shift", "run", "size").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.max("dense").cast("long").alias("words"))
+    runs = hits.groupBy(ROW, "item", "shift", "run", "size").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.max("dense").cast("long").alias("words"))
     exact = F.col("b") - F.col("a") + 1 >= F.least(F.col("size"), F.lit(window))
     runs = runs.withColumn("exact", exact).where(F.col("exact") | (F.col("words") >= near))
     named = runs.join(_small(items.select("item", "item_id")), "item")
-    return named.select("doc_id", "item", "item_id", "shift", (F.col("shift") + F.col("a")).cast("long").alias("first"), (F.col("shift") + F.col("b")).cast("long").alias("last"), "words", "exact")
+    return named.select(ROW, "item", "item_id", "shift", (F.col("shift") + F.col("a")).cast("long").alias("first"), (F.col("shift") + F.col("b")).cast("long").alias("last"), "words", "exact")
 
 
 def _term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -110,32 +110,44 @@ def _term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, ratio: int = RATIO, near: int = NEAR) -> DataFrame:
-    """documents(doc_id, text), benchmark(item_id, text) -> one row a document:
+    """documents(doc_id, text), benchmark(item_id, text) -> one row a row:
     doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near.
 
     A word inside any occurrence of a window is hit; contaminated when ``ratio`` * n_hit >=
     n_words and n_hit > 0. ``n_near`` counts items with a proximity match only. Null texts have no
     words; null item ids count as ''; items repeated in full count once. Rows that share a
-    doc_id report for their texts together. Empty tables give no hits or no rows.
+    doc_id, or have none, are texts of their own. Empty tables give no hits or no rows.
     """
-    docs = documents.select(row_id(), F.col("text").cast("string").alias("text"))
-    found = stored(phrase_matches(docs, benchmark, window, near), "matches")
+    return _facts(numbered(documents), benchmark, window, ratio, near).drop(ROW)
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, ratio: int = RATIO) -> DataFrame:
+    """The rows of ``documents`` that aren't contaminated, with all their columns."""
+    rows = numbered(documents)
+    return without_rows(rows, _facts(rows, benchmark, window, ratio, NEAR).where("contaminated"))
+
+
+def _facts(documents: DataFrame, benchmark: DataFrame, window: int, ratio: int, near: int) -> DataFrame:
+    docs = documents.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = stored(phrase_matches(docs.select(ROW, "text"), benchmark, window, near), "matches")
     exact = found.where("exact")
-    hit = exact.select("doc_id", F.explode(F.sequence("first", "last")).alias("pos")).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"))
-    named = exact.select("doc_id", "item_id").distinct()
-    items = named.groupBy("doc_id").agg(F.sort_array(F.collect_list("item_id")).alias("items"))  # at most the test items
-    beside = found.where("not exact").select("doc_id", "item_id").distinct().join(named, ["doc_id", "item_id"], "left_anti")
-    beside = beside.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_near"))
-    facts = _small(hit.join(items, "doc_id").join(beside, "doc_id", "full"))
+    hit = exact.select(ROW, F.explode(F.sequence("first", "last")).alias("pos")).distinct().groupBy(ROW).agg(F.count(F.lit(1)).alias("n_hit"))
+    named = exact.select(ROW, "item_id").distinct()
+    items = named.groupBy(ROW).agg(F.sort_array(F.collect_list("item_id")).alias("items"))  # at most the test items
+    items = items.select(ROW, F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
+    beside = found.where("not exact").select(ROW, "item_id").distinct().join(named, [ROW, "item_id"], "left_anti")
+    beside = beside.groupBy(ROW).agg(F.count(F.lit(1)).alias("n_near"))
+    facts = _small(hit.join(items, ROW).join(beside, ROW, "full"))  # fixed width, about a hundred bytes a row
     _, n_words = _ends(F.col("parts"))
-    base = docs.select("doc_id", _split(F.col("text")).alias("parts")).select("doc_id", n_words.alias("n_words"))
-    out = base.join(facts, "doc_id", "left").select(
-        public_id("doc_id"),
+    base = docs.select(ROW, "doc_id", _split(F.col("text")).alias("parts")).select(ROW, "doc_id", n_words.alias("n_words"))
+    out = base.join(facts, ROW, "left").select(
+        "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+        ROW,
     )
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (ratio * F.col("n_hit") >= F.col("n_words")))
 

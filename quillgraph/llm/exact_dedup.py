@@ -6,7 +6,7 @@
    *entry* row a local group (key, bytes, count, best document). Copies are so combined
    before anything moves: a group that holds a third of all rows is one entry a task.
 2. The directory starts at depth 0 and doubles while a bucket holds more than ``CAPACITY``
-   distinct keys; a bucket that isn't overfull keeps its smaller local depth and is shared by
+   distinct keys or ``BUCKET_BYTES`` of entries; a bucket that isn't overfull keeps its smaller local depth and is shared by
    several directory slots. Only key counts by prefix reach the driver (``2**depth`` numbers).
 3. Owner tasks take whole buckets, that is key ranges. Inside one, entries of equal key form a
    chain; their bytes are compared, so colliding texts stay apart. Each local group learns its
@@ -25,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import public_id, row_id, stored
+from ._common import ROW, numbered, public_id, row_id, stored, without_rows
 
 WHITE = b" \t\n\v\f\r"
 CAPACITY = 4096
+#: Bytes of entries above which a bucket splits too.
+BUCKET_BYTES = 64 << 20
 MAX_DEPTH = 20
 #: A task writes its entries out and starts a new local table at this many bytes of text.
 LOCAL_BYTES = 64 << 20
 
-ENTRY = "kind int, gid long, key long, prefix int, body binary, doc_id long, n_chars long, members long, sha string"
+ENTRY = f"kind int, gid long, key long, prefix int, body binary, doc_id long, n_chars long, members long, sha string, {ROW} long"
 
 
 def digest64(body: bytes) -> int:
@@ -46,7 +48,7 @@ def _local_index(hasher: Callable[[bytes], int] | None) -> Callable[[Iterator[pa
         from pyspark import TaskContext
 
         gid0 = (TaskContext.get().partitionId() + 1) << 36
-        schema = pa.schema([("kind", pa.int32()), ("gid", pa.int64()), ("key", pa.int64()), ("prefix", pa.int32()), ("body", pa.binary()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("members", pa.int64()), ("sha", pa.string())])
+        schema = pa.schema([("kind", pa.int32()), ("gid", pa.int64()), ("key", pa.int64()), ("prefix", pa.int32()), ("body", pa.binary()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("members", pa.int64()), ("sha", pa.string()), (ROW, pa.int64())])
         table: dict[int, list[list]] = {}
         held, made = 0, 0
 
@@ -54,7 +56,7 @@ def _local_index(hasher: Callable[[bytes], int] | None) -> Callable[[Iterator[pa
             rows, n = [], 0
             for key, chain in table.items():
                 for body, gid, best, count, sha in chain:
-                    rows.append((1, gid, key, (key >> (64 - MAX_DEPTH)) & ((1 << MAX_DEPTH) - 1), body, best[1], -best[0], count, sha))
+                    rows.append((1, gid, key, (key >> (64 - MAX_DEPTH)) & ((1 << MAX_DEPTH) - 1), body, best[1], -best[0], count, sha, best[2]))
                     n += len(body)
                     if n > size or len(rows) >= 4000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
@@ -66,25 +68,26 @@ def _local_index(hasher: Callable[[bytes], int] | None) -> Callable[[Iterator[pa
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
             sizes = batch.column("n").to_pylist()
+            rows = batch.column(ROW).to_pylist()
             gids = []
-            for doc, chars, text in zip(docs, sizes, batch.column("text").cast(pa.binary())):
+            for doc, chars, row, text in zip(docs, sizes, rows, batch.column("text").cast(pa.binary())):
                 body = text.as_py().translate(None, WHITE)
                 sha = hashlib.sha256(body)
                 key = hasher(body) if hasher else int.from_bytes(sha.digest()[:8], "big", signed=True)
                 chain = table.setdefault(key, [])
                 for slot in chain:
                     if slot[0] == body:
-                        slot[2] = min(slot[2], (-chars, doc))
+                        slot[2] = min(slot[2], (-chars, doc, row))
                         slot[3] += 1
                         break
                 else:
-                    chain.append(slot := [body, gid0 + made, (-chars, doc), 1, sha.hexdigest()])
+                    chain.append(slot := [body, gid0 + made, (-chars, doc, row), 1, sha.hexdigest()])
                     made += 1
                     held += len(body) + 300
                 gids.append(slot[1])
             n = len(docs)
             none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(gids, pa.int64()), none, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(docs, pa.int64()), none, none, pa.nulls(n, pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(gids, pa.int64()), none, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(docs, pa.int64()), none, none, pa.nulls(n, pa.string()), batch.column(ROW)], schema=schema)
             if held > LOCAL_BYTES:
                 yield from entries()
                 held = 0
@@ -93,25 +96,30 @@ def _local_index(hasher: Callable[[bytes], int] | None) -> Callable[[Iterator[pa
     return run
 
 
-def directory(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
-    """Key counts by ``MAX_DEPTH``-bit prefix (or fewer) -> (bucket of each directory slot, global depth).
+def directory(counts: np.ndarray, capacity: int = CAPACITY, sizes: np.ndarray | None = None, room: int = BUCKET_BYTES) -> tuple[np.ndarray, int]:
+    """Key counts, and bytes of their entries, by ``MAX_DEPTH``-bit prefix (or fewer) -> (bucket of each directory slot, global depth).
 
-    Extendible hashing: an overfull bucket of local depth d splits into two of depth d + 1; the
-    directory doubles when d was the global depth. Buckets at the histogram's depth stay whole.
+    Extendible hashing: an overfull bucket of local depth d, by keys or by bytes, splits into two of depth
+    d + 1; the directory doubles when d was the global depth. Buckets of one key, and those at the
+    histogram's depth, stay whole.
     """
     deepest = int(len(counts)).bit_length() - 1
-    sums = np.concatenate([[0], np.cumsum(counts)])
-    held = lambda depth, slot: sums[(slot + 1) << (deepest - depth)] - sums[slot << (deepest - depth)]
-    buckets, full, depth = [(0, 0)], [], 0
+    sums = [np.concatenate([[0], np.cumsum(x)]) for x in (counts, np.zeros(len(counts), np.int64) if sizes is None else sizes)]
+
+    def full(depth: int, slot: int) -> bool:
+        keys, held = (x[(slot + 1) << (deepest - depth)] - x[slot << (deepest - depth)] for x in sums)
+        return keys > capacity or held > room and keys > 1
+
+    buckets, done, depth = [(0, 0)], [], 0
     while buckets:
         d, slot = buckets.pop()
-        if held(d, slot) > capacity and d < deepest:
+        if d < deepest and full(d, slot):
             buckets += [(d + 1, 2 * slot), (d + 1, 2 * slot + 1)]
             depth = max(depth, d + 1)
         else:
-            full.append((d, slot))
+            done.append((d, slot))
     out = np.empty(1 << depth, np.int32)
-    for number, (d, slot) in enumerate(sorted(full, key=lambda x: x[1] << (depth - x[0]))):
+    for number, (d, slot) in enumerate(sorted(done, key=lambda x: x[1] << (depth - x[0]))):
         out[slot << (depth - d) : (slot + 1) << (depth - d)] = number
     return out, depth
 
@@ -120,59 +128,69 @@ def _owner(table: pa.Table) -> pa.Table:
     """One bucket: chain entries by key, compare bytes, answer each local group."""
     chains: dict[int, list[list]] = {}
     slots = []
-    keys, docs, chars, members = (table.column(c).to_pylist() for c in ("key", "doc_id", "n_chars", "members"))
+    keys, docs, chars, members, rows = (table.column(c).to_pylist() for c in ("key", "doc_id", "n_chars", "members", ROW))
     body = table.column("body")
     for i, key in enumerate(keys):
         chain = chains.setdefault(key, [])
         mine = body[i].as_buffer()
         for slot in chain:
             if slot[0].equals(mine):
-                slot[1] = min(slot[1], (-chars[i], docs[i]))
+                slot[1] = min(slot[1], (-chars[i], docs[i], rows[i]))
                 slot[2] += members[i]
                 break
         else:
-            chain.append(slot := [mine, (-chars[i], docs[i]), members[i]])
+            chain.append(slot := [mine, (-chars[i], docs[i], rows[i]), members[i]])
         slots.append(slot)
-    return pa.table({"gid": table.column("gid"), "keep_id": pa.array([s[1][1] for s in slots], pa.int64()), "group_size": pa.array([s[2] for s in slots], pa.int64()), "sha": table.column("sha")})
+    return pa.table({"gid": table.column("gid"), "keep_id": pa.array([s[1][1] for s in slots], pa.int64()), "group_size": pa.array([s[2] for s in slots], pa.int64()), "sha": table.column("sha"), "keep_row": pa.array([s[1][2] for s in slots], pa.int64())})
 
 
 def exact_groups(docs: DataFrame, hasher: Callable[[bytes], int] | None = None, capacity: int = CAPACITY) -> DataFrame:
     """docs(doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256: one row per row.
 
     Texts are equal when identical without ASCII white space (null: empty). The row with the
-    most code points stays, then the least doc_id; a null doc_id orders before others. Rows
-    repeated with one doc_id are copies of each other and report the same. An empty table gives
+    most code points stays, then the least doc_id; a null doc_id orders before others. Of rows that tie in
+    both exactly one is kept. An empty table gives
     no rows; other columns are ignored. ``hasher`` replaces the key function (tests force
     collisions with it).
     """
+    out = _groups(numbered(docs), hasher, capacity).drop(ROW)
+    return out.withColumns({"doc_id": public_id("doc_id"), "keep_id": public_id("keep_id")})
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``exact_groups`` keeps, one a group, with all their columns."""
+    rows = numbered(docs)
+    return without_rows(rows, _groups(rows).where("not kept"))
+
+
+def _groups(docs: DataFrame, hasher: Callable[[bytes], int] | None = None, capacity: int = CAPACITY) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    source = docs.select(row_id(), F.char_length(text).cast("long").alias("n"), text.alias("text"))
+    source = docs.select(row_id(), F.char_length(text).cast("long").alias("n"), text.alias("text"), ROW)
     index = stored(source.mapInArrow(_local_index(hasher), ENTRY), "exact-index", "kind")
     entries, members = index.where("kind = 1"), index.where("kind = 0")
-    keys = entries.select("prefix", "key").distinct()
+    keys = entries.groupBy("prefix", "key").agg(F.sum(F.octet_length("body")).alias("bytes"))
     total = entries.agg(F.approx_count_distinct("key")).first()[0]
     deepest = min(MAX_DEPTH, max(1, int(4 * total / capacity).bit_length() + 2))
-    counts = np.zeros(1 << deepest, np.int64)
-    for p, n in keys.groupBy(F.shiftright("prefix", MAX_DEPTH - deepest).alias("p")).count().collect():
-        counts[p] = n
-    slots, depth = directory(counts, capacity)
+    counts, sizes = np.zeros(1 << deepest, np.int64), np.zeros(1 << deepest, np.int64)
+    for p, n, size in keys.groupBy(F.shiftright("prefix", MAX_DEPTH - deepest).alias("p")).agg(F.count(F.lit(1)), F.sum("bytes")).collect():
+        counts[p], sizes[p] = n, size
+    slots, depth = directory(counts, capacity, sizes)
     # The directory as a table of 2**depth slots, at most 2**MAX_DEPTH: it may be broadcast.
     spread = docs.sparkSession.createDataFrame(pd.DataFrame({"slot": np.arange(len(slots)), "bucket": slots}))
     answers = (
         entries.withColumn("slot", F.shiftright("prefix", MAX_DEPTH - depth).cast("long"))
         .join(F.broadcast(spread), "slot")
-        .select("bucket", "gid", "key", "body", "doc_id", "n_chars", "members", "sha")
+        .select("bucket", "gid", "key", "body", "doc_id", "n_chars", "members", "sha", ROW)
         .groupBy("bucket")
-        .applyInArrow(_owner, "gid long, keep_id long, group_size long, sha string")
+        .applyInArrow(_owner, "gid long, keep_id long, group_size long, sha string, keep_row long")
     )
-    out = members.select("gid", "doc_id").join(answers, "gid")
-    out = out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
-    return out.withColumns({"doc_id": public_id("doc_id"), "keep_id": public_id("keep_id")})
+    out = members.select("gid", "doc_id", ROW).join(answers, "gid")
+    return out.select("doc_id", "keep_id", "group_size", (F.col(ROW) == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"), ROW)
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
-g AS (SELECT doc_id, norm, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d
+g AS (SELECT doc_id, norm, first_value(doc_id) OVER w AS keep_id, row_number() OVER w = 1 AS kept, count(*) OVER (PARTITION BY norm) AS group_size FROM d
   WINDOW w AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id))
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
+SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM g
 """

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import public_id, row_id, stored
+from ._common import ROW, numbered, public_id, row_id, stored, without_rows
 from .components import components
 
 RADIUS = 2
@@ -52,15 +52,15 @@ def _fingerprints(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [majority(shingle_hashes(x.as_py(), n)) for x in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64)), batch.column(ROW)], names=["doc_id", "fp", ROW])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fp (the 64 bits as a signed long). Null text: empty."""
+    """Numbered docs(doc_id, text) -> doc_id, fp (the 64 bits as a signed long), number. Null text: empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(row_id(), text.alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    return docs.select(row_id(), text.alias("text"), ROW).mapInArrow(_fingerprints(shingle), f"doc_id long, fp long, {ROW} long")
 
 
 def _offsets(radius: int, cuts: int) -> list[tuple[int, ...]]:
@@ -146,19 +146,30 @@ def _signed(x: int) -> int:
 
 
 def near_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fingerprint, component_id, keep (component_id is the row's own id).
+    """docs(doc_id, text) -> doc_id, fingerprint, component_id, keep: one row per row.
 
     Documents without words have fingerprint zero and link like any other. component_id is the
     least doc_id reachable over links of ``radius`` bits or fewer; a null doc_id counts as the
-    least and is given back as null. Repeated rows report alike; an empty table gives no rows.
+    least and is given back as null. One row of each component is kept: the least doc_id, of rows that share it one. An
+    empty table gives no rows.
     """
+    return _components(numbered(docs), radius, shingle, tile).drop(ROW)
+
+
+def drop_near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
+    """One row of each component of ``docs``, with all its columns."""
+    rows = numbered(docs)
+    return without_rows(rows, _components(rows, radius, shingle, tile).where("not keep"))
+
+
+def _components(docs: DataFrame, radius: int, shingle: int, tile: int) -> DataFrame:
     prints = stored(fingerprints(docs, shingle), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = prints.groupBy("fp").agg(F.min(F.struct("doc_id", ROW)).alias("first"))
     cuts = sub_words(nodes.agg(F.approx_count_distinct("fp")).first()[0])
     roots = components(links(nodes.select("fp"), radius, tile, cuts), "a", "b")
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    out = prints.join(named.join(least, "root").select("fp", "component_id"), "fp")
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    out = prints.join(named.join(least, "root").select("fp", "least"), "fp")
     return out.select(
-        public_id("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), public_id("component_id"), (F.col("doc_id") == F.col("component_id")).alias("keep")
+        public_id("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), public_id("least.doc_id").alias("component_id"), (F.col(ROW) == F.col(f"least.{ROW}")).alias("keep"), ROW
     )

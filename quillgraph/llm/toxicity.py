@@ -354,6 +354,13 @@ def training_sample(documents: DataFrame, labels: DataFrame, folds: int = FOLDS)
     return rows.column("text").to_pylist(), rows.column("toxic").to_pylist()
 
 
+def _scores(texts: pa.Array, model: dict) -> list[float]:
+    """Scores of a column of texts; a worker keeps its scorers, and the words they met, between batches."""
+    if _memo.get("model") != model:
+        _memo.update(model=model, scorer=WindowScorer(model), phrases=PhraseScorer(model))
+    return [document_score(x.as_py() or b"", model, _memo["scorer"], _memo["phrases"]) for x in texts.cast(pa.binary())]
+
+
 def score_documents(documents: DataFrame, model: dict, folds: int = FOLDS) -> DataFrame:
     """documents(doc_id, text) -> doc_id, held_out, score, predicted: one row a row, no shuffle.
 
@@ -362,11 +369,8 @@ def score_documents(documents: DataFrame, model: dict, folds: int = FOLDS) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _memo.get("model") != model:
-            _memo.update(model=model, scorer=WindowScorer(model), phrases=PhraseScorer(model))
         for batch in batches:
-            scores = [document_score(x.as_py(), model, _memo["scorer"], _memo["phrases"]) for x in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(batch.column("text"), model), pa.float64())], names=["doc_id", "score"])
 
     docs = documents.select(row_id(), F.coalesce("text", F.lit("")).alias("text"))
     out = docs.mapInArrow(run, "doc_id long, score double").select(public_id("doc_id"), "score")
@@ -375,3 +379,15 @@ def score_documents(documents: DataFrame, model: dict, folds: int = FOLDS) -> Da
 
 def toxicity(documents: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
     return score_documents(documents, fit(*training_sample(documents, labels, folds)), folds)
+
+
+def drop_toxic(documents: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """The rows of ``documents`` that aren't predicted toxic, with all their columns: one pass, nothing is shuffled."""
+    model = fit(*training_sample(documents, labels, folds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.array(_scores(batch.column("text"), model), float) < 0.5
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

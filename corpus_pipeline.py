@@ -5,41 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillgraph.llm import decontaminate, exact_dedup, packing, simhash, toxicity
 from quillgraph.llm._common import scratch, ship, table
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id, null included, is among those kept."""
-    kept = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept_id")), "left_semi")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go. The model learns from the labelled documents of the input."""
     ship(spark)
-    labels = table(spark, sf_dir, "labels")
-    return _keep(docs, toxicity.toxicity(docs, labels).where("predicted = 0"))
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     ship(spark)
-    return _keep(docs, exact_dedup.exact_groups(docs).where("coalesce(kept, true)"))
+    return exact_dedup.drop_copies(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each near-duplicate component stays."""
     ship(spark)
-    return _keep(docs, simhash.near_components(docs).where("keep"))
+    return simhash.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark windows in a twentieth of their words or more go."""
     ship(spark)
-    return _keep(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"))
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Two pairs of dictionaries are compared over the words of a document; both differences are calibrated.
 
 *Phrases.* One zstandard dictionary is trained on toxic text and one on ordinary text. Windows of
-``WIDTH`` words, one starting at every word, are compressed with each; the score of a window is its length by
+``WIDTH`` words, each pair of neighbours in one of them, are compressed with each; the score of a window is its length by
 the ordinary dictionary less that by the toxic one. The toxic dictionary is refined by cross-fitting:
 dictionaries trained on random halves of the toxic documents score the windows of the other half,
 windows that score over all but ``SPARE`` of the ordinary ones are narrowed to the words that carry the difference, and the
@@ -49,16 +49,19 @@ MEMORY = 400_000
 #: Longer words are scored like others but not remembered.
 MEMO_BYTES = 64
 CLASSES = 6
+#: Words of a window; the next one starts ``WIDTH - 1`` words on, so that every pair of neighbours is in one.
 WIDTH = 2
 #: The phrase pair: sizes of the dictionaries, level, halves a round, share of ordinary windows above the cut.
-ORDINARY_SIZE, TOXIC_SIZE = 65_536, 1_536
-PHRASE_LEVEL = 3
+ORDINARY_SIZE, TOXIC_SIZE = 16_384, 1_536
+PHRASE_LEVEL = 1
 HALVES = 6
 SPARE = 0.001
 #: Words compressed in one call.
 BLOCK = 20_000
 #: Starts every phrase window and ends both dictionaries, so that a window is never stored raw.
 MARK = bytes(range(1, 9)) + bytes(range(11, 13)) + bytes(range(14, 16))
+#: Bytes that no text holds in a row; they measure what a window costs besides its own.
+STRANGE = bytes(range(128, 168))
 
 _ALNUM = bytes(range(48, 58)) + bytes(range(97, 123))
 FOLD = bytes((b + 32 if 65 <= b <= 90 else b if b in _ALNUM or b >= 128 else 32) for b in range(256))
@@ -99,10 +102,8 @@ class WindowScorer:
 
 
 def phrase_windows(words: list[bytes], width: int = WIDTH) -> list[bytes]:
-    """Every run of ``width`` words; fewer words are one window."""
-    if not words:
-        return []
-    return [b" ".join(words[i : i + width]) + b" " for i in range(max(1, len(words) - width + 1))]
+    """Runs of ``width`` words that share one word with the next; the last may be shorter."""
+    return [b" ".join(words[i : i + width]) + b" " for i in range(0, max(len(words) - 1, min(1, len(words))), width - 1)]
 
 
 def lengths(book: zstandard.ZstdCompressor, windows: list[bytes]) -> np.ndarray:
@@ -117,6 +118,18 @@ def _phrase_book(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=book, compression_params=_params(PHRASE_LEVEL))
 
 
+def phrase_gaps(ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor, windows: list[bytes]) -> np.ndarray:
+    """Scores of windows, 0 to ``CLASSES`` + 1; 1 stands for 0 too. The ordinary length counts at most as the window stored
+    as it is, so that windows which the toxic dictionary doesn't shorten by two bytes aren't compressed again."""
+    own = lengths(toxic, windows)
+    plain = np.fromiter(map(len, windows), np.int64, len(windows)) + len(toxic.compress(MARK + STRANGE)) - len(STRANGE)
+    out = np.clip(plain - own, 0, 1)
+    near = np.flatnonzero(plain - own > 1)
+    other = np.minimum(lengths(ordinary, [windows[i] for i in near]), plain[near])
+    out[near] = np.clip(other - own[near], 0, CLASSES + 1)
+    return out
+
+
 class PhraseScorer:
     """Scores of a document's windows of several words, counted."""
 
@@ -124,12 +137,10 @@ class PhraseScorer:
         self.ordinary, self.toxic = _phrase_book(model["phrases"][0]), _phrase_book(model["phrases"][1])
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        """Windows whose score is 0 or less, 1, 2 ... ``CLASSES`` + 1 or more."""
+        """Windows by score, ``CLASSES`` + 1 or more together."""
         out = np.zeros(CLASSES + 2, np.int64)
-        for at in range(0, max(1, len(words) - WIDTH + 1), BLOCK):
-            windows = phrase_windows(words[at : at + BLOCK + WIDTH - 1])
-            score = lengths(self.ordinary, windows) - lengths(self.toxic, windows)
-            out += np.bincount(np.clip(score, 0, CLASSES + 1), minlength=CLASSES + 2)
+        for at in range(0, max(1, len(words) - 1), BLOCK):  # a block ends where the next window starts
+            out += np.bincount(phrase_gaps(self.ordinary, self.toxic, phrase_windows(words[at : at + BLOCK + 1])), minlength=CLASSES + 2)
         return out
 
 

@@ -331,7 +331,9 @@ def test_toxicity_features_equal_a_plain_loop():
         words = x.split()
         pairs = [u + b" " + v + b" " for u, v in zip(words, words[1:])] or [w + b" " for w in words]
         single = [gap(model["ordinary"], model["toxic"], model["carrier"] + w + b" ", toxicity.LEVEL) for w in words]
-        double = [gap(a + toxicity.MARK, b + toxicity.MARK, toxicity.MARK + w, toxicity.PHRASE_LEVEL) for w in pairs]
+        extra = size(b + toxicity.MARK, toxicity.MARK + toxicity.STRANGE, toxicity.PHRASE_LEVEL) - len(toxicity.STRANGE)
+        shown = [min(size(a + toxicity.MARK, toxicity.MARK + w, toxicity.PHRASE_LEVEL), len(w) + extra) for w in pairs]
+        double = [n - size(b + toxicity.MARK, toxicity.MARK + w, toxicity.PHRASE_LEVEL) for n, w in zip(shown, pairs)]
         got = toxicity.document_features(x, toxicity.WindowScorer(model), toxicity.PhraseScorer(model))
         n, k = len(words), toxicity.CLASSES
         reach = [sum(g >= c for g in single) for c in range(2, k + 2)]

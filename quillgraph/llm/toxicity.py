@@ -82,52 +82,51 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=book, compression_params=_params())
 
 
-class WindowScorer:
-    """Score of a word's window, remembered for up to ``MEMORY`` words."""
-
-    def __init__(self, model: dict):
-        self.ordinary, self.toxic = _compressor(model["ordinary"]), _compressor(model["toxic"])
-        self.head, self.known = model["carrier"], {}
-
-    def __call__(self, word: bytes) -> int:
-        score = self.known.get(word)
-        if score is None:
-            window = self.head + word + b" "
-            score = max(-1, min(CLASSES * 2, len(self.ordinary.compress(window)) - len(self.toxic.compress(window))))
-            if len(word) <= MEMO_BYTES:
-                if len(self.known) >= MEMORY:
-                    self.known.clear()
-                self.known[word] = score
-        return score
-
-
 def phrase_windows(words: list[bytes], width: int = WIDTH) -> list[bytes]:
     """Runs of ``width`` words that share one word with the next; the last may be shorter."""
     return [b" ".join(words[i : i + width]) + b" " for i in range(0, max(len(words) - 1, min(1, len(words))), width - 1)]
 
 
-def lengths(book: zstandard.ZstdCompressor, windows: list[bytes]) -> np.ndarray:
+def lengths(book: zstandard.ZstdCompressor, windows: list[bytes], head: bytes = MARK) -> np.ndarray:
     if not windows:
         return np.empty(0, np.int64)
-    packed = book.multi_compress_to_buffer([MARK + w for w in windows], threads=1)
+    packed = book.multi_compress_to_buffer([head + w for w in windows], threads=1)
     return np.fromiter(map(len, packed), np.int64, len(windows))
 
 
+def gaps(ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor, windows: list[bytes], head: bytes, most: int) -> np.ndarray:
+    """Scores of windows, 0 to ``most``; 1 stands for 0 too. The ordinary length counts at most as the window stored
+    as it is, so that windows which the toxic dictionary doesn't shorten by two bytes aren't compressed again."""
+    own = lengths(toxic, windows, head)
+    plain = np.fromiter(map(len, windows), np.int64, len(windows)) + len(toxic.compress(head + STRANGE)) - len(STRANGE)
+    out = np.clip(plain - own, 0, 1)
+    near = np.flatnonzero(plain - own > 1)
+    other = np.minimum(lengths(ordinary, [windows[i] for i in near], head), plain[near])
+    out[near] = np.clip(other - own[near], 0, most)
+    return out
+
+
 def _phrase_book(content: bytes) -> zstandard.ZstdCompressor:
     book = zstandard.ZstdCompressionDict(content + MARK, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(dict_data=book, compression_params=_params(PHRASE_LEVEL))
 
 
-def phrase_gaps(ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor, windows: list[bytes]) -> np.ndarray:
-    """Scores of windows, 0 to ``CLASSES`` + 1; 1 stands for 0 too. The ordinary length counts at most as the window stored
-    as it is, so that windows which the toxic dictionary doesn't shorten by two bytes aren't compressed again."""
-    own = lengths(toxic, windows)
-    plain = np.fromiter(map(len, windows), np.int64, len(windows)) + len(toxic.compress(MARK + STRANGE)) - len(STRANGE)
-    out = np.clip(plain - own, 0, 1)
-    near = np.flatnonzero(plain - own > 1)
-    other = np.minimum(lengths(ordinary, [windows[i] for i in near]), plain[near])
-    out[near] = np.clip(other - own[near], 0, CLASSES + 1)
-    return out
+class WindowScorer:
+    """Scores of words behind the carrier, remembered for up to ``MEMORY`` of them."""
+
+    def __init__(self, model: dict):
+        self.ordinary, self.toxic = _compressor(model["ordinary"]), _compressor(model["toxic"])
+        self.head, self.known = model["carrier"], {}
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        """Scores of distinct words."""
+        fresh = [w for w in words if w not in self.known]
+        found = dict(zip(fresh, gaps(self.ordinary, self.toxic, [w + b" " for w in fresh], self.head, CLASSES * 2).tolist()))
+        out = np.fromiter((found[w] if w in found else self.known[w] for w in words), np.int64, len(words))
+        if len(self.known) + len(found) > MEMORY:
+            self.known.clear()
+        self.known.update((w, x) for w, x in found.items() if len(w) <= MEMO_BYTES)
+        return out
 
 
 class PhraseScorer:
@@ -140,24 +139,27 @@ class PhraseScorer:
         """Windows by score, ``CLASSES`` + 1 or more together."""
         out = np.zeros(CLASSES + 2, np.int64)
         for at in range(0, max(1, len(words) - 1), BLOCK):  # a block ends where the next window starts
-            out += np.bincount(phrase_gaps(self.ordinary, self.toxic, phrase_windows(words[at : at + BLOCK + 1])), minlength=CLASSES + 2)
+            out += np.bincount(gaps(self.ordinary, self.toxic, phrase_windows(words[at : at + BLOCK + 1]), MARK, CLASSES + 1), minlength=CLASSES + 2)
         return out
 
 
-def _features(counts: Counter, n: int, phrases: np.ndarray) -> np.ndarray:
+def _features(counts: np.ndarray, n: int, phrases: np.ndarray) -> np.ndarray:
     """Of a document's windows by score: how many reach each class, on a log scale, and their share."""
-    reach = np.array([sum(c for s, c in counts.items() if s >= k) for k in range(2, CLASSES + 2)], float)
+    reach = np.cumsum(counts[::-1])[::-1][2 : CLASSES + 2].astype(float)
     above = np.cumsum(phrases[::-1])[::-1][2:].astype(float)
     return np.concatenate(
         [[1.0], np.minimum(reach, 1), np.log1p(reach), [math.log1p(n), math.log1p(1000 * reach[1] / max(1, n))], np.minimum(above, 1), np.log1p(above), np.log1p(1000 * above / max(1, n))]
     )
 
 
+NOTHING = np.zeros(2 * CLASSES + 1, np.int64), 0, np.zeros(CLASSES + 2, np.int64)
+
+
 def document_features(text: bytes, score: WindowScorer, phrases: PhraseScorer) -> np.ndarray:
     words = words_of(text)
-    counts: Counter = Counter()
-    for w, c in Counter(words).items():
-        counts[score(w)] += c
+    times = Counter(words)
+    found = score(list(times))
+    counts = np.bincount(found, np.fromiter(times.values(), np.int64, len(times)), 2 * CLASSES + 1)
     return _features(counts, len(words), phrases(words))
 
 
@@ -325,7 +327,7 @@ def fit(texts: list[bytes], labels: list[int]) -> dict:
     model = {"ordinary": carrier + b"\n" + book, "toxic": b"".join(carrier + x + b"\n" for x in reversed(strings)) + carrier + b"\n" + book, "carrier": carrier, "strings": strings}
     model["phrases"] = phrase_dictionaries(toxic, ordinary)
     score, phrases = WindowScorer(model), PhraseScorer(model)
-    width = len(_features(Counter(), 0, np.zeros(CLASSES + 2)))
+    width = len(_features(*NOTHING))
     x = np.array([document_features(t, score, phrases) for t in texts]).reshape(len(texts), width)
     other = part == 1 if len(set(y[part == 1])) == 2 else np.ones(len(y), bool)
     if len(set(y)) == 2:

@@ -323,14 +323,12 @@ def test_toxicity_features_equal_a_plain_loop():
         p = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p).compress(window))
 
-    def gap(plain, toxic, window, level):
-        return size(plain, window, level) - size(toxic, window, level)
-
     a, b = model["phrases"]
     for x in [b"", b"one", *texts[:8]]:
         words = x.split()
         pairs = [u + b" " + v + b" " for u, v in zip(words, words[1:])] or [w + b" " for w in words]
-        single = [gap(model["ordinary"], model["toxic"], model["carrier"] + w + b" ", toxicity.LEVEL) for w in words]
+        extra = size(model["toxic"], model["carrier"] + toxicity.STRANGE, toxicity.LEVEL) - len(toxicity.STRANGE)
+        single = [min(size(model["ordinary"], model["carrier"] + w + b" ", toxicity.LEVEL), len(w) + 1 + extra) - size(model["toxic"], model["carrier"] + w + b" ", toxicity.LEVEL) for w in words]
         extra = size(b + toxicity.MARK, toxicity.MARK + toxicity.STRANGE, toxicity.PHRASE_LEVEL) - len(toxicity.STRANGE)
         shown = [min(size(a + toxicity.MARK, toxicity.MARK + w, toxicity.PHRASE_LEVEL), len(w) + extra) for w in pairs]
         double = [n - size(b + toxicity.MARK, toxicity.MARK + w, toxicity.PHRASE_LEVEL) for n, w in zip(shown, pairs)]

@@ -1,92 +1,165 @@
 """Transcript parsing by a hidden Markov model, and canonical turn rendering.
 
 States are roles; observations are lines, described by their speaker marker, position in the
-turn, length and punctuation. Transition and emission counts come from all rows whose role is
-known, as small aggregates. Viterbi recovers the roles. The recursion is a product of max-plus
-matrices, so a conversation of any length is cut into chunks: one matrix a chunk is made in
-parallel, the chunks' matrices are chained, and each chunk is then decoded between its known
-ends. No task holds more than a chunk of ``CHUNK`` turns.
+turn, length and punctuation. Start, transition and emission counts come from the rows whose role is
+known, in the conversations that aren't held out, on top of a prior by which a marker speaks for its role. Viterbi
+recovers the roles.
+
+The lines are described once; what is sorted and decoded are their codes, not the texts. Rows are ordered by
+ranges, so that a conversation of any length spreads over tasks, and cut into chunks of at most ``CHUNK`` rows. The recursion is a
+product of max-plus matrices: one matrix a chunk is made in parallel, the chunks' matrices of a
+conversation (nine numbers for ``CHUNK`` rows) are chained, and each chunk is decoded between its known ends.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import ROW, numbered, stored
+
 CHUNK = 512
+FOLDS = 5
 ROLES = ("system", "user", "assistant")
-#: Speaker markers at the start of a line, by role.
-MARKERS = {
-    "system": r"(?i)^\s*[\[<#*|]*\s*(?:system|instructions?|developer)\s*[\]>*|]*\s*[:>]",
-    "user": r"(?i)^\s*[\[<#*|]*\s*(?:user|human|question|q|customer|prompter|me|you)\s*[\]>*|]*\s*[:>]",
-    "assistant": r"(?i)^\s*[\[<#*|]*\s*(?:assistant|ai|bot|answer|a|agent|model|response|gpt)\s*[\]>*|]*\s*[:>]",
-}
-#: Values of a line's features: marker, first line of the turn, first turn, log2 length, ends with '?'.
-SIZES = (4, 2, 2, 12, 2)
+#: Words that name a speaker at the start of a line, by role, and words that may as well begin what is said.
+NAMES = {"system": ("system", "developer"), "user": ("user", "human", "customer", "prompter"), "assistant": ("assistant", "ai", "bot", "agent", "gpt")}
+HINTS = {"system": ("instruction", "instructions"), "user": ("question", "q", "me", "you"), "assistant": ("answer", "a", "model", "response")}
+#: The frame of a marker; the first group is its word.
+MARKER = r"(?i)^\s*[\[<#*|]*\s*([a-z]{1,12})\s*[\]>*|]*\s*[:>]"
+#: Lines that a marker counts for its own role before any is seen.
+NAME_PRIOR, HINT_PRIOR = 200.0, 20.0
+#: Values of a line's features: marker (none, a name or a hint of each role), first line of the turn, first turn, log2 length, ends with '?'.
+SIZES = (1 + 2 * len(ROLES), 2, 2, 12, 2)
+NO_ID = -(2**63)
 
 
 def line_code(line: Column, index: Column, first_turn: Column) -> Column:
     """The features as one number."""
-    marker = reduce(lambda rest, item: F.when(line.rlike(MARKERS[item[1]]), item[0] + 1).otherwise(rest), reversed(list(enumerate(ROLES))), F.lit(0))
+    word = F.lower(F.regexp_extract(line, MARKER, 1))
+    code = F.lit(0)
+    for i, role in enumerate(ROLES):
+        code = F.when(word.isin(*NAMES[role]), i + 1).when(word.isin(*HINTS[role]), i + 1 + len(ROLES)).otherwise(code)
     length = F.least(F.floor(F.log2(F.char_length(line) + 1)), F.lit(SIZES[3] - 1)).cast("int")
-    code = marker
-    for size, value in zip(SIZES[1:], ((index == 0).cast("int"), first_turn.cast("int"), length, line.rlike(r"\?\s*$").cast("int"))):
+    for size, value in zip(SIZES[1:], ((index == 0).cast("int"), first_turn.cast("int"), length, F.endswith(F.rtrim(line), F.lit("?")).cast("int"))):
         code = code * size + value
-    return code.cast("int")
+    return code.cast("short")
+
+
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n")
 
 
-def strip_marker(line: Column) -> Column:
-    return reduce(lambda x, p: F.regexp_replace(x, p + r"\s*", ""), MARKERS.values(), line)
+def held_out(conv_id: Column, folds: int = FOLDS) -> Column:
+    """A fifth of the conversations, by their ids; rows without one never."""
+    return F.coalesce(F.crc32(conv_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def _features(turns: DataFrame) -> DataFrame:
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), r"\r\n|\r|\n")
-    turns = turns.select(
-        F.coalesce(F.col("conv_id").cast("long"), F.lit(-(2**63))).alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.col("role").cast("string").alias("role"), lines.alias("lines")
-    )
-    turns = turns.withColumn("chunk", F.floor(F.greatest("turn", F.lit(0)) / CHUNK))
-    return turns.withColumn("codes", F.transform("lines", lambda x, i: line_code(x, i, F.col("turn") <= 0)))
+CHUNKS = "conv_id long, chunk long, rows array<long>, roles array<int>, codes array<array<short>>"
+_CHUNKS = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("rows", pa.list_(pa.int64())), ("roles", pa.list_(pa.int32())), ("codes", pa.list_(pa.list_(pa.int16())))])
 
 
-def fit(featured: DataFrame) -> dict:
-    """Log-probabilities, add-one smoothed, from every row whose role is one of ``ROLES``."""
-    known = featured.where(F.lower("role").isin(*ROLES)).withColumn("role", F.lower("role"))
+def chunks_of(turns: DataFrame, size: int | None = None) -> DataFrame:
+    """Numbered turns -> one row a chunk: conv_id, chunk (ordered in its conversation), and its rows' numbers, known roles (-1: none) and line codes."""
+    role = F.lower(F.col("role").cast("string")) if "role" in turns.columns else F.lit(None).cast("string")
+    known = F.lit(-1)
+    for i, name in enumerate(ROLES):
+        known = F.when(role == name, i).otherwise(known)
+    described = turns.select(
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), known.alias("role"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), ROW, lines_of(F.col("text")).alias("lines"),
+    )
+    described = described.withColumn("codes", F.transform("lines", lambda x, i: line_code(x, i, F.col("turn") <= 0))).drop("lines")
+    order = ["conv_id", "turn", "tie", ROW]
+    most = size or CHUNK
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base, k = TaskContext.get().partitionId() << 32, 0
+        out, held = [], []
+        for batch in batches:
+            for conv, role, row, codes in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", ROW, "codes"))):
+                if held and (held[0][0] != conv or len(held) == most):
+                    out.append((held[0][0], base + k, [h[1] for h in held], [h[2] for h in held], [h[3] for h in held]))
+                    held, k = [], k + 1
+                    if len(out) == 256:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CHUNKS)], schema=_CHUNKS)
+                        out = []
+                held.append((conv, row, role, codes))
+        if held:
+            out.append((held[0][0], base + k, [h[1] for h in held], [h[2] for h in held], [h[3] for h in held]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CHUNKS)], schema=_CHUNKS)
+
+    return described.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "role", ROW, "codes").mapInArrow(cut, CHUNKS)
+
+
+def prior() -> np.ndarray:
+    """Emission counts before any line: one of each kind, and markers for their roles."""
     emit = np.ones((len(ROLES), int(np.prod(SIZES))))
-    for role, code, n in known.select("role", F.explode("codes").alias("code")).groupBy("role", "code").count().collect():  # at most 3 x 768 rows
-        emit[ROLES.index(role), code] += n
-    # Each feature on its own given the role; dependent features would be counted twice only in scale.
-    tables = []
+    cube = emit.reshape(len(ROLES), *SIZES)
+    rest = cube[0, 0].size
+    for i in range(len(ROLES)):
+        cube[i, 1 + i] += NAME_PRIOR / rest
+        cube[i, 1 + i + len(ROLES)] += HINT_PRIOR / rest
+    return emit
+
+
+def model_of(emit: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> dict:
+    """Counts -> log-probabilities. Each feature on its own given the role."""
+    total = 0.0
     cube = emit.reshape(len(ROLES), *SIZES)
     for axis in range(len(SIZES)):
         own = cube.sum(axis=tuple(k + 1 for k in range(len(SIZES)) if k != axis))
-        tables.append(np.log(own / own.sum(axis=1, keepdims=True)))
-    total = sum(t.reshape(len(ROLES), *(s if k == axis else 1 for k, s in enumerate(SIZES))) for axis, t in enumerate(tables))
-    emissions = np.asarray(total).reshape(len(ROLES), -1)
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("conv_id", "chunk").orderBy("turn")
-    pairs = known.select("conv_id", "chunk", "turn", "role", F.lag("role").over(order).alias("before"))
-    ends = known.groupBy("conv_id", "chunk").agg(F.min_by("role", "turn").alias("first"), F.max_by("role", "turn").alias("last"))
-    over = ends.select("conv_id", (F.col("chunk") + 1).alias("chunk"), F.col("last").alias("before")).join(ends.where("chunk > 0"), ["conv_id", "chunk"])
-    every = pairs.where("before is not null").select("before", "role").unionByName(over.select("before", F.col("first").alias("role")))
-    moves, starts = np.ones((len(ROLES), len(ROLES))), np.ones(len(ROLES))
-    for a, b, n in every.groupBy("before", "role").count().collect():
-        moves[ROLES.index(a), ROLES.index(b)] += n
-    for role, n in pairs.where("chunk = 0 and before is null").groupBy("role").count().collect():
-        starts[ROLES.index(role)] += n
+        own = np.log(own / own.sum(axis=1, keepdims=True))
+        total = total + own.reshape(len(ROLES), *(s if k == axis else 1 for k, s in enumerate(SIZES)))
     # Inside a turn the speaker only changes at a marker.
     stay = np.full((len(ROLES), len(ROLES)), math.log(1e-4)) + np.eye(len(ROLES)) * (math.log1p(-2e-4) - math.log(1e-4))
-    return {"emit": emissions, "turn": np.log(moves / moves.sum(axis=1, keepdims=True)), "line": stay, "start": np.log(starts / starts.sum())}
+    return {"emit": np.asarray(total).reshape(len(ROLES), -1), "turn": np.log(moves / moves.sum(axis=1, keepdims=True)), "line": stay, "start": np.log(starts / starts.sum())}
+
+
+def fit(chunks: DataFrame, folds: int = FOLDS) -> dict:
+    """The model of all rows whose role is one of ``ROLES``, in conversations that aren't held out."""
+    train = chunks.where(~held_out(F.when(F.col("conv_id") != NO_ID, F.col("conv_id")), folds))
+    n = len(ROLES)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emit, moves = np.zeros((n, int(np.prod(SIZES))), np.int64), np.zeros((n, n), np.int64)
+        for batch in batches:
+            for roles, codes in zip(batch.column("roles").to_pylist(), batch.column("codes").to_pylist()):
+                for role, own in zip(roles, codes):
+                    if role >= 0:
+                        np.add.at(emit[role], own, 1)
+                for a, b in zip(roles, roles[1:]):
+                    if a >= 0 and b >= 0:
+                        moves[a, b] += 1
+        for kind, table in enumerate((emit, moves)):
+            a, b = np.nonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind)), pa.array(a), pa.array(b), pa.array(table[a, b])], names=["kind", "a", "b", "n"])
+
+    emit, moves, starts = prior(), np.ones((n, n)), np.ones(n)
+    counted = train.select("roles", "codes").mapInArrow(count, "kind long, a long, b long, n long")
+    for kind, a, b, k in counted.groupBy("kind", "a", "b").agg(F.sum("n")).collect():  # at most 3 x prod(SIZES) + 9 rows
+        (emit, moves)[kind][a, b] += k
+    from pyspark.sql import Window
+
+    ends = train.select("conv_id", "chunk", F.get("roles", F.lit(0)).alias("first"), F.element_at("roles", -1).alias("last"))
+    ends = ends.withColumn("before", F.lag("last").over(Window.partitionBy("conv_id").orderBy("chunk"))).where("first >= 0")
+    for before, first, k in ends.groupBy("before", "first").count().collect():
+        if before is None:
+            starts[first] += k
+        elif before >= 0:
+            moves[before, first] += k
+    return model_of(emit, moves, starts)
 
 
 def _steps(model: dict, rows: list[list[int]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Transition and emission of every line; a turn's first line uses the turn transitions."""
+    """Transition and emission of every line; a turn's first line, and a marked one, uses the turn transitions."""
     marked = int(np.prod(SIZES[1:]))
     return [(model["turn"] if i == 0 or c >= marked else model["line"], model["emit"][:, c]) for codes in rows for i, c in enumerate(codes)]
 
@@ -99,6 +172,14 @@ def chunk_matrix(model: dict, rows: list[list[int]]) -> np.ndarray:
     return best
 
 
+def first_scores(model: dict, rows: list[list[int]]) -> np.ndarray:
+    """Best log-score of each state at the end of a conversation's first chunk."""
+    score = None
+    for move, emit in _steps(model, rows):
+        score = model["start"] + emit if score is None else (score[:, None] + move).max(axis=0) + emit
+    return score
+
+
 def viterbi(model: dict, rows: list[list[int]], before: int | None = None, end: int | None = None) -> list[int]:
     """States of all lines; ``before`` and ``end`` fix the state before the first line and of the last. Ties: the lower state."""
     back, score = [], None
@@ -117,8 +198,8 @@ def viterbi(model: dict, rows: list[list[int]], before: int | None = None, end:
     return states[::-1]
 
 
-def chain(model: dict, matrices: list[np.ndarray], first: np.ndarray) -> list[tuple[int | None, int]]:
-    """(state before, state at the end) of each chunk. ``first``: scores at the end of chunk 0."""
+def chain(matrices: list[np.ndarray], first: np.ndarray) -> list[tuple[int | None, int]]:
+    """(state before, state at the end) of each chunk. ``first``: scores at the end of the first."""
     scores = [first]
     for m in matrices[1:]:
         scores.append((scores[-1][:, None] + m).max(axis=0))
@@ -129,86 +210,73 @@ def chain(model: dict, matrices: list[np.ndarray], first: np.ndarray) -> list[tu
     return [(ends[k - 1] if k else None, ends[k]) for k in range(len(ends))]
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Runs of rows of one (conv_id, chunk), over batch borders."""
-    held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and (row["conv_id"], row["chunk"]) != (held[0]["conv_id"], held[0]["chunk"]):
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
-
-
-def _first_scores(model: dict, rows: list[list[int]]) -> np.ndarray:
-    score = None
-    for move, emit in _steps(model, rows):
-        score = model["start"] + emit if score is None else (score[:, None] + move).max(axis=0) + emit
-    return score
-
-
-def parse(turns: DataFrame, model: dict | None = None) -> DataFrame:
-    """turns(conv_id, turn, text[, role]) -> conv_id, turn, role, roles, n_lines, rendered: one row per row.
-
-    ``roles`` are the recovered roles of the row's pieces in order (more than one where a marker
-    changes the speaker inside a row), ``role`` the first. ``rendered`` is each piece as
-    ``<|role|>``, its lines without markers, ``<|end|>``. Known roles are used to fit the model
-    only. Null texts are one empty line; a null turn sorts first (as -1), null conversations are
-    one conversation. Rows that tie on (conv_id, turn) are ordered by text. Rows repeated in
-    full are turns of their own. An empty table gives no rows.
-    """
-    featured = _features(turns)
-    model = model or fit(featured)
-    keys = ["conv_id", "chunk"]
-    rows = featured.select("conv_id", "chunk", "turn", "lines", "codes")
-    in_order = lambda df: df.repartition(*keys).sortWithinPartitions(*keys, "turn", "lines")
+def roles_of_lines(chunks: DataFrame, model: dict) -> DataFrame:
+    """Chunks -> row number, states of its lines."""
+    n = len(ROLES)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
-            codes = [r["codes"] for r in group]
-            yield pa.RecordBatch.from_pylist(
-                [{"conv_id": group[0]["conv_id"], "chunk": group[0]["chunk"], "m": chunk_matrix(model, codes).ravel().tolist(), "first": _first_scores(model, codes).tolist()}],
-                schema=pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("m", pa.list_(pa.float64())), ("first", pa.list_(pa.float64()))]),
+        for batch in batches:
+            codes = batch.column("codes").to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("conv_id"), batch.column("chunk"), pa.array([chunk_matrix(model, c).ravel().tolist() for c in codes], pa.list_(pa.float64())), pa.array([first_scores(model, c).tolist() for c in codes], pa.list_(pa.float64()))],
+                names=["conv_id", "chunk", "m", "first"],
             )
 
     def chained(pdf):
         pdf = pdf.sort_values("chunk")
-        ends = chain(model, [np.array(m).reshape(len(ROLES), -1) for m in pdf["m"]], np.array(pdf["first"].iloc[0]))
+        ends = chain([np.array(m).reshape(n, n) for m in pdf["m"]], np.array(pdf["first"].iloc[0]))
         return pdf.assign(before=[-1 if b is None else b for b, _ in ends], ending=[e for _, e in ends])[["conv_id", "chunk", "before", "ending"]]
 
-    long_ones = rows.where("chunk > 0").select("conv_id").distinct()
-    parts = in_order(rows.join(long_ones, "conv_id", "left_semi")).mapInArrow(matrices, "conv_id long, chunk long, m array<double>, first array<double>")
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, states = [], []
+            for own, codes, before, end in zip(*(batch.column(c).to_pylist() for c in ("rows", "codes", "before", "ending"))):
+                path = np.array(viterbi(model, codes, None if before is None or before < 0 else before, end), np.int8)
+                rows += own
+                states += np.split(path, np.cumsum([len(c) for c in codes])[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([s.tolist() for s in states], pa.list_(pa.int8()))], names=[ROW, "states"])
+
+    many = chunks.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("conv_id")
+    parts = chunks.join(many, "conv_id", "left_semi").select("conv_id", "chunk", "codes").mapInArrow(matrices, "conv_id long, chunk long, m array<double>, first array<double>")
     known = parts.groupBy("conv_id").applyInPandas(chained, "conv_id long, chunk long, before int, ending int")
+    ready = chunks.select("conv_id", "chunk", "rows", "codes").join(known.drop("conv_id"), "chunk", "left")
+    return ready.select("rows", "codes", "before", "ending").mapInArrow(decoded, f"{ROW} long, states array<tinyint>")
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[dict] = []
-        schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("states", pa.list_(pa.int32())), ("lines", pa.list_(pa.string()))])
-        size = 0
-        for group in _groups(batches):
-            before, end = group[0]["before"], group[0]["ending"]
-            states = viterbi(model, [r["codes"] for r in group], None if before is None or before < 0 else before, end)
-            at = 0
-            for r in group:
-                out.append({"conv_id": r["conv_id"], "turn": r["turn"], "states": states[at : at + len(r["codes"])], "lines": r["lines"]})
-                at += len(r["codes"])
-                size += sum(map(len, r["lines"]))
-            if size > 4 << 20 or len(out) > 4000:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-                out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    ready = rows.join(known, keys, "left")
-    done = in_order(ready).mapInArrow(decoded, "conv_id long, turn long, states array<int>, lines array<string>")
+def parse(turns: DataFrame, model: dict | None = None, folds: int = FOLDS) -> DataFrame:
+    """turns(conv_id, turn, text[, role]) -> conv_id, turn, held_out, role, roles, n_lines, rendered: one row per row.
+
+    ``roles`` are the recovered roles of the row's pieces in order (more than one where a marker
+    changes the speaker inside a row), ``role`` the first. ``rendered`` is each piece as
+    ``<|role|>``, its lines, ``<|end|>``. A piece's first line loses the marker of the recovered role if that
+    names a speaker ("User:"), or if the row has several pieces; "Answer: 42" as a whole row stays as it is.
+    Known roles are used to fit the model only, and only outside the held-out conversations; without any, or without
+    the column, markers decide. Null texts are one empty line; a null turn sorts first (as -1), null conversations are
+    one conversation. Rows that tie on (conv_id, turn) are ordered by a hash of their texts. Rows repeated in
+    full are turns of their own. Other columns are ignored; an empty table gives no rows.
+    """
+    turns = numbered(turns)
+    chunks = stored(chunks_of(turns), "chat-chunks")
+    states = roles_of_lines(chunks, model or fit(chunks, folds))
+    rows = turns.select(ROW, F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text")).join(states, ROW)
     names = F.array(*[F.lit(r) for r in ROLES])
+    state = lambda i: F.get("states", i).cast("int")
     starts = F.filter(F.sequence(F.lit(0), F.size("states") - 1), lambda i: (i == 0) | (F.get("states", i) != F.get("states", i - 1)))
-    piece = lambda a, b: F.array_join(F.transform(F.slice("lines", a + 1, b - a), strip_marker), "\n")
     stops = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("states")))
-    rendered = F.array_join(F.zip_with("starts", "stops", lambda a, b: F.concat(F.lit("<|"), F.get(names, F.get("states", a)), F.lit("|>\n"), piece(a, b), F.lit("\n<|end|>"))), "\n")
-    out = done.withColumn("starts", starts).withColumn("stops", stops)
+
+    def first_line(i: Column) -> Column:
+        line = F.get("lines", i)
+        word = F.lower(F.regexp_extract(line, MARKER, 1))
+        out = F.lit(False)
+        for k, role in enumerate(ROLES):
+            sure = word.isin(*NAMES[role]) | (word.isin(*HINTS[role]) & (F.size("starts") > 1))
+            out = F.when(state(i) == k, sure).otherwise(out)
+        return F.when(out, F.regexp_replace(line, MARKER + r"\s*", "")).otherwise(line)
+
+    piece = lambda a, b: F.array_join(F.concat(F.array(first_line(a)), F.slice("lines", a + 2, b - a - 1)), "\n")
+    rendered = F.array_join(F.zip_with("starts", "stops", lambda a, b: F.concat(F.lit("<|"), F.get(names, state(a)), F.lit("|>\n"), piece(a, b), F.lit("\n<|end|>"))), "\n")
+    out = rows.withColumn("lines", lines_of(F.col("text"))).withColumn("starts", starts).withColumn("stops", stops)
     return out.select(
-        F.when(F.col("conv_id") != -(2**63), F.col("conv_id")).alias("conv_id"), F.when(F.col("turn") >= 0, F.col("turn")).alias("turn"), F.get(names, F.get("states", F.lit(0))).alias("role"),
-        F.transform("starts", lambda i: F.get(names, F.get("states", i))).alias("roles"), F.size("lines").cast("long").alias("n_lines"), rendered.alias("rendered"),
+        "conv_id", "turn", held_out(F.col("conv_id"), folds).alias("held_out"), F.get(names, state(F.lit(0))).alias("role"),
+        F.transform("starts", lambda i: F.get(names, state(i))).alias("roles"), F.size("lines").cast("long").alias("n_lines"), rendered.alias("rendered"),
     )

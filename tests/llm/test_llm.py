@@ -490,16 +490,68 @@ def test_line_dedup_keeps_unrepeated_lines_of_small_hosts(spark):
     assert got == {0: ("story 0", 1), 1: ("story 1", 2), 2: ("story 2", 2)}
 
 
+TURNS = "conv_id long, turn long, role string, text string"
+
+
 def test_chat_roles_and_chunks(spark, monkeypatch):
     rows = [(c, t, ("user", "assistant")[t % 2], ("What is it, then?" if t % 2 == 0 else "It is an answer. " * 20)) for c in range(30) for t in range(8)]
-    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    d = spark.createDataFrame(rows, TURNS)
     whole = {(r.conv_id, r.turn): (r.role, r.rendered) for r in chat.parse(d).collect()}
     assert all(whole[c, t][0] == role for c, t, role, _ in rows)
     monkeypatch.setattr(chat, "CHUNK", 3)
     assert whole == {(r.conv_id, r.turn): (r.role, r.rendered) for r in chat.parse(d).collect()}
-    marked = spark.createDataFrame([(1, 0, None, "User: hi there\nmore\nAssistant: hello")], "conv_id long, turn long, role string, text string")
-    r = chat.parse(marked, chat.fit(chat._features(d))).first()
-    assert r.roles == ["user", "assistant"] and r.rendered == "<|user|>\nhi there\nmore\n<|end|>\n<|assistant|>\nhello\n<|end|>"
+    # One conversation and one turn number for all rows, no ids: chunks stay small and every row comes back.
+    lost = d.selectExpr("cast(null as long) conv_id", "cast(0 as long) turn", "text", "role")
+    from quillgraph.llm._common import numbered
+
+    sizes = [len(r.rows) for r in chat.chunks_of(numbered(lost)).collect()]
+    assert max(sizes) <= 3 and sum(sizes) == len(rows) == chat.parse(lost).count()
+
+
+def test_chat_markers_without_known_roles(spark):
+    rows = [
+        (1, 0, "User: hi there\nmore\nAssistant: hello"), (2, 0, "[System] : be kind"), (2, 1, "**Human:** what?"), (2, 2, "AI: that"), (3, 0, "Q: how?\nA: so"),
+        (4, 0, "user: what is it"), (4, 1, "Answer: 42"), (5, 0, "human> see"), (5, 1, "bot> Note: well\nme: too"), (6, 0, None), (7, 0, ""),
+    ]
+    got = {(r.conv_id, r.turn): r for r in chat.parse(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert got[1, 0].rendered == "<|user|>\nhi there\nmore\n<|end|>\n<|assistant|>\nhello\n<|end|>" and got[1, 0].roles == ["user", "assistant"]
+    assert [got[2, t].role for t in range(3)] == ["system", "user", "assistant"]
+    assert got[3, 0].rendered == "<|user|>\nhow?\n<|end|>\n<|assistant|>\nso\n<|end|>"
+    assert got[4, 1].rendered == "<|assistant|>\nAnswer: 42\n<|end|>"
+    assert got[5, 0].rendered == "<|user|>\nsee\n<|end|>" and got[5, 1].rendered.startswith("<|assistant|>\nNote: well\n")
+    assert got[6, 0].n_lines == 1 and got[6, 0].rendered.endswith("|>\n\n<|end|>")
+    clash = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumns({c: F.lit(1) for c in ("chunk", "rows", "codes", "lines", "states", "tie", "starts")})
+    assert {(r.conv_id, r.turn): r for r in chat.parse(clash).collect()} == got
+
+
+def test_viterbi_and_chunks_equal_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    n, width = len(chat.ROLES), int(np.prod(chat.SIZES))
+    for _ in range(25):
+        model = chat.model_of(rng.random((n, width)) + 0.01, rng.random((n, n)) + 0.01, rng.random(n) + 0.01)
+        rows = [rng.integers(0, width, rng.integers(1, 4)).tolist() for _ in range(4)]
+        lines = [(c, i == 0 or c >= int(np.prod(chat.SIZES[1:]))) for codes in rows for i, c in enumerate(codes)]
+
+        def score(path, model=model, lines=lines):
+            total = model["start"][path[0]]
+            for k, (c, free) in enumerate(lines):
+                total += model["emit"][path[k], c] + ((model["turn"] if free else model["line"])[path[k - 1], path[k]] if k else 0)
+            return total
+
+        best = max(product(range(n), repeat=len(lines)), key=score)
+        assert chat.viterbi(model, rows) == list(best)
+        cuts = [rows[:1], rows[1:3], rows[3:]]
+        ends = chat.chain([chat.chunk_matrix(model, c) for c in cuts], chat.first_scores(model, cuts[0]))
+        assert [s for c, (a, b) in zip(cuts, ends) for s in chat.viterbi(model, c, a, b)] == list(best)
+
+
+def test_chat_held_out_accuracy(spark):
+    truth = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/conversations.parquet")
+    got = chat.parse(truth).where("held_out").withColumnRenamed("role", "found").join(truth, ["conv_id", "turn"]).collect()
+    assert len(got) > 50 and sum(r.found == r.role for r in got) / len(got) > 0.9
+    assert {r.conv_id for r in got} == {r.conv_id for r in truth.collect() if zlib.crc32(str(r.conv_id).encode()) % 5 == 0}
 
 
 def test_shards_are_even_and_mixed(spark):

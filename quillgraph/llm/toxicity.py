@@ -56,6 +56,8 @@ ORDINARY_SIZE, TOXIC_SIZE = 16_384, 1_536
 PHRASE_LEVEL = 1
 HALVES = 6
 SPARE = 0.001
+#: Least match of the phrase level's strategy, and bits of the table of such strings.
+GRAM, GRAM_BITS = 7, 20
 #: Words compressed in one call.
 BLOCK = 20_000
 #: Starts every phrase window and ends both dictionaries, so that a window is never stored raw.
@@ -73,8 +75,8 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def _params(level: int = LEVEL) -> zstandard.ZstdCompressionParameters:
-    return zstandard.ZstdCompressionParameters.from_level(level, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+def _params(level: int = LEVEL, **more: int) -> zstandard.ZstdCompressionParameters:
+    return zstandard.ZstdCompressionParameters.from_level(level, **more, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -108,7 +110,7 @@ def gaps(ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor, wi
 
 def _phrase_book(content: bytes) -> zstandard.ZstdCompressor:
     book = zstandard.ZstdCompressionDict(content + MARK, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(dict_data=book, compression_params=_params(PHRASE_LEVEL))
+    return zstandard.ZstdCompressor(dict_data=book, compression_params=_params(PHRASE_LEVEL, min_match=GRAM))
 
 
 class WindowScorer:
@@ -130,19 +132,47 @@ class WindowScorer:
 
 
 class PhraseScorer:
-    """Scores of a document's windows of several words, counted."""
+    """Scores of a document's windows of several words, counted.
+
+    A match of zstandard's fast strategy is ``GRAM`` bytes at least. A window without so many bytes in a row from the
+    toxic dictionary can't be shortened by it and scores 0 unseen; the others are compressed.
+    """
 
     def __init__(self, model: dict):
         self.ordinary, self.toxic = _phrase_book(model["phrases"][0]), _phrase_book(model["phrases"][1])
+        self.table = np.zeros(1 << GRAM_BITS, bool)
+        self.table[_grams(np.frombuffer(model["phrases"][1], np.uint8))] = True
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         """Windows by score, ``CLASSES`` + 1 or more together."""
         out = np.zeros(CLASSES + 2, np.int64)
         for at in range(0, max(1, len(words) - 1), BLOCK):  # a block ends where the next window starts
-            out += np.bincount(gaps(self.ordinary, self.toxic, phrase_windows(words[at : at + BLOCK + 1]), MARK, CLASSES + 1), minlength=CLASSES + 2)
+            part = words[at : at + BLOCK + 1]
+            body = b" ".join(part) + b" "
+            met = np.concatenate([[0], np.cumsum(self.table[_grams(np.frombuffer(body, np.uint8))])])
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            first = np.arange(0, max(len(part) - 1, min(1, len(part))), WIDTH - 1)
+            last = np.minimum(first + WIDTH, len(part)) - 1
+            start, stop = np.concatenate([[0], ends])[first], ends[last] if len(part) else first
+            stop = np.minimum(np.maximum(stop - GRAM + 1, start), len(met) - 1)
+            hit = np.flatnonzero(met[stop] > met[np.minimum(start, len(met) - 1)])
+            windows = [b" ".join(part[i : i + WIDTH]) + b" " for i in first[hit].tolist()]
+            out += np.bincount(gaps(self.ordinary, self.toxic, windows, MARK, CLASSES + 1), minlength=CLASSES + 2)
+            out[0] += len(first) - len(hit)
         return out
 
 
+def _grams(data: np.ndarray) -> np.ndarray:
+    """Hashes of every ``GRAM`` bytes in a row."""
+    n = len(data) - GRAM + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    packed = np.zeros(n, np.uint64)
+    for i in range(GRAM):
+        packed |= data[i : i + n].astype(np.uint64) << np.uint64(8 * i)
+    return ((packed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
+
+
 def _features(counts: np.ndarray, n: int, phrases: np.ndarray) -> np.ndarray:
     """Of a document's windows by score: how many reach each class, on a log scale, and their share."""
     reach = np.cumsum(counts[::-1])[::-1][2 : CLASSES + 2].astype(float)

@@ -320,7 +320,8 @@ def test_toxicity_features_equal_a_plain_loop():
     model = toxicity.fit(texts, [i % 2 for i in range(60)])
 
     def size(content, window, level):
-        p = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        more = {"min_match": toxicity.GRAM} if level == toxicity.PHRASE_LEVEL else {}
+        p = zstandard.ZstdCompressionParameters.from_level(level, **more, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p).compress(window))
 
     a, b = model["phrases"]
@@ -331,7 +332,9 @@ def test_toxicity_features_equal_a_plain_loop():
         single = [min(size(model["ordinary"], model["carrier"] + w + b" ", toxicity.LEVEL), len(w) + 1 + extra) - size(model["toxic"], model["carrier"] + w + b" ", toxicity.LEVEL) for w in words]
         extra = size(b + toxicity.MARK, toxicity.MARK + toxicity.STRANGE, toxicity.PHRASE_LEVEL) - len(toxicity.STRANGE)
         shown = [min(size(a + toxicity.MARK, toxicity.MARK + w, toxicity.PHRASE_LEVEL), len(w) + extra) for w in pairs]
-        double = [n - size(b + toxicity.MARK, toxicity.MARK + w, toxicity.PHRASE_LEVEL) for n, w in zip(shown, pairs)]
+        strange = {b[i : i + toxicity.GRAM] for i in range(len(b))}
+        met = [any(w[i : i + toxicity.GRAM] in strange for i in range(len(w) - toxicity.GRAM + 1)) for w in pairs]
+        double = [m * (n - size(b + toxicity.MARK, toxicity.MARK + w, toxicity.PHRASE_LEVEL)) for n, w, m in zip(shown, pairs, met)]
         got = toxicity.document_features(x, toxicity.WindowScorer(model), toxicity.PhraseScorer(model))
         n, k = len(words), toxicity.CLASSES
         reach = [sum(g >= c for g in single) for c in range(2, k + 2)]

@@ -52,7 +52,7 @@ def backoff(attempt: int, most: float = 60.0, jitter: float = 5.0) -> float:
     return min(most, 2 ** (attempt - 1) + random.uniform(0, jitter))
 
 
-def retrying(call: Callable[[list[str]], list[list[float]]], attempts: int = 10, throttled: Callable[[Exception], bool] = lambda e: any(w in str(e).lower() for w in ("429", "quota", "rate", "exhausted")), sleep: Callable[[float], None] = time.sleep):
+def retrying(call: Callable[[list[str]], list[list[float]]], attempts: int = 10, throttled: Callable[[Exception], bool] = lambda e: any(w in str(e).lower() for w in ("429", "quota", "rate", "unavailable", "temporar", "timeout", "deadline", "exhausted")), sleep: Callable[[float], None] = time.sleep):
     """``call`` again after throttling errors, ``attempts`` times at most; other errors and wrong counts raise at once."""
 
     def run(texts: list[str]) -> list[list[float]]:
@@ -84,3 +84,47 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
         return [x / n for x in v]
 
     return lambda texts: [one(t) for t in texts]
+
+
+def vectors_of(reply: object) -> list[list[float]]:
+    """Vectors in a service's reply: an object or mapping with ``embeddings`` or one ``embedding``, a list, or an object with ``to_dict``.
+    A vector is a list, or has its numbers under ``values`` or ``embedding``."""
+    if not isinstance(reply, dict | list) and hasattr(reply, "embeddings"):
+        return [_vector(x) for x in reply.embeddings]
+    if not isinstance(reply, dict | list) and callable(getattr(reply, "to_dict", None)):
+        reply = reply.to_dict()
+    if isinstance(reply, dict):
+        if "embeddings" in reply:
+            return [_vector(x) for x in reply["embeddings"]]
+        if "embedding" in reply:
+            return [_vector(reply["embedding"])]
+    if isinstance(reply, list):
+        return [_vector(x) for x in reply]
+    raise TypeError(f"no vectors in a reply of {type(reply).__name__}")
+
+
+def _vector(item: object) -> list[float]:
+    if isinstance(item, dict):
+        item = item["values"] if "values" in item else item["embedding"]
+    elif not isinstance(item, list) and hasattr(item, "values"):
+        item = item.values
+    return [float(x) for x in item]
+
+
+#: What a text is embedded for: documents of the corpus, or a question put to it.
+TASKS = {"document": "RETRIEVAL_DOCUMENT", "query": "RETRIEVAL_QUERY"}
+
+
+def client(service: Callable[[list[str], str], object], task: str = "document", limiter: TokenBuckets | None = None, sleep: Callable[[float], None] = time.sleep) -> Callable[[list[str]], list[list[float]]]:
+    """``service(texts, task)`` -> an embedder: batches, paces, retries throttling, reads any reply shape and checks its size."""
+    call = retrying(lambda texts: vectors_of(service(texts, TASKS[task])), sleep=sleep)
+
+    def run(texts: list[str]) -> list[list[float]]:
+        out = []
+        for batch in batches(texts):
+            if limiter is not None:
+                limiter.acquire(sum(max(1, len(t) // 4) for t in batch))
+            out += call(batch)
+        return out
+
+    return run

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +31,33 @@ def manhattan(a: Column, b: Column) -> Column:
 METRICS = {"cosine": cosine, "dot": dot, "euclid": lambda a, b: -euclid(a, b), "manhattan": lambda a, b: -manhattan(a, b)}
 
 
-def metric(name: str | None):
+def name_of(name: str | None) -> str:
     """Unknown names fall back to cosine."""
-    return METRICS.get((name or "").lower(), cosine)
+    return (name or "").lower() if (name or "").lower() in METRICS else "cosine"
+
+
+def metric(name: str | None):
+    return METRICS[name_of(name)]
+
+
+# The same over matrices, a row a vector.
+
+
+def prepared(rows: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ready for ``scores``, normalised once where the metric asks for it, and which of them have a score."""
+    if metric != "cosine":
+        return rows, np.ones(len(rows), bool)
+    length = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    return rows / np.where(length > 0, length, 1)[:, None], length > 0
+
+
+def scores(rows: np.ndarray, queries: np.ndarray, metric: str, cells: int = 8_000_000) -> np.ndarray:
+    """Scores of prepared rows against prepared queries."""
+    if metric in ("cosine", "dot"):
+        return rows @ queries.T
+    out = np.empty((len(rows), len(queries)))
+    step = max(1, cells // max(1, queries.size))
+    for at in range(0, len(rows), step):
+        gap = rows[at : at + step, None, :] - queries[None]
+        out[at : at + step] = -np.sqrt(np.einsum("ijk,ijk->ij", gap, gap)) if metric == "euclid" else -np.abs(gap).sum(axis=2)
+    return out

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def citations(hits: DataFrame, key: str, rank: str) -> DataFrame:
     """The best-ranked hit of each key; hits with a blank key go."""
@@ -53,22 +57,49 @@ def prompt(intent: Column, context: Column, question: Column) -> Column:
     return F.replace(F.replace(text, F.lit("{context}"), F.coalesce(context, F.lit(""))), F.lit("{question}"), F.coalesce(question, F.lit("")))
 
 
-def synthesize(rows: DataFrame, model=None, question: str = "question", context: str = "context", intent: str = "intent") -> DataFrame:
+#: Intents whose answers are worth reasoning over; others get no budget for it.
+REASONING = frozenset(("explain_article", "summarize_doc", "compare"))
+
+
+def thinking_budget(intent: Column, budget: int) -> Column:
+    return F.when(intent.isin(*REASONING), F.lit(budget)).otherwise(F.lit(0))
+
+
+def first_known(models: list[Callable[[str], str]], missing: str = "NOT_FOUND") -> Callable[[str], str]:
+    """The first of several models that exists: the next is asked only where one says that it isn't found."""
+    models = list(dict.fromkeys(models))
+    if not models:
+        raise ValueError("no model given")
+
+    def ask(prompt: str) -> str:
+        for i, model in enumerate(models):
+            try:
+                return model(prompt)
+            except Exception as error:
+                if missing not in str(error) or i + 1 == len(models):
+                    raise
+        raise AssertionError
+
+    return ask
+
+
+def synthesize(rows: DataFrame, model: Callable[[str], str] | list[Callable[[str], str]] | None = None, question: str = "question", context: str = "context", intent: str = "intent") -> DataFrame:
     """rows(question, context, intent) plus answer and failed.
 
-    ``model`` is a callable prompt -> text that runs on the executors. Where it fails, or is
-    absent, the answer is the context itself, so what was found is never lost.
+    ``model`` is a callable prompt -> text that runs on the executors, or a list of them in order of preference.
+    Where it fails, or is absent, the answer is the context itself (after the error), so what was found is never lost.
     """
     asked = rows.withColumn("_prompt", prompt(F.col(intent), F.col(context), F.col(question)))
     if model is None:
         return asked.withColumn("answer", F.coalesce(F.col(context), F.lit(""))).withColumn("failed", F.lit(False)).drop("_prompt")
+    call = first_known(model) if isinstance(model, list) else model
 
     @F.pandas_udf("struct<answer: string, failed: boolean>")
     def ask(prompts: pd.Series, contexts: pd.Series) -> pd.DataFrame:
         out = []
         for p, c in zip(prompts, contexts):
             try:
-                out.append((model(p), False))
+                out.append((call(p), False))
             except Exception as error:
                 out.append((f"{error}\n\n{c or ''}", True))
         return pd.DataFrame(out, columns=["answer", "failed"])
@@ -78,40 +109,82 @@ def synthesize(rows: DataFrame, model=None, question: str = "question", context:
 
 SUMMARY_CHARS = 24_000
 COMPARE_CHUNKS = 8
-#: References by name that one batch of questions may hold.
-MAX_NAMED = 10_000
+#: Bytes of a batch's references by name that are sent to every task.
+NAMED_BYTES = 8 << 20
+#: An article's number where a text names one, as in "Điều 8".
+ARTICLE = r"(?iu)điều\s+0*(\d+)\b"
+
 
+def article_chunks(chunks: DataFrame, group: str = "group", wanted: str = "article", order: str = "chunk_order") -> DataFrame:
+    """chunks(group, article asked for, in_article, text, ...) -> those of the article.
 
-def structured(intents: DataFrame, documents: DataFrame, chunks: DataFrame, edges: DataFrame, article: str = "article") -> DataFrame:
+    By the chunk's own article number; in a group where no chunk has it, the span from the first chunk whose text names
+    the article up to the next that names another. A group whose article is null keeps all chunks.
+    """
+    w = Window.partitionBy(group)
+    so_far = w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    number = F.col(wanted).try_cast("int")
+    keyed = chunks.withColumn("_own", F.regexp_extract(F.lower(F.coalesce("in_article", F.lit(""))), r"\d+", 0).try_cast("int").eqNullSafe(number) & number.isNotNull())
+    keyed = keyed.withColumn("_by_field", F.max(F.col("_own").cast("int")).over(w))
+    every = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(ARTICLE), F.lit(1))
+    first = F.get(every, F.lit(0)).try_cast("int")
+    keyed = keyed.withColumn("_on", F.max(F.coalesce(F.array_contains(F.transform(every, lambda x: x.try_cast("int")), number), F.lit(False)).cast("int")).over(so_far))
+    before = F.lag("_on", 1, 0).over(w.orderBy(order))  # the span's first chunk may name another article first
+    keyed = keyed.withColumn("_stop", ((before == 1) & first.isNotNull() & (first != number)).cast("int"))
+    keyed = keyed.withColumn("_off", F.max("_stop").over(so_far))
+    kept = number.isNull() | (F.col("_by_field") == 1) & F.col("_own") | (F.col("_by_field") == 0) & (F.col("_on") == 1) & (F.col("_off") == 0)
+    return keyed.where(kept).drop("_own", "_by_field", "_on", "_stop", "_off")
+
+
+def found_documents(refs: DataFrame, documents: DataFrame, article: str = "article") -> DataFrame:
+    """refs(question_id, intent, ref, doc_number, doc_name, article) -> those with their document: by number, else by a title that contains the name
+    (the shortest title, then doc_id).
+
+    Names meet titles by a shared word first (the longest of the name), so that no title is compared with every name.
+    """
+    docs = documents.select("doc_id", "doc_number", "title")
+    cols = ["question_id", "intent", "ref", F.col(article).cast("string").alias("article"), "doc_id", "doc_number", "cost"]
+    by_number = refs.where("doc_number is not null").drop("doc_name").join(docs.drop("title"), "doc_number").withColumn("cost", F.lit(0)).select(*cols)
+    named = refs.where("doc_number is null and trim(coalesce(doc_name, '')) <> ''").drop("doc_number")
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(T.WORD), F.lit(0))
+    # Inside a name, only its first and last word may be cut off words in the title; the longest of the others has to stand whole.
+    inner = lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
+    named = named.withColumn("_word", F.try_element_at(F.array_sort(F.transform(inner(words(F.col("doc_name"))), lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))), F.lit(-1))["w"])
+    contains = F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower("doc_name"))
+    worded = docs.withColumn("_word", F.explode(F.array_distinct(words(F.coalesce("title", F.lit("")))))).join(named.where("_word is not null"), "_word").where(contains)
+    short = named.where("_word is null")
+    if (short.agg(F.sum(F.octet_length("doc_name") + 64)).first()[0] or 0) > NAMED_BYTES:
+        raise ValueError("too many references by names of one or two words in a batch")
+    loose = docs.join(F.broadcast(short), contains)
+    by_name = worded.unionByName(loose).withColumn("cost", F.length("title")).select(*cols)
+    found = citations(by_number.unionByName(by_name).withColumn("_key", F.concat_ws(":", "question_id", "ref")), "_key", F.struct("cost", "doc_id"))
+    return found.drop("_key", "cost")
+
+
+def structured(intents: DataFrame, documents: DataFrame, chunks: DataFrame, edges: DataFrame, article: str = "article", fallback: DataFrame | None = None) -> DataFrame:
     """intents(question_id, intent, references) -> question_id, ref, kind, chunk_uid or related document, position.
 
-    References find their document by number, else by a title that contains the name (the
-    shortest title, then doc_id). Related documents for list_related; the document within a
-    character budget for summarize_doc; the article's chunks, else all, for explain_article and
-    compare (the first eight each).
+    Related documents for list_related; the document within a character budget for summarize_doc; the article's
+    chunks, else all, of the first reference for explain_article; the first eight chunks each of the first two for compare. Only
+    the first reference counts otherwise. Questions for which nothing is found take their rows of ``fallback``(question_id,
+    item, position), such as a hybrid search's hits, as kind "fallback".
     """
     refs = intents.select("question_id", "intent", F.posexplode("references").alias("ref", "r")).select("question_id", "intent", "ref", "r.*")
-    docs = documents.select("doc_id", "doc_number", "title")
-    by_number = refs.where("doc_number is not null").drop("doc_name").join(docs.drop("title"), "doc_number").withColumn("cost", F.lit(0))
-    named = refs.where("doc_number is null and doc_name is not null").drop("doc_number")
-    # A batch of questions is small and titles are many: the questions' side is counted and sent around.
-    if named.limit(MAX_NAMED + 1).count() > MAX_NAMED:
-        raise ValueError(f"more than {MAX_NAMED} named references in a batch")
-    by_name = docs.join(F.broadcast(named), F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower("doc_name"))).withColumn("cost", F.length("title"))
-    cols = ["question_id", "intent", "ref", "article", "doc_id", "doc_number", "cost"]
-    found = by_number.withColumnRenamed(article, "article").select(*cols).unionByName(by_name.withColumnRenamed(article, "article").select(*cols))
-    found = citations(found.withColumn("_key", F.concat_ws(":", "question_id", "ref")), "_key", F.struct("cost", "doc_id")).drop("_key", "cost")
+    refs = refs.where("ref = 0 or intent = 'compare' and ref = 1")
+    found = found_documents(refs, documents, article)
     texts = found.where("intent <> 'list_related'").join(chunks.select("doc_id", "chunk_uid", "chunk_order", "text", F.col("article").alias("in_article")), "doc_id")
     texts = texts.withColumn("group", F.concat_ws(":", "question_id", "ref"))
-    wanted = F.col("article").isNotNull() & F.regexp_extract(F.lower(F.coalesce("in_article", F.lit(""))), r"\d+", 0).try_cast("int").eqNullSafe(F.col("article").try_cast("int"))
-    texts = texts.withColumn("hit", wanted.cast("int")).withColumn("any_hit", F.max("hit").over(Window.partitionBy("group")))
-    texts = texts.where("intent = 'summarize_doc' or any_hit = 0 or hit = 1")
     budget = within_budget(texts.where("intent = 'summarize_doc'"), "group", "chunk_order", "text", SUMMARY_CHARS).drop("cum")
     order = Window.partitionBy("group").orderBy("chunk_order")
-    others = texts.where("intent <> 'summarize_doc'").withColumn("_n", F.row_number().over(order)).where(f"intent <> 'compare' or _n <= {COMPARE_CHUNKS}").drop("_n")
+    others = article_chunks(texts.where("intent <> 'summarize_doc'")).withColumn("_n", F.row_number().over(order)).where(f"intent <> 'compare' or _n <= {COMPARE_CHUNKS}").drop("_n")
     passages = budget.unionByName(others).select("question_id", "ref", F.lit("chunk").alias("kind"), F.col("chunk_uid").alias("item"), F.col("chunk_order").cast("long").alias("position"))
     asked = found.where("intent = 'list_related'").select("question_id", "ref", F.col("doc_number").alias("center"))
     out = asked.join(edges, F.col("center") == F.col("src")).select("question_id", "ref", F.concat_ws(" ", "rel_type", F.lit("out"), "dst").alias("item"))
     into = asked.join(edges, F.col("center") == F.col("dst")).select("question_id", "ref", F.concat_ws(" ", "rel_type", F.lit("in"), "src").alias("item"))
     related = out.unionByName(into).distinct().select("question_id", "ref", F.lit("related").alias("kind"), "item", F.lit(None).cast("long").alias("position"))
-    return passages.unionByName(related)
+    rows = passages.unionByName(related)
+    if fallback is None:
+        return rows
+    lost = intents.select("question_id").join(rows.select("question_id"), "question_id", "left_anti")
+    spare = fallback.join(lost, "question_id", "left_semi")
+    return rows.unionByName(spare.select("question_id", F.lit(None).cast("int").alias("ref"), F.lit("fallback").alias("kind"), "item", F.col("position").cast("long").alias("position")))

@@ -121,3 +121,31 @@ def gold(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], don
             yield part.assign(embedding=vectors)
 
     return todo.select(*kept).mapInPandas(run, schema)
+
+
+def hierarchy_path(metadata: Column, parts: dict[str, Column]) -> Column:
+    """metadata map<string,string> with the path of chapter, section, article, clause and point as JSON; the path wins."""
+    path = F.to_json(F.struct(*[F.coalesce(c, F.lit(None).cast("string")).alias(n) for n, c in parts.items()]), {"ignoreNullFields": "false"})
+    rest = F.map_filter(F.coalesce(metadata, F.create_map().cast("map<string,string>")), lambda k, v: k != "hierarchy_path")
+    return F.map_concat(rest, F.create_map(F.lit("hierarchy_path"), path))
+
+
+def embed_questions(questions: DataFrame, embed: Callable[[list[str]], list[list[float]]], text: str = "question", batch: int = 32) -> DataFrame:
+    """Every row with the vector of its question; each distinct question is embedded once, however often it is asked."""
+    distinct = questions.select(F.col(text).alias("_q")).where("_q is not null").distinct()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            texts = part["_q"].tolist()
+            vectors = [v for i in range(0, len(texts), batch) for v in embed(texts[i : i + batch])]
+            if len(vectors) != len(texts):
+                raise ValueError(f"{len(texts)} questions gave {len(vectors)} vectors")
+            yield part.assign(embedding=vectors)
+
+    vectors = distinct.mapInPandas(run, "_q string, embedding array<float>")
+    return questions.join(vectors, F.col(text) == F.col("_q"), "left").drop("_q")
+
+
+def with_scores(samples: DataFrame, scores: DataFrame, key: str = "id") -> DataFrame:
+    """Metadata of samples beside their scores, joined by id and not by place; either side may lack a row."""
+    return samples.join(scores, key, "full")

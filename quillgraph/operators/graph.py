@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,27 +24,33 @@ def merge_edges(relations: DataFrame, documents: DataFrame) -> DataFrame:
     ).select("src", "dst", "dst_doc_id", "rel_type", "p.relation_type", "p.relation_source")
 
 
+#: Frontier nodes up to which they are sent to the edges; a larger frontier is joined by a shuffle.
+BROADCAST_NODES = 100_000
+
+
 def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_related: int | None = None) -> DataFrame:
     """edges(edge_id, src, dst, rel_type), seeds(id) -> id, hop, rel_types, graph_score.
 
-    Undirected paths of 1 to ``depth`` edges, no edge twice in a path; end points are not seeds;
-    the shortest path's types (least in order among equals) stand for a node. Each round keeps
-    one row a (node, path), a bounded loop of frontier joins.
+    Undirected, breadth first: one row a node, with its least hop count up to ``depth`` and, of its shortest paths, the
+    types that order first. A shortest path meets no node or edge twice, so nodes met before are dropped
+    from each round, and a hub costs one row however many paths lead to it. Seeds are no results.
     """
-    both = edges.select("edge_id", F.col("src").alias("a"), F.col("dst").alias("b"), "rel_type").unionByName(
-        edges.where("src <> dst").select("edge_id", F.col("dst").alias("a"), F.col("src").alias("b"), "rel_type")
-    )
-    frontier = seeds.select(F.col("id").alias("at")).distinct().select("at", F.array().cast("array<long>").alias("path"), F.array().cast("array<string>").alias("types"))
-    reached = None
+    if depth < 1 or max_related is not None and max_related < 0:
+        raise ValueError("depth must be 1 or more and max_related 0 or more")
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel_type").unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "rel_type"))
+    both = both.where("a is not null and b is not null")
+    met = seeds.select("id").where("id is not null").distinct()
+    frontier, rounds = met.withColumn("types", F.array().cast("array<string>")), []
     for hop in range(1, depth + 1):
-        step = frontier.join(both, F.col("at") == F.col("a")).where(~F.array_contains("path", F.col("edge_id")))
-        frontier = step.select(F.col("b").alias("at"), F.concat("path", F.array("edge_id")).alias("path"), F.concat("types", F.array("rel_type")).alias("types"))
-        here = frontier.groupBy("at").agg(F.min("types").alias("types")).select(F.col("at").alias("id"), F.lit(hop).alias("hop"), "types")
-        reached = here if reached is None else reached.unionByName(here)
-    best = reached.groupBy("id").agg(F.min(F.struct("hop", "types")).alias("m")).where("id is not null")
-    best = best.join(seeds.select("id"), "id", "left_anti")
-    out = best.select("id", F.col("m.hop").alias("hop"), F.col("m.types").alias("rel_types"), F.round(1.0 / F.col("m.hop"), 4).alias("graph_score"))
-    return out.orderBy("hop", "id").limit(max_related) if max_related else out
+        from_here = frontier.select(F.col("id").alias("a"), "types")
+        few = from_here.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+        step = both.join(F.broadcast(from_here) if few else from_here, "a")
+        step = step.groupBy(F.col("b").alias("id")).agg(F.min(F.concat("types", F.array("rel_type"))).alias("types"))
+        frontier = step.join(met, "id", "left_anti")
+        rounds.append(frontier.select("id", F.lit(hop).alias("hop"), F.col("types").alias("rel_types"), F.lit(round(1.0 / hop, 4)).alias("graph_score")))
+        met = met.unionByName(frontier.select("id"))
+    out = reduce(DataFrame.unionByName, rounds)
+    return out.orderBy("hop", "id").limit(max_related) if max_related is not None else out
 
 
 def neighbours(edges: DataFrame, center: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.config import check_search
 from . import graph as G
 from . import retrieval as R
 
@@ -15,11 +16,12 @@ MAX_SEEDS = 20
 
 @dataclass(frozen=True)
 class Corpus:
-    """gold(chunk_uid, doc_id, chunk_order, text, vector, ...), documents(doc_id, ...), edges(edge_id, src, dst, rel_type) between doc_ids."""
+    """gold(chunk_uid, doc_id, chunk_order, vector, and the searched ``text``), documents(doc_id, ...), edges(edge_id, src, dst, rel_type) between doc_ids."""
 
     gold: DataFrame
     documents: DataFrame
     edges: DataFrame
+    text: str = "text"
 
 
 def search(corpus: Corpus, query_vector: list[float], terms: list[str], top_k: int = 5, alpha: float = 0.7, threshold: float | None = 0.3, filters: dict | None = None, doc_type: str | None = None, depth: int = 2, max_related: int | None = None, graph: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -27,8 +29,9 @@ def search(corpus: Corpus, query_vector: list[float], terms: list[str], top_k: i
 
     Each source gives 2 * top_k. The graph starts from at most ``MAX_SEEDS`` documents of the vector
     hits and gives the first three chunks of each document it reaches; without such chunks its
-    weight goes and the others stay as they are.
+    weight goes and the others stay as they are. Out of range requests raise.
     """
+    check_search(top_k=top_k, alpha=alpha, depth=depth, top_k_graph=max_related)
     spark = corpus.gold.sparkSession
     query = spark.createDataFrame([(0, [float(x) for x in query_vector])], "query_id int, query_vector array<double>")
     vectors = corpus.gold.withColumnRenamed("chunk_uid", "id")
@@ -36,21 +39,21 @@ def search(corpus: Corpus, query_vector: list[float], terms: list[str], top_k: i
     searched = corpus.gold
     if doc_type is not None:
         searched = searched.join(corpus.documents.where(F.col("doc_type") == doc_type).select("doc_id"), "doc_id", "left_semi")
-    said = R.max_normalized(R.top(R.bm25(searched, terms, "chunk_uid", "text"), 2 * top_k))
+    said = R.max_normalized(R.top(R.bm25(searched, terms, "chunk_uid", corpus.text), 2 * top_k))
     lists = [R.ranked(near, "vector", 0), R.ranked(said, "keyword", 1)]
     if graph:
         place = corpus.gold.select(F.col("chunk_uid").alias("id"), "doc_id", "chunk_order")
         seeds = lists[0].join(place, "id").groupBy("doc_id").agg(F.min("rank").alias("r")).orderBy("r").limit(MAX_SEEDS).select(F.col("doc_id").alias("id"))
-        reached = G.expand(corpus.edges, seeds, depth, max_related or 2 * top_k).withColumnRenamed("id", "doc_id")
+        reached = G.expand(corpus.edges, seeds, depth, 2 * top_k if max_related is None else max_related).withColumnRenamed("id", "doc_id")
         found = G.first_chunks(place, reached)
         order = Window.partitionBy("list_idx").orderBy("hop", "doc_id", "chunk_order")
         tied = found.select("id", F.col("graph_score").alias("score"), F.lit("graph").alias("source"), F.lit(2).alias("list_idx"), "hop", "doc_id", "chunk_order")
-        lists.append(tied.withColumn("rank", F.row_number().over(order)).select("id", "score", "source", "list_idx", "rank"))
+        lists.append(tied.withColumn("rank", F.row_number().over(order)).select("id", "score", "source", "list_idx", "rank"))  # three chunks of each related document
     counts = {name: df.agg(F.count(F.lit(1)).alias(f"{name}_count")) for name, df in zip(("vector", "keyword", "graph"), lists)}
     use_graph = graph and lists[-1].limit(1).count() > 0
     fused = R.rrf(lists, R.fusion_weights(alpha, use_graph)[: len(lists)])
     best = fused.orderBy(F.col("rrf_score").desc(), "first_list", "first_rank").limit(top_k)
-    hits = best.join(corpus.gold.drop("vector").withColumnRenamed("chunk_uid", "id"), "id").orderBy(F.col("rrf_score").desc(), "first_list", "first_rank")
+    hits = corpus.gold.drop("vector").withColumnRenamed("chunk_uid", "id").join(F.broadcast(best), "id").orderBy(F.col("rrf_score").desc(), "first_list", "first_rank")
     stats = fused.agg(F.count(F.lit(1)).alias("total_unique")).withColumn("alpha", F.lit(alpha))
     for one in counts.values():
         stats = stats.crossJoin(one)  # single rows

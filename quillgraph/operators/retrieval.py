@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,8 +15,12 @@ from ..functions import vector as V
 
 K1, B = 1.2, 0.75
 RRF_K = 60
-#: Query vectors up to which they are broadcast at once; more go in blocks.
-MAX_QUERIES = 10_000
+#: Hits that one ranked list holds.
+MAX_LIST = 10_000
+#: Bytes of query vectors that are sent to every task at once; more go in blocks of about this size.
+QUERY_BYTES = 32 << 20
+#: Scores computed at a time in a task.
+SCORES = 4_000_000
 
 
 def payload_filter(columns: list[str], filters: dict) -> Column:
@@ -34,28 +41,73 @@ def payload_filter(columns: list[str], filters: dict) -> Column:
 def knn(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, metric: str = "cosine", filters: dict | None = None) -> DataFrame:
     """corpus(id, vector, ...), queries(query_id, query_vector) -> query_id, id, score, rank.
 
-    Exact: filters reach the scan, then each query scores every row, and the best k are kept
-    by partial top-k before the shuffle. The query side is counted; above ``MAX_QUERIES`` it is
-    taken in blocks by a hash of query_id, half as large on average, and each is broadcast.
+    Exact: filters reach the scan, then each query scores every row. Scores are rounded to six digits for the
+    order, ties go to the least id. Each task keeps its best ``k`` of a batch, and a ranked window merges
+    them. Vectors that are null, of another width or, for cosine, zero have no score and are left out.
+    """
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    scored = similar(corpus, queries, threshold, metric, filters, k)
+    order = Window.partitionBy("query_id").orderBy(F.col("key").desc(), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("key")
+
+
+def similar(corpus: DataFrame, queries: DataFrame, threshold: float | None = None, metric: str = "cosine", filters: dict | None = None, k: int | None = None) -> DataFrame:
+    """query_id, id, score, key (the score rounded) of every pair, or of the best ``k`` of each batch.
+
+    The queries' bytes are counted: up to ``QUERY_BYTES`` they go to every task, which multiplies matrices; beyond
+    that blocks of them are broadcast in turn, and pairs are scored by expressions.
     """
-    n = queries.count()
-    blocks = 1 if n <= MAX_QUERIES else -(-2 * n // MAX_QUERIES)
     if filters:
         corpus = corpus.where(payload_filter(corpus.columns, filters))
-    score = V.metric(metric)(F.col("vector"), F.col("query_vector"))
-    rows = corpus.select("id", F.col("vector").cast("array<double>").alias("vector"))
-    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+    rows = corpus.select("id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector")).where("query_vector is not null")
+    held, width = asked.agg(F.coalesce(F.sum(F.size("query_vector")), F.lit(0)), F.coalesce(F.max(F.size("query_vector")), F.lit(0))).first()
+    if 8 * held <= QUERY_BYTES:
+        return _by_matrix(rows, asked, width, threshold, V.name_of(metric), k)
+    blocks = -(-16 * held // QUERY_BYTES)
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    best = [_best(rows, asked.where(block == i) if blocks > 1 else asked, score, k, threshold) for i in range(blocks)]
-    return reduce(DataFrame.unionByName, best)
-
-
-def _best(rows: DataFrame, asked: DataFrame, score: Column, k: int, threshold: float | None) -> DataFrame:
-    scored = rows.join(F.broadcast(asked), F.lit(True)).select("query_id", "id", score.alias("score"))
-    if threshold is not None:
-        scored = scored.where(F.col("score") >= threshold)
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    score = V.metric(metric)(F.col("vector"), F.col("query_vector"))
+    return reduce(DataFrame.unionByName, [_by_expression(rows, asked.where(block == i), score, threshold) for i in range(blocks)])
+
+
+def _by_expression(rows: DataFrame, asked: DataFrame, score: Column, threshold: float | None) -> DataFrame:
+    pairs = rows.join(F.broadcast(asked), F.size("vector") == F.size("query_vector")).select("query_id", "id", score.alias("score")).where("score is not null")
+    pairs = pairs if threshold is None else pairs.where(F.col("score") >= threshold)
+    return pairs.withColumn("key", F.round("score", 6))
+
+
+def _by_matrix(rows: DataFrame, asked: DataFrame, width: int, threshold: float | None, metric: str, k: int | None) -> DataFrame:
+    spark = rows.sparkSession
+    table = asked.where(F.size("query_vector") == width).toArrow()  # at most QUERY_BYTES
+    names = table.column("query_id").combine_chunks()
+    matrix = np.array(table.column("query_vector").combine_chunks().flatten(), float).reshape(-1, width) if width else np.empty((0, 0))
+    matrix, sound = V.prepared(matrix, metric)
+    shared = spark.sparkContext.broadcast((names.filter(pa.array(sound)), matrix[sound]))
+    kinds = {f.name: f.dataType.simpleString() for f in [asked.schema["query_id"], rows.schema["id"]]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, q = shared.value
+        for batch in batches if len(q) else ():
+            vectors = batch.column("vector")
+            vectors = vectors if isinstance(vectors, pa.Array) else vectors.combine_chunks()
+            v, sound = V.prepared(np.asarray(vectors.flatten(), float).reshape(-1, width), metric)
+            ids, v = batch.column("id").filter(pa.array(sound)), v[sound]
+            step = max(1, SCORES // max(1, len(v)))
+            for at in range(0, len(q), step):
+                scores = V.scores(v, q[at : at + step], metric)
+                keys = np.floor(np.abs(scores) * 1e6 + 0.5) * np.sign(scores) / 1e6
+                x, y = np.nonzero((scores >= threshold) if threshold is not None else np.isfinite(scores))
+                if k is not None and len(x):
+                    place = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")  # ties: least id
+                    order = np.lexsort((place[x], -keys[x, y], y))
+                    x, y = x[order], y[order]
+                    first = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
+                    rank = np.arange(len(y)) - np.repeat(first, np.diff(np.append(first, len(y))))
+                    x, y = x[rank < k], y[rank < k]
+                yield pa.RecordBatch.from_arrays([queries.take(pa.array(y + at)), ids.take(pa.array(x)), pa.array(scores[x, y]), pa.array(keys[x, y])], names=["query_id", "id", "score", "key"])
+
+    return rows.where(F.size("vector") == width).mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double, key double")
 
 
 def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -64,26 +116,59 @@ def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return said.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(chunks: DataFrame, terms: list[str], id_col: str = "chunk_uid", text_col: str = "chunk_text", k1: float = K1, b: float = B) -> DataFrame:
-    """OR query: id, score. Frequencies of the asked terms are computed in the row, so only matching rows move."""
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_postings(chunks: DataFrame, path: str, id_col: str = "chunk_uid", text_col: str = "chunk_text", buckets: int = 64) -> None:
+    """The full-text index as files: postings by term bucket, sorted by term so that a search skips row groups, and one row of statistics."""
+    said = chunks.select(F.size(T.words(text_col)).alias("dl"))
+    said.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/stats")
+    rows = postings(chunks, id_col, text_col).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    # A frequent term's list is split by id; sorted files keep each term's postings together.
+    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def search_postings(spark: SparkSession, path: str, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
+    """OR query over a stored index: id, score. Only the asked terms' buckets and row groups are read."""
+    stats = spark.read.parquet(f"{path}/stats").first()
+    terms = list(dict.fromkeys(terms))
+    asked = spark.createDataFrame([(t,) for t in terms], "term string").select("term", bucket_of(F.col("term"), stats.buckets).alias("bucket")).collect()  # the asked terms
+    rows = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin([r.bucket for r in asked]) & F.col("term").isin(terms))
+    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row an asked term
+    part = _idf(F.lit(stats.n), F.col("df")) * _tf_part(F.col("tf"), F.col("dl"), F.lit(stats.avgdl), k1, b)
+    return rows.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(part).alias("score"))
+
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def _tf_part(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
+def bm25(chunks: DataFrame, terms: list[str], id_col: str = "chunk_uid", text_col: str = "chunk_text", k1: float = K1, b: float = B, carry: tuple[str, ...] = ()) -> DataFrame:
+    """OR query: id, score, and the columns of ``carry``. Frequencies of the asked terms are computed in the row, so only
+    matching rows move; the statistics come from a pass of their own that reads the text column only."""
     terms = list(dict.fromkeys(terms))
-    said = chunks.select(F.col(id_col).alias("id"), T.words(text_col).alias("words")).withColumn("dl", F.size("words"))
-    tf = lambda t: F.size(F.filter("words", lambda w: w == t))
-    counted = said.select("id", "dl", *[tf(t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    words = chunks.select(T.words(text_col).alias("words"))
+    has = lambda t: F.array_contains("words", t)
+    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avgdl"), *[F.count_if(has(t)).alias(f"df{i}") for i, t in enumerate(terms)]).first()
+    said = chunks.select(F.col(id_col).alias("id"), *carry, T.words(text_col).alias("words")).where(T.any_of([has(t) for t in terms]))
+    size = F.size("words")
     total = F.lit(0.0)
-    for i in range(len(terms)):
-        f, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        total = total + F.when(f > 0, idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
-    hit = T.any_of([F.col(f"tf{i}") > 0 for i in range(len(terms))])
-    return counted.where(hit).join(F.broadcast(stats), F.lit(True)).select("id", total.alias("score"))
+    for i, t in enumerate(terms):
+        tf = size - F.size(F.array_remove("words", t))
+        idf = F.log(F.lit(1 + (stats.n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)))
+        total = total + F.when(tf > 0, idf * _tf_part(tf, size, F.lit(stats.avgdl), k1, b)).otherwise(0.0)
+    return said.select("id", *carry, total.alias("score"))
 
 
 def max_normalized(hits: DataFrame, score: str = "score") -> DataFrame:
-    """Scores over the largest; zero when that isn't positive."""
-    top = F.max(score).over(Window.partitionBy())
-    return hits.withColumn(score, F.when(top > 0, F.col(score) / top).otherwise(0.0))
+    """Scores over the largest; zero when that isn't positive. The largest is one row, found by a partial aggregate."""
+    top = hits.agg(F.max(score).alias("_top"))
+    return hits.join(F.broadcast(top), F.lit(True)).withColumn(score, F.when(F.col("_top") > 0, F.col(score) / F.col("_top")).otherwise(0.0)).drop("_top")
 
 
 def top(hits: DataFrame, k: int, score: str = "score", tie: str = "id") -> DataFrame:
@@ -91,10 +176,11 @@ def top(hits: DataFrame, k: int, score: str = "score", tie: str = "id") -> DataF
     return hits.orderBy(F.round(score, 6).desc_nulls_last(), tie).limit(k)
 
 
-def ranked(hits: DataFrame, source: str, list_idx: int) -> DataFrame:
-    """hits(id, score) -> id, score, source, list_idx, rank (1-based)."""
+def ranked(hits: DataFrame, source: str, list_idx: int, k: int = MAX_LIST) -> DataFrame:
+    """hits(id, score) -> id, score, source, list_idx, rank (1-based) of the best ``k``."""
     order = Window.partitionBy("list_idx").orderBy(F.round("score", 6).desc(), "id")
-    return hits.select("id", "score", F.lit(source).alias("source"), F.lit(list_idx).alias("list_idx")).withColumn("rank", F.row_number().over(order))
+    best = top(hits.select("id", "score"), k).select("id", "score", F.lit(source).alias("source"), F.lit(list_idx).alias("list_idx"))
+    return best.withColumn("rank", F.row_number().over(order))
 
 
 def rrf(lists: list[DataFrame], weights: list[float] | None = None, k: int = RRF_K) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import dashboards, relational, retrieval, scalar, streams
+from . import dashboards, relational, retrieval, scalar, services, streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (retrieval, relational, scalar, dashboards, streams):
+for _module in (retrieval, relational, scalar, dashboards, streams, services):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

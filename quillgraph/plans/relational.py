@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import text as T
 from ..operators import etl as E
 from ..operators import graph as G
 from ..operators import tables as M
+from ..sources import io as IO
 from . import surrogates as S
 from .dashboards import CHUNK_BUCKETS, PER_DOC, bucket_sql, per_document
 
@@ -48,16 +51,22 @@ def src3(s, d):
 
 @register("src4_json_documents", "SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role FROM conversations")
 def src4(s, d):
-    """Rows written as JSON text and read again through the document reader."""
-    c = S.raw(s, d, "conversations")
-    lines = c.select(F.to_json(F.struct("conv_id", "turn", "role")).alias("json"))
-    return E.read_json_rows(lines, "conv_id bigint, turn bigint, role string")
+    """Rows written as JSON files and read again through the document reader."""
+    path = IO.scratch_path(s, "json")
+    S.raw(s, d, "conversations").select("conv_id", "turn", "role").write.json(path)
+    return IO.json_documents(s, path, lines=True, schema="conv_id bigint, turn bigint, role string")
 
 
 @register("src7_table_scan", "SELECT count(*) AS n, sum(token_count) AS tokens FROM chk")
 def src7(s, d):
-    S.chunks(s, d).createOrReplaceTempView("qg_chunks")
-    return s.table("qg_chunks").agg(rows_n(), F.sum("token_count").alias("tokens"))
+    """A catalog table, made and scanned by name."""
+    name = f"qg_chunks_{uuid.uuid4().hex}"
+    S.chunks(s, d).select("chunk_uid", "token_count").write.format("parquet").option("path", IO.scratch_path(s, "table")).saveAsTable(name)
+    try:
+        row = s.table(name).agg(rows_n(), F.sum("token_count").alias("tokens")).first()
+    finally:
+        s.sql(f"DROP TABLE {name}")
+    return s.createDataFrame([tuple(row)], "n long, tokens long")
 
 
 @register("src8_literal_rows", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) v(id, name)")
@@ -70,9 +79,13 @@ def src10(s, d):
     return S.raw(s, d, "orders").where("o_orderkey = 7 or o_custkey = 370").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@register("src12_evaluation_set", "SELECT CAST(item_id AS VARCHAR) AS id, substr(text, 1, 40) AS question, 'c' || item_id % 7 AS category FROM benchmark")
+@register("src12_evaluation_set", "SELECT CAST(item_id AS VARCHAR) AS id, text AS question, 'c' || item_id % 7 AS category FROM benchmark")
 def src12(s, d):
-    return S.raw(s, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.substring("text", 1, 40).alias("question"), F.concat(F.lit("c"), (F.col("item_id") % 7).cast("string")).alias("category"))
+    """The evaluation set as JSON files, read back."""
+    path = IO.scratch_path(s, "evaluation")
+    rows = S.raw(s, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.concat(F.lit("c"), (F.col("item_id") % 7).cast("string")).alias("category"))
+    rows.write.json(path)
+    return IO.json_documents(s, path, lines=True, schema="id string, question string, category string")
 
 
 # ---- projections
@@ -231,7 +244,7 @@ def join7(s, d):
 RELATIONS = "rel AS (SELECT doc_id AS source_doc_id, CASE WHEN doc_id % 4 = 0 THEN 'X' ELSE 'D' END || (doc_id * 2) AS target_doc_number, CASE doc_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'amends by' ELSE ' cites ' END AS relation_type FROM doc)"
 
 
-def _relations(s, d):
+def relations(s, d):
     k = F.col("doc_id")
     number = F.concat(F.when(k % 4 == 0, "X").otherwise("D"), (k * 2).cast("string"))
     kind = F.when(k % 3 == 0, " ").when(k % 3 == 1, "amends by").otherwise(" cites ")
@@ -243,7 +256,7 @@ EDGES_SQL = f"WITH {RELATIONS} SELECT r.source_doc_id AS src, g.doc_id AS dst_do
 
 @register("join10_target_by_number", EDGES_SQL)
 def join10(s, d):
-    return G.merge_edges(_relations(s, d), S.documents(s, d)).select("src", "dst_doc_id", "dst", "rel_type")
+    return G.merge_edges(relations(s, d), S.documents(s, d)).select("src", "dst_doc_id", "dst", "rel_type")
 
 
 QUERIES["snk10_upsert_relations"], ORACLES["snk10_upsert_relations"] = join10, ORACLES["join10_target_by_number"]
@@ -439,13 +452,22 @@ def _log(s, d):
 
 @register("snk1_append", "SELECT doc_id FROM documents WHERE doc_id < 100 UNION ALL SELECT doc_id FROM documents WHERE doc_id >= 100")
 def snk1(s, d):
+    """Two appends to one table, read back."""
+    path = IO.scratch_path(s, "append")
     rows = S.raw(s, d, "documents").select("doc_id")
-    return rows.where("doc_id < 100").unionAll(rows.where("doc_id >= 100"))
+    IO.append(rows.where("doc_id < 100"), path)
+    IO.append(rows.where("doc_id >= 100"), path)
+    return s.read.schema(rows.schema).parquet(path)
 
 
 @register("snk2_overwrite", "SELECT doc_id, coalesce(status, 'active') AS status FROM doc")
 def snk2(s, d):
-    return S.documents(s, d).select("doc_id", F.coalesce("status", F.lit("active")).alias("status"))
+    """A table written, then replaced."""
+    path = IO.scratch_path(s, "overwrite")
+    docs = S.documents(s, d).select("doc_id", "status")
+    IO.overwrite(docs, path)
+    IO.overwrite(docs.select("doc_id", F.coalesce("status", F.lit("active")).alias("status")), path)
+    return s.read.parquet(path)
 
 
 @register("snk3_append_only_new", "SELECT chunk_uid, doc_id % 3 = 0 AS old FROM chk")

@@ -6,12 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vector as V
 from ..operators import answer as A
 from ..operators import graph as G
+from ..operators import hybrid as H
 from ..operators import retrieval as R
 from . import surrogates as S
+from ..sources.io import scratch_path
 from .dashboards import EXPAND_SQL
+from .relational import RELATIONS, relations
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -34,11 +36,12 @@ def _corpus(s, d):
     return S.raw(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
-def _queries(s, d, n=5):
-    return S.raw(s, d, "embeddings").where(f"vec_id < {n}").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+def _queries(s, d, test="vec_id % 100 = 0"):
+    """Every hundredth row is a query against all rows."""
+    return S.raw(s, d, "embeddings").where(test).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-VEC = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), q AS (SELECT id AS query_id, e AS qe FROM v WHERE id < 5)"
+VEC = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), q AS (SELECT id AS query_id, e AS qe FROM v WHERE id % 100 = 0)"
 SIM = {
     "cosine": "list_dot_product(e, qe) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(qe, qe)))",
     "dot": "list_dot_product(e, qe)",
@@ -78,27 +81,25 @@ def flt5(s, d):
 
 @register("flt6_score_threshold", f"WITH {VEC} SELECT query_id, count(*) AS n FROM v, q WHERE id <> query_id AND round({SIM['cosine']}, 6) >= 0.25 GROUP BY query_id")
 def flt6(s, d):
-    score = F.round(V.cosine(F.col("vector").cast("array<double>"), F.col("query_vector").cast("array<double>")), 6)
-    rows = _corpus(s, d).join(F.broadcast(_queries(s, d)), F.col("id") != F.col("query_id"))
-    return rows.where(score >= 0.25).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = R.similar(_corpus(s, d), _queries(s, d)).where("id <> query_id and key >= 0.25")
+    return pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("join17_query_by_corpus", f"WITH {VEC} SELECT query_id, id, round({SIM['dot']}, 6) AS score FROM v, q WHERE label = 1")
 def join17(s, d):
-    score = V.dot(F.col("vector").cast("array<double>"), F.col("query_vector").cast("array<double>"))
-    return _corpus(s, d).where("label = 1").join(F.broadcast(_queries(s, d)), F.lit(True)).select("query_id", "id", F.round(score, 6).alias("score"))
+    """Restricted to one label by a payload filter."""
+    return R.similar(_corpus(s, d), _queries(s, d), metric="dot", filters={"label": 1}).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @register("srt2_vector_topk", f"WITH {VEC} SELECT id, round({SIM['cosine']}, 6) AS score FROM v, q WHERE query_id = 0 AND id <> 0 ORDER BY score DESC, id LIMIT 20")
 def srt2(s, d):
-    score = V.cosine(F.col("vector").cast("array<double>"), F.col("query_vector").cast("array<double>"))
-    one = F.broadcast(_queries(s, d, 1))
-    return _corpus(s, d).where("id <> 0").join(one, F.lit(True)).select("id", F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), "id").limit(20)
+    hits = R.similar(_corpus(s, d), _queries(s, d, "vec_id = 0"), k=21).where("id <> 0")
+    return hits.select("id", F.col("key").alias("score")).orderBy(F.col("score").desc(), "id").limit(20)
 
 
 TF = " , ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(TERMS))
 BM25_SQL = f"""
-tok AS (SELECT chunk_uid AS id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM chk),
+tok AS (SELECT chunk_uid AS id, regexp_extract_all(lower(text || ' D' || doc_id), '[\\p{{L}}\\p{{N}}_]+') AS w FROM chk),
 tf AS (SELECT id, len(w) AS dl, {TF} FROM tok),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(TERMS)))} FROM tf),
 bm AS (SELECT id, {" + ".join(f"CASE WHEN tf{i} > 0 THEN ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END" for i in range(len(TERMS)))} AS score
@@ -106,8 +107,13 @@ bm AS (SELECT id, {" + ".join(f"CASE WHEN tf{i} > 0 THEN ln(1 + (n - df{i} + 0.5
 """
 
 
-def _bm25(s, d):
-    return R.bm25(S.chunks(s, d), TERMS, "chunk_uid", "text")
+def _searched(s, d):
+    """Chunks with the text that the full-text index covers: their own and their document's number."""
+    return S.chunks(s, d).withColumn("search_text", F.concat("text", F.lit(" D"), F.col("doc_id").cast("string")))
+
+
+def _bm25(s, d, carry=()):
+    return R.bm25(_searched(s, d), TERMS, "chunk_uid", "search_text", carry=carry)
 
 
 @register(
@@ -115,10 +121,9 @@ def _bm25(s, d):
     f"WITH {BM25_SQL}, tp AS (SELECT id, round(score, 6) AS score FROM bm ORDER BY score DESC, id LIMIT 20) SELECT tp.id, tp.score, g.doc_id, g.doc_number, g.title FROM tp JOIN chk c ON c.chunk_uid = tp.id JOIN doc g ON g.doc_id = c.doc_id",
 )
 def ret2(s, d):
-    best = R.top(_bm25(s, d), 20).select("id", F.round("score", 6).alias("score"))
-    keys = S.chunks(s, d).select(F.col("chunk_uid").alias("id"), "doc_id")
-    docs = S.documents(s, d).select("doc_id", "doc_number", "title")
-    return best.join(keys, "id").join(docs, "doc_id").select("id", "score", "doc_id", "doc_number", "title")
+    best = R.top(_bm25(s, d, ("doc_id",)), 20).select("id", F.round("score", 6).alias("score"), "doc_id")
+    docs = S.documents(s, d, labelled=False).select("doc_id", "doc_number", "title")
+    return docs.join(F.broadcast(best), "doc_id").select("id", "score", "doc_id", "doc_number", "title")  # twenty rows
 
 
 @register("srt3_keyword_topk", f"WITH {BM25_SQL} SELECT id, round(score, 6) AS score FROM bm ORDER BY score DESC, id LIMIT 50")
@@ -136,17 +141,17 @@ def src11(s, d):
     return _bm25(s, d).agg(F.count(F.lit(1)).alias("n"))
 
 
-# Two ranked lists over one id space: similarity to vector 0, and similarity to vector 1.
+# Two ranked lists over one id space: similarity to vector 0, and similarity to vector 100.
 LISTS = f"""
 {VEC},
-s0 AS (SELECT id, {SIM["cosine"]} AS score FROM v, q WHERE query_id = 0 AND id > 4), s1 AS (SELECT id, {SIM["cosine"]} AS score FROM v, q WHERE query_id = 1 AND id > 4),
+s0 AS (SELECT id, {SIM["cosine"]} AS score FROM v, q WHERE query_id = 0 AND id <> 0), s1 AS (SELECT id, {SIM["cosine"]} AS score FROM v, q WHERE query_id = 100 AND id <> 100),
 l0 AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank, 0 AS li, 'vector' AS source FROM s0 QUALIFY rank <= 20),
 l1 AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank, 1 AS li, 'keyword' AS source FROM s1 QUALIFY rank <= 20)"""
 
 
 def _lists(s, d):
-    hits = R.knn(_corpus(s, d).where("id > 4"), _queries(s, d, 2), 20)
-    return [R.ranked(hits.where(f"query_id = {i}"), name, i) for i, name in enumerate(("vector", "keyword"))]
+    hits = R.knn(_corpus(s, d), _queries(s, d, "vec_id in (0, 100)"), 21).where("id <> query_id")
+    return [R.ranked(hits.where(f"query_id = {100 * i}"), name, i, 20) for i, name in enumerate(("vector", "keyword"))]
 
 
 def rrf_sql(weights: list[float]) -> str:
@@ -260,31 +265,55 @@ def win2(s, d):
     return G.first_chunks(S.chunks(s, d), S.documents(s, d).select("doc_id")).select("chunk_uid", "rn")
 
 
-# Hybrid: vector list by line-position proxy is not in the fixture; chunks are ranked by two keyword lists and expanded along documents.
+# Hybrid search. A document's first chunk has the vector whose vec_id is the doc_id; other chunks have none. Relations tie documents.
+HYBRID_K, HYBRID_QUERY = 10, 0
 HYBRID = f"""
-WITH {BM25_SQL},
-k AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank FROM bm QUALIFY rank <= 10),
-t AS (SELECT chunk_uid AS id, row_number() OVER (ORDER BY token_count DESC, chunk_uid) AS rank FROM chk QUALIFY rank <= 10),
-sd AS (SELECT DISTINCT c.doc_id FROM t JOIN chk c ON c.chunk_uid = t.id),
-g AS (SELECT chunk_uid AS id, row_number() OVER (ORDER BY c.doc_id, c.chunk_order) AS rank FROM chk c JOIN sd ON c.doc_id = sd.doc_id + 1 WHERE c.chunk_order <= 3),
-a AS (SELECT id, rank, 0 AS li FROM t UNION ALL SELECT id, rank, 1 FROM k UNION ALL SELECT id, rank, 2 FROM g)
-SELECT id, round(sum(CASE li WHEN 0 THEN 0.7::DOUBLE WHEN 1 THEN 0.18::DOUBLE ELSE 0.12::DOUBLE END / (60 + rank)), 6) AS rrf_score, CAST(count(*) AS BIGINT) AS n_sources FROM a GROUP BY id
+WITH RECURSIVE {RELATIONS}, {BM25_SQL},
+dedge AS (SELECT DISTINCT r.source_doc_id AS src, g.doc_id AS dst, coalesce(nullif(replace(upper(trim(r.relation_type)), ' ', '_'), ''), 'REFERS_TO') AS rel_type FROM rel r JOIN doc g ON g.doc_number = r.target_doc_number),
+cv AS (SELECT c.chunk_uid AS id, c.doc_id, CAST(embedding AS DOUBLE[]) AS e FROM chk c JOIN embeddings ON vec_id = c.doc_id WHERE c.chunk_order = 1),
+sv AS (SELECT id, doc_id, score FROM (SELECT id, doc_id, {SIM["cosine"]} AS score FROM cv, (SELECT CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id = {HYBRID_QUERY})) WHERE score >= 0.3 ORDER BY round(score, 6) DESC, id LIMIT {2 * HYBRID_K}),
+l0 AS (SELECT id, doc_id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank FROM sv),
+kw AS (SELECT id, score FROM bm ORDER BY round(score, 6) DESC, id LIMIT {2 * HYBRID_K}),
+l1 AS (SELECT id, row_number() OVER (ORDER BY round(score / max_score, 6) DESC, id) AS rank FROM kw, (SELECT max(score) AS max_score FROM kw)),
+z AS (SELECT doc_id AS id FROM (SELECT doc_id, min(rank) AS r FROM l0 GROUP BY doc_id ORDER BY r LIMIT 20)),
+bw AS (SELECT src AS a, dst AS b, rel_type FROM dedge UNION ALL SELECT dst, src, rel_type FROM dedge),
+h1 AS (SELECT b AS id, min([rel_type]) AS types FROM bw JOIN z ON a = z.id GROUP BY b),
+n1 AS (SELECT * FROM h1 WHERE id NOT IN (SELECT id FROM z)),
+h2 AS (SELECT b AS id, min(list_append(types, rel_type)) AS types FROM n1 JOIN bw ON a = n1.id GROUP BY b),
+found AS (SELECT id, 1 AS hop FROM n1 UNION ALL SELECT id, 2 FROM h2 WHERE id NOT IN (SELECT id FROM z) AND id NOT IN (SELECT id FROM n1)),
+near AS (SELECT id, hop FROM found ORDER BY hop, id LIMIT {2 * HYBRID_K}),
+l2 AS (SELECT chunk_uid AS id, row_number() OVER (ORDER BY hop, c.doc_id, c.chunk_order) AS rank FROM near n JOIN chk c ON c.doc_id = n.id WHERE c.chunk_order <= 3),
+w AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM l2) THEN [0.7, 0.18, 0.12] ELSE [0.7, 0.18, 0] END::DOUBLE[] AS w),
+a AS (SELECT id, rank, 0 AS li FROM l0 UNION ALL SELECT id, rank, 1 FROM l1 UNION ALL SELECT id, rank, 2 FROM l2),
+f AS (SELECT id, round(sum(w[li + 1] / (60 + rank)), 6) AS rrf_score, min((li, rank)) AS first, string_agg(CASE li WHEN 0 THEN 'vector' WHEN 1 THEN 'keyword' ELSE 'graph' END, ',' ORDER BY li) AS sources FROM a, w GROUP BY id),
+t AS (SELECT id, rrf_score, sources FROM f ORDER BY rrf_score DESC, first LIMIT {HYBRID_K})
+SELECT t.id, rrf_score, sources, doc_id, chunk_order, token_count FROM t JOIN chk ON chunk_uid = t.id
 """
 
 
-@register("ret7_hybrid_search", HYBRID)
+def _hybrid_corpus(s, d):
+    vectors = S.raw(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).cast("long").alias("chunk_order"), F.col("embedding").alias("vector"))
+    gold = _searched(s, d).join(vectors, ["doc_id", "chunk_order"], "left")
+    docs = S.documents(s, d)
+    edges = G.merge_edges(relations(s, d), docs.select("doc_id", "doc_number")).where("dst_doc_id is not null")
+    edges = edges.select(F.xxhash64("src", "rel_type", "dst_doc_id").alias("edge_id"), "src", F.col("dst_doc_id").alias("dst"), "rel_type")
+    return H.Corpus(gold, docs, edges, text="search_text")
+
+
+@register("ret7_hybrid_search", HYBRID.replace("WITH RECURSIVE", "WITH"))
 def ret7(s, d):
-    """Token count stands for vector similarity and the next document for a graph neighbour, as the fixture ties neither to chunks."""
-    chunks = S.chunks(s, d)
-    vector = R.ranked(R.top(chunks.select(F.col("chunk_uid").alias("id"), F.col("token_count").cast("double").alias("score")), 10), "vector", 0)
-    keyword = R.ranked(R.top(_bm25(s, d), 10), "keyword", 1)
-    seeds = vector.join(chunks.select(F.col("chunk_uid").alias("id"), "doc_id"), "id").select((F.col("doc_id") + 1).alias("doc_id")).distinct()
-    near = chunks.join(seeds, "doc_id").where("chunk_order <= 3")
-    order = Window.partitionBy("list_idx").orderBy("doc_id", "chunk_order")
-    graph = near.select(F.col("chunk_uid").alias("id"), F.lit(1.0).alias("score"), F.lit("graph").alias("source"), F.lit(2).alias("list_idx"), "doc_id", "chunk_order")
-    graph = graph.withColumn("rank", F.row_number().over(order)).select("id", "score", "source", "list_idx", "rank")
-    weights = R.fusion_weights(0.7, graph.limit(1).count() > 0)
-    return R.rrf([vector, keyword, graph], weights).select("id", "rrf_score", F.size("sources").cast("long").alias("n_sources"))
+    """Vectors, terms and relations, fused; the query is the vector ``HYBRID_QUERY`` and three words."""
+    query = S.raw(s, d, "embeddings").where(f"vec_id = {HYBRID_QUERY}").first().embedding  # the question's one vector
+    hits, _ = H.search(_hybrid_corpus(s, d), query, TERMS, HYBRID_K)
+    return hits.select("id", "rrf_score", F.array_join("sources", ",").alias("sources"), "doc_id", "chunk_order", "token_count")
+
+
+@register("snk7_stored_postings", f"WITH {BM25_SQL}, tp AS (SELECT id, round(score, 6) AS score FROM bm ORDER BY score DESC, id LIMIT 20) SELECT * FROM tp")
+def snk7(s, d):
+    """The full-text index built as files and searched."""
+    path = scratch_path(s, "postings")
+    R.write_postings(_searched(s, d), path, "chunk_uid", "search_text")
+    return R.top(R.search_postings(s, path, TERMS), 20).select("id", F.round("score", 6).alias("score"))
 
 
 HITS = "h AS (SELECT chunk_uid, doc_id, text, row_number() OVER (ORDER BY token_count DESC, chunk_uid) AS rank FROM chk QUALIFY rank <= 30)"

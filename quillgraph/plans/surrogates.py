@@ -12,13 +12,16 @@ def raw(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def documents(spark: SparkSession, d: str) -> DataFrame:
-    docs, labels = raw(spark, d, "documents"), raw(spark, d, "labels").select("doc_id", "quality")
-    title = F.nullif(F.trim(F.get(F.split("text", "\n"), F.lit(0))), F.lit(""))
-    status = F.when(F.col("quality") == 1, "active").when(F.col("quality") == 0, "expired")
-    return docs.join(labels, "doc_id", "left").select(
-        "doc_id", F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("doc_number"), title.alias("title"), F.col("lang").alias("doc_type"), F.col("source").alias("issuing_body"), status.alias("status")
+def documents(spark: SparkSession, d: str, labelled: bool = True) -> DataFrame:
+    """``labelled``: with the status, which takes a join; the title is cut from the text before it."""
+    title = F.nullif(F.trim(F.substring_index("text", "\n", 1)), F.lit(""))
+    docs = raw(spark, d, "documents").select(
+        "doc_id", F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("doc_number"), title.alias("title"), F.col("lang").alias("doc_type"), F.col("source").alias("issuing_body")
     )
+    if not labelled:
+        return docs
+    status = F.when(F.col("quality") == 1, "active").when(F.col("quality") == 0, "expired").alias("status")
+    return docs.join(raw(spark, d, "labels").select("doc_id", status), "doc_id", "left")
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:

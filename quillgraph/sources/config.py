@@ -53,3 +53,28 @@ def validate(s: Settings) -> None:
         raise ValueError("need 0 < chunk_target <= chunk_limit and chunk_overlap >= 0")
     if not 1 <= s.top_k <= 20 or not 0 <= s.alpha <= 1 or s.graph_depth < 1:
         raise ValueError("need 1 <= top_k <= 20, 0 <= alpha <= 1 and graph_depth >= 1")
+
+
+def _within(name: str, value: float, low: float, high: float) -> None:
+    if not low <= value <= high:
+        raise ValueError(f"{name} must lie between {low} and {high}, not {value!r}")
+
+
+def check_search(top_k: int = 5, alpha: float = 0.7, depth: int = 2, top_k_graph: int | None = None, question: str | None = None) -> None:
+    """Bounds of a search request; raises with the field's name."""
+    _within("top_k", top_k, 1, 20)
+    _within("alpha", alpha, 0, 1)
+    _within("depth", depth, 1, 10)
+    if top_k_graph is not None:
+        _within("top_k_graph", top_k_graph, 0, 20)
+    if question is not None:
+        _within("length of the question", len(question), 3, 2000)
+
+
+def check_feedback(rating: int | None = None) -> None:
+    if rating is not None:
+        _within("rating", rating, 1, 5)
+
+
+def check_page(limit: int, most: int = 100) -> None:
+    _within("limit", limit, 1, most)

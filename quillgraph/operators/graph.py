@@ -24,8 +24,8 @@ def merge_edges(relations: DataFrame, documents: DataFrame) -> DataFrame:
     ).select("src", "dst", "dst_doc_id", "rel_type", "p.relation_type", "p.relation_source")
 
 
-#: Frontier nodes up to which they are sent to the edges; a larger frontier is joined by a shuffle.
-BROADCAST_NODES = 100_000
+#: Frontier nodes up to which they are held as rows and sent to the edges; a larger frontier is joined by a shuffle.
+BROADCAST_NODES = 10_000
 
 
 def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_related: int | None = None) -> DataFrame:
@@ -43,8 +43,10 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_related: int
     frontier, rounds = met.withColumn("types", F.array().cast("array<string>")), []
     for hop in range(1, depth + 1):
         from_here = frontier.select(F.col("id").alias("a"), "types")
-        few = from_here.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-        step = both.join(F.broadcast(from_here) if few else from_here, "a")
+        few = from_here.limit(BROADCAST_NODES + 1).collect()
+        if len(few) <= BROADCAST_NODES:  # computed once, here
+            from_here = F.broadcast(edges.sparkSession.createDataFrame(few, from_here.schema))
+        step = both.join(from_here, "a")
         step = step.groupBy(F.col("b").alias("id")).agg(F.min(F.concat("types", F.array("rel_type"))).alias("types"))
         frontier = step.join(met, "id", "left_anti")
         rounds.append(frontier.select("id", F.lit(hop).alias("hop"), F.col("types").alias("rel_types"), F.lit(round(1.0 / hop, 4)).alias("graph_score")))

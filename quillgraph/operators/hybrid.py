@@ -35,22 +35,22 @@ def search(corpus: Corpus, query_vector: list[float], terms: list[str], top_k: i
     spark = corpus.gold.sparkSession
     query = spark.createDataFrame([(0, [float(x) for x in query_vector])], "query_id int, query_vector array<double>")
     vectors = corpus.gold.withColumnRenamed("chunk_uid", "id")
-    near = R.knn(vectors, query, 2 * top_k, threshold, filters=filters).select("id", "score")
+    near = _held(R.knn(vectors, query, 2 * top_k, threshold, filters=filters).select("id", "score"))
     searched = corpus.gold
     if doc_type is not None:
         searched = searched.join(corpus.documents.where(F.col("doc_type") == doc_type).select("doc_id"), "doc_id", "left_semi")
-    said = R.max_normalized(R.top(R.bm25(searched, terms, "chunk_uid", corpus.text), 2 * top_k))
+    said = _held(R.max_normalized(R.top(R.bm25(searched, terms, "chunk_uid", corpus.text), 2 * top_k)))
     lists = [R.ranked(near, "vector", 0), R.ranked(said, "keyword", 1)]
     if graph:
         place = corpus.gold.select(F.col("chunk_uid").alias("id"), "doc_id", "chunk_order")
-        seeds = lists[0].join(place, "id").groupBy("doc_id").agg(F.min("rank").alias("r")).orderBy("r").limit(MAX_SEEDS).select(F.col("doc_id").alias("id"))
-        reached = G.expand(corpus.edges, seeds, depth, 2 * top_k if max_related is None else max_related).withColumnRenamed("id", "doc_id")
-        found = G.first_chunks(place, reached)
+        seeds = place.join(F.broadcast(lists[0]), "id").groupBy("doc_id").agg(F.min("rank").alias("r")).orderBy("r").limit(MAX_SEEDS).select(F.col("doc_id").alias("id"))
+        reached = _held(G.expand(corpus.edges, _held(seeds), depth, 2 * top_k if max_related is None else max_related)).withColumnRenamed("id", "doc_id")
+        found = G.first_chunks(place, F.broadcast(reached))
         order = Window.partitionBy("list_idx").orderBy("hop", "doc_id", "chunk_order")
         tied = found.select("id", F.col("graph_score").alias("score"), F.lit("graph").alias("source"), F.lit(2).alias("list_idx"), "hop", "doc_id", "chunk_order")
-        lists.append(tied.withColumn("rank", F.row_number().over(order)).select("id", "score", "source", "list_idx", "rank"))  # three chunks of each related document
+        lists.append(_held(tied.withColumn("rank", F.row_number().over(order)).select("id", "score", "source", "list_idx", "rank")))  # three chunks of each related document
     counts = {name: df.agg(F.count(F.lit(1)).alias(f"{name}_count")) for name, df in zip(("vector", "keyword", "graph"), lists)}
-    use_graph = graph and lists[-1].limit(1).count() > 0
+    use_graph = graph and not lists[-1].isEmpty()
     fused = R.rrf(lists, R.fusion_weights(alpha, use_graph)[: len(lists)])
     best = fused.orderBy(F.col("rrf_score").desc(), "first_list", "first_rank").limit(top_k)
     hits = corpus.gold.drop("vector").withColumnRenamed("chunk_uid", "id").join(F.broadcast(best), "id").orderBy(F.col("rrf_score").desc(), "first_list", "first_rank")
@@ -58,3 +58,8 @@ def search(corpus: Corpus, query_vector: list[float], terms: list[str], top_k: i
     for one in counts.values():
         stats = stats.crossJoin(one)  # single rows
     return hits, stats
+
+
+def _held(few: DataFrame) -> DataFrame:
+    """A list that ``top_k`` bounds, as rows: computed once, however often it is used."""
+    return few.sparkSession.createDataFrame(few.collect(), few.schema)

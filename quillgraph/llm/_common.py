@@ -6,56 +6,20 @@ import atexit
 import re
 import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import scratch_path as scratch
+
 #: Stands for a null doc_id inside the operators, and orders first; results give null again. A true doc_id of
 #: this one value would be taken for null.
 NULL_ID = -(2**63)
 #: Number of a row, for rows that share a doc_id or have none.
 ROW = "_qg_row"
 
-_made: list[str] = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the cluster's shared folder (``spark.checkpoint.dir``), removed when the driver ends.
-
-    Where that setting is absent a local master gets a folder of its own; on a cluster that raises, as
-    executors would not find each other's files there.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"{tempfile.gettempdir()}/checkpoints/quillgraph"
-    if not _made:
-        atexit.register(_sweep)
-    _made.append(path := f"{base}/{name}-{uuid.uuid4().hex}")
-    return path
-
-
-def _sweep() -> None:
-    """Removes what ``scratch`` gave out, by the file system of each path while the session lasts."""
-    from pyspark import SparkContext
-
-    context = SparkContext._active_spark_context
-    for path in _made:
-        try:
-            if context is not None and context._jsc is not None:
-                place = context._jvm.org.apache.hadoop.fs.Path(path)
-                place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
-            else:
-                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
-        except Exception:  # the session is gone: a local folder can still be removed
-            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
-
-
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once a context, for clusters that don't have it installed."""
     context = spark.sparkContext

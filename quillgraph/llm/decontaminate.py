@@ -11,7 +11,7 @@
    window, are proximity matches.
 
 Nothing pairs documents with documents; a passage in a third of all documents gives one
-alignment for each of them. Sides are broadcast only under ``BROADCAST_ROWS`` counted rows.
+alignment for each of them. Sides are broadcast only under ``BROADCAST_ROWS`` and ``BROADCAST_BYTES``, both counted.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from ._common import ROW, numbered, stored, without_rows
 WINDOW = 13
 NEAR = 9
 RATIO = 20
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,8 +41,10 @@ def _ends(parts: Column) -> tuple[Column, Column]:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it has few rows; else left to a shuffled join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df`` marked for broadcast if it has few rows and few bytes; else left to a shuffled join."""
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"), F.lit(8 * len(df.columns)))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:

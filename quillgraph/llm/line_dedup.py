@@ -25,7 +25,7 @@ BROADCAST_DIGESTS = 500_000
 #: Java and RE2 read these alike. Whole elements whose content is no text, then tags that end a line.
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 BREAKS = r"(?is)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
-TAGS = r"(?s)<[^>]*>"
+TAGS = r"(?s)</?[a-zA-Z][^>]*>|<[!?][^>]*>"
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
@@ -86,7 +86,7 @@ WITH p AS (
   FROM pages),
 t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 s AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY ALL),
-b AS (SELECT host, list(line) AS bad FROM s JOIN t USING (host) WHERE pages >= {MIN_PAGES} AND n > CAST({MAX_RATIO} AS DOUBLE) * pages GROUP BY host),
+b AS (SELECT host, list(line) AS bad FROM s JOIN t USING (host) WHERE pages >= {MIN_PAGES} AND n >= {MIN_REPEATS} AND n > CAST({MAX_RATIO} AS DOUBLE) * pages GROUP BY host),
 k AS (SELECT page_id, host, lines, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(bad, x)) END AS kept FROM p LEFT JOIN b USING (host))
 SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped,
   coalesce(array_to_string(kept, chr(10)), '') AS text FROM k

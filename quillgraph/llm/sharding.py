@@ -64,7 +64,9 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, seed: int = SEED
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    out = interleave(rows, F.col("doc_id"), F.col("source"), shards, seed)
+    # The text is in the key too: rows that share an id, or have none, spread like others.
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.col("text_crc32").cast("string"))
+    out = interleave(rows, key, F.col("source"), shards, seed)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
@@ -77,8 +79,8 @@ crc AS (SELECT text, xor(list_reduce([4294967295] || bytes, lambda a, b: xor(a >
 
 ORACLE = f"""
 WITH {CRC_SQL}, d AS (
-  SELECT doc_id, source, text, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS s,
-    md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+  SELECT doc_id, source, CASE WHEN none THEN NULL ELSE text END AS text, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS s,
+    md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || crc) AS h, crc FROM (SELECT doc_id, source, coalesce(text, '') AS text, text IS NULL AS none FROM documents) JOIN crc USING (text)),
 r AS (
   SELECT *, row_number() OVER (PARTITION BY s ORDER BY CAST('0x' || substr(h, 1, 8) AS BIGINT) % {BUCKETS}, h, doc_id) AS r,
     count(*) OVER (PARTITION BY s) AS n FROM d),
@@ -88,5 +90,5 @@ q AS (SELECT *, (p * {SHARDS}) // m AS shard FROM p)
 SELECT doc_id, CAST(coalesce(octet_length(encode(q.text)), 0) + 1 AS BIGINT) AS size,
   CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
   CAST(p - (shard * m + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source
-FROM q JOIN crc ON crc.text = coalesce(q.text, '')
+FROM q
 """

@@ -235,20 +235,20 @@ def test_lm_base_and_gain(spark):
 def test_lm_contexts_learn_from_every_training_document(spark):
     import pickle
 
-    d = docs(spark, [(i, f"the word {i} of {i % 7} is here") for i in range(200)]).select("doc_id", "text")
-    rows = d.coalesce(1).mapInArrow(lm_scoring._gather(10, 16), lm_scoring.MIXED).where("kind in (0, 2)").collect()
-    units = [pickle.loads(r.payload) for r in rows if r.kind == 0]
-    units = [u | {k: lm_scoring._swell(u[k]) for k in ("ids", "vocabulary", "ending")} for u in units]
-    learns = [np.array([not lm_scoring.held_out(i, 10) for i in u["docs"]]) for u in units]
+    rows = [(i, f"the word {i} of {i % 7} is here".encode()) for i in range(200)]
+    d = docs(spark, [(i, t.decode()) for i, t in rows]).select("doc_id", "text")
+    learns = np.array([not lm_scoring.held_out(i, 10) for i, _ in rows])
+    per = lm_scoring._unit(rows, learns)[0]["per"]
+    cells = lm_scoring._unit(rows, learns)[4]
+    rows = d.repartition(3).mapInArrow(lm_scoring._gather(10, 16), lm_scoring.MIXED).where("kind = 2").collect()
     table = np.zeros(lm_scoring.CONTEXTS * lm_scoring.CLASSES * lm_scoring.BUCKETS, np.int32)
     step = -(-len(table) // lm_scoring.PARTS)
     for r in rows:
         if r.kind == 2:
             at, n = pickle.loads(r.payload)
             table[r.part * step + lm_scoring._sorted_in(at).astype(np.int64)] += lm_scoring._swell(n)
-    assert table.sum() == lm_scoring.CONTEXTS * sum(u["per"][x].sum() for u, x in zip(units, learns))
-    for u, x in zip(units, learns):
-        lm_scoring.without(table, u, x)
+    assert table.sum() == lm_scoring.CONTEXTS * per[learns].sum()
+    np.subtract.at(table, cells, 1)
     assert not table.any()
 
 
@@ -642,6 +642,25 @@ def test_no_local_scratch_on_a_cluster(spark):
         _common.scratch(session, "x")
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark):
+    d = docs(spark, [(i, f"the {'word ' * (i % 9)} {i} of {i % 7} is {'x' * (i % 5)}q") for i in range(300)] + ODD)
+    score = lambda df: sorted((str(r.doc_id), r.n_tokens, r.base_score, r.score) for r in lm_scoring.score_documents(df).collect())
+    assert score(d.coalesce(1)) == score(d.repartition(8)) == score(d.repartition(3, "text"))
+
+
+def test_shards_of_rows_without_ids(spark):
+    rows = [(None, f"t{i}") for i in range(400)] + [(7, f"u{i}") for i in range(400)] + [(None, None)] * 40
+    out = sharding.shard_documents(docs(spark, rows, extra=True)).toPandas()
+    sizes = out.groupby("shard").size()
+    assert len(out) == len(rows) and sizes.max() - sizes.min() <= 1 and all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+
+
+def test_lines_keep_a_bare_angle(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/", "<p>a < b and c > d<br>x<b>z</b>")], "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "lines", "bad", "n", "kept")})
+    assert line_dedup.dedup_page_lines(pages).first().text == "a < b and c > d\nxz"
+    assert html_extract.extract_pages(pages.withColumn("text", F.lit(1))).first().page_id == 1
+
+
 def test_pipeline_equals_plain_code(spark, tmp_path):
     import xxhash
 

@@ -19,10 +19,16 @@ from ..sources.io import scratch_path as scratch
 NULL_ID = -(2**63)
 #: Number of a row, for rows that share a doc_id or have none.
 ROW = "_qg_row"
+BATCHES, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+#: The setting that decides, with file sizes, how files are cut into tasks.
+CUTS = "spark.sql.files.minPartitionNum"
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once a context, for clusters that don't have it installed."""
+    """Sends this package to the Python workers, once a context, for clusters that don't have it installed. Batches of texts on the way
+    to them hold ``BATCH`` rows, unless the session says otherwise: whole texts are long."""
     context = spark.sparkContext
+    if not spark.conf.get(BATCHES, None):
+        spark.conf.set(BATCHES, str(BATCH))
     if getattr(context, "_quillgraph_shipped", False):
         return
     top = Path(__file__).resolve().parent.parent
@@ -48,9 +54,13 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` with ``ROW``, a number that is the row's own whenever the frame is read again.
 
-    Numbers come from the place in the scan, which is the same each time only over files; any other plan is
-    written to the shared folder first.
+    Numbers come from the place in the scan, which is the same each time only over files that are cut alike; any other plan is
+    written to the shared folder first. Files are cut by the cores there are, so that losing an executor between two
+    reads would shift numbers: the count is fixed for the session, unless it is set already.
     """
+    spark = df.sparkSession
+    if not spark.conf.get(CUTS, None):
+        spark.conf.set(CUTS, str(spark.sparkContext.defaultParallelism))
     steps = set(re.findall(r"^[\s:+*|-]*(?:\(\d+\)\s*)?([A-Z]\w+)", df._jdf.queryExecution().sparkPlan().toString(), re.M))
     if "FileScan" not in steps or steps - {"FileScan", "Project", "Filter", "ColumnarToRow"}:
         df = stored(df, "rows")

@@ -33,7 +33,7 @@ CAPACITY = 4096
 BUCKET_BYTES = 64 << 20
 MAX_DEPTH = 20
 #: A task writes its entries out and starts a new local table at this many bytes of text.
-LOCAL_BYTES = 64 << 20
+LOCAL_BYTES = 32 << 20
 
 ENTRY = f"kind int, gid long, key long, prefix int, body binary, doc_id long, n_chars long, members long, sha string, {ROW} long"
 

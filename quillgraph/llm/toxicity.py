@@ -45,7 +45,7 @@ DICTIONARY = 2048
 MAX_STRINGS = 200
 #: A typical string is in this share of the toxic documents at least, after those chosen before it.
 MIN_SHARE = 0.02
-MEMORY = 400_000
+MEMORY = 200_000
 #: Longer words are scored like others but not remembered.
 MEMO_BYTES = 64
 CLASSES = 6
@@ -432,5 +432,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, folds: int = FOLDS) -> D
         for batch in batches:
             clean = np.array(_scores(batch.column("text"), model), float) < 0.5
             yield batch.filter(pa.array(clean, pa.bool_()))
+        _memo.clear()  # the worker goes on to other stages
+        pa.default_memory_pool().release_unused()
 
     return documents.mapInArrow(run, documents.schema)

@@ -629,7 +629,7 @@ def test_row_numbers_survive_a_shuffle(spark):
     for df in (docs(spark, CLASHES).repartition(3), spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 2 = 0")):
         rows = _common.numbered(df)
         first = {r[_common.ROW]: r.text for r in rows.select(_common.ROW, "text").collect()}
-        assert len(first) == df.count() and first == {r[_common.ROW]: r.text for r in rows.select("text", _common.ROW, "doc_id").collect()}
+        assert spark.conf.get(_common.CUTS) and len(first) == df.count() and first == {r[_common.ROW]: r.text for r in rows.select("text", _common.ROW, "doc_id").collect()}
 
 
 def test_no_local_scratch_on_a_cluster(spark):
@@ -701,3 +701,11 @@ def test_pipeline_equals_plain_code(spark, tmp_path):
     tok = Tokenizer.from_file(packing.default_tokenizer())
     ids = sorted(tuple([*tok.encode(t or "", add_special_tokens=False).ids, 2]) for _, t in clean)
     assert sum(r.length for r in packed) == sum(map(len, ids))
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

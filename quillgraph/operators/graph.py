@@ -29,7 +29,7 @@ BROADCAST_NODES = 10_000
 
 
 def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_related: int | None = None) -> DataFrame:
-    """edges(edge_id, src, dst, rel_type), seeds(id) -> id, hop, rel_types, graph_score.
+    """edges(src, dst, rel_type), seeds(id) -> id, hop, rel_types, graph_score.
 
     Undirected, breadth first: one row a node, with its least hop count up to ``depth`` and, of its shortest paths, the
     types that order first. A shortest path meets no node or edge twice, so nodes met before are dropped

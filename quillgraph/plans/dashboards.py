@@ -240,7 +240,7 @@ HUB = "(SELECT id FROM (SELECT id, count(*) AS n FROM (SELECT src AS id FROM edg
 def dash29(s, d):
     e = S.edges(s, d)
     hub = top(G.degrees(e), 1, "degree", "id").select("id")
-    return G.expand(e, hub, 2).select("id", "hop")
+    return G.expand(S.links(s, d), hub, 2).select("id", "hop")
 
 
 @register("dash30_keyword_exploration", "SELECT g.doc_id, g.title, c.chunk_uid FROM (SELECT doc_id, title FROM doc WHERE lower(title) LIKE '%the%' ORDER BY doc_id LIMIT 10) g LEFT JOIN chk c ON c.doc_id = g.doc_id")

@@ -204,40 +204,40 @@ def mth4(s, d):
 
 @register("ret3_graph_expand", f"WITH {EXPAND_SQL.format(seed='seed')} SELECT id, CAST(hop AS INTEGER) AS hop, array_to_string(types, '>') AS path, round(1.0::DOUBLE / hop, 4) AS graph_score FROM found")
 def ret3(s, d):
-    found = G.expand(S.edges(s, d), S.seeds(s, d), 2)
+    found = G.expand(S.links(s, d), S.seeds(s, d), 2)
     return found.select("id", "hop", F.array_join("rel_types", ">").alias("path"), "graph_score")
 
 
 @register("join8_variable_length_path", f"WITH {EXPAND_SQL.format(seed='seed')} SELECT CAST(hop AS INTEGER) AS hop, count(*) AS n FROM found GROUP BY hop")
 def join8(s, d):
-    return G.expand(S.edges(s, d), S.seeds(s, d), 2).groupBy("hop").agg(F.count(F.lit(1)).alias("n"))
+    return G.expand(S.links(s, d), S.seeds(s, d), 2).groupBy("hop").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("srt4_hop_order", f"WITH {EXPAND_SQL.format(seed='seed')} SELECT id, CAST(hop AS INTEGER) AS hop FROM found ORDER BY hop, id LIMIT 25")
 def srt4(s, d):
-    return G.expand(S.edges(s, d), S.seeds(s, d), 2, max_related=25).select("id", "hop")
+    return G.expand(S.links(s, d), S.seeds(s, d), 2, max_related=25).select("id", "hop")
 
 
 @register("agg8_first_path_types", f"WITH {EXPAND_SQL.format(seed='seed')} SELECT id, types[1] AS first_type, CAST(len(types) AS INTEGER) AS n_types FROM found")
 def agg8(s, d):
-    return G.expand(S.edges(s, d), S.seeds(s, d), 2).select("id", F.get("rel_types", F.lit(0)).alias("first_type"), F.size("rel_types").alias("n_types"))
+    return G.expand(S.links(s, d), S.seeds(s, d), 2).select("id", F.get("rel_types", F.lit(0)).alias("first_type"), F.size("rel_types").alias("n_types"))
 
 
 @register("flt16_endpoint_filter", "WITH b AS (SELECT dst AS id FROM edge JOIN seed ON src = seed.id UNION SELECT src FROM edge JOIN seed ON dst = seed.id) SELECT id FROM b WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM seed)")
 def flt16(s, d):
-    return G.expand(S.edges(s, d), S.seeds(s, d), 1).select("id")
+    return G.expand(S.links(s, d), S.seeds(s, d), 1).select("id")
 
 
 @register("join9_one_hop_directions", "SELECT rel_type AS relation, 'out' AS direction, dst AS other FROM edge JOIN seed ON seed.id = src UNION SELECT rel_type, 'in', src FROM edge JOIN seed ON seed.id = dst")
 def join9(s, d):
-    return G.neighbours(S.edges(s, d), S.seeds(s, d))
+    return G.neighbours(S.links(s, d), S.seeds(s, d))
 
 
 @register("ret5_related_documents", "WITH c AS (SELECT id FROM seed ORDER BY id LIMIT 1) SELECT relation, direction, n.id AS doc_number, n.title, n.doc_type FROM (SELECT rel_type AS relation, 'out' AS direction, dst AS other FROM edge JOIN c ON c.id = src UNION SELECT rel_type, 'in', src FROM edge JOIN c ON c.id = dst) JOIN node n ON n.id = other")
 def ret5(s, d):
     center = S.seeds(s, d).orderBy("id").limit(1)
     nodes = S.edge_nodes(s, d).withColumnRenamed("id", "doc_number")
-    return G.neighbours(S.edges(s, d), center).join(nodes, F.col("other") == F.col("doc_number")).select("relation", "direction", "doc_number", "title", "doc_type")
+    return G.neighbours(S.links(s, d), center).join(nodes, F.col("other") == F.col("doc_number")).select("relation", "direction", "doc_number", "title", "doc_type")
 
 
 @register("flt7_locate_document", "SELECT doc_id, title FROM doc WHERE lower(coalesce(title, '')) LIKE '%the%' OR doc_number = 'D1' ORDER BY length(coalesce(title, '')), doc_id LIMIT 1")

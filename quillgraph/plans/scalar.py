@@ -271,7 +271,11 @@ def vec_norms(s, d):
     return S.raw(s, d, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding").cast("array<double>")), 6).alias("norm"))
 
 
-@register("hsh2_uuid5", None)
+@register(
+    "hsh2_uuid5",
+    "SELECT chunk_uid, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || printf('%02x', (CAST('0x' || substr(h, 17, 2) AS INTEGER) & 63) | 128) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS point_id"
+    " FROM (SELECT chunk_uid, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(chunk_uid)) AS h FROM chk)",
+)
 def hsh2(s, d):
     return S.chunks(s, d).select("chunk_uid", T.uuid5("chunk_uid").alias("point_id"))
 

@@ -48,11 +48,17 @@ def has_chunk(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id").join(chunks(spark, d).select("doc_id", "chunk_uid"), "doc_id")
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
+def links(spark: SparkSession, d: str) -> DataFrame:
+    """Edges as they are stored, parallel ones included: enough to traverse."""
     kind = F.when(F.col("l_returnflag") == "A", "AMENDS").when(F.col("l_returnflag") == "N", "MENTIONS").otherwise("REFERS_TO")
-    rows = raw(spark, d, "lineitem")
-    named = rows.select(F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("dst"), kind.alias("rel_type"), "l_linestatus")
-    return named.groupBy("src", "rel_type", "dst").agg(F.max("l_linestatus").alias("relation_type")).withColumn("edge_id", F.xxhash64("src", "rel_type", "dst"))
+    return raw(spark, d, "lineitem").select(
+        F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("dst"), kind.alias("rel_type"), "l_linestatus"
+    )
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    """One edge a (src, rel_type, dst)."""
+    return links(spark, d).groupBy("src", "rel_type", "dst").agg(F.max("l_linestatus").alias("relation_type")).withColumn("edge_id", F.xxhash64("src", "rel_type", "dst"))
 
 
 def edge_nodes(spark: SparkSession, d: str) -> DataFrame:

@@ -30,3 +30,22 @@ def test_entry_imports_without_the_training_data_package():
     import conftest
 
     subprocess.run([sys.executable, "-c", code], cwd=conftest.ROOT, check=True, timeout=120)
+
+
+def test_workers_need_no_installed_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    import conftest
+
+    code = (
+        f"import sys; sys.path.insert(0, {conftest.ROOT!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "import __spark_entry__ as e\n"
+        "for name in ('ret1_vector_search', 'str9_html_to_text', 'udf1_chunk_documents', 'ret11_answers'):\n"
+        f"    assert e.queries()[name](spark, {conftest.SF!r}).count() > 0\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=300)

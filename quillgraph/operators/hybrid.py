@@ -39,7 +39,7 @@ def search(corpus: Corpus, query_vector: list[float], terms: list[str], top_k: i
     searched = corpus.gold
     if doc_type is not None:
         searched = searched.join(corpus.documents.where(F.col("doc_type") == doc_type).select("doc_id"), "doc_id", "left_semi")
-    said = _held(R.max_normalized(R.top(R.bm25(searched, terms, "chunk_uid", corpus.text), 2 * top_k)))
+    said = R.max_normalized(_held(R.top(R.bm25(searched, terms, "chunk_uid", corpus.text), 2 * top_k)))
     lists = [R.ranked(near, "vector", 0), R.ranked(said, "keyword", 1)]
     if graph:
         place = corpus.gold.select(F.col("chunk_uid").alias("id"), "doc_id", "chunk_order")

@@ -149,20 +149,20 @@ def _tf_part(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Colu
 
 
 def bm25(chunks: DataFrame, terms: list[str], id_col: str = "chunk_uid", text_col: str = "chunk_text", k1: float = K1, b: float = B, carry: tuple[str, ...] = ()) -> DataFrame:
-    """OR query: id, score, and the columns of ``carry``. Frequencies of the asked terms are computed in the row, so only
-    matching rows move; the statistics come from a pass of their own that reads the text column only."""
+    """OR query: id, score, and the columns of ``carry``. Only words that were asked for move, counted a chunk;
+    the statistics come from a pass of their own that reads the text column only. Ids are distinct."""
     terms = list(dict.fromkeys(terms))
     words = chunks.select(T.words(text_col).alias("words"))
     has = lambda t: F.array_contains("words", t)
     stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avgdl"), *[F.count_if(has(t)).alias(f"df{i}") for i, t in enumerate(terms)]).first()
-    said = chunks.select(F.col(id_col).alias("id"), *carry, T.words(text_col).alias("words")).where(T.any_of([has(t) for t in terms]))
-    size = F.size("words")
+    said = chunks.select(F.col(id_col).alias("id"), *carry, T.words(text_col).alias("words")).withColumn("dl", F.size("words"))
+    said = said.select("id", *carry, "dl", F.explode("words").alias("term")).where(F.col("term").isin(terms))
+    counted = said.groupBy("id", *carry, "dl").agg(*[F.count_if(F.col("term") == t).alias(f"tf{i}") for i, t in enumerate(terms)])
     total = F.lit(0.0)
-    for i, t in enumerate(terms):
-        tf = size - F.size(F.array_remove("words", t))
+    for i in range(len(terms)):
         idf = F.log(F.lit(1 + (stats.n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)))
-        total = total + F.when(tf > 0, idf * _tf_part(tf, size, F.lit(stats.avgdl), k1, b)).otherwise(0.0)
-    return said.select("id", *carry, total.alias("score"))
+        total = total + F.when(F.col(f"tf{i}") > 0, idf * _tf_part(F.col(f"tf{i}"), F.col("dl"), F.lit(stats.avgdl), k1, b)).otherwise(0.0)
+    return counted.select("id", *carry, total.alias("score"))
 
 
 def max_normalized(hits: DataFrame, score: str = "score") -> DataFrame:

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.io import scratch_path as scratch
+from ..sources.io import ship as _ship
 
 #: Stands for a null doc_id inside the operators, and orders first; results give null again. A true doc_id of
 #: this one value would be taken for null.
@@ -24,22 +20,11 @@ BATCHES, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 CUTS = "spark.sql.files.minPartitionNum"
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once a context, for clusters that don't have it installed. Batches of texts on the way
-    to them hold ``BATCH`` rows, unless the session says otherwise: whole texts are long."""
-    context = spark.sparkContext
+    """Sends this package to the Python workers. Batches of texts on the way to them hold ``BATCH`` rows, unless the session says
+    otherwise: whole texts are long."""
     if not spark.conf.get(BATCHES, None):
         spark.conf.set(BATCHES, str(BATCH))
-    if getattr(context, "_quillgraph_shipped", False):
-        return
-    top = Path(__file__).resolve().parent.parent
-    folder = tempfile.mkdtemp()
-    atexit.register(shutil.rmtree, folder, True)
-    path = f"{folder}/{top.name}.zip"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
-        for file in sorted(top.rglob("*.py")):
-            archive.write(file, file.relative_to(top.parent))
-    context.addPyFile(path)
-    context._quillgraph_shipped = True
+    _ship(spark)
 
 
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

@@ -161,8 +161,19 @@ iw AS (SELECT DISTINCT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS g F
 dg AS (SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM low, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
 m AS (SELECT doc_id, item_id, s, n FROM dg JOIN iw USING (n, g)),
 h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id),
+di AS (SELECT item_id, w, len(w) AS size, least(len(w), {WINDOW}) AS wide, row_number() OVER (ORDER BY item_id, w) AS item FROM (SELECT DISTINCT item_id, w FROM it WHERE len(w) > 0)),
+ip AS (SELECT item, size, wide, unnest(range(0, size)) AS ix, unnest(w) AS term FROM di),
+dp AS (SELECT doc_id, unnest(range(0, len(w))) AS p, unnest(w) AS term FROM low),
+tc AS (SELECT term, count(*) AS n FROM dp SEMI JOIN ip USING (term) GROUP BY term),
+ea AS (SELECT item, ix, term, coalesce(n, 0) AS n, wide, unnest(range(greatest(0, ix - wide + 1), least(ix, size - wide) + 1)) AS st FROM ip LEFT JOIN tc USING (term)),
+an AS (SELECT item, st, ix, term, wide, row_number() OVER (PARTITION BY item, st ORDER BY n, term, ix) AS r FROM ea QUALIFY r <= 2),
+me AS (SELECT DISTINCT doc_id, item, shift FROM (SELECT doc_id, item, p - ix AS shift, st, wide, count(*) FILTER (r = 1) AS one, count(*) FILTER (r = 2) AS two FROM dp JOIN an USING (term) GROUP BY ALL) WHERE one > 0 AND (two > 0 OR wide = 1)),
+hi AS (SELECT DISTINCT doc_id, item, shift, ix, size FROM me JOIN ip USING (item) JOIN dp USING (doc_id, term) WHERE p = shift + ix),
+ru AS (SELECT *, ix - row_number() OVER (PARTITION BY doc_id, item, shift ORDER BY ix) AS run, count(*) OVER (PARTITION BY doc_id, item, shift ORDER BY ix RANGE BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS dense FROM hi),
+rr AS (SELECT doc_id, item, max(ix) - min(ix) + 1 >= least(size, {WINDOW}) AS exact, max(dense) AS words FROM ru GROUP BY doc_id, item, shift, run, size),
+ne AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT doc_id, item_id FROM rr JOIN di USING (item) WHERE NOT exact AND words >= {NEAR}) ANTI JOIN m USING (doc_id, item_id) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {RATIO} * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM low LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {RATIO} * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM low LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN ne USING (doc_id)
 """

@@ -202,6 +202,31 @@ def test_short_items_and_proximity(spark):
     assert got[1].items_sha256 == hashlib.sha256(b"1").hexdigest()
 
 
+def test_near_passages_equal_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 13, 20, 30])))) for i in range(12)]
+    rows = []
+    for i in range(150):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 30))]
+        for _ in range(rng.randrange(0, 3)):
+            passage = rng.choice(items)[1].split()
+            for _ in range(rng.randrange(0, 4)):
+                passage[rng.randrange(len(passage))] = rng.choice(vocabulary)
+            words[rng.randrange(len(words) + 1) :][:0] = passage
+            words += passage
+        rows.append((i, " ".join(words)))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    out = decontaminate.contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert same(out, con, decontaminate.ORACLE) == 150
+    assert out.where("n_near > 0").count() > 10 and out.where("n_hit > 0").count() > 10
+
+
 # ---- language model
 
 

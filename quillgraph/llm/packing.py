@@ -22,6 +22,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ BLOCK = 4096
 BLOCK_TOKENS = 8_000_000
 CACHE_WORDS = 800_000
 
+_ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _state: dict = {}
 
 
@@ -47,7 +50,7 @@ class Encoder:
     """Whole texts -> ids, equal to the tokenizer file's own.
 
     The file's rules always split at ASCII white space and drop it, so words encode alone and
-    are remembered, in a bounded memory. New words go through the same merges in one call of
+    are remembered, in a bounded memory; so does a full stop or comma after a letter or digit at a word's end. New words go through the same merges in one call of
     tiktoken: ranks are the file's merges in order, below them the single bytes, alone and with
     the word-end mark. Words with other characters than Latin ones, or with a special token's
     opening, are encoded by the tokenizer itself.
@@ -82,8 +85,6 @@ class Encoder:
         self.engine = tiktoken.Encoding("merges", pat_str=f"[^{self.MARK}]*{self.MARK}", mergeable_ranks=ranks, special_tokens={})
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(rf"\n|{pattern}").findall
-        # Parts a word from one full stop or comma after it, so that both are remembered apart.
-        self.part = re.compile(rb"([A-Za-z0-9])([.,])(?=[ \t\n\v\f\r]|\Z)").sub
         self.words: dict[bytes, bytes] = {}
 
     def learn(self, new: list[bytes]) -> None:
@@ -101,18 +102,48 @@ class Encoder:
         for (w, _), e in zip(slow, self.tokenizer.encode_batch_fast([x for _, x in slow], add_special_tokens=False)):
             self.words[w] = np.array(e.ids, "<u4").tobytes()
 
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        parts = [self.part(rb"\1 \2", x).split() for x in texts]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Whole texts of a binary column, without nulls -> their ids one after another, and the n + 1 places where texts begin and end.
+
+        Each distinct word of the column is looked up once; its ids are then gathered for all its places.
+        """
+        data, offsets = _parted(texts)
+        column = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+        split = pc.ascii_split_whitespace(column)
+        borders = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        get = self.words.get
-        found = [list(map(get, p)) for p in parts]
-        lacking = [i for i, ids in enumerate(found) if None in ids]
-        if lacking:
-            self.learn(list({w for i in lacking for w, ids in zip(parts[i], found[i]) if ids is None}))
-            for i in lacking:
-                found[i] = list(map(get, parts[i]))
-        return [np.frombuffer(b"".join(x), "<u4") for x in found]
+        self.words[b""] = b""  # before and after white space at a text's ends
+        found = list(map(self.words.get, distinct))
+        if None in found:
+            self.learn([w for w, ids in zip(distinct, found) if ids is None])
+            found = list(map(self.words.get, distinct))
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        word = coded.indices.to_numpy()
+        size = sizes[word]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        first = np.cumsum(sizes) - sizes
+        places = np.repeat(first[word] - ends[:-1], size) + np.arange(ends[-1])
+        return flat[places], ends[borders - borders[0]]
+
+
+def _parted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary column, with a space put between a letter or digit and the full stop or comma that ends its word."""
+    n = len(texts)
+    _, places, values = texts.buffers()
+    offsets = np.frombuffer(places, np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    data = np.frombuffer(values, np.uint8)[offsets[0] : offsets[-1]] if values is not None else np.empty(0, np.uint8)
+    offsets = offsets - offsets[0]
+    border = np.zeros(len(data) + 1, bool)
+    border[offsets] = True
+    at = np.flatnonzero((data == 46) | (data == 44))
+    at = at[~border[at]]  # something of its own text stands before it
+    at = at[_ALNUM[data[at - 1]]]
+    at = at[border[at + 1] | _SPACE[data[np.minimum(at + 1, len(data) - 1)]]]
+    return np.insert(data, at, 32), offsets + np.searchsorted(at, offsets, side="left")
 
 
 def encoder(path: str) -> Encoder:
@@ -235,12 +266,10 @@ def _pack(path: str, window: int, end: int, block: int):
         stop = np.array([end], "<u4")
         held = 0
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            # A few hundred documents at a time: their new words are learnt in one call.
-            encoded = (x for i in range(0, len(texts), 500) for x in encoder(path)(texts[i : i + 500]))
-            for doc, found in zip(batch.column("doc_id").to_pylist(), encoded):
+            flat, borders = encoder(path).encode(batch.column("text").cast(pa.binary()))
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), borders[:-1], borders[1:]):
                 docs.append(doc)
-                ids.append(np.concatenate([found, stop]))
+                ids.append(np.concatenate([flat[a:b], stop]))
                 held += len(ids[-1])
                 if len(docs) >= block or held >= BLOCK_TOKENS:
                     yield from flush()

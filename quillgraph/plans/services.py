@@ -260,6 +260,7 @@ def _html(s):
     return s.createDataFrame(PAGES, "id int, html string").select("id", F.coalesce(H.html_to_text("html"), F.lit("")).alias("text"))
 
 
+# Line ends stand as chr(10) in the SQL.
 HTML_ROWS = values("id, text", (1, "x\ny\nz"), (2, "hi & bye"), (3, "abc"), (4, ""), (5, ""), (6, "one\ntwo")).replace("\n", "' || chr(10) || '")
 
 
@@ -274,7 +275,7 @@ QUERIES["udf3_html_to_text"], ORACLES["udf3_html_to_text"] = str9, ORACLES["str9
 LAW = "Chương I\nĐiều 1. Theo 45/2019/QH14\n1. một hai ba bốn\n2. năm sáu\nĐiều 2. bảy tám"
 
 
-@register("udf2_chunker", values("chunk_order, article, clause, n_references", (1, None, None, 0), (2, None, None, 0), (3, "dieu 1", None, 1), (4, "dieu 1", "1. ", 0), (5, "dieu 1", "2. ", 0), (6, "dieu 2", None, 0)).replace("(1, NULL, NULL, 0), (2, NULL, NULL, 0), (3, 'dieu 1', NULL, 1), (4, 'dieu 1', '1. ', 0), (5, 'dieu 1', '2. ', 0), (6, 'dieu 2', NULL, 0)", "(1, NULL, NULL, 0), (2, 'dieu 1', NULL, 1), (3, 'dieu 1', '1. ', 0), (4, 'dieu 1', '2. ', 0), (5, 'dieu 2', NULL, 0)"))
+@register("udf2_chunker", values("chunk_order, article, clause, n_references", (1, None, None, 0), (2, "dieu 1", None, 1), (3, "dieu 1", "1. ", 0), (4, "dieu 1", "2. ", 0), (5, "dieu 2", None, 0)))
 def udf2(s, d):
     law = s.createDataFrame([("x", "n", "t", LAW)], "doc_id string, doc_number string, doc_title string, content_text string")
     return K.chunk_documents(law, overlap=0).select("chunk_order", "article", "clause", F.size("references_to").alias("n_references"))

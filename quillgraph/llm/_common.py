@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,16 @@ def without_rows(df: DataFrame, gone: DataFrame, rows: int = 1_000_000) -> DataF
     return df.join(F.broadcast(gone) if gone.count() <= rows else gone, ROW, "left_anti").drop(ROW)
 
 
+def tidy() -> None:
+    """Gives a Python worker's freed memory back to the system at a task's end: workers stay for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such call in this C library
+        pass
+
+
 def row_id(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID)).alias("doc_id")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ROW, numbered, public_id, row_id, stored, without_rows
+from ._common import ROW, numbered, public_id, row_id, stored, tidy, without_rows
 
 WHITE = b" \t\n\v\f\r"
 CAPACITY = 4096
@@ -92,6 +92,7 @@ def _local_index(hasher: Callable[[bytes], int] | None) -> Callable[[Iterator[pa
                 yield from entries()
                 held = 0
         yield from entries()
+        tidy()
 
     return run
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ROW, numbered, public_id, row_id, stored, without_rows
+from ._common import ROW, numbered, public_id, row_id, stored, tidy, without_rows
 from .components import components
 
 RADIUS = 2
@@ -53,6 +53,7 @@ def _fingerprints(n: int):
         for batch in batches:
             prints = [majority(shingle_hashes(x.as_py(), n)) for x in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64)), batch.column(ROW)], names=["doc_id", "fp", ROW])
+        tidy()
 
     return run
 

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import public_id, row_id
+from ._common import public_id, row_id, tidy
 
 MAX_TOXIC = 2000
 MAX_ORDINARY = 4000
@@ -433,6 +433,6 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, folds: int = FOLDS) -> D
             clean = np.array(_scores(batch.column("text"), model), float) < 0.5
             yield batch.filter(pa.array(clean, pa.bool_()))
         _memo.clear()  # the worker goes on to other stages
-        pa.default_memory_pool().release_unused()
+        tidy()
 
     return documents.mapInArrow(run, documents.schema)

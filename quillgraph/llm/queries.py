@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, fim, html_extract, line_dedup, lm_scoring, merkle, packing, sharding, simhash, toxicity
+from . import chat, decontaminate, exact_dedup, fim, html_extract, line_dedup, lm_scoring, merkle, packing, pii, sharding, simhash, toxicity
 from ._common import table
 
 
@@ -58,6 +58,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.round_trip(table(spark, sf_dir, "documents")).drop("output")
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_pii": op13_pii,
 }
 
 ORACLES: dict[str, str] = {

@@ -291,7 +291,7 @@ def sampled(documents: DataFrame, text: str = "text", key: str = "doc_id", n: in
     """Texts of the ``n`` rows of least hash, as far as ``chars`` go. A bound on the hash, from the count of rows, leaves little more than
     these to be sorted, however many tasks read the table."""
     least, rows = -(2**63), documents.count()
-    bound = least + int(min(1.0, 1.3 * n / max(rows, 1)) * (2**64 - 1))
+    bound = min(2**63 - 1, least + int(1.3 * n / max(rows, 1) * 2**64))
     hashed = documents.select(F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit("pii")).alias("h"), F.col(text).alias("t"))
     out, held = [], 0
     for row in hashed.where((F.col("h") <= bound) & F.col("t").isNotNull()).orderBy("h", F.md5("t")).limit(n).toLocalIterator():

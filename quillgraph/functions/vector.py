@@ -44,11 +44,15 @@ def metric(name: str | None):
 
 
 def prepared(rows: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """Rows ready for ``scores``, normalised once where the metric asks for it, and which of them have a score."""
+    """Rows ready for ``scores``, normalised once where the metric asks for it, and which of them have a score: finite ones, and for
+    cosine of some length."""
+    sound = np.isfinite(rows).all(axis=1)
     if metric != "cosine":
-        return rows, np.ones(len(rows), bool)
-    length = np.sqrt(np.einsum("ij,ij->i", rows, rows))
-    return rows / np.where(length > 0, length, 1)[:, None], length > 0
+        return rows, sound
+    with np.errstate(over="ignore", invalid="ignore"):
+        length = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+        sound &= np.isfinite(length) & (length > 0)
+        return rows / np.where(sound, length, 1)[:, None], sound
 
 
 def scores(rows: np.ndarray, queries: np.ndarray, metric: str, cells: int = 8_000_000) -> np.ndarray:

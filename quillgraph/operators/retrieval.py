@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,73 +42,92 @@ def payload_filter(columns: list[str], filters: dict) -> Column:
 def knn(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, metric: str = "cosine", filters: dict | None = None) -> DataFrame:
     """corpus(id, vector, ...), queries(query_id, query_vector) -> query_id, id, score, rank.
 
-    Exact: filters reach the scan, then each query scores every row. Scores are rounded to six digits for the
+    Exact: filters reach the scan, then each query scores every row of its width. Scores are rounded to six digits for the
     order, ties go to the least id. Each task keeps its best ``k`` of a batch, and a ranked window merges
-    them. Vectors that are null, of another width or, for cosine, zero have no score and are left out.
+    them. Vectors that are null, empty or, for cosine, zero, that hold a null, NaN or infinity, and pairs of unlike widths
+    have no score and are left out.
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
-    scored = similar(corpus, queries, threshold, metric, filters, k)
+    return best_of(similar(corpus, queries, threshold, metric, filters, k), k)
+
+
+def best_of(scored: DataFrame, k: int) -> DataFrame:
+    """scored(query_id, id, score, key) -> query_id, id, score, rank of each query's best ``k``."""
     order = Window.partitionBy("query_id").orderBy(F.col("key").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("key")
 
 
+def blocks_of(queries: DataFrame) -> list[DataFrame]:
+    """queries(query_id, query_vector), vectors as doubles, in blocks of about ``QUERY_BYTES``; their bytes are counted."""
+    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector")).where("query_vector is not null and size(query_vector) > 0")
+    held = asked.agg(F.coalesce(F.sum(F.size("query_vector")), F.lit(0))).first()[0]
+    n = max(1, -(-8 * held // QUERY_BYTES))
+    block = F.pmod(F.xxhash64("query_id", "query_vector"), F.lit(n))
+    return [asked if n == 1 else asked.where(block == i) for i in range(n)]
+
+
 def similar(corpus: DataFrame, queries: DataFrame, threshold: float | None = None, metric: str = "cosine", filters: dict | None = None, k: int | None = None) -> DataFrame:
     """query_id, id, score, key (the score rounded) of every pair, or of the best ``k`` of each batch.
 
-    The queries' bytes are counted: up to ``QUERY_BYTES`` they go to every task, which multiplies matrices; beyond
-    that blocks of them are broadcast in turn, and pairs are scored by expressions.
+    Blocks of queries, a matrix a width, are broadcast in turn; each task multiplies its rows with those of their width.
     """
     if filters:
         corpus = corpus.where(payload_filter(corpus.columns, filters))
     rows = corpus.select("id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
-    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector")).where("query_vector is not null")
-    held, width = asked.agg(F.coalesce(F.sum(F.size("query_vector")), F.lit(0)), F.coalesce(F.max(F.size("query_vector")), F.lit(0))).first()
-    if 8 * held <= QUERY_BYTES:
-        return _by_matrix(rows, asked, width, threshold, V.name_of(metric), k)
-    blocks = -(-16 * held // QUERY_BYTES)
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    score = V.metric(metric)(F.col("vector"), F.col("query_vector"))
-    return reduce(DataFrame.unionByName, [_by_expression(rows, asked.where(block == i), score, threshold) for i in range(blocks)])
-
-
-def _by_expression(rows: DataFrame, asked: DataFrame, score: Column, threshold: float | None) -> DataFrame:
-    pairs = rows.join(F.broadcast(asked), F.size("vector") == F.size("query_vector")).select("query_id", "id", score.alias("score")).where("score is not null")
-    pairs = pairs if threshold is None else pairs.where(F.col("score") >= threshold)
-    return pairs.withColumn("key", F.round("score", 6))
-
-
-def _by_matrix(rows: DataFrame, asked: DataFrame, width: int, threshold: float | None, metric: str, k: int | None) -> DataFrame:
-    spark = rows.sparkSession
-    table = asked.where(F.size("query_vector") == width).toArrow()  # at most QUERY_BYTES
-    names = table.column("query_id").combine_chunks()
-    matrix = np.array(table.column("query_vector").combine_chunks().flatten(), float).reshape(-1, width) if width else np.empty((0, 0))
-    matrix, sound = V.prepared(matrix, metric)
-    shared = spark.sparkContext.broadcast((names.filter(pa.array(sound)), matrix[sound]))
+    return reduce(DataFrame.unionByName, [_by_matrix(rows, block, threshold, V.name_of(metric), k) for block in blocks_of(queries)])
+
+
+def matrices(names: pa.Array, vectors: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Lists of numbers as matrices, one a width, with the names of their rows."""
+    vectors = vectors if isinstance(vectors, pa.Array) else vectors.combine_chunks()
+    widths = pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    for width in np.unique(widths[widths > 0]) if len(widths) else ():
+        own = widths == width
+        held = vectors if own.all() else vectors.filter(pa.array(own))
+        yield (names if own.all() else names.filter(pa.array(own))), np.asarray(held.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, int(width))
+
+
+def best_pairs(v: np.ndarray, ids: pa.Array, q: np.ndarray, metric: str, threshold: float | None, k: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of rows and of queries, scores and rounded scores of the pairs to keep: all, or each query's best ``k``."""
+    step = max(1, SCORES // max(1, len(v)))
+    for at in range(0, len(q), step):
+        scores = V.scores(v, q[at : at + step], metric)
+        keys = np.floor(np.abs(scores) * 1e6 + 0.5) * np.sign(scores) / 1e6
+        kept = np.isfinite(scores)
+        x, y = np.nonzero(kept & (scores >= threshold) if threshold is not None else kept)
+        if k is not None and len(x):
+            place = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")  # ties: least id
+            order = np.lexsort((place[x], -keys[x, y], y))
+            x, y = x[order], y[order]
+            first = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
+            rank = np.arange(len(y)) - np.repeat(first, np.diff(np.append(first, len(y))))
+            x, y = x[rank < k], y[rank < k]
+        yield x, y + at, scores[x, y], keys[x, y]
+
+
+def _by_matrix(rows: DataFrame, asked: DataFrame, threshold: float | None, metric: str, k: int | None) -> DataFrame:
+    table, by_width = asked.toArrow(), {}  # about QUERY_BYTES
+    for names, matrix in matrices(table.column("query_id").combine_chunks(), table.column("query_vector")):
+        width = matrix.shape[1]
+        matrix, sound = V.prepared(matrix, metric)
+        by_width[width] = names.filter(pa.array(sound)), matrix[sound]
+    shared = rows.sparkSession.sparkContext.broadcast(by_width)
     kinds = {f.name: f.dataType.simpleString() for f in [asked.schema["query_id"], rows.schema["id"]]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, q = shared.value
-        for batch in batches if len(q) else ():
-            vectors = batch.column("vector")
-            vectors = vectors if isinstance(vectors, pa.Array) else vectors.combine_chunks()
-            v, sound = V.prepared(np.asarray(vectors.flatten(), float).reshape(-1, width), metric)
-            ids, v = batch.column("id").filter(pa.array(sound)), v[sound]
-            step = max(1, SCORES // max(1, len(v)))
-            for at in range(0, len(q), step):
-                scores = V.scores(v, q[at : at + step], metric)
-                keys = np.floor(np.abs(scores) * 1e6 + 0.5) * np.sign(scores) / 1e6
-                x, y = np.nonzero((scores >= threshold) if threshold is not None else np.isfinite(scores))
-                if k is not None and len(x):
-                    place = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")  # ties: least id
-                    order = np.lexsort((place[x], -keys[x, y], y))
-                    x, y = x[order], y[order]
-                    first = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
-                    rank = np.arange(len(y)) - np.repeat(first, np.diff(np.append(first, len(y))))
-                    x, y = x[rank < k], y[rank < k]
-                yield pa.RecordBatch.from_arrays([queries.take(pa.array(y + at)), ids.take(pa.array(x)), pa.array(scores[x, y]), pa.array(keys[x, y])], names=["query_id", "id", "score", "key"])
-
-    return rows.where(F.size("vector") == width).mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double, key double")
+        held = shared.value
+        for batch in batches:
+            for ids, v in matrices(batch.column("id"), batch.column("vector")):
+                names, q = held.get(v.shape[1], (None, ()))
+                if not len(q):
+                    continue
+                v, sound = V.prepared(v, metric)
+                ids, v = ids.filter(pa.array(sound)), v[sound]
+                for x, y, scores, keys in best_pairs(v, ids, q, metric, threshold, k):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(y)), ids.take(pa.array(x)), pa.array(scores), pa.array(keys)], names=["query_id", "id", "score", "key"])
+
+    return rows.mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double, key double")
 
 
 def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:

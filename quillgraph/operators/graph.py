@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.io import stored
 
 
 def merge_edges(relations: DataFrame, documents: DataFrame) -> DataFrame:
@@ -24,41 +25,51 @@ def merge_edges(relations: DataFrame, documents: DataFrame) -> DataFrame:
     ).select("src", "dst", "dst_doc_id", "rel_type", "p.relation_type", "p.relation_source")
 
 
-#: Frontier nodes up to which they are held as rows and sent to the edges; a larger frontier is joined by a shuffle.
+#: Frontier nodes up to which they are sent to the edges; a larger frontier is joined by a shuffle.
 BROADCAST_NODES = 10_000
 
 
 def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_related: int | None = None) -> DataFrame:
-    """edges(src, dst, rel_type), seeds(id) -> id, hop, rel_types, graph_score.
+    """edges(src, dst, rel_type), seeds(id) -> id, hop, rel_types, graph_score, from all seeds as one set."""
+    return expand_many(edges, seeds.select(F.lit(0).alias("query_id"), "id"), depth, max_related).drop("query_id")
 
-    Undirected, breadth first: one row a node, with its least hop count up to ``depth`` and, of its shortest paths, the
-    types that order first. A shortest path meets no node or edge twice, so nodes met before are dropped
-    from each round, and a hub costs one row however many paths lead to it. Seeds are no results.
+
+def expand_many(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_related: int | None = None) -> DataFrame:
+    """edges(src, dst, rel_type), seeds(query_id, id) -> query_id, id, hop, rel_types, graph_score: every question's traversal in one.
+
+    Undirected, breadth first: one row a question and node, with its least hop count up to ``depth`` and, of its shortest
+    paths, the types that order first. A shortest path meets no node or edge twice, so nodes met before are dropped
+    from each round, and a hub costs a question one row however many paths lead to it. A question's seeds are no results of it. Each
+    frontier is written before the next round reads it. ``max_related`` keeps the first by hop and id.
     """
     if depth < 1 or max_related is not None and max_related < 0:
         raise ValueError("depth must be 1 or more and max_related 0 or more")
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel_type").unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "rel_type"))
     both = both.where("a is not null and b is not null")
-    met = seeds.select("id").where("id is not null").distinct()
+    met = stored(seeds.select("query_id", "id").where("id is not null").distinct(), "seeds")
     frontier, rounds = met.withColumn("types", F.array().cast("array<string>")), []
     for hop in range(1, depth + 1):
-        from_here = frontier.select(F.col("id").alias("a"), "types")
-        few = from_here.limit(BROADCAST_NODES + 1).collect()
-        if len(few) <= BROADCAST_NODES:  # computed once, here
-            from_here = F.broadcast(edges.sparkSession.createDataFrame(few, from_here.schema))
+        from_here = frontier.select("query_id", F.col("id").alias("a"), "types")
+        if frontier.count() <= BROADCAST_NODES:
+            from_here = F.broadcast(from_here)
         step = both.join(from_here, "a")
-        step = step.groupBy(F.col("b").alias("id")).agg(F.min(F.concat("types", F.array("rel_type"))).alias("types"))
-        frontier = step.join(met, "id", "left_anti")
-        rounds.append(frontier.select("id", F.lit(hop).alias("hop"), F.col("types").alias("rel_types"), F.lit(round(1.0 / hop, 4)).alias("graph_score")))
-        met = met.unionByName(frontier.select("id"))
+        step = step.groupBy("query_id", F.col("b").alias("id")).agg(F.min(F.concat("types", F.array("rel_type"))).alias("types"))
+        frontier = step.join(met, ["query_id", "id"], "left_anti")
+        if hop < depth:
+            frontier = stored(frontier, "frontier")
+            met = met.unionByName(frontier.select("query_id", "id"))
+        rounds.append(frontier.select("query_id", "id", F.lit(hop).alias("hop"), F.col("types").alias("rel_types"), F.lit(round(1.0 / hop, 4)).alias("graph_score")))
     out = reduce(DataFrame.unionByName, rounds)
-    return out.orderBy("hop", "id").limit(max_related) if max_related is not None else out
+    if max_related is None:
+        return out
+    order = Window.partitionBy("query_id").orderBy("hop", "id")
+    return out.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= max_related).drop("_rn")
 
 
 def neighbours(edges: DataFrame, center: DataFrame) -> DataFrame:
-    """One hop either way: center(id) -> relation, direction, other."""
-    out = edges.join(center.select(F.col("id").alias("src")), "src").select(F.col("rel_type").alias("relation"), F.lit("out").alias("direction"), F.col("dst").alias("other"))
-    into = edges.join(center.select(F.col("id").alias("dst")), "dst").select(F.col("rel_type").alias("relation"), F.lit("in").alias("direction"), F.col("src").alias("other"))
+    """One hop either way: center(id) -> center, relation, direction, other."""
+    out = edges.join(center.select(F.col("id").alias("src")), "src").select(F.col("src").alias("center"), F.col("rel_type").alias("relation"), F.lit("out").alias("direction"), F.col("dst").alias("other"))
+    into = edges.join(center.select(F.col("id").alias("dst")), "dst").select(F.col("dst").alias("center"), F.col("rel_type").alias("relation"), F.lit("in").alias("direction"), F.col("src").alias("other"))
     return out.unionByName(into).distinct()
 
 

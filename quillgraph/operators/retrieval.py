@@ -197,28 +197,31 @@ def top(hits: DataFrame, k: int, score: str = "score", tie: str = "id") -> DataF
 
 
 def ranked(hits: DataFrame, source: str, list_idx: int, k: int = MAX_LIST) -> DataFrame:
-    """hits(id, score) -> id, score, source, list_idx, rank (1-based) of the best ``k``."""
-    order = Window.partitionBy("list_idx").orderBy(F.round("score", 6).desc(), "id")
-    best = top(hits.select("id", "score"), k).select("id", "score", F.lit(source).alias("source"), F.lit(list_idx).alias("list_idx"))
-    return best.withColumn("rank", F.row_number().over(order))
+    """hits(id, score) -> id, score, source, list_idx, rank (1-based) of the best ``k``; with a query_id, of each question."""
+    by = [c for c in ("query_id",) if c in hits.columns]
+    best = hits.select(*by, "id", "score") if by else top(hits.select("id", "score"), k)
+    order = Window.partitionBy(*by, "list_idx").orderBy(F.round("score", 6).desc(), "id")
+    best = best.select(*by, "id", "score", F.lit(source).alias("source"), F.lit(list_idx).alias("list_idx"))
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def rrf(lists: list[DataFrame], weights: list[float] | None = None, k: int = RRF_K) -> DataFrame:
-    """Ranked lists -> id, rrf_score, first_list, first_rank, sources; best first.
+def rrf(lists: list[DataFrame], weights: list[float | Column] | None = None, k: int = RRF_K) -> DataFrame:
+    """Ranked lists -> id, rrf_score, first_list, first_rank, sources; best first. Lists with a query_id are fused for each question.
 
-    Default weights are equal. Ties keep insertion order: list, then rank.
+    Default weights are equal; a weight may be a column of its list. Ties keep insertion order: list, then rank.
     """
     weights = weights or [1.0 / len(lists)] * len(lists)
-    every = None
+    by = [c for c in ("query_id",) if c in lists[0].columns]
+    parts = []
     for w, hits in zip(weights, lists):
-        part = hits.withColumn("part", F.lit(float(w)) / (k + F.col("rank")))
-        every = part if every is None else every.unionByName(part)
-    fused = every.groupBy("id").agg(
+        part = (w if isinstance(w, Column) else F.lit(float(w))) / (k + F.col("rank"))
+        parts.append(hits.select(*by, "id", "list_idx", "rank", "source", part.alias("part")))
+    fused = reduce(DataFrame.unionByName, parts).groupBy(*by, "id").agg(
         F.round(F.sum("part"), 6).alias("rrf_score"),
         F.min(F.struct("list_idx", "rank")).alias("first"),
         F.array_sort(F.collect_set(F.struct("list_idx", "source"))).alias("sources"),
     )
-    return fused.select("id", "rrf_score", F.col("first.list_idx").alias("first_list"), F.col("first.rank").alias("first_rank"), F.col("sources.source").alias("sources"))
+    return fused.select(*by, "id", "rrf_score", F.col("first.list_idx").alias("first_list"), F.col("first.rank").alias("first_rank"), F.col("sources.source").alias("sources"))
 
 
 def fusion_weights(alpha: float, graph: bool) -> list[float]:

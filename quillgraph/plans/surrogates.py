@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import postings as P
+from ..sources.io import scratch_path
 
 
 def raw(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -68,8 +72,48 @@ def edge_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, d: str) -> DataFrame:
-    rows = raw(spark, d, "orders").select("o_orderkey").orderBy("o_orderkey").limit(5)
-    return rows.select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("id"))
+    """Every hundredth order; each is a question of its own."""
+    rows = raw(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("id"))
+    return rows.select(F.col("id").alias("query_id"), "id")
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """Every hundredth vector, with the first three words of the document of that id."""
+    said = raw(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.slice(F.array_distinct(T.words("text")), 1, 3).alias("terms"))
+    asked = raw(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return asked.join(said, "query_id", "left")
+
+
+def searched(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with the text that the full-text index covers: their own and their document's number."""
+    return chunks(spark, d).withColumn("search_text", F.concat("text", F.lit(" D"), F.col("doc_id").cast("string")))
+
+
+_built: dict[tuple[str, str, str], str] = {}
+
+
+def built(spark: SparkSession, d: str, name: str, build: Callable[[str], None]) -> str:
+    """Path of something stored over the tables in ``d``, written by ``build`` at its first use in the application."""
+    key = spark.sparkContext.applicationId, d, name
+    if key not in _built:
+        build(path := scratch_path(spark, name))
+        _built[key] = path
+    return _built[key]
+
+
+def fulltext(spark: SparkSession, d: str) -> str:
+    """The stored postings of every chunk."""
+    return built(spark, d, "fulltext", lambda path: P.build(searched(spark, d), path, "chunk_uid", "search_text", ("doc_id",)))
+
+
+def gold(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks as they are searched, stored; a document's first chunk has the vector whose vec_id is the doc_id."""
+
+    def write(path: str) -> None:
+        vectors = raw(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).cast("long").alias("chunk_order"), F.col("embedding").alias("vector"))
+        searched(spark, d).join(vectors, ["doc_id", "chunk_order"], "left").write.parquet(path)
+
+    return spark.read.parquet(built(spark, d, "gold", write))
 
 
 def chat_users(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +144,14 @@ hc AS (SELECT g.doc_id, c.chunk_uid FROM doc g JOIN chk c ON g.doc_id = c.doc_id
 edge AS (SELECT 'O' || l_orderkey AS src, CASE l_returnflag WHEN 'A' THEN 'AMENDS' WHEN 'N' THEN 'MENTIONS' ELSE 'REFERS_TO' END AS rel_type, 'P' || l_partkey AS dst, max(l_linestatus) AS relation_type
   FROM lineitem GROUP BY 1, 2, 3),
 node AS (SELECT id, 'Title ' || id AS title, CASE WHEN id LIKE 'O%' THEN 'order' ELSE 'part' END AS doc_type FROM (SELECT src AS id FROM edge UNION SELECT dst FROM edge)),
-seed AS (SELECT 'O' || o_orderkey AS id FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5)),
+seed AS (SELECT 'O' || o_orderkey AS id FROM orders WHERE o_orderkey % 100 = 0),
+ktok AS (SELECT chunk_uid AS id, doc_id, regexp_extract_all(lower(text || ' D' || doc_id), '[\p{{L}}\p{{N}}_]+') AS w FROM chk),
+ktf AS (SELECT id, doc_id, dl, term, count(*) AS tf FROM (SELECT id, doc_id, len(w) AS dl, unnest(w) AS term FROM ktok) GROUP BY ALL),
+asks AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe, list_filter(w, lambda x, i: list_position(w, x) = i)[1:3] AS terms
+  FROM embeddings LEFT JOIN (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents WHERE doc_id % 100 = 0) ON doc_id = vec_id WHERE vec_id % 100 = 0),
+kbm AS (SELECT query_id, id, ktf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM (SELECT query_id, unnest(terms) AS term FROM asks) q JOIN ktf USING (term) JOIN (SELECT term, count(*) AS df FROM ktf GROUP BY term) USING (term), (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM ktok) GROUP BY ALL),
+cvec AS (SELECT c.chunk_uid AS id, c.doc_id, CAST(embedding AS DOUBLE[]) AS e FROM chk c JOIN embeddings ON vec_id = c.doc_id WHERE c.chunk_order = 1),
 usr AS (SELECT DISTINCT conv_id % 50 AS user_id, 'u' || (conv_id % 50) || '@example.org' AS email FROM conversations),
 conv AS (SELECT conv_id, conv_id % 50 AS user_id, CASE WHEN conv_id % 7 = 0 THEN 'archived' ELSE 'active' END AS status, max(turn) AS updated_at FROM conversations GROUP BY conv_id),
 msg AS (SELECT conv_id, turn, role, text, turn * 100 AS latency_ms, (turn % 10) / 10.0 AS confidence FROM conversations)

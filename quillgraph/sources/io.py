@@ -164,6 +164,13 @@ def ship(spark: SparkSession) -> None:
     context._quillgraph_shipped = True
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read again: computed once, and lost executors cost nothing but a read."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 _made: list[str] = []
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEVELS = ("chapter", "section", "article", "clause", "point")
@@ -115,3 +115,18 @@ def chunk_documents(documents: DataFrame, target: int = 220, limit: int = 300, o
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     return documents.select(*[text(c) for c in ("doc_id", "doc_number", "doc_title", "content_text")]).mapInPandas(run, SCHEMA)
+
+
+def register_chunker(spark: SparkSession, name: str = "chunk_document") -> None:
+    """The chunker as a table function for SQL: ``FROM documents d, LATERAL chunk_document(d.doc_id, d.number, d.title, d.text, target, limit, overlap)``.
+
+    Null arguments count as empty texts; a blank text has no chunks.
+    """
+    split_text, safe_id, levels = split, safe, LEVELS
+
+    class ChunkDocument:
+        def eval(self, doc_id: str, number: str, title: str, text: str, target: int, limit: int, overlap: int):  # noqa: ANN202
+            for i, c in enumerate(split_text(text or "", target, limit, overlap), 1):
+                yield (f"{safe_id(doc_id or '')}__{i:05d}", doc_id, number, title, i, c.text, len(c.tokens), c.tokens, *(c.place[x] for x in levels), c.references)
+
+    spark.udtf.register(name, F.udtf(ChunkDocument, returnType=SCHEMA))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from . import lookup as L
 
 
 def citations(hits: DataFrame, key: str, rank: str) -> DataFrame:
@@ -109,8 +109,6 @@ def synthesize(rows: DataFrame, model: Callable[[str], str] | list[Callable[[str
 
 SUMMARY_CHARS = 24_000
 COMPARE_CHUNKS = 8
-#: Bytes of a batch's references by name that are sent to every task.
-NAMED_BYTES = 8 << 20
 #: An article's number where a text names one, as in "Điều 8".
 ARTICLE = r"(?iu)điều\s+0*(\d+)\b"
 
@@ -140,23 +138,15 @@ def found_documents(refs: DataFrame, documents: DataFrame, article: str = "artic
     """refs(question_id, intent, ref, doc_number, doc_name, article) -> those with their document: by number, else by a title that contains the name
     (the shortest title, then doc_id).
 
-    Names meet titles by a shared word first (the longest of the name), so that no title is compared with every name.
+    Names meet titles by their rarest run of characters, so that no title is compared with every name.
     """
     docs = documents.select("doc_id", "doc_number", "title")
     cols = ["question_id", "intent", "ref", F.col(article).cast("string").alias("article"), "doc_id", "doc_number", "cost"]
     by_number = refs.where("doc_number is not null").drop("doc_name").join(docs.drop("title"), "doc_number").withColumn("cost", F.lit(0)).select(*cols)
     named = refs.where("doc_number is null and trim(coalesce(doc_name, '')) <> ''").drop("doc_number")
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(T.WORD), F.lit(0))
-    # Inside a name, only its first and last word may be cut off words in the title; the longest of the others has to stand whole.
-    inner = lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
-    named = named.withColumn("_word", F.try_element_at(F.array_sort(F.transform(inner(words(F.col("doc_name"))), lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))), F.lit(-1))["w"])
-    contains = F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower("doc_name"))
-    worded = docs.withColumn("_word", F.explode(F.array_distinct(words(F.coalesce("title", F.lit("")))))).join(named.where("_word is not null"), "_word").where(contains)
-    short = named.where("_word is null")
-    if (short.agg(F.sum(F.octet_length("doc_name") + 64)).first()[0] or 0) > NAMED_BYTES:
-        raise ValueError("too many references by names of one or two words in a batch")
-    loose = docs.join(F.broadcast(short), contains)
-    by_name = worded.unionByName(loose).withColumn("cost", F.length("title")).select(*cols)
+    named = named.withColumn("key", F.concat_ws(":", "question_id", "ref"))
+    pairs = L.containing(named.select("key", F.col("doc_name").alias("name")).distinct(), docs.select(F.col("doc_id").alias("id"), F.col("title").alias("text")))
+    by_name = named.join(pairs.distinct(), "key").join(docs.withColumnRenamed("doc_id", "id"), "id").withColumn("cost", F.length("title")).withColumnRenamed("id", "doc_id").select(*cols)
     found = citations(by_number.unionByName(by_name).withColumn("_key", F.concat_ws(":", "question_id", "ref")), "_key", F.struct("cost", "doc_id"))
     return found.drop("_key", "cost")
 

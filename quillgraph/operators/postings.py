@@ -4,7 +4,7 @@ Chunks are ordered by length and cut into segments of ``SEGMENT`` of them, so th
 postings in one segment, with the largest term part of BM25 that one of them has; blocks lie in files by the term's bucket.
 A search never opens a block before its segment's bound, the sum of the best parts of the question's terms, is known:
 
-1. the best ``k`` segments a question by their bounds are scored, and the k-th score is the least that counts;
+1. the best ``BEGIN * k`` segments a question by their bounds are scored, and the k-th score is the least that counts;
 2. only segments whose bound reaches it are scored.
 
 Both rounds keep ``k`` rows a question in each task before anything moves, so no question, and no term, meets in one task.
@@ -16,16 +16,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.io import stored
 from .retrieval import K1, B, _idf, _tf_part, bucket_of
 
 #: Chunks of a segment. Fewer make bounds closer and blocks more.
 SEGMENT = 32
-BUCKETS = 64
+#: Words that one file holds about; beyond ``MAX_BUCKETS`` buckets, files grow, and a frequent term's bucket has four.
+FILE_WORDS, MAX_BUCKETS = 2_000_000, 4096
+#: Segments a question scores first, for each row asked for.
+BEGIN = 4
 #: Scores are ordered by six digits: a bound this much below the least that counts may still tie.
 SLACK = 2e-6
 
 
-def build(chunks: DataFrame, path: str, id_col: str = "chunk_uid", text_col: str = "chunk_text", carry: tuple[str, ...] = (), segment: int = SEGMENT, buckets: int = BUCKETS, k1: float = K1, b: float = B) -> None:
+def build(chunks: DataFrame, path: str, id_col: str = "chunk_uid", text_col: str = "chunk_text", carry: tuple[str, ...] = (), segment: int = SEGMENT, buckets: int | None = None, k1: float = K1, b: float = B) -> None:
     """-> path/stats (one row), path/terms (term, df), path/blocks (bucket, term, segment, best, postings). Chunks are split into words once.
 
     A null text has no words and counts as a chunk; ids are distinct; columns of ``carry`` stand in every posting.
@@ -34,15 +38,16 @@ def build(chunks: DataFrame, path: str, id_col: str = "chunk_uid", text_col: str
     said.select("id", *carry, "dl", "words").repartitionByRange("dl", "id").sortWithinPartitions("dl", "id").withColumn("segment", F.expr(f"monotonically_increasing_id() div {segment}")).write.mode("overwrite").parquet(f"{path}/words")
     spark = chunks.sparkSession
     held = spark.read.parquet(f"{path}/words")
-    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).withColumns({"buckets": F.lit(buckets), "k1": F.lit(k1), "b": F.lit(b)})
+    files = F.greatest(F.lit(4), F.least(F.lit(MAX_BUCKETS), F.ceil(F.sum("dl") / FILE_WORDS))).cast("int")
+    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.coalesce(F.lit(buckets), files).alias("buckets")).withColumns({"k1": F.lit(k1), "b": F.lit(b)})
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     one = spark.read.parquet(f"{path}/stats").first()
     # A chunk's words stand together, so tasks count them before they move; a block gathers a segment's chunks, never a whole term.
     counted = held.select("segment", "id", *carry, "dl", F.explode("words").alias("term")).groupBy("segment", "id", *carry, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     part = _tf_part(F.col("tf"), F.col("dl"), F.lit(one.avgdl), k1, b)
     blocks = counted.groupBy("segment", "term").agg(F.max(part).alias("best"), F.collect_list(F.struct("id", *carry, "tf", "dl")).alias("postings"))  # ``segment`` postings at most
-    blocks = blocks.withColumns({"bucket": bucket_of(F.col("term"), buckets), "n": F.size("postings")})
-    blocks.repartition("bucket", F.pmod(F.col("segment"), F.lit(4))).sortWithinPartitions("bucket", "term", "segment").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    blocks = blocks.withColumns({"bucket": bucket_of(F.col("term"), one.buckets), "n": F.size("postings")})
+    blocks.repartition("bucket", F.pmod(F.col("segment"), F.lit(4 if one.buckets > 16 else 1))).sortWithinPartitions("bucket", "term", "segment").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
     read_blocks(spark, path).groupBy("bucket", "term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
 
 
@@ -61,7 +66,7 @@ def _asked(spark: SparkSession, path: str, questions: DataFrame) -> tuple[DataFr
     stats = spark.read.parquet(f"{path}/stats").first()
     terms = questions.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).where("term is not null").distinct().withColumn("bucket", bucket_of(F.col("term"), stats.buckets))
     known = spark.read.parquet(f"{path}/terms").join(terms, ["bucket", "term"])
-    return known.select("query_id", "term", "bucket", _idf(F.lit(stats.n), F.col("df")).alias("idf")), stats
+    return stored(known.select("query_id", "term", "bucket", _idf(F.lit(stats.n), F.col("df")).alias("idf")), "asked"), stats
 
 
 def _first(rows: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -92,8 +97,8 @@ def _search(spark: SparkSession, path: str, questions: DataFrame, k: int, carry:
     asked, stats = _asked(spark, path, questions)
     best = lambda scored: _first(scored, k, F.round("score", 6).desc(), F.col("id"))
     blocks = read_blocks(spark, path).drop("best")
-    bounds = segments(spark, path, asked)
-    begun = _first(bounds, k, F.col("bound").desc(), F.col("segment")).select("query_id", "segment")
+    bounds = stored(segments(spark, path, asked), "bounds")
+    begun = _first(bounds, BEGIN * k, F.col("bound").desc(), F.col("segment")).select("query_id", "segment")
     opened = lambda chosen: blocks.join(asked, ["bucket", "term"]).join(chosen, ["query_id", "segment"])
     least = best(_scores(opened(begun), stats, carry)).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score") - SLACK).alias("least"))  # null: fewer than k yet
     chosen = bounds.join(least, "query_id").where("least is null or bound >= least").select("query_id", "segment")

@@ -75,6 +75,39 @@ def cache_hits(requests: DataFrame, ttl_seconds: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "t", "request_id").mapInPandas(run, "key string, request_id long, hit boolean")
 
 
+CACHE_SCHEMA = "key string, request_id bigint, hit boolean"
+
+
+def cache_stream(requests: DataFrame, ttl_seconds: int, kept_ms: int | None = None) -> DataFrame:
+    """The same over a stream: a hit or a miss for every request. A key's stored time is its state, and is dropped ``kept_ms`` after it was
+    written (ten lives, unless told), so keys that are never asked again cost nothing. Needs the RocksDB state store.
+
+    Requests of a batch are read in order of time. With processing time Spark runs batches without data for as long as the
+    query lives; one that has to end (``availableNow``) needs ``spark.sql.streaming.noDataMicroBatches.enabled`` off.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Cache(StatefulProcessor):
+        def init(self, handle):
+            self.entry = handle.getValueState("entry", "stored bigint", kept_ms or 10_000 * ttl_seconds)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+            batch = pd.concat(list(rows)).sort_values(["t", "request_id"])
+            stored, hits = self.entry.get()[0] if self.entry.exists() else None, []
+            for t in batch["t"]:
+                hits.append(stored is not None and t - stored < ttl_seconds * 1_000_000)
+                if not hits[-1]:
+                    stored = int(t)
+                    self.entry.update((stored,))
+            yield pd.DataFrame({"key": batch["key"], "request_id": batch["request_id"], "hit": hits})
+
+        def close(self):
+            pass
+
+    rows = requests.select(F.col("key").cast("string").alias("key"), F.col("request_id").cast("long").alias("request_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return rows.groupBy("key").transformWithStateInPandas(Cache(), outputStructType=CACHE_SCHEMA, outputMode="append", timeMode="processingTime")
+
+
 def cache_misses_stream(requests: DataFrame, ttl: str) -> DataFrame:
     """A stream's first request of each key within the watermark ``ttl``: those that must be answered."""
     return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["key"])

@@ -66,6 +66,13 @@ def create(rows: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS)
     return table
 
 
+def check_width(rows: DataFrame, column: str, width: int) -> None:
+    """Raises if a vector has another width, or is null."""
+    wrong = rows.where(F.col(column).isNull() | (F.size(column) != width)).limit(1).count()
+    if wrong:
+        raise ValueError(f"{column} holds vectors of another width than {width}")
+
+
 def maintain(table: KeyedTable, partial: DataFrame, batch: int, sums: list[str], most: list[str] = []) -> int:  # noqa: B006
     """Merges a batch's partial aggregates, a row a key, into a stored view with the columns keys, sums, most and batch.
 

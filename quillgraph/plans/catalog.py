@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.io import ship
-from . import dashboards, relational, retrieval, scalar, services, streams
+from . import dashboards, relational, retrieval, scalar, services, stored, streams
 
 
 def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -24,6 +24,6 @@ def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (retrieval, relational, scalar, dashboards, streams, services):
+for _module in (retrieval, relational, scalar, dashboards, streams, services, stored):
     QUERIES |= {name: _ready(query) for name, query in _module.QUERIES.items()}
     ORACLES |= _module.ORACLES

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import etl as E
 from ..operators import graph as G
+from ..operators import keyed as KT
 from ..operators import tables as M
 from ..sources import io as IO
 from . import surrogates as S
@@ -69,9 +70,11 @@ def src7(s, d):
     return s.createDataFrame([tuple(row)], "n long, tokens long")
 
 
-@register("src8_literal_rows", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) v(id, name)")
+@register("src8_literal_rows", "SELECT doc_id, name FROM documents LEFT JOIN (VALUES ('en', 'English'), ('fr', 'French'), ('de', NULL)) v(lang, name) USING (lang)")
 def src8(s, d):
-    return s.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, name string")
+    """A table given as rows, beside a stored one."""
+    names = s.createDataFrame([("en", "English"), ("fr", "French"), ("de", None)], "lang string, name string")
+    return S.raw(s, d, "documents").join(F.broadcast(names), "lang", "left").select("doc_id", "name")
 
 
 @register("src10_point_reads", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 7 OR o_custkey = 370")
@@ -428,10 +431,11 @@ def set3(s, d):
     return S.edges(s, d).select("rel_type", "relation_type").distinct()
 
 
-@register("set4_literal_rows", "SELECT * FROM (VALUES ('title', 1), ('status', 2)) v(property, position)")
+@register("set4_literal_rows", "SELECT doc_id, property, position, value FROM (SELECT doc_id, 'title' AS property, 1 AS position, title AS value FROM doc UNION ALL SELECT doc_id, 'status', 2, status FROM doc)")
 def set4(s, d):
-    rows = F.array(*[F.struct(F.lit(p).alias("property"), F.lit(i).alias("position")) for i, p in enumerate(("title", "status"), 1)])
-    return s.range(1).select(F.inline(rows))
+    """Properties as rows."""
+    rows = F.array(*[F.struct(F.lit(p).alias("property"), F.lit(i).alias("position"), F.col(p).alias("value")) for i, p in enumerate(("title", "status"), 1)])
+    return S.documents(s, d).select("doc_id", F.inline(rows))
 
 
 @register("set5_list_concat", "SELECT l, count(*) AS n FROM (SELECT 0 AS l FROM doc UNION ALL SELECT 1 FROM chk UNION ALL SELECT 2 FROM edge) GROUP BY l")
@@ -472,50 +476,77 @@ def snk2(s, d):
 
 @register("snk3_append_only_new", "SELECT chunk_uid, doc_id % 3 = 0 AS old FROM chk")
 def snk3(s, d):
-    c = S.chunks(s, d).select("chunk_uid", "doc_id")
-    old = c.where("doc_id % 3 = 0").select("chunk_uid", F.lit(True).alias("old"))
-    return old.unionByName(M.not_yet(c, old, "chunk_uid").select("chunk_uid", F.lit(False).alias("old")))
+    """A table that a second run completes: only what it lacks is appended."""
+    path, c = IO.scratch_path(s, "append"), S.chunks(s, d).select("chunk_uid", "doc_id")
+    IO.append(c.where("doc_id % 3 = 0").select("chunk_uid", F.lit(True).alias("old")), path)
+    IO.append(M.not_yet(c, s.read.parquet(path), "chunk_uid").select("chunk_uid", F.lit(False).alias("old")), path)
+    return s.read.parquet(path)
+
 
+def _kept(s, rows, *keys):
+    """``rows`` as a stored table by key."""
+    return KT.create(rows, IO.scratch_path(s, "keyed"), list(keys), 16)
 
-@register("snk6_vector_upsert", "SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 2 ELSE 1 END AS version FROM embeddings")
+
+@register("snk6_vector_upsert", "SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 2 ELSE 1 END AS version, len(embedding) AS width FROM embeddings")
 def snk6(s, d):
-    v = S.raw(s, d, "embeddings").where(F.size("embedding") == 64).select("vec_id", F.lit(1).alias("version"))
-    return M.upsert(v, v.where("vec_id % 4 = 0").withColumn("version", F.lit(2)), ["vec_id"], "version")
+    """Vectors written under their points' ids, a quarter of them again; a vector of another width raises."""
+    v = S.raw(s, d, "embeddings")
+    KT.check_width(v, "embedding", 64)
+    points = v.select(T.uuid5(F.col("vec_id").cast("string")).alias("point_id"), "vec_id", "embedding", F.lit(1).alias("version"))
+    table = _kept(s, points, "point_id")
+    table.upsert(points.where("vec_id % 4 = 0").withColumn("version", F.lit(2)), "version")
+    return table.read().select("vec_id", "version", F.size("embedding").cast("long").alias("width"))
 
 
 @register("snk8_upsert_documents", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'changed' ELSE doc_number END AS doc_number FROM doc")
 def snk8(s, d):
     cur = S.documents(s, d).select("doc_id", "doc_number", F.lit(1).alias("v"))
-    return M.upsert(cur, cur.where("doc_id % 5 = 0").select("doc_id", F.lit("changed").alias("doc_number"), F.lit(1).alias("v")), ["doc_id"], "v").drop("v")
+    table = _kept(s, cur, "doc_id")
+    table.upsert(cur.where("doc_id % 5 = 0").select("doc_id", F.lit("changed").alias("doc_number"), F.lit(1).alias("v")), "v")
+    return table.read().drop("v")
 
 
-@register("snk9_upsert_chunks", "SELECT chunk_uid FROM hc")
+@register("snk9_upsert_chunks", "SELECT chunk_uid, doc_id, CASE WHEN doc_id % 3 = 0 THEN text || '+' ELSE text END AS text FROM hc JOIN chk USING (chunk_uid, doc_id)")
 def snk9(s, d):
-    return S.has_chunk(s, d).select("chunk_uid")
+    """Chunks of documents that are there; those of a third come again."""
+    cur = S.chunks(s, d).join(S.documents(s, d).select("doc_id"), "doc_id", "left_semi").select("chunk_uid", "doc_id", "text", F.lit(1).alias("v"))
+    table = _kept(s, cur, "chunk_uid")
+    table.upsert(cur.where("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit("+"))), "v")
+    return table.read().drop("v")
 
 
 @register("snk13_append_messages", "SELECT conv_id, turn, role FROM msg UNION ALL SELECT conv_id, max(turn) + 1, 'user' FROM msg GROUP BY conv_id")
 def snk13(s, d):
-    m = S.chat_messages(s, d).select("conv_id", "turn", "role")
-    return m.unionByName(m.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn")).withColumn("role", F.lit("user")))
+    path, m = IO.scratch_path(s, "messages"), S.chat_messages(s, d).select("conv_id", "turn", "role")
+    IO.append(m, path)
+    IO.append(s.read.parquet(path).groupBy("conv_id").agg((F.max("turn") + 1).alias("turn")).withColumn("role", F.lit("user")), path)
+    return s.read.parquet(path)
 
 
 @register("snk14_feedback_upsert", f"WITH {LOG} SELECT user_id, item, arg_max(rating, version) AS rating, min(version) AS first_id, max(version) AS version FROM log GROUP BY 1, 2")
 def snk14(s, d):
-    """The last rating stands; the id of the first insert is kept."""
-    return _log(s, d).groupBy("user_id", "item").agg(F.max_by("rating", "version").alias("rating"), F.min("version").alias("first_id"), F.max("version").alias("version"))
+    """The last rating stands; the id of the first insert is kept. The log comes in two parts, the later one as an upsert."""
+    fold = lambda rows: rows.groupBy("user_id", "item").agg(F.max_by("rating", "version").alias("rating"), F.min("first_id").alias("first_id"), F.max("version").alias("version"))
+    log = _log(s, d).withColumn("first_id", F.col("version"))
+    table = _kept(s, fold(log.where("version % 2 = 0")), "user_id", "item")
+    table.change(fold(log.where("version % 2 = 1")), lambda current, new: fold(current.unionByName(new.select(*current.columns))))
+    return table.read()
 
 
 @register("snk15_insert_if_absent", "SELECT user_id, email FROM usr UNION ALL SELECT 1000, 'new@example.org'")
 def snk15(s, d):
-    u = S.chat_users(s, d)
-    return M.insert_absent(u, s.createDataFrame([(1000, "new@example.org"), (3, "other@example.org")], "user_id long, email string"), ["user_id"])
+    table = _kept(s, S.chat_users(s, d), "user_id")
+    table.insert_absent(s.createDataFrame([(1000, "new@example.org"), (3, "other@example.org")], "user_id long, email string"))
+    return table.read()
 
 
 @register("snk16_soft_delete", "SELECT conv_id, CASE WHEN conv_id % 10 = 0 THEN 'archived' ELSE status END AS status FROM conv")
 def snk16(s, d):
     c = S.chat_conversations(s, d).select("conv_id", "status", F.lit(0).alias("v"))
-    return M.upsert(c, c.where("conv_id % 10 = 0").withColumns({"status": F.lit("archived"), "v": F.lit(1)}), ["conv_id"], "v").drop("v")
+    table = _kept(s, c, "conv_id")
+    table.upsert(c.where("conv_id % 10 = 0").withColumns({"status": F.lit("archived"), "v": F.lit(1)}), "v")
+    return table.read().drop("v")
 
 
 # ---- chat views and reads

@@ -42,11 +42,12 @@ def str2(s, d):
     return _docs(s, d).select("doc_id", T.token_count("text").alias("n"))
 
 
-@register("str4_doc_references", r"SELECT o_orderkey, list_sort(list_distinct(regexp_extract_all(upper('xx ' || o_orderkey % 1000 || '/20' || (10 + o_orderkey % 10) || '/tt-btc y ' || o_orderkey % 7 || '/2019/qh14'), '\b\d{1,4}/\d{4}/[A-Z0-9\-]+\b'))) AS refs FROM orders")
+@register("str4_doc_references", r"SELECT doc_id, list_sort(list_distinct(regexp_extract_all(upper(text || ' xx ' || doc_id % 1000 || '/20' || (10 + doc_id % 10) || '/tt-btc y ' || doc_id % 7 || '/2019/qh14'), '\b\d{1,4}/\d{4}/[A-Z0-9\-]+\b'))) AS refs FROM documents")
 def str4(s, d):
-    k = F.col("o_orderkey")
-    text = F.concat(F.lit("xx "), (k % 1000).cast("string"), F.lit("/20"), (10 + k % 10).cast("string"), F.lit("/tt-btc y "), (k % 7).cast("string"), F.lit("/2019/qh14"))
-    return S.raw(s, d, "orders").select("o_orderkey", T.doc_references(text).alias("refs"))
+    """Whole texts, with two numbers put behind each."""
+    k = F.col("doc_id")
+    text = F.concat("text", F.lit(" xx "), (k % 1000).cast("string"), F.lit("/20"), (10 + k % 10).cast("string"), F.lit("/tt-btc y "), (k % 7).cast("string"), F.lit("/2019/qh14"))
+    return S.raw(s, d, "documents").select("doc_id", T.doc_references(text).alias("refs"))
 
 
 @register("str5_safe_id", "SELECT DISTINCT url, coalesce(nullif(trim(regexp_replace(regexp_replace(trim(url), '[^A-Za-z0-9_-]+', '_', 'g'), '_+', '_', 'g'), '_'), ''), 'doc') AS safe FROM pages")
@@ -82,9 +83,13 @@ def str13(s, d):
 NAMES = ["Luật Thuế thu nhập cá nhân", "Nghị định 65/2013", "Thông tư liên tịch số 1", "luật", "Thuế", "  Bộ luật Dân sự  "]
 
 
-@register("str14_without_type_prefix", "SELECT n AS name, coalesce(nullif(trim(regexp_replace(n, '(?i)^\\s*(?:thông tư liên tịch|nghị quyết|quyết định|nghị định|pháp lệnh|hiến pháp|thông tư|bộ luật|luật)\\s+', '')), ''), n) AS bare FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in NAMES) + "]) AS n)")
+NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in NAMES) + f"][doc_id % {len(NAMES)} + 1] || ' ' || source"
+
+
+@register("str14_without_type_prefix", f"SELECT doc_id, n AS name, coalesce(nullif(trim(regexp_replace(n, '(?i)^\\s*(?:thông tư liên tịch|nghị quyết|quyết định|nghị định|pháp lệnh|hiến pháp|thông tư|bộ luật|luật)\\s+', '')), ''), n) AS bare FROM (SELECT doc_id, {NAMES_SQL} AS n FROM documents)")
 def str14(s, d):
-    return s.createDataFrame([(n,) for n in NAMES], "name string").select("name", T.without_type_prefix("name").alias("bare"))
+    names = F.concat(F.get(F.array(*map(F.lit, NAMES)), (F.col("doc_id") % len(NAMES)).cast("int")), F.lit(" "), F.col("source"))
+    return S.raw(s, d, "documents").select("doc_id", names.alias("name")).select("doc_id", "name", T.without_type_prefix("name").alias("bare"))
 
 
 @register("str15_blank_to_null", "SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN '  ' WHEN doc_id % 3 = 1 THEN NULL ELSE source END), ''), lang) AS picked FROM documents")
@@ -108,13 +113,13 @@ def str18(s, d):
     return S.documents(s, d).where(T.contains_any(["er the"], "title")).select("doc_id")
 
 
-@register("str20_article_references", r"SELECT o_orderkey, regexp_extract_all('Điều ' || o_orderkey % 30 || ' khoản ' || o_orderkey % 5 || ' và điều 7', '(?i)điều\s+(\d+)', 1) AS articles FROM orders")
+@register("str20_article_references", r"SELECT doc_id, regexp_extract_all(text || ' Điều ' || doc_id % 30 || ' khoản ' || doc_id % 5 || ' và điều 7', '(?i)điều\s+(\d+)', 1) AS articles FROM documents")
 def str20(s, d):
     from ..functions import intent as I
 
-    k = F.col("o_orderkey")
-    q = F.concat(F.lit("Điều "), (k % 30).cast("string"), F.lit(" khoản "), (k % 5).cast("string"), F.lit(" và điều 7"))
-    return S.raw(s, d, "orders").select("o_orderkey", I.articles(q).alias("articles"))
+    k = F.col("doc_id")
+    q = F.concat("text", F.lit(" Điều "), (k % 30).cast("string"), F.lit(" khoản "), (k % 5).cast("string"), F.lit(" và điều 7"))
+    return S.raw(s, d, "documents").select("doc_id", I.articles(q).alias("articles"))
 
 
 QUESTIONS = [
@@ -127,11 +132,13 @@ QUESTIONS = [
 ]
 
 
-@register("str21_intent", "SELECT q AS question, CASE WHEN lower(q) LIKE '%so sánh%' THEN 'compare' WHEN lower(q) LIKE '%sửa đổi%' THEN 'list_related' WHEN lower(q) LIKE '%tóm tắt%' THEN 'summarize_doc' WHEN lower(q) LIKE '%giải thích%' OR (lower(q) LIKE '%đọc%' AND regexp_matches(lower(q), 'điều\\s+\\d+')) THEN 'explain_article' ELSE 'general_qa' END AS intent FROM (SELECT unnest([" + ", ".join(f"'{q}'" for q in QUESTIONS) + "]) AS q)")
+@register("str21_intent", "SELECT doc_id, CASE WHEN lower(q) LIKE '%so sánh%' THEN 'compare' WHEN lower(q) LIKE '%sửa đổi%' THEN 'list_related' WHEN lower(q) LIKE '%tóm tắt%' THEN 'summarize_doc' WHEN lower(q) LIKE '%giải thích%' OR (lower(q) LIKE '%đọc%' AND regexp_matches(lower(q), 'điều\\s+\\d+')) THEN 'explain_article' ELSE 'general_qa' END AS intent FROM (SELECT doc_id, [" + ", ".join(f"'{q}'" for q in QUESTIONS) + f"][doc_id % {len(QUESTIONS)} + 1] || ' D' || doc_id AS q FROM documents)")
 def str21(s, d):
+    """A question about every document."""
     from ..functions import intent as I
 
-    return s.createDataFrame([(q,) for q in QUESTIONS], "question string").select("question", I.intent("question").alias("intent"))
+    asked = F.concat(F.get(F.array(*map(F.lit, QUESTIONS)), (F.col("doc_id") % len(QUESTIONS)).cast("int")), F.lit(" D"), F.col("doc_id").cast("string"))
+    return S.raw(s, d, "documents").select("doc_id", asked.alias("question")).select("doc_id", I.intent("question").alias("intent"))
 
 
 @register("str22_first_int", r"SELECT doc_id, TRY_CAST(nullif(regexp_extract(source, '\d+'), '') AS INTEGER) AS n FROM documents")
@@ -244,11 +251,13 @@ def jsn4(s, d):
 REPLIES = ['```json\n{"intent": "compare", "references": []}\n```', 'so {"intent": "Summarize_Doc"} ok', "none", '{"intent": "other"}', '{"intent": ']
 
 
-@register("jsn5_reply_json", "SELECT id, CASE WHEN lower(i) IN ('general_qa', 'explain_article', 'summarize_doc', 'compare', 'list_related') THEN lower(i) END AS intent FROM (SELECT id, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.intent') END AS i FROM (SELECT id, regexp_extract(r, '\\{[\\s\\S]*\\}') AS j FROM (VALUES " + ", ".join(f"({i}, '{r}')" for i, r in enumerate(REPLIES)) + ") v(id, r)))")
+@register("jsn5_reply_json", "SELECT id, CASE WHEN lower(i) IN ('general_qa', 'explain_article', 'summarize_doc', 'compare', 'list_related') THEN lower(i) END AS intent FROM (SELECT id, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.intent') END AS i FROM (SELECT id, regexp_extract(r, '\\{[\\s\\S]*\\}') AS j FROM (SELECT doc_id AS id, source || ': ' || [" + ", ".join(f"'{r}'" for r in REPLIES) + f"][doc_id % {len(REPLIES)} + 1] AS r FROM documents)))")
 def jsn5(s, d):
+    """A model's reply about every document."""
     from ..functions import intent as I
 
-    return s.createDataFrame(list(enumerate(REPLIES)), "id int, r string").select("id", I.reply_intent("r").alias("intent"))
+    reply = F.concat("source", F.lit(": "), F.get(F.array(*map(F.lit, REPLIES)), (F.col("doc_id") % len(REPLIES)).cast("int")))
+    return S.raw(s, d, "documents").select(F.col("doc_id").alias("id"), reply.alias("r")).select("id", I.reply_intent("r").alias("intent"))
 
 
 @register("cnd1_case_coalesce", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS tier, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS code, coalesce(nullif(o_orderpriority, '1-URGENT'), 'now') AS prio FROM orders")

@@ -10,12 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import chunker as K
 from ..functions import embedding as EM
-from ..functions import html as H
-from ..functions import intent as I
 from ..functions import text as T
 from ..operators import answer as A
 from ..operators import etl as E
-from ..sources import config as C
 from ..sources import io as IO
 from ..streaming import queue as Q
 from . import surrogates as S
@@ -94,35 +91,6 @@ def snk18_analytics(s, d):
     return Q.analytics(e, "event_id")
 
 
-@register("snk4_schema_and_truncate", values("step, n", ("written", 3), ("truncated", 0), ("absent", -1)))
-def snk4(s, d):
-    import uuid
-
-    schema = f"qg_{uuid.uuid4().hex}"
-    IO.create_schema(s, schema)
-    IO.create_schema(s, schema)
-    s.range(3).write.format("parquet").saveAsTable(f"{schema}.t")
-    rows = [("written", s.table(f"{schema}.t").count())]
-    IO.truncate(s, f"{schema}.t")
-    rows += [("truncated", s.table(f"{schema}.t").count()), ("absent", 0 if IO.truncate(s, f"{schema}.none") else -1)]
-    s.sql(f"DROP SCHEMA {schema} CASCADE")
-    return s.createDataFrame(rows, "step string, n int")
-
-
-@register("snk5_collection", values("asked, width, metric", ("cosine", "64", "cosine"), ("dot", "64", "dot"), ("made-up", "64", "cosine")))
-def snk5(s, d):
-    import uuid
-
-    rows = []
-    for asked in ("cosine", "dot", "made-up"):
-        name = f"qg_{uuid.uuid4().hex}"
-        IO.ensure_collection(s, name, 64, asked)
-        found = IO.ensure_collection(s, name, 64, "euclid")  # it is there: stays as it was
-        rows.append((asked, found["width"], found["metric"]))
-        s.sql(f"DROP TABLE {name}")
-    return s.createDataFrame(rows, "asked string, width string, metric string")
-
-
 @register("snk11_ordered_sync", "SELECT 1 AS place, 'documents' AS name, count(*) AS n FROM doc UNION ALL SELECT 2, 'chunks', count(*) FROM chk UNION ALL SELECT 3, 'relations', count(*) FROM documents")
 def snk11(s, d):
     from .relational import relations
@@ -162,53 +130,12 @@ def stm10(s, d):
     return S.raw(s, d, "documents").select("doc_id").coalesce(1).mapInPandas(run, "n long, flushes long")
 
 
-SETTINGS = {"QG_TOP_K": '"7"', "QG_ALPHA": " ", "QG_FOLD_D_BAR": "Yes", "QG_SCHEMA": "'gold'", "QG_METRIC": ""}
-
-
-@register("src13_settings", values("name, value", ("top_k", "7"), ("alpha", "0.7"), ("fold_d_bar", "True"), ("schema", "gold"), ("metric", "cosine"), ("table", "gold.chunks")))
-def src13(s, d):
-    c = C.from_mapping(SETTINGS, "QG_")
-    rows = [(n, str(getattr(c, n))) for n in ("top_k", "alpha", "fold_d_bar", "schema", "metric")] + [("table", c.table("chunks"))]
-    return s.createDataFrame(rows, "name string, value string")
-
-
-def _refused(call, *args, **kw) -> bool:
-    try:
-        call(*args, **kw)
-    except ValueError:
-        return True
-    return False
-
-
-@register("flt14_request_checks", values("asked, refused", ("top_k 0", True), ("top_k 20", False), ("top_k 21", True), ("top_k_graph 0", False), ("question of 2", True), ("question of 2000", False), ("rating 6", True), ("rating 5", False), ("limit 101", True), ("limit 100", False)))
-def flt14(s, d):
-    rows = [
-        ("top_k 0", _refused(C.check_search, top_k=0)), ("top_k 20", _refused(C.check_search, top_k=20)), ("top_k 21", _refused(C.check_search, top_k=21)), ("top_k_graph 0", _refused(C.check_search, top_k_graph=0)),
-        ("question of 2", _refused(C.check_search, question="ab")), ("question of 2000", _refused(C.check_search, question="x" * 2000)), ("rating 6", _refused(C.check_feedback, 6)), ("rating 5", _refused(C.check_feedback, 5)),
-        ("limit 101", _refused(C.check_page, 101)), ("limit 100", _refused(C.check_page, 100)),
-    ]
-    return s.createDataFrame(rows, "asked string, refused boolean")
-
-
-@register("flt15_settings_checks", values("asked, refused", ("target 300 limit 200", True), ("alpha 2", True), ("top_k x", True), ("defaults", False)))
-def flt15(s, d):
-    bad = {"target 300 limit 200": {"QG_CHUNK_TARGET": "300", "QG_CHUNK_LIMIT": "200"}, "alpha 2": {"QG_ALPHA": "2"}, "top_k x": {"QG_TOP_K": "x"}, "defaults": {}}
-    return s.createDataFrame([(k, _refused(C.from_mapping, v, "QG_")) for k, v in bad.items()], "asked string, refused boolean")
-
-
 @register("prj7_time_stamp", "SELECT doc_id, TRUE AS stamped FROM documents")
 def prj7(s, d):
     rows = IO.stamp(S.raw(s, d, "documents").select("doc_id"))
     return rows.select("doc_id", (F.abs(F.unix_timestamp("transform_ts") - F.unix_timestamp(F.current_timestamp())) < 1).alias("stamped"))
 
 
-@register("dt2_current_time", "SELECT TRUE AS one_time, TRUE AS utc FROM range(1)")
-def dt2(s, d):
-    """All rows of one query carry one time."""
-    rows = IO.stamp(s.range(100, numPartitions=4))
-    return rows.agg((F.countDistinct("transform_ts") == 1).alias("one_time"), (F.max("transform_ts") <= F.current_timestamp()).alias("utc"))
-
-
 # ---- joins by id where others rely on places
 
 
@@ -237,50 +164,6 @@ def jsn3(s, d):
     return S.raw(s, d, "documents").select("doc_id", F.to_json(F.struct("doc_id", "lang", F.col("n_chars").alias("n"))).alias("json"))
 
 
-# ---- text of legal documents
-
-HEADINGS = ["Chương I", "Mục 2", "Điều 5. Phạm vi", "Dieu 6a", "1. Nội dung", "Khoản 2. Khác", "a) điểm", "đ) điểm", "Điều này", "12.5 m", "chuong"]
-
-
-@register("str3_folded_accents", values("x, folded, kept", ("Điều khoản", "Dieu khoan", "Đieu khoan"), ("Thuế thu nhập cá nhân", "Thue thu nhap ca nhan", "Thue thu nhap ca nhan"), ("đường", "duong", "đuong"), ("éa", "ea", "ea"), ("plain", "plain", "plain"), ("", "", "")))
-def str3(s, d):
-    rows = [(x, K.fold(x), K.fold(x, False)) for x in ("Điều khoản", "Thuế thu nhập cá nhân", "đường", "éa", "plain", "")]
-    return s.createDataFrame(rows, "x string, folded string, kept string")
-
-
-@register("str8_headings", values("line, level, label", ("Chương I", "chapter", "chuong i"), ("Mục 2", "section", "muc 2"), ("Điều 5. Phạm vi", "article", "dieu 5"), ("Dieu 6a", "article", "dieu 6a"), ("1. Nội dung", "clause", "1. "), ("Khoản 2. Khác", "clause", "khoan 2. "), ("a) điểm", "point", "a) "), ("đ) điểm", "point", "d) "), ("Điều này", None, None), ("12.5 m", None, None), ("chuong", None, None)))
-def str8(s, d):
-    return s.createDataFrame([(x, *(K.heading(x) or (None, None))) for x in HEADINGS], "line string, level string, label string")
-
-
-PAGES = [(1, "<p>x<br/>y</p><p>z"), (2, "<head><meta charset=u></head><body><p>hi &amp; bye</p></body>"), (3, "a<script>var x='<p>'</script>b<style>p{}</style>c"), (4, None), (5, "  "), (6, "<ul><li>one</li><li>two</li></ul>")]
-
-
-def _html(s):
-    return s.createDataFrame(PAGES, "id int, html string").select("id", F.coalesce(H.html_to_text("html"), F.lit("")).alias("text"))
-
-
-# Line ends stand as chr(10) in the SQL.
-HTML_ROWS = values("id, text", (1, "x\ny\nz"), (2, "hi & bye"), (3, "abc"), (4, ""), (5, ""), (6, "one\ntwo")).replace("\n", "' || chr(10) || '")
-
-
-@register("str9_html_to_text", HTML_ROWS)
-def str9(s, d):
-    return _html(s).withColumn("text", F.regexp_replace("text", "\n+", "\n"))
-
-
-QUERIES["udf3_html_to_text"], ORACLES["udf3_html_to_text"] = str9, ORACLES["str9_html_to_text"]
-
-
-LAW = "Chương I\nĐiều 1. Theo 45/2019/QH14\n1. một hai ba bốn\n2. năm sáu\nĐiều 2. bảy tám"
-
-
-@register("udf2_chunker", values("chunk_order, article, clause, n_references", (1, None, None, 0), (2, "dieu 1", None, 1), (3, "dieu 1", "1. ", 0), (4, "dieu 1", "2. ", 0), (5, "dieu 2", None, 0)))
-def udf2(s, d):
-    law = s.createDataFrame([("x", "n", "t", LAW)], "doc_id string, doc_number string, doc_title string, content_text string")
-    return K.chunk_documents(law, overlap=0).select("chunk_order", "article", "clause", F.size("references_to").alias("n_references"))
-
-
 @register("udf1_chunk_documents", "SELECT doc_id, CAST(sum(CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) AS BIGINT)) AS BIGINT) AS tokens FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(['', text]) AS text FROM documents WHERE length(trim(text, ' ' || chr(10) || chr(9) || chr(13))) > 0) GROUP BY doc_id")
 def udf1(s, d):
     """Every document through the chunker without overlap: no token is lost or doubled."""
@@ -288,169 +171,16 @@ def udf1(s, d):
     return K.chunk_documents(docs, overlap=0).groupBy("doc_id").agg(F.sum(T.token_count("chunk_text")).alias("tokens"))
 
 
-OVERLAP = "a b.\nc d.\ne f."
-
-
-@register("win8_overlap", values("chunk_order, text", (1, "a b."), (2, "a b .|c d."), (3, ". c d .|e f.")))
-def win8(s, d):
-    """Each chunk is prefixed by the last four tokens of the one before, itself already prefixed."""
-    text = s.createDataFrame([("x", "n", "t", OVERLAP)], "doc_id string, doc_number string, doc_title string, content_text string")
-    return K.chunk_documents(text, target=2, limit=3, overlap=4).select("chunk_order", F.replace("chunk_text", F.lit("\n"), F.lit("|")).alias("text"))
-
-
-# ---- embedding
-
-
-@register("win10_embedding_batches", values("batch, texts, tokens", (1, 3, 9), (2, 1, 20), (3, 3, 5), (4, 3, 3)))
-def win10(s, d):
-    """In order; a batch closes before it passes three texts or ten tokens; a text over the bound goes alone."""
-    sizes = [3, 3, 3, 20, 2, 2, 1, 1, 1, 1]
-    got = list(EM.batches(["x" * n for n in sizes], 3, 10, len))
-    return s.createDataFrame([(i + 1, len(b), sum(map(len, b))) for i, b in enumerate(got)], "batch int, texts int, tokens int")
-
-
-@register("stm6_token_buckets", values("request, waited", (1, 0), (2, 0), (3, 30), (4, 60)))
-def stm6(s, d):
-    """Two requests a minute and a hundred tokens, by a clock that sleep moves."""
-    now = [0.0]
-    bucket = EM.TokenBuckets(2, 100, 1.0, lambda: now[0], lambda t: now.__setitem__(0, now[0] + t))
-    rows = []
-    for i, cost in enumerate((10, 10, 10, 10), 1):
-        bucket.acquire(cost)
-        rows.append((i, round(now[0])))
-    return s.createDataFrame(rows, "request int, waited int")
-
-
-@register("mth5_backoff", "SELECT CAST(n AS INTEGER) AS attempt, least(60.0, 2.0 ** (n - 1))::DOUBLE AS least, least(60.0, 2.0 ** (n - 1) + 5)::DOUBLE AS most, TRUE AS inside FROM range(1, 11) t(n)")
-def mth5(s, d):
-    rows = []
-    for n in range(1, 11):
-        found = [EM.backoff(n) for _ in range(50)]
-        low, high = EM.backoff(n, jitter=0.0), min(60.0, 2.0 ** (n - 1) + 5)
-        rows.append((n, float(low), float(high), all(low <= x <= high for x in found)))
-    return s.createDataFrame(rows, "attempt int, least double, most double, inside boolean")
-
-
 @register("stm7_distinct_questions", "SELECT conv_id, turn, CAST(16 AS INTEGER) AS width FROM conversations WHERE role = 'user' AND text IS NOT NULL")
 def stm7(s, d):
     asked = S.raw(s, d, "conversations").where("role = 'user' and text is not null").select("conv_id", "turn", F.col("text").alias("question"))
     return E.embed_questions(asked, EM.hashing_embedder(16)).select("conv_id", "turn", F.size("embedding").alias("width"))
 
 
-class _Reply:
-    def __init__(self, **fields):
-        self.__dict__.update(fields)
-
-
-@register("ret12_embedding_replies", values("shape, task, total", ("object", "RETRIEVAL_QUERY", 3.0), ("mapping", "RETRIEVAL_DOCUMENT", 3.0), ("single", "RETRIEVAL_QUERY", 3.0), ("list", "RETRIEVAL_DOCUMENT", 3.0), ("to_dict", "RETRIEVAL_QUERY", 3.0)))
-def ret12(s, d):
-    """One text, answered in each shape that services use."""
-    shapes = {
-        "object": _Reply(embeddings=[_Reply(values=[1, 2])]), "mapping": {"embeddings": [{"values": [1, 2]}]}, "single": {"embedding": [1, 2]}, "list": [[1, 2]], "to_dict": _Reply(to_dict=lambda: {"embeddings": [{"embedding": [1, 2]}]}),
-    }
-    rows = []
-    for i, (name, reply) in enumerate(shapes.items()):
-        said = []
-        vectors = EM.client(lambda texts, task, reply=reply, said=said: said.append(task) or reply, "document" if i % 2 else "query")(["text"])
-        rows.append((name, said[0], sum(map(sum, vectors))))
-    return s.createDataFrame(rows, "shape string, task string, total double")
-
-
 QUERIES["udf4_embedding"], ORACLES["udf4_embedding"] = join16, ORACLES["join16_rows_with_vectors"]
 
 
-# ---- intents and answers
-
-QUESTIONS = [
-    ("Thuế thu nhập cá nhân được tính như thế nào?", "general_qa", 0), ("Giải thích chi tiết Điều 8 Luật Thuế thu nhập cá nhân", "explain_article", 1), ("Phân tích Điều 12 Khoản 2 của 45/2019/QH14", "explain_article", 1),
-    ("Tóm tắt Nghị định 65/2013/NĐ-CP", "summarize_doc", 1), ("Văn bản nào sửa đổi Luật Thuế thu nhập cá nhân?", "list_related", 1), ("So sánh Điều 8 Luật Thuế thu nhập cá nhân và Điều 9 Luật Thuế giá trị gia tăng", "compare", 2),
-]
-
-
-@register("ret8_intents", values("question, intent, n", *QUESTIONS))
-def ret8(s, d):
-    asked = s.createDataFrame([(q,) for q, _, _ in QUESTIONS], "question string")
-    return I.classify(asked).select("question", "intent", F.size("references").alias("n"))
-
-
-@register("udf5_model_reply", values("question, intent, used_model", ("Giải thích giúp tôi", "general_qa", False), ("Tóm tắt giúp tôi", "summarize_doc", True)))
-def udf5(s, d):
-    """A structured intent without its references asks a model; a reply without any leaves a general question."""
-    asked = s.createDataFrame([("Giải thích giúp tôi",), ("Tóm tắt giúp tôi",)], "question string")
-    reply = '```json\n{"intent": "summarize_doc", "references": [{"doc_number": "1/2020/X"}]}\n```'
-    return I.classify(asked, model=lambda p: reply if "Tóm tắt" in p else "{}").select("question", "intent", "used_model")
-
-
-@register("str19_document_names", values("name, cleaned", ("Luật Thuế thu nhập cá nhân", "Luật Thuế thu nhập cá nhân"), ("Luật", None), ("", None)))
-def str19(s, d):
-    names = s.createDataFrame([("Luật Thuế thu nhập cá nhân",), ("Luật",), ("",)], "name string")
-    return names.select("name", I.clean_name("name").alias("cleaned"))
-
-
 @register("str26_prompts", "SELECT conv_id, turn, 'Answer the question from the numbered passages only and cite them.' || chr(10) || chr(10) || '[1] x' || chr(10) || chr(10) || 'Question: ' || text AS prompt FROM conversations WHERE role = 'user'")
 def str26(s, d):
     asked = S.raw(s, d, "conversations").where("role = 'user'")
     return asked.select("conv_id", "turn", A.prompt(F.lit("general_qa"), F.lit("[1] x"), F.col("text")).alias("prompt"))
-
-
-def _missing(prompt):
-    raise RuntimeError("404 NOT_FOUND: no such model")
-
-
-def _down(prompt):
-    raise RuntimeError("503 down")
-
-
-@register("ret11_answers", values("case_name, answer, failed", ("second model", "Answer", False), ("error", "503 down||ctx", True), ("no model", "ctx", False)))
-def ret11(s, d):
-    """The next model answers where one isn't found; other errors give the error and the context."""
-    asked = s.createDataFrame([("q", "ctx", "general_qa")], "question string, context string, intent string")
-    cases = {"second model": [_missing, lambda p: p[:6]], "error": [_missing, _down, lambda p: "never"], "no model": None}
-    out = None
-    for name, models in cases.items():
-        one = A.synthesize(asked, models).select(F.lit(name).alias("case_name"), F.replace("answer", F.lit("\n"), F.lit("|")).alias("answer"), "failed")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-ARTICLES = [(1, "Điều 7 mở đầu"), (2, "theo Điều 08 và điều 7"), (3, "tiếp theo"), (4, "Điều 8 nữa, Điều 9"), (5, "Điều 9. khác"), (6, "Điều 8 sau")]
-SPAN_SQL = """WITH c(position, text) AS (VALUES (1, 'Điều 7 mở đầu'), (2, 'theo Điều 08 và điều 7'), (3, 'tiếp theo'), (4, 'Điều 8 nữa, Điều 9'), (5, 'Điều 9. khác'), (6, 'Điều 8 sau')),
-o AS (SELECT *, max(CASE WHEN regexp_matches(text, '(?i)điều\\s+0*8\\b') THEN 1 ELSE 0 END) OVER (ORDER BY position) AS on_, try_cast(nullif(regexp_extract(text, '(?i)điều\\s+0*(\\d+)\\b', 1), '') AS INTEGER) AS m FROM c),
-p AS (SELECT *, lag(on_, 1, 0) OVER (ORDER BY position) AS was FROM o),
-f AS (SELECT *, max(CASE WHEN was = 1 AND m IS NOT NULL AND m <> 8 THEN 1 ELSE 0 END) OVER (ORDER BY position) AS off_ FROM p)
-SELECT 1 AS question_id, 'chunk' AS kind, 'c' || position AS item FROM f WHERE on_ = 1 AND off_ = 0
-UNION ALL SELECT 2, 'fallback', 'h1' UNION ALL SELECT 3, 'related', 'CITES out N2'"""
-
-
-@register("ret9_structured", SPAN_SQL)
-def ret9(s, d):
-    """The span of an article that no chunk has as its own; hybrid hits where nothing is found; related documents."""
-    docs = s.createDataFrame([("a", "N1", "Luật Thuế thu nhập cá nhân"), ("b", "N2", "Khác")], "doc_id string, doc_number string, title string")
-    chunks = s.createDataFrame([("a", f"c{i}", i, t, None) for i, t in ARTICLES], "doc_id string, chunk_uid string, chunk_order int, text string, article string")
-    edges = s.createDataFrame([("N1", "N2", "CITES")], "src string, dst string, rel_type string")
-    ref = lambda number, name, article: [(number, name, article, None, None)]
-    asked = [(1, "explain_article", ref(None, "thuế thu nhập cá", "8")), (2, "summarize_doc", ref("N9", None, None)), (3, "list_related", ref("N1", None, None))]
-    intents = s.createDataFrame(asked, "question_id int, intent string, references array<struct<doc_number: string, doc_name: string, article: string, clause: string, point: string>>")
-    hits = s.createDataFrame([(i, "h1", 1) for i in (1, 2, 3)], "question_id int, item string, position int")
-    return A.structured(intents, docs, chunks, edges, fallback=hits).select("question_id", "kind", "item")
-
-
-@register("stm9_events", values("kind", ("progress",), ("started",), ("terminated",)))
-def stm9(s, d):
-    """What a listener hears of one stream."""
-    import time
-
-    heard: list[str] = []
-    listener = Q.EventListener(lambda e: heard.append(e["kind"]))
-    s.streams.addListener(listener)
-    try:
-        source = IO.scratch_path(s, "stream")
-        s.range(5).write.parquet(source)
-        IO.consume(IO.file_stream(s, source, "id bigint"), IO.scratch_path(s, "checkpoint"), lambda batch, _: batch.count())
-        for _ in range(100):
-            if "terminated" in heard:
-                break
-            time.sleep(0.1)
-    finally:
-        s.streams.removeListener(listener)
-    return s.createDataFrame([(k,) for k in sorted(set(heard) - {"idle"})], "kind string")

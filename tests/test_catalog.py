@@ -44,7 +44,7 @@ def test_workers_need_no_installed_package(tmp_path):
         "from pyspark.sql import SparkSession\n"
         "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
         "import __spark_entry__ as e\n"
-        "for name in ('ret1_vector_search', 'str9_html_to_text', 'udf1_chunk_documents', 'ret11_answers'):\n"
+        "for name in ('ret1_vector_search', 'udf1_chunk_documents', 'ret11_answers'):\n"
         f"    assert e.queries()[name](spark, {conftest.SF!r}).count() > 0\n"
     )
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}

@@ -29,10 +29,33 @@ TAGS = r"(?s)</?[a-zA-Z][^>]*>|<[!?][^>]*>"
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
+#: Openers and closers of what ``HIDDEN`` removes.
+PAIRS = (("<script", r"</script\s*>"), ("<style", r"</style\s*>"), ("<!--", "-->"))
+#: Openers of a kind up to which each may be searched to the page's end; beyond, those behind the last closer are set aside first.
+OPENERS = 64
+#: Stands in an opener that is set aside; a noncharacter, which texts don't hold.
+ASIDE = "\ufdd0"
+
+
+def _without_open(text: Column, low: Column, opener: str, closer: str) -> Column:
+    """``text`` with ``ASIDE`` in the openers that nothing closes, where there are many: each of them would be searched to the end."""
+    many = F.length(low) - F.length(F.replace(low, F.lit(opener), F.lit(""))) > OPENERS * len(opener)
+    rest = F.regexp_replace(text, rf"(?is)\A.*{closer}", "")  # what follows the last closer
+    closed = F.substring(text, F.lit(1), F.length(text) - F.length(rest))
+    return F.when(many, F.concat(closed, F.regexp_replace(rest, f"(?i)<(?={opener[1:]})", "<" + ASIDE))).otherwise(text)
+
+
 def html_lines(html: Column) -> Column:
-    """Visible lines of raw HTML: block tags end a line, other tags vanish, blank lines go."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "\n")
-    text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAGS, "")
+    """Visible lines of raw HTML: block tags end a line, other tags vanish, blank lines go. Linear in the page: an element,
+    a comment or a tag that nothing closes is text, and isn't searched for its end again and again."""
+    text = F.coalesce(html, F.lit(""))
+    low = F.lower(text)
+    for opener, closer in PAIRS:
+        text = _without_open(text, low, opener, closer)
+    text = F.replace(F.regexp_replace(text, HIDDEN, "\n"), F.lit("<" + ASIDE), F.lit("<"))
+    rest = F.substring_index(text, ">", -1)  # no tag ends in it
+    tagged = F.substring(text, F.lit(1), F.length(text) - F.length(rest))
+    text = F.concat(F.regexp_replace(F.regexp_replace(tagged, BREAKS, "\n"), TAGS, ""), rest)
     return F.filter(F.transform(F.split(text, "[\r\n]+"), lambda x: F.btrim(x, F.lit(" \t"))), lambda x: x != "")
 
 

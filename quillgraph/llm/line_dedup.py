@@ -10,6 +10,8 @@ pages don't move; else a hot host is split by adaptive skew joins.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,25 +39,35 @@ OPENERS = 64
 ASIDE = "\ufdd0"
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _without_open(text: Column, low: Column, opener: str, closer: str) -> Column:
     """``text`` with ``ASIDE`` in the openers that nothing closes, where there are many: each of them would be searched to the end."""
-    many = F.length(low) - F.length(F.replace(low, F.lit(opener), F.lit(""))) > OPENERS * len(opener)
-    rest = F.regexp_replace(text, rf"(?is)\A.*{closer}", "")  # what follows the last closer
-    closed = F.substring(text, F.lit(1), F.length(text) - F.length(rest))
-    return F.when(many, F.concat(closed, F.regexp_replace(rest, f"(?i)<(?={opener[1:]})", "<" + ASIDE))).otherwise(text)
+    many = F.octet_length(low) - F.octet_length(F.replace(low, F.lit(opener), F.lit(""))) > OPENERS * len(opener)
+    aside = lambda t, rest: F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(rest)), F.regexp_replace(rest, f"(?i)<(?={opener[1:]})", "<" + ASIDE))
+    behind = lambda t: F.regexp_replace(t, rf"(?is)\A.*{closer}", "")  # noqa: E731  what follows the last closer
+    return _with(text, lambda t: F.when(many, _with(behind(t), lambda rest: aside(t, rest))).otherwise(t))
 
 
 def html_lines(html: Column) -> Column:
     """Visible lines of raw HTML: block tags end a line, other tags vanish, blank lines go. Linear in the page: an element,
     a comment or a tag that nothing closes is text, and isn't searched for its end again and again."""
-    text = F.coalesce(html, F.lit(""))
-    low = F.lower(text)
-    for opener, closer in PAIRS:
-        text = _without_open(text, low, opener, closer)
-    text = F.replace(F.regexp_replace(text, HIDDEN, "\n"), F.lit("<" + ASIDE), F.lit("<"))
-    rest = F.substring_index(text, ">", -1)  # no tag ends in it
-    tagged = F.substring(text, F.lit(1), F.length(text) - F.length(rest))
-    text = F.concat(F.regexp_replace(F.regexp_replace(tagged, BREAKS, "\n"), TAGS, ""), rest)
+
+    def shown(low: Column) -> Column:
+        text = F.coalesce(html, F.lit(""))
+        for opener, closer in PAIRS:
+            text = _without_open(text, low, opener, closer)
+        return F.replace(F.regexp_replace(text, HIDDEN, "\n"), F.lit("<" + ASIDE), F.lit("<"))
+
+    def untagged(text: Column, rest: Column) -> Column:
+        tagged = F.substring(text, F.lit(1), F.length(text) - F.length(rest))
+        return F.concat(F.regexp_replace(F.regexp_replace(tagged, BREAKS, "\n"), TAGS, ""), rest)
+
+    text = _with(F.lower(F.coalesce(html, F.lit(""))), shown)
+    text = _with(text, lambda t: _with(F.substring_index(t, ">", -1), lambda rest: untagged(t, rest)))  # no tag ends in the rest
     return F.filter(F.transform(F.split(text, "[\r\n]+"), lambda x: F.btrim(x, F.lit(" \t"))), lambda x: x != "")
 
 

@@ -86,7 +86,9 @@ def drop_boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages:
     pages = pages.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("lines", F.array().cast("array<string>")).alias("lines"))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     seen = (
-        pages.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.md5(x)))).alias("digest"))
+        # An inner explode would bring a filter for empty arrays below it, which works the lines out a second time.
+        pages.select("host", F.explode_outer(F.array_distinct(F.transform("lines", lambda x: F.md5(x)))).alias("digest"))
+        .where("digest is not null")
         .groupBy("host", "digest")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -33,6 +33,8 @@ HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 #: Openers and closers of what ``HIDDEN`` removes.
 PAIRS = (("<script", r"</script\s*>"), ("<style", r"</style\s*>"), ("<!--", "-->"))
+#: Bytes of a page up to which its openers may all be searched to the end: well under a second. The lines are the same either way.
+SHORT = 1 << 14
 #: Openers of a kind up to which each may be searched to the page's end; beyond, those behind the last closer are set aside first.
 OPENERS = 64
 #: Stands in an opener that is set aside; a noncharacter, which texts don't hold.
@@ -66,7 +68,8 @@ def html_lines(html: Column) -> Column:
         tagged = F.substring(text, F.lit(1), F.length(text) - F.length(rest))
         return F.concat(F.regexp_replace(F.regexp_replace(tagged, BREAKS, "\n"), TAGS, ""), rest)
 
-    text = _with(F.lower(F.coalesce(html, F.lit(""))), shown)
+    text = F.coalesce(html, F.lit(""))
+    text = F.when(F.octet_length(text) <= SHORT, F.regexp_replace(text, HIDDEN, "\n")).otherwise(_with(F.lower(text), shown))
     text = _with(text, lambda t: _with(F.substring_index(t, ">", -1), lambda rest: untagged(t, rest)))  # no tag ends in the rest
     return F.filter(F.transform(F.split(text, "[\r\n]+"), lambda x: F.btrim(x, F.lit(" \t"))), lambda x: x != "")
 

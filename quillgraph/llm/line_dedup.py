@@ -66,11 +66,12 @@ def html_lines(html: Column) -> Column:
 
     def untagged(text: Column, rest: Column) -> Column:
         tagged = F.substring(text, F.lit(1), F.length(text) - F.length(rest))
-        return F.concat(F.regexp_replace(F.regexp_replace(tagged, BREAKS, "\n"), TAGS, ""), rest)
+        return F.concat(bare(tagged), rest)
 
     text = F.coalesce(html, F.lit(""))
-    text = F.when(F.octet_length(text) <= SHORT, F.regexp_replace(text, HIDDEN, "\n")).otherwise(_with(F.lower(text), shown))
-    text = _with(text, lambda t: _with(F.substring_index(t, ">", -1), lambda rest: untagged(t, rest)))  # no tag ends in the rest
+    bare = lambda t: F.regexp_replace(F.regexp_replace(t, BREAKS, "\n"), TAGS, "")
+    long = _with(_with(F.lower(text), shown), lambda t: _with(F.substring_index(t, ">", -1), lambda rest: untagged(t, rest)))  # no tag ends in the rest
+    text = F.when(F.octet_length(text) <= SHORT, bare(F.regexp_replace(text, HIDDEN, "\n"))).otherwise(long)
     return F.filter(F.transform(F.split(text, "[\r\n]+"), lambda x: F.btrim(x, F.lit(" \t"))), lambda x: x != "")
 
 

@@ -86,6 +86,11 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
     return lambda texts: [one(t) for t in texts]
 
 
+def counting_embedder() -> Callable[[list[str]], list[list[float]]]:
+    """A text's characters, spaces and line feeds: vectors that SQL can say, to prove that rows keep theirs."""
+    return lambda texts: [[float(len(t)), float(t.count(" ")), float(t.count("\n"))] for t in texts]
+
+
 def vectors_of(reply: object) -> list[list[float]]:
     """Vectors in a service's reply: an object or mapping with ``embeddings`` or one ``embedding``, a list, or an object with ``to_dict``.
     A vector is a list, or has its numbers under ``values`` or ``embedding``."""

@@ -54,6 +54,57 @@ def running(rows: DataFrame, by: str, order: list[str], sums: dict[str, Column])
     return held.join(carries, ["_group", "_part"]).select(*rows.columns, *[(F.col(n) + F.col(f"_before_{n}")).alias(n) for n in names])
 
 
+def batches_of(rows: DataFrame, order: list[str], size: int, name: str = "batch") -> DataFrame:
+    """``rows`` plus the number, from 0, of their batch of ``size`` rows by ``order``, which tells rows apart. Only the last batch is smaller, however
+    the table is cut. An empty table has no batch."""
+    counted = running(rows.withColumn("_all", F.lit(0)), "_all", order, {"_rn": F.lit(1)})
+    return counted.select(*rows.columns, F.expr(f"(_rn - 1) div {int(size)}").alias(name))
+
+
+def bursts(rows: DataFrame, by: str, time: str, tie: str, gap_seconds: int) -> DataFrame:
+    """``rows`` plus ``n``, the row's number in its burst: the rows of a group by (``time``, ``tie``) up to a pause of ``gap_seconds`` or more.
+
+    The window ``streaming.state.rate_limit`` gives the same rows, a group a task. Here each part numbers its own rows and notes which
+    may go on from the part before; a table of one row a group and part gives what they go on from. A null time starts a burst and
+    ends it; null groups are one group.
+    """
+    gap = gap_seconds * 1_000_000
+    keyed = rows.withColumns({"_t": F.unix_micros(F.col(time).cast("timestamp")), "_tie": F.col(tie), "_group": F.coalesce(F.concat(F.lit("g"), F.col(by).cast("string")), F.lit(""))})
+    keyed = keyed.withColumns({"_known": F.col("_t").isNotNull(), "_micros": F.coalesce("_t", F.lit(0))})
+    dealt = keyed.repartitionByRange("_group", "_t", "_tie").sortWithinPartitions("_group", "_t", "_tie")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, last, last_t, last_known, last_n, last_open = TaskContext.get().partitionId(), None, 0, False, 0, True
+        for batch in batches:
+            group, t, known = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_group", "_micros", "_known"))
+            if not len(group):
+                continue
+            at = np.arange(len(group))
+            same = np.concatenate([[group[0] == last], group[1:] == group[:-1]]).astype(bool)
+            pause = t - np.concatenate([[last_t], t[:-1]]) >= gap
+            both = known & np.concatenate([[last_known], known[:-1]])
+            fresh = same & (pause | ~both)
+            start, head, new = (np.maximum.accumulate(np.where(x, at, -1)) for x in (fresh | ~same, ~same, fresh))
+            n = np.where(start >= 0, at - start + 1, at + 1 + last_n)
+            still = np.where(head >= 0, new < head, last_open & (new < 0))
+            last, last_t, last_known, last_n, last_open = group[-1], t[-1], known[-1], n[-1], still[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(still.astype(bool)), pa.array(np.full(len(at), part), pa.int32())], names=[*batch.schema.names, "n", "_open", "_part"])
+
+    held = stored(dealt.mapInArrow(run, f"{kinds}, n long, _open boolean, _part int"), "bursts")
+    blocks = held.groupBy("_group", "_part").agg(F.min(F.struct("_t", "_tie")).alias("first"), F.max(F.struct("_t", "_tie", "n")).alias("last"), F.bool_and("_open").alias("whole"))
+    order = Window.partitionBy("_group").orderBy("_part")
+    before = blocks.withColumns({"end": F.lag("last").over(order), "whole_before": F.lag("whole").over(order)})
+    paused = F.coalesce(F.col("first._t") - F.col("end._t") >= gap, F.lit(True))
+    before = before.withColumns({"adds": F.when(paused, 0).otherwise(F.col("end.n")), "_seg": F.sum((paused | ~F.col("whole_before")).cast("int")).over(order)})
+    carry = F.sum("adds").over(Window.partitionBy("_group", "_seg").orderBy("_part"))
+    carries = before.select("_group", "_part", carry.alias("_carry"))
+    n = F.col("n") + F.when(F.col("_open"), F.col("_carry")).otherwise(0)
+    return held.join(carries, ["_group", "_part"]).select(*rows.columns, n.cast("int").alias("n"))
+
+
 def within_budget(chunks: DataFrame, by: str, order: str, text: str, limit: int) -> DataFrame:
     """As ``answer.within_budget``, for groups of any size: chunks in order while their summed length stays within the limit, the first always."""
     summed = running(chunks, by, [order], {"cum": F.length(text), "_rn": F.lit(1)})

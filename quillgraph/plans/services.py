@@ -1,8 +1,4 @@
-"""Queries of the operators around the tables: sources, sinks, settings, chunking, embedding, intents and answers.
-
-Where an operator's rule can't be said in SQL, its SQL lists the rows that the rule gives for the same literal input, worked out
-by hand.
-"""
+"""Queries of the operators around the tables: sources, sinks, queues, chunking, embedding and prompts."""
 
 from __future__ import annotations
 
@@ -13,6 +9,7 @@ from ..functions import embedding as EM
 from ..functions import text as T
 from ..operators import answer as A
 from ..operators import etl as E
+from ..operators import scan as SC
 from ..sources import io as IO
 from ..streaming import queue as Q
 from . import surrogates as S
@@ -31,12 +28,6 @@ def register(name: str, oracle: str | None = None):
     return keep
 
 
-def values(columns: str, *rows: tuple) -> str:
-    """Literal rows as SQL."""
-    literal = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else f"{v!r}::DOUBLE" if isinstance(v, float) else "'" + str(v).replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) v({columns})"
-
-
 # ---- sources, sinks, settings
 
 
@@ -82,13 +73,17 @@ def stm1(s, d):
 def snk18(s, d):
     """Results go into the queue with answers cut to 500 characters."""
     told = S.chat_messages(s, d).where("role = 'assistant'")
-    return Q.results(told.select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("assistant_message_id"), F.col("text").alias("answer"), "latency_ms")).drop("timestamp")
+    path = IO.scratch_path(s, "results")
+    IO.append(Q.results(told.select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("assistant_message_id"), F.col("text").alias("answer"), "latency_ms")), path)
+    return s.read.parquet(path).drop("timestamp")
 
 
 @register("snk18_analytics", "SELECT event_type, event_id, '{\"user_id\":' || user_id || '}' AS data FROM events ORDER BY event_id DESC LIMIT 10000")
 def snk18_analytics(s, d):
     e = S.raw(s, d, "events").select("event_type", "event_id", F.struct("user_id").alias("data"))
-    return Q.analytics(e, "event_id")
+    path = IO.scratch_path(s, "analytics")
+    IO.append(Q.analytics(e, "event_id"), path)
+    return s.read.parquet(path)
 
 
 @register("snk11_ordered_sync", "SELECT 1 AS place, 'documents' AS name, count(*) AS n FROM doc UNION ALL SELECT 2, 'chunks', count(*) FROM chk UNION ALL SELECT 3, 'relations', count(*) FROM documents")
@@ -108,26 +103,31 @@ def snk19(s, d):
     return back.select(F.col(back.columns[0]).cast("long").alias("item_id"), "text")
 
 
-@register("snk12_batches", "SELECT (doc_id - (SELECT min(doc_id) FROM documents)) // 256 AS batch, count(*) AS n FROM documents GROUP BY 1")
+def _flushed(s, rows, order, size):
+    """Rows in batches of ``size`` by ``order``, appended to a table a batch at a time and read back."""
+    path = IO.scratch_path(s, "flushed")
+    IO.append(SC.batches_of(rows, order, size), path)
+    return s.read.parquet(path)
+
+
+@register("snk12_batches", "SELECT batch, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 256 AS batch FROM documents) GROUP BY batch")
 def snk12(s, d):
-    """Rows in fixed batches, by a number that counts from the least id; ids are dense."""
-    docs = S.raw(s, d, "documents")
-    low = docs.agg(F.min("doc_id").alias("low"))
-    return docs.join(F.broadcast(low), F.lit(True)).groupBy(F.expr("(doc_id - low) div 256").alias("batch")).agg(F.count(F.lit(1)).alias("n"))
+    """Batches of 256 rows by id, whatever gaps the ids have."""
+    rows = _flushed(s, S.raw(s, d, "documents").select("doc_id"), ["doc_id"], 256)
+    return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
-@register("stm10_flush_thresholds", "SELECT count(*) AS n, CAST(ceil(count(*) / 200.0) AS BIGINT) AS flushes FROM documents")
-def stm10(s, d):
-    """Buffers of 200 rows, the rest flushed at the end."""
+_FLUSHES = "SELECT '{}' AS kind, flush, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY {}) - 1) // {} AS flush FROM {}) GROUP BY flush"
 
-    def run(parts):
-        flushed: list[int] = []
-        n = IO.flush_when((r for part in parts for r in part["doc_id"].tolist()), 200, lambda rows: flushed.append(len(rows)))
-        import pandas as pd
 
-        yield pd.DataFrame({"n": [n], "flushes": [len(flushed)]})
+@register("stm10_flush_thresholds", " UNION ALL ".join(_FLUSHES.format(*x) for x in (("documents", "doc_id", 200, "doc"), ("relations", "doc_id", 500, "documents"), ("chunks", "doc_id, chunk_order", 200, "chk"))))
+def stm10(s, d):
+    """Buffers of 200 documents, 500 relations and 200 chunks; what is left over is flushed at the end."""
+    from .relational import relations
 
-    return S.raw(s, d, "documents").select("doc_id").coalesce(1).mapInPandas(run, "n long, flushes long")
+    kinds = (("documents", S.documents(s, d), ["doc_id"], 200), ("relations", relations(s, d), ["source_doc_id", "target_doc_number"], 500), ("chunks", S.chunks(s, d), ["doc_id", "chunk_order"], 200))
+    flushes = [_flushed(s, rows.select(*order), order, size).groupBy(F.col("batch").alias("flush")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "flush", "n") for kind, rows, order, size in kinds]
+    return flushes[0].unionByName(flushes[1]).unionByName(flushes[2])
 
 
 @register("prj7_time_stamp", "SELECT doc_id, TRUE AS stamped FROM documents")
@@ -139,11 +139,19 @@ def prj7(s, d):
 # ---- joins by id where others rely on places
 
 
-@register("join16_rows_with_vectors", "SELECT CAST(doc_id AS VARCHAR) AS chunk_uid, CAST(64 AS INTEGER) AS width FROM documents")
+COUNTED = "length(coalesce(text, '')) AS characters, len(coalesce(text, '')) - len(replace(coalesce(text, ''), ' ', '')) AS spaces, len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) AS breaks"
+
+
+def _numbers():
+    """The counting embedder's vector as columns."""
+    return [F.col("embedding")[i].cast("long").alias(n) for i, n in enumerate(("characters", "spaces", "breaks"))]
+
+
+@register("join16_rows_with_vectors", f"SELECT CAST(doc_id AS VARCHAR) AS chunk_uid, {COUNTED} FROM documents")
 def join16(s, d):
     """Embedding inside the pass over the rows: a row and its vector can't part."""
     docs = S.raw(s, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_uid"), F.col("text").alias("chunk_text"))
-    return E.gold(docs, EM.hashing_embedder(64)).select("chunk_uid", F.size("embedding").alias("width"))
+    return E.gold(docs, EM.counting_embedder()).select("chunk_uid", *_numbers())
 
 
 @register("join19_samples_and_scores", "SELECT doc_id AS id, lang, quality FROM documents FULL JOIN labels USING (doc_id)")
@@ -171,10 +179,10 @@ def udf1(s, d):
     return K.chunk_documents(docs, overlap=0).groupBy("doc_id").agg(F.sum(T.token_count("chunk_text")).alias("tokens"))
 
 
-@register("stm7_distinct_questions", "SELECT conv_id, turn, CAST(16 AS INTEGER) AS width FROM conversations WHERE role = 'user' AND text IS NOT NULL")
+@register("stm7_distinct_questions", f"SELECT conv_id, turn, {COUNTED} FROM conversations WHERE role = 'user' AND text IS NOT NULL")
 def stm7(s, d):
     asked = S.raw(s, d, "conversations").where("role = 'user' and text is not null").select("conv_id", "turn", F.col("text").alias("question"))
-    return E.embed_questions(asked, EM.hashing_embedder(16)).select("conv_id", "turn", F.size("embedding").alias("width"))
+    return E.embed_questions(asked, EM.counting_embedder()).select("conv_id", "turn", *_numbers())
 
 
 QUERIES["udf4_embedding"], ORACLES["udf4_embedding"] = join16, ORACLES["join16_rows_with_vectors"]

@@ -47,6 +47,13 @@ def win5_scan(s, d):
     return SC.within_budget(S.chunks(s, d), "doc_id", "chunk_order", "text", 2400).select("chunk_uid", "cum")
 
 
+@register("stm4_burst_scan")
+def stm4_scan(s, d):
+    """The limiter without a window: a user's requests may be more than a task holds."""
+    rows = SC.bursts(S.raw(s, d, "events").select("user_id", "event_id", "ts"), "user_id", "ts", "event_id", 3600)
+    return rows.select("event_id", "n", (F.col("n") <= 1).alias("allowed"))
+
+
 @register("win6_span_scan")
 def win6_scan(s, d):
     key = F.regexp_extract(F.lower("text"), r"\b(th[a-z]*)\b", 1)
@@ -228,4 +235,4 @@ def stm5(s, d):
 
 
 # The rows of their twins.
-ORACLES |= {"win5_budget_scan": retrieval.ORACLES["win5_char_budget"], "win6_span_scan": retrieval.ORACLES["win6_span_selection"], "stm5_cache_stream": streams.ORACLES["stm5_cache_hits"]}
+ORACLES |= {"win5_budget_scan": retrieval.ORACLES["win5_char_budget"], "win6_span_scan": retrieval.ORACLES["win6_span_selection"], "stm5_cache_stream": streams.ORACLES["stm5_cache_hits"], "stm4_burst_scan": streams.ORACLES["stm4_rate_limit"]}

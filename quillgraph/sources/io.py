@@ -64,9 +64,19 @@ def overwrite(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
+def recover(spark: SparkSession, table: str) -> bool:
+    """Gives a table its old rows back if a swap was stopped while neither old nor new had its name. True if it did."""
+    if spark.catalog.tableExists(table) or not spark.catalog.tableExists(f"{table}__old"):
+        return False
+    spark.sql(f"ALTER TABLE {table}__old RENAME TO {table}")
+    return True
+
+
 def swap_in(spark: SparkSession, rows: DataFrame, table: str) -> None:
-    """Replaces a table that ``rows`` may read: written beside it first, then renamed."""
+    """Replaces a table that ``rows`` may read: written beside it first, then renamed. Where an earlier call was stopped between the two
+    names, call ``recover`` before reading the table."""
     new, old = f"{table}__new", f"{table}__old"
+    recover(spark, table)
     for name in (new, old):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     rows.write.format("parquet").saveAsTable(new)

@@ -140,6 +140,8 @@ def test_sources(spark, tmp_path):
     io.swap_in(spark, spark.range(4), "qg_swap")
     io.swap_in(spark, spark.table("qg_swap").where("id < 2"), "qg_swap")
     assert spark.table("qg_swap").count() == 2
+    spark.sql("ALTER TABLE qg_swap RENAME TO qg_swap__old")  # as a swap leaves it that is stopped between the two names
+    assert io.recover(spark, "qg_swap") and spark.table("qg_swap").count() == 2 and not io.recover(spark, "qg_swap")
     spark.sql("DROP TABLE qg_swap")
 
 

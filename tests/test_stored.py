@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from quillgraph.functions import chunker  # noqa: E402
 from quillgraph.operators import answer, keyed, lookup, scan  # noqa: E402
-from quillgraph.sources.io import file_stream, ship  # noqa: E402
+from quillgraph.sources.io import file_stream, settings, ship  # noqa: E402
 from quillgraph.streaming import state  # noqa: E402
 
 
@@ -139,3 +139,30 @@ def test_chunker_in_sql(spark):
     want = chunker.chunk_documents(docs)
     key = lambda r: (r.chunk_uid, r.chunk_order, r.chunk_text, r.token_count, r.article, r.clause)
     assert sorted(map(repr, map(key, got.collect()))) == sorted(map(repr, map(key, want.collect()))) and got.count() == 4
+
+
+def test_bursts_of_a_user_larger_than_a_part(spark):
+    rng = random.Random(9)
+    rows, t = [], 0
+    for i in range(1200):  # a third of all rows and more are one user's
+        t += rng.choice([0, 1, 1, 2, 59, 60, 61])
+        rows.append((rng.choice([7, 7, 7, 1, 2, None]), i, None if i % 97 == 0 else f"2024-01-01 {t // 3600 % 24:02d}:{t // 60 % 60:02d}:{t % 60:02d}", "x"))
+    events = spark.createDataFrame(rows, "user_id long, event_id long, at string, _group string").withColumn("ts", F.col("at").cast("timestamp"))
+    events = events.drop("at").withColumnRenamed("_group", "n_extra")
+    for gap, parts in ((60, 7), (2, 7), (100_000, 40)):
+        with_parts = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+        with settings(spark, with_parts):
+            got = sorted((r.event_id, r.n) for r in scan.bursts(events, "user_id", "ts", "event_id", gap).collect())
+            want = sorted((r.event_id, r.n) for r in state.rate_limit(events, 1, gap).collect())
+        assert got == want and len(got) == 1200
+    assert max(n for _, n in got) > 100
+    assert scan.bursts(events.limit(0), "user_id", "ts", "event_id", 60).collect() == []
+
+
+def test_batches_fill_up_whatever_the_cut(spark):
+    ids = [i * i for i in range(1003)]
+    for parts in (1, 5):
+        rows = spark.createDataFrame([(i, "b") for i in ids], "id long, batch_of string").repartition(parts)
+        got = {r.id: r.batch for r in scan.batches_of(rows, ["id"], 200).collect()}
+        assert got == {v: k // 200 for k, v in enumerate(ids)}
+    assert scan.batches_of(rows.limit(0), ["id"], 200).collect() == []

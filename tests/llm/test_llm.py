@@ -13,6 +13,7 @@ from conftest import SF, same  # noqa: E402
 
 from quillgraph.llm import _tokens, chat, components, decontaminate, exact_dedup, html_extract, line_dedup, lm_scoring, packing, queries, sharding, simhash, toxicity  # noqa: E402
 from quillgraph.llm._common import ship  # noqa: E402
+from quillgraph.sources.io import settings  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -81,6 +82,32 @@ def test_exact_dedup_collisions_and_splits(spark):
                 assert r.text_sha256 == hashlib.sha256(n.encode()).hexdigest()
 
 
+def test_exact_dedup_splits_a_text_that_stands_in_every_task(spark, monkeypatch):
+    hot = "hot " * 100
+    rows = [(i, hot + " " * (i % 5) if i % 3 else f"t{i % 50}") for i in range(600)] + [(900, "u" * 299), (901, "v" * 299)]
+    d = docs(spark, rows).repartition(60)
+    seen, true = [], exact_dedup.cooled
+
+    def watched(placed, sizes, room):
+        out, told = true(placed, sizes, room)
+        body = F.octet_length("body") > 100
+        seen.append((placed.where(body).count(), out.where(body).count(), len(told)))
+        return out, told
+
+    monkeypatch.setattr(exact_dedup, "cooled", watched)
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "20000"}):  # a file of rows a task
+        usual = sorted(exact_dedup.exact_groups(d).collect())
+        split = sorted(exact_dedup.exact_groups(d, room=2000).collect())
+        clash = sorted(exact_dedup.exact_groups(d, hasher=lambda b: 1 if len(b) > 50 else len(b), room=2000).collect())
+    want = usual
+    assert split == clash == want and len(want) == 602
+    assert want[1].group_size == 400 and {r.keep_id for r in want if r.group_size == 400} == {4}
+    (before, left, none), (first, after, told), (_, clashed, rounds) = seen
+    assert before == left == first > 40 and none == 0  # an entry a task
+    assert told >= 1 and after <= first / 4  # an entry a run of LEAST_RUN entries or more
+    assert rounds >= 1 and clashed <= first / 2  # texts that clash are kept apart in each run
+
+
 def test_directory_doubles_only_where_full():
     slots, depth = exact_dedup.directory(np.array([9, 0, 0, 0, 1, 1, 1, 1]), 4)
     assert depth == 3 and len(set(slots[:4])) == 3 and len(set(slots[4:])) == 1
@@ -734,3 +761,18 @@ def test_pipeline_of_nothing(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_context_tables_are_summed_in_a_tree(spark, monkeypatch):
+    d = docs(spark, [(i, f"the {'cat' if i % 3 else 'dog'} sat on mat {i % 7}") for i in range(120)]).repartition(9)
+    rows = d.mapInArrow(lm_scoring._gather(10, 16), lm_scoring.MIXED).where("kind = 2").cache()
+    most = max(r["count"] for r in rows.groupBy("part").count().collect())
+    assert most == 9
+    tree = lm_scoring.summed(rows, most, 2)
+    assert max(r["count"] for r in tree.groupBy("part").count().collect()) <= 2
+    last = lambda x: sorted((r.part, zlib.decompress(r.payload)) for r in x.groupBy("kind", "part").applyInArrow(lm_scoring._merge_cells, lm_scoring.MIXED).collect())
+    assert last(tree) == last(rows)
+    rows.unpersist()
+    want = sorted(map(tuple, lm_scoring.score_documents(d).collect()))
+    monkeypatch.setattr(lm_scoring, "MERGED", 2)
+    assert sorted(map(tuple, lm_scoring.score_documents(d).collect())) == want

@@ -26,7 +26,10 @@ from .components import components
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
-TILE = 4096
+#: Fingerprints of a part of a tile: 256 KB.
+TILE = 32768
+#: Numbers of sub-words to choose from.
+SUB_WORDS = (4, 6, 8)
 
 
 def shingle_hashes(text: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -110,36 +113,62 @@ def _compare(radius: int):
     return run
 
 
-def sub_words(distinct: int) -> tuple[int, ...]:
-    """Widths of the sub-words: 4, or 6 and 8 as the count grows, so that tiles stay small. Any choice is exact."""
-    k = 4 if distinct < 30_000_000 else 6 if distinct < 2_000_000_000 else 8
-    return tuple(64 // k + (i < 64 % k) for i in range(k))
+def widths(cuts: int) -> tuple[int, ...]:
+    """Widths of that many sub-words of 64 bits."""
+    return tuple(64 // cuts + (i < 64 % cuts) for i in range(cuts))
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, cuts: tuple[int, ...] = (16, 16, 16, 16)) -> DataFrame:
-    """Distinct fp -> a, b: ties whose components are those of all links within ``radius``."""
+def _tiles(prints: DataFrame, radius: int, tile: int, cuts: tuple[int, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct fp -> (fp, tile), (tile, n, parts), and the pairs of neighbour tiles within the radius that exist."""
     at, counts = 0, []
     for width in cuts:
         counts.append(F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(((1 << width) - 1) << at)))).cast("long"))
         at += width
     # Digits base 128: a sum with an offset never carries, as counts and offsets are below 64.
     keyed = prints.select("fp", sum((c + radius) * 128**i for i, c in enumerate(counts)).alias("tile"))
-    sizes = keyed.groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
-    tiles = sizes.select("tile", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
-    own = keyed.join(tiles, "tile").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    tiles = keyed.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / tile).cast("int"))
+    steps = [sum(d * 128**i for i, d in enumerate(o)) for o in _offsets(radius, len(cuts))]
+    pairs = tiles.select(F.col("tile").alias("other"), F.col("n").alias("other_n"), F.col("parts").alias("other_parts"), F.explode(F.array(*[F.lit(s).cast("long") for s in steps])).alias("step"))
+    return keyed, tiles, pairs.withColumn("tile", F.col("other") + F.col("step")).drop("step").join(tiles, "tile")
+
+
+def predicted_rows(prints: DataFrame, radius: int, tile: int, cuts: tuple[int, ...]) -> tuple[int, int]:
+    """Fingerprints, and the rows that ``dealt`` makes of them, from the sizes of the tiles alone."""
+    _, tiles, pairs = _tiles(prints, radius, tile, cuts)
+    inside = tiles.select(F.col("n"), (F.col("n") * F.col("parts")).alias("rows"))
+    across = pairs.groupBy("tile", "n", "parts").agg(F.max("other_parts").alias("qs"), F.sum("other_n").alias("near")).select(F.lit(0).alias("n"), (F.col("n") * F.col("qs") + F.col("parts") * F.col("near")).alias("rows"))
+    n, rows = inside.unionByName(across).agg(F.sum("n"), F.sum("rows")).first()
+    return n or 0, rows or 0
+
+
+def choose_cuts(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> tuple[int, ...]:
+    """Widths of the fewest sub-words that deal a fingerprint out no more often than more of them do at best, which is
+    once inside its tile, once to its neighbours and once to each of them. Any choice gives the same components."""
+    for k, more in zip(SUB_WORDS, SUB_WORDS[1:]):
+        n, rows = predicted_rows(prints, radius, tile, widths(k))
+        if rows <= n * (len(_offsets(radius, more)) + 2):
+            return widths(k)
+    return widths(SUB_WORDS[-1])
+
+
+def dealt(prints: DataFrame, radius: int, tile: int, cuts: tuple[int, ...]) -> DataFrame:
+    """Distinct fp -> tile, p, q, role, part, fp: every fingerprint in each group of tile parts that compares it."""
+    keyed, tiles, pairs = _tiles(prints, radius, tile, cuts)
+    own = keyed.join(tiles.drop("n"), "tile").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     # Inside a tile: every pair of parts is a task.
     mates = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("p"), F.greatest("part", q).alias("q")))
     inside = own.select("tile", "fp", "part", F.explode(mates).alias("t")).select("tile", "t.p", "t.q", F.lit(0).alias("role"), "part", "fp")
-    # Neighbour tiles within the radius that exist: (part p here, part q of each of them) is a task.
-    steps = [sum(d * 128**i for i, d in enumerate(o)) for o in _offsets(radius, len(cuts))]
-    pairs = tiles.select("tile", "parts", F.explode(F.array(*[F.lit(s).cast("long") for s in steps])).alias("step"))
-    pairs = pairs.select(F.col("tile").alias("other"), F.col("parts").alias("other_parts"), (F.col("tile") + F.col("step")).alias("tile")).join(tiles, "tile")
+    # Neighbour tiles: (part p here, part q of each of them) is a task.
     needed = pairs.groupBy("tile").agg(F.max("other_parts").alias("qs"))
     here = own.join(needed, "tile").select("tile", F.col("part").alias("p"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), F.lit(0).alias("role"), "part", "fp")
     there = own.select(F.col("tile").alias("other"), "fp", "part").join(pairs.select("tile", "parts", "other"), "other")
     there = there.select("tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), F.col("part").alias("q"), F.lit(1).alias("role"), "part", "fp")
-    across = here.unionByName(there).withColumn("q", -1 - F.col("q"))
-    return inside.unionByName(across).groupBy("tile", "p", "q").applyInArrow(_compare(radius), "a long, b long")
+    return inside.unionByName(here.unionByName(there).withColumn("q", -1 - F.col("q")))
+
+
+def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, cuts: tuple[int, ...] = (16, 16, 16, 16)) -> DataFrame:
+    """Distinct fp -> a, b: ties whose components are those of all links within ``radius``."""
+    return dealt(prints, radius, tile, cuts).groupBy("tile", "p", "q").applyInArrow(_compare(radius), "a long, b long")
 
 
 def _signed(x: int) -> int:
@@ -165,9 +194,8 @@ def drop_near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHING
 
 def _components(docs: DataFrame, radius: int, shingle: int, tile: int) -> DataFrame:
     prints = stored(fingerprints(docs, shingle), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min(F.struct("doc_id", ROW)).alias("first"))
-    cuts = sub_words(nodes.agg(F.approx_count_distinct("fp")).first()[0])
-    roots = components(links(nodes.select("fp"), radius, tile, cuts), "a", "b")
+    nodes = stored(prints.groupBy("fp").agg(F.min(F.struct("doc_id", ROW)).alias("first")), "simhash-nodes")
+    roots = components(links(nodes.select("fp"), radius, tile, choose_cuts(nodes.select("fp"), radius, tile)), "a", "b")
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("least"))
     out = prints.join(named.join(least, "root").select("fp", "least"), "fp")

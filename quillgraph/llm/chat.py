@@ -7,8 +7,9 @@ recovers the roles.
 
 The lines are described once; what is sorted and decoded are their codes, not the texts. Rows are ordered by
 ranges, so that a conversation of any length spreads over tasks, and cut into chunks of at most ``CHUNK`` rows. The recursion is a
-product of max-plus matrices: one matrix a chunk is made in parallel, the chunks' matrices of a
-conversation (nine numbers for ``CHUNK`` rows) are chained, and each chunk is decoded between its known ends.
+product of max-plus matrices: one matrix a chunk is made in parallel, then one a run of at most ``2 ** RUN_BITS`` chunks; the runs'
+matrices of a conversation (nine numbers for half a million rows) are chained, then each run's chunks between the run's known
+ends, and each chunk is decoded between its own.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from ._common import ROW, numbered, stored
 
 CHUNK = 512
+RUN_BITS = 10
 FOLDS = 5
 ROLES = ("system", "user", "assistant")
 #: Words that name a speaker at the start of a line, by role, and words that may as well begin what is said.
@@ -99,6 +101,11 @@ def chunks_of(turns: DataFrame, size: int | None = None) -> DataFrame:
     return described.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "role", ROW, "codes").mapInArrow(cut, CHUNKS)
 
 
+def _run() -> Column:
+    """The run of a chunk: chunks are numbered in order from a task's multiple of 2 ** 32, so a run never spans two tasks."""
+    return F.shiftright("chunk", RUN_BITS).alias("run")
+
+
 def prior() -> np.ndarray:
     """Emission counts before any line: one of each kind, and markers for their roles."""
     emit = np.ones((len(ROLES), int(np.prod(SIZES))))
@@ -148,9 +155,12 @@ def fit(chunks: DataFrame, folds: int = FOLDS) -> dict:
         (emit, moves)[kind][a, b] += k
     from pyspark.sql import Window
 
-    ends = train.select("conv_id", "chunk", F.get("roles", F.lit(0)).alias("first"), F.element_at("roles", -1).alias("last"))
-    ends = ends.withColumn("before", F.lag("last").over(Window.partitionBy("conv_id").orderBy("chunk"))).where("first >= 0")
-    for before, first, k in ends.groupBy("before", "first").count().collect():
+    ends = train.select("conv_id", "chunk", _run(), F.get("roles", F.lit(0)).alias("first"), F.element_at("roles", -1).alias("last"))
+    runs = ends.groupBy("conv_id", "run").agg(F.min_by("first", "chunk").alias("first"), F.max_by("last", "chunk").alias("last"))
+    inside = ends.withColumn("before", F.lag("last").over(Window.partitionBy("conv_id", "run").orderBy("chunk"))).where("before is not null")
+    between = runs.withColumn("before", F.lag("last").over(Window.partitionBy("conv_id").orderBy("run")))
+    both = inside.select("before", "first").unionByName(between.select("before", "first")).where("first >= 0")
+    for before, first, k in both.groupBy("before", "first").count().collect():
         if before is None:
             starts[first] += k
         elif before >= 0:
@@ -198,16 +208,25 @@ def viterbi(model: dict, rows: list[list[int]], before: int | None = None, end:
     return states[::-1]
 
 
-def chain(matrices: list[np.ndarray], first: np.ndarray) -> list[tuple[int | None, int]]:
-    """(state before, state at the end) of each chunk. ``first``: scores at the end of the first."""
-    scores = [first]
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """Best log-score from each state before the first matrix to each state after the last."""
+    best = matrices[0]
+    for m in matrices[1:]:
+        best = (best[:, :, None] + m[None]).max(axis=1)
+    return best
+
+
+def chain(matrices: list[np.ndarray], first: np.ndarray, before: int | None = None, end: int | None = None) -> list[tuple[int | None, int]]:
+    """(state before, state at the end) of each chunk. ``first``: scores at the end of the first; ``before`` and ``end`` fix the state before the
+    first, which then has its matrix' scores, and the last state."""
+    scores = [first if before is None else matrices[0][before]]
     for m in matrices[1:]:
         scores.append((scores[-1][:, None] + m).max(axis=0))
-    ends = [int(scores[-1].argmax())]
+    ends = [int(scores[-1].argmax()) if end is None else end]
     for k in range(len(matrices) - 1, 0, -1):
         ends.append(int((scores[k - 1] + matrices[k][:, ends[-1]]).argmax()))
     ends.reverse()
-    return [(ends[k - 1] if k else None, ends[k]) for k in range(len(ends))]
+    return [(ends[k - 1] if k else before, ends[k]) for k in range(len(ends))]
 
 
 def roles_of_lines(chunks: DataFrame, model: dict) -> DataFrame:
@@ -222,10 +241,26 @@ def roles_of_lines(chunks: DataFrame, model: dict) -> DataFrame:
                 names=["conv_id", "chunk", "m", "first"],
             )
 
+    def square(ms) -> list[np.ndarray]:
+        return [np.array(m).reshape(n, n) for m in ms]
+
+    def joined(pdf):
+        pdf = pdf.sort_values("chunk")
+        ms, first = square(pdf["m"]), np.array(pdf["first"].iloc[0])
+        for m in ms[1:]:
+            first = (first[:, None] + m).max(axis=0)
+        return pdf.head(1)[["conv_id", "run"]].assign(m=[product(ms).ravel().tolist()], first=[first.tolist()])
+
     def chained(pdf):
+        pdf = pdf.sort_values("run")
+        ends = chain(square(pdf["m"]), np.array(pdf["first"].iloc[0]))
+        return pdf.assign(since=[-1 if b is None else b for b, _ in ends], until=[e for _, e in ends])[["conv_id", "run", "since", "until"]]
+
+    def within(pdf):
         pdf = pdf.sort_values("chunk")
-        ends = chain([np.array(m).reshape(n, n) for m in pdf["m"]], np.array(pdf["first"].iloc[0]))
-        return pdf.assign(before=[-1 if b is None else b for b, _ in ends], ending=[e for _, e in ends])[["conv_id", "chunk", "before", "ending"]]
+        since, until = int(pdf["since"].iloc[0]), int(pdf["until"].iloc[0])
+        ends = chain(square(pdf["m"]), np.array(pdf["first"].iloc[0]), None if since < 0 else since, until)
+        return pdf.assign(before=[-1 if b is None else b for b, _ in ends], ending=[e for _, e in ends])[["chunk", "before", "ending"]]
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,8 +273,11 @@ def roles_of_lines(chunks: DataFrame, model: dict) -> DataFrame:
 
     many = chunks.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("conv_id")
     parts = chunks.join(many, "conv_id", "left_semi").select("conv_id", "chunk", "codes").mapInArrow(matrices, "conv_id long, chunk long, m array<double>, first array<double>")
-    known = parts.groupBy("conv_id").applyInPandas(chained, "conv_id long, chunk long, before int, ending int")
-    ready = chunks.select("conv_id", "chunk", "rows", "codes").join(known.drop("conv_id"), "chunk", "left")
+    parts = stored(parts.select("*", _run()), "chat-parts")
+    runs = parts.groupBy("conv_id", "run").applyInPandas(joined, "conv_id long, run long, m array<double>, first array<double>")
+    known = parts.join(runs.groupBy("conv_id").applyInPandas(chained, "conv_id long, run long, since int, until int"), ["conv_id", "run"])
+    known = known.groupBy("conv_id", "run").applyInPandas(within, "chunk long, before int, ending int")
+    ready = chunks.select("conv_id", "chunk", "rows", "codes").join(known, "chunk", "left")
     return ready.select("rows", "codes", "before", "ending").mapInArrow(decoded, f"{ROW} long, states array<tinyint>")
 
 

@@ -151,6 +151,22 @@ def test_simhash_links_equal_brute_force(spark, tile, cuts):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, truth.values()))
 
 
+@pytest.mark.parametrize("tile,cuts", [(4096, 4), (7, 4), (5, 6), (3, 8)])
+def test_simhash_rows_are_as_predicted(spark, tile, cuts):
+    rng = random.Random(8)
+    # Two sets of bits by turns, so that some tiles hold many fingerprints.
+    prints = {sum(1 << b for b in rng.sample(range(64), k)) for k in (1, 2, 32) for _ in range(150)}
+    df = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
+    n, rows = simhash.predicted_rows(df, 2, tile, simhash.widths(cuts))
+    assert n == len(prints) and rows == simhash.dealt(df, 2, tile, simhash.widths(cuts)).count()
+
+
+def test_simhash_takes_more_sub_words_where_tiles_are_large(spark):
+    df = spark.range(40_000).select(F.xxhash64("id").alias("fp"))
+    assert [len(simhash.choose_cuts(df, 2, tile)) for tile in (4096, 1)] == [4, 6]
+    assert simhash.choose_cuts(df.limit(0)) == simhash.widths(4)
+
+
 def test_simhash_fingerprints(spark):
     import xxhash
 
@@ -554,7 +570,9 @@ def test_chat_roles_and_chunks(spark, monkeypatch):
     whole = {(r.conv_id, r.turn): (r.role, r.rendered) for r in chat.parse(d).collect()}
     assert all(whole[c, t][0] == role for c, t, role, _ in rows)
     monkeypatch.setattr(chat, "CHUNK", 3)
-    assert whole == {(r.conv_id, r.turn): (r.role, r.rendered) for r in chat.parse(d).collect()}
+    for bits in (10, 1, 0):  # a run of all chunks, of two, of one
+        monkeypatch.setattr(chat, "RUN_BITS", bits)
+        assert whole == {(r.conv_id, r.turn): (r.role, r.rendered) for r in chat.parse(d).collect()}
     # One conversation and one turn number for all rows, no ids: chunks stay small and every row comes back.
     lost = d.selectExpr("cast(null as long) conv_id", "cast(0 as long) turn", "text", "role")
     from quillgraph.llm._common import numbered
@@ -600,6 +618,34 @@ def test_viterbi_and_chunks_equal_enumeration():
         cuts = [rows[:1], rows[1:3], rows[3:]]
         ends = chat.chain([chat.chunk_matrix(model, c) for c in cuts], chat.first_scores(model, cuts[0]))
         assert [s for c, (a, b) in zip(cuts, ends) for s in chat.viterbi(model, c, a, b)] == list(best)
+        # The same by runs: the first two chunks, and the last one.
+        ms, first = [chat.chunk_matrix(model, c) for c in cuts], chat.first_scores(model, cuts[0])
+        upto = (first[:, None] + ms[1]).max(axis=0)
+        (_, middle), (since, until) = chat.chain([chat.product(ms[:2]), ms[2]], upto)
+        assert since == middle and chat.chain(ms[:2], first, None, middle) + chat.chain(ms[2:], first, since, until) == ends
+
+
+def test_chat_model_counts_the_same_moves_by_runs(spark, monkeypatch):
+    from quillgraph.llm._common import numbered
+
+    rng = random.Random(4)
+    rows = [(None if c == 0 else c, t, rng.choice(chat.ROLES), "x") for c in range(4) for t in range(60)]
+    d = numbered(spark.createDataFrame(rows, TURNS))
+    monkeypatch.setattr(chat, "CHUNK", 2)
+    models = []
+    for bits in (10, 1):
+        monkeypatch.setattr(chat, "RUN_BITS", bits)
+        models.append(chat.fit(chat.chunks_of(d)))
+    assert all((models[0][k] == models[1][k]).all() for k in models[0])
+    # Against a plain count: every known role and the one before it in its conversation.
+    kept = [c for c in range(4) if c == 0 or zlib.crc32(str(c).encode()) % 5]
+    moves, starts = np.ones((3, 3)), np.ones(3)
+    for c in kept:
+        own = [chat.ROLES.index(r) for k, _, r, _ in rows if k == (c or None)]
+        starts[own[0]] += 1
+        for a, b in zip(own, own[1:]):
+            moves[a, b] += 1
+    assert np.allclose(models[0]["turn"], np.log(moves / moves.sum(axis=1, keepdims=True))) and np.allclose(models[0]["start"], np.log(starts / starts.sum()))
 
 
 def test_chat_held_out_accuracy(spark):

@@ -18,14 +18,15 @@ MAX_SEEDS = 20
 
 @dataclass(frozen=True)
 class Corpus:
-    """gold(chunk_uid, doc_id, chunk_order, vector, and the searched ``text``), documents(doc_id, ...), edges(edge_id, src, dst, rel_type) between doc_ids, and
-    the path of stored postings over gold's text, if there are any."""
+    """gold(chunk_uid, doc_id, chunk_order, vector, and the searched ``text``), documents(doc_id, ...), edges(edge_id, src, dst, rel_type) between doc_ids, the
+    path of stored postings over gold's text, if there are any, and vectors(chunk_uid, vector, and what filters name) where gold holds none."""
 
     gold: DataFrame
     documents: DataFrame
     edges: DataFrame
     text: str = "text"
     index: str | None = None
+    vectors: DataFrame | None = None
 
 
 def search(corpus: Corpus, query_vector: list[float], terms: list[str], top_k: int = 5, alpha: float = 0.7, threshold: float | None = 0.3, filters: dict | None = None, doc_type: str | None = None, depth: int = 2, max_related: int | None = None, graph: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +48,7 @@ def search_many(corpus: Corpus, questions: DataFrame, top_k: int = 5, alpha: flo
     """
     check_search(top_k=top_k, alpha=alpha, depth=depth, top_k_graph=max_related)
     spark = corpus.gold.sparkSession
-    vectors = corpus.gold.where("vector is not null").withColumnRenamed("chunk_uid", "id")
+    vectors = (corpus.gold if corpus.vectors is None else corpus.vectors).where("vector is not null").withColumnRenamed("chunk_uid", "id")
     lists = [R.ranked(R.knn(vectors, questions, 2 * top_k, threshold, filters=filters), "vector", 0)]
     index = corpus.index
     if doc_type is not None or index is None:

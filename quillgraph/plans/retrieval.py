@@ -188,7 +188,7 @@ a AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rou
 
 
 def _lists(s, d):
-    vectors = S.gold(s, d).where("vector is not null").select(F.col("chunk_uid").alias("id"), "doc_id", "vector")
+    vectors = S.first_vectors(s, d).select(F.col("chunk_uid").alias("id"), "doc_id", "vector")
     near = R.knn(vectors, S.questions(s, d), 21)
     own = F.concat(F.col("query_id").cast("string"), F.lit("__00001"))  # a question's own document is no hit
     return [R.ranked(near.where(F.col("id") != own), "vector", 0, 20), R.ranked(_words(s, d, 20), "keyword", 1, 20)]
@@ -342,7 +342,7 @@ def _hybrid_corpus(s, d):
     docs = S.documents(s, d)
     edges = G.merge_edges(relations(s, d), docs.select("doc_id", "doc_number")).where("dst_doc_id is not null")
     edges = edges.select(F.xxhash64("src", "rel_type", "dst_doc_id").alias("edge_id"), "src", F.col("dst_doc_id").alias("dst"), "rel_type")
-    return H.Corpus(S.gold(s, d), docs, edges, "search_text", S.fulltext(s, d))
+    return H.Corpus(S.gold(s, d), docs, edges, "search_text", S.fulltext(s, d), S.first_vectors(s, d))
 
 
 @register("ret7_hybrid_search", HYBRID + "SELECT query_id, CAST(position AS INTEGER) AS position, t.id, rrf_score, sources, doc_id, chunk_order, token_count FROM t JOIN chk ON chunk_uid = t.id")

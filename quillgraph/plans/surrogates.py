@@ -86,7 +86,11 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 def searched(spark: SparkSession, d: str) -> DataFrame:
     """Chunks with the text that the full-text index covers: their own and their document's number."""
-    return chunks(spark, d).withColumn("search_text", F.concat("text", F.lit(" D"), F.col("doc_id").cast("string")))
+    return with_search_text(chunks(spark, d))
+
+
+def with_search_text(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("search_text", F.concat("text", F.lit(" D"), F.col("doc_id").cast("string")))
 
 
 _built: dict[tuple[str, str, str], str] = {}
@@ -107,13 +111,15 @@ def fulltext(spark: SparkSession, d: str) -> str:
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks as they are searched, stored; a document's first chunk has the vector whose vec_id is the doc_id."""
+    """Chunks as they are searched; their own texts are stored, map only."""
+    path = built(spark, d, "gold", lambda path: chunks(spark, d).write.option("compression", "zstd").parquet(path))
+    return with_search_text(spark.read.parquet(path))
 
-    def write(path: str) -> None:
-        vectors = raw(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).cast("long").alias("chunk_order"), F.col("embedding").alias("vector"))
-        searched(spark, d).join(vectors, ["doc_id", "chunk_order"], "left").write.parquet(path)
 
-    return spark.read.parquet(built(spark, d, "gold", write))
+def first_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """A document's first chunk has the vector whose vec_id is the doc_id; the other chunks have none."""
+    first = chunks(spark, d).where("chunk_order = 1").select("chunk_uid", "doc_id")
+    return first.join(raw(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id").where("vector is not null")
 
 
 def chat_users(spark: SparkSession, d: str) -> DataFrame:

@@ -86,10 +86,10 @@ def flt6(s, d):
     return pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("join17_query_by_corpus", knn_sql("dot", 20, "label = 1"))
+@register("join17_query_by_corpus", f"WITH {VEC} SELECT query_id, id, round({SIM['dot']}, 6) AS score FROM v, q WHERE label = 1")
 def join17(s, d):
-    """Restricted to one label by a payload filter."""
-    return _knn(s, d, "dot", 20, filters={"label": 1})
+    """Every pair of a query and a row of one label, by a payload filter; tasks hand the pairs on as they score them."""
+    return R.similar(_corpus(s, d), _queries(s, d), metric="dot", filters={"label": 1}).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @register("srt2_vector_topk", f"SELECT *, row_number() OVER (ORDER BY query_id, rank) AS place FROM ({knn_sql('cosine', 20)})")

@@ -144,13 +144,20 @@ def ret8(s, d):
 
 def _down(prompt):
     raise RuntimeError("503 down")
+def _missing(prompt):
+    raise RuntimeError("404 NOT_FOUND: no such model")
 
 
-@register("ret11_answers", "SELECT conv_id, turn, '503 down' || chr(10) || chr(10) || coalesce(text, '') AS answer, TRUE AS failed FROM conversations WHERE role = 'user'")
+
+
+@register("ret11_answers", """SELECT conv_id, turn, case_name, CASE case_name WHEN 'second model' THEN 'Answer' WHEN 'error' THEN '503 down' || chr(10) || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END AS answer,
+case_name = 'error' AS failed FROM conversations, (SELECT unnest(['second model', 'error', 'no model']) AS case_name)""")
 def ret11(s, d):
-    """A model that fails loses nothing: the error, and what was found."""
-    asked = S.raw(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.lit("q").alias("question"), F.col("text").alias("context"), F.lit("general_qa").alias("intent"))
-    return A.synthesize(asked, _down).select("conv_id", "turn", "answer", "failed")
+    """Every turn as context: the next model answers where one isn't found; other errors, or no model, lose nothing of what was found."""
+    asked = S.raw(s, d, "conversations").select("conv_id", "turn", F.lit("q").alias("question"), F.col("text").alias("context"), F.lit("general_qa").alias("intent"))
+    cases = {"second model": [_missing, lambda p: p[:6]], "error": [_missing, _down, lambda p: "never"], "no model": None}
+    told = [A.synthesize(asked, models).select("conv_id", "turn", F.lit(name).alias("case_name"), "answer", "failed") for name, models in cases.items()]
+    return told[0].unionByName(told[1]).unionByName(told[2])
 
 
 @register("ret9_structured", "WITH c AS (SELECT doc_id, chunk_uid, sum(length(text)) OVER w AS cum, row_number() OVER w AS rn FROM chk WHERE doc_id % 100 = 0 WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_order)) SELECT doc_id AS question_id, 'chunk' AS kind, chunk_uid AS item FROM c WHERE cum <= 24000 OR rn = 1")

@@ -173,7 +173,7 @@ def ret9(s, d):
 # ---- sinks and streams
 
 
-@register("snk4_schema_and_truncate", "SELECT 1 AS place, 'written' AS step, count(*) AS n FROM documents UNION ALL SELECT 2, 'truncated', 0")
+@register("snk4_schema_and_truncate", "SELECT 1 AS place, 'written' AS step, count(*) AS n FROM documents UNION ALL SELECT 2, 'truncated', 0 UNION ALL SELECT 3, 'absent', -1")
 def snk4(s, d):
     import uuid
 
@@ -181,8 +181,9 @@ def snk4(s, d):
     IO.create_schema(s, schema)
     S.raw(s, d, "documents").write.format("parquet").saveAsTable(f"{schema}.t")
     rows = [(1, "written", s.table(f"{schema}.t").count())]
+    IO.create_schema(s, schema)
     IO.truncate(s, f"{schema}.t")
-    rows.append((2, "truncated", s.table(f"{schema}.t").count()))
+    rows += [(2, "truncated", s.table(f"{schema}.t").count()), (3, "absent", 0 if IO.truncate(s, f"{schema}.none") else -1)]
     s.sql(f"DROP SCHEMA {schema} CASCADE")
     return s.createDataFrame(rows, "place int, step string, n long")
 

@@ -55,7 +55,7 @@ def prepared(rows: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
         return rows / np.where(sound, length, 1)[:, None], sound
 
 
-def scores(rows: np.ndarray, queries: np.ndarray, metric: str, cells: int = 8_000_000) -> np.ndarray:
+def scores(rows: np.ndarray, queries: np.ndarray, metric: str, cells: int = 1_000_000) -> np.ndarray:
     """Scores of prepared rows against prepared queries."""
     if metric in ("cosine", "dot"):
         return rows @ queries.T

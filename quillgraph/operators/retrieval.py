@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +20,10 @@ RRF_K = 60
 MAX_LIST = 10_000
 #: Bytes of query vectors that are sent to every task at once; more go in blocks of about this size.
 QUERY_BYTES = 32 << 20
-#: Scores computed at a time in a task.
-SCORES = 4_000_000
+#: Scores computed at a time in a task; what it holds beside its batch is some ten times their bytes, whatever the number of queries.
+SCORES = 500_000
+#: Words that a task counts at a time.
+WORDS = 2_000_000
 
 
 def payload_filter(columns: list[str], filters: dict) -> Column:
@@ -81,7 +83,7 @@ def similar(corpus: DataFrame, queries: DataFrame, threshold: float | None = Non
 def matrices(names: pa.Array, vectors: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """Lists of numbers as matrices, one a width, with the names of their rows."""
     vectors = vectors if isinstance(vectors, pa.Array) else vectors.combine_chunks()
-    widths = pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    widths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
     for width in np.unique(widths[widths > 0]) if len(widths) else ():
         own = widths == width
         held = vectors if own.all() else vectors.filter(pa.array(own))
@@ -90,14 +92,19 @@ def matrices(names: pa.Array, vectors: pa.Array) -> Iterator[tuple[pa.Array, np.
 
 def best_pairs(v: np.ndarray, ids: pa.Array, q: np.ndarray, metric: str, threshold: float | None, k: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Places of rows and of queries, scores and rounded scores of the pairs to keep: all, or each query's best ``k``."""
-    step = max(1, SCORES // max(1, len(v)))
+    step, place = max(1, SCORES // max(1, len(v))), None
     for at in range(0, len(q), step):
         scores = V.scores(v, q[at : at + step], metric)
         keys = np.floor(np.abs(scores) * 1e6 + 0.5) * np.sign(scores) / 1e6
         kept = np.isfinite(scores)
-        x, y = np.nonzero(kept & (scores >= threshold) if threshold is not None else kept)
+        if threshold is not None:
+            kept &= scores >= threshold
+        if k is not None and len(v) > k:  # no row under a query's k-th score is looked at again
+            held = np.where(kept, keys, -np.inf)
+            kept &= keys >= np.partition(held, len(v) - k, axis=0)[len(v) - k]
+        x, y = np.nonzero(kept)
         if k is not None and len(x):
-            place = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")  # ties: least id
+            place = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable") if place is None else place  # ties: least id
             order = np.lexsort((place[x], -keys[x, y], y))
             x, y = x[order], y[order]
             first = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
@@ -130,10 +137,33 @@ def _by_matrix(rows: DataFrame, asked: DataFrame, threshold: float | None, metri
     return rows.mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double, key double")
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """words -> dl, terms, tfs: each row's distinct words and how often they stand."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64)
+        block = np.cumsum(sizes) // WORDS
+        for lo, hi in _runs(block):
+            part, dl = batch.slice(lo, hi - lo), sizes[lo:hi]
+            coded = part.column("words").flatten().dictionary_encode()
+            width = max(1, len(coded.dictionary))
+            keys, tfs = np.unique(np.repeat(np.arange(hi - lo), dl) * width + coded.indices.to_numpy(), return_counts=True)
+            ends = pa.array(np.searchsorted(keys, np.arange(hi - lo + 1) * width).astype(np.int32))
+            terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(keys % width)))
+            names = [n for n in part.schema.names if n != "words"]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(dl.astype(np.int32)), terms, pa.ListArray.from_arrays(ends, pa.array(tfs.astype(np.int32)))], names=[*names, "dl", "terms", "tfs"])
+
+
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal keys."""
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, int)
+    return list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+
+
 def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Term frequencies and lengths: id, term, tf, dl. One pass, no shuffle beyond the count."""
+    """Term frequencies and lengths: id, term, tf, dl. Tasks count; nothing moves. Ids are distinct."""
     said = chunks.select(F.col(id_col).alias("id"), T.words(text_col).alias("words"))
-    return said.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = said.mapInArrow(counted, f"id {said.schema['id'].dataType.simpleString()}, dl int, terms array<string>, tfs array<int>")
+    return counts.select("id", "dl", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf")))).select("id", "dl", "term", F.col("tf").cast("long").alias("tf"))
 
 
 def bucket_of(term: Column, buckets: int) -> Column:

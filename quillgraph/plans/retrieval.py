@@ -364,8 +364,8 @@ def ret10_hybrid(s, d):
 def snk7(s, d):
     """The full-text index built as files and searched."""
     path = scratch_path(s, "postings")
-    R.write_postings(S.searched(s, d), path, "chunk_uid", "search_text")
-    return R.top(R.search_postings(s, path, TERMS), 20).select("id", F.round("score", 6).alias("score"))
+    P.build(S.searched(s, d), path, "chunk_uid", "search_text")
+    return P.search(s, path, _terms(s), 20).select("id", F.round("score", 6).alias("score"))
 
 
 HITS = "h AS (SELECT chunk_uid, doc_id, text, row_number() OVER (ORDER BY token_count DESC, chunk_uid) AS rank FROM chk QUALIFY rank <= 30)"

@@ -12,7 +12,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,20 +101,34 @@ def safe(text: str) -> str:
     return re.sub("_+", "_", re.sub(r"[^A-Za-z0-9_-]+", "_", text.strip())).strip("_") or "doc"
 
 
+#: Characters of documents whose chunks a task holds before it hands them on; tokens as Python strings take some fifty times as much.
+HELD = 1_000_000
+_TEXTS = pa.list_(pa.string())
+_KINDS = pa.schema([(name, {"int": pa.int32(), "array<string>": _TEXTS}.get(kind, pa.string())) for name, kind in (p.split(" ", 1) for p in SCHEMA.split(", "))])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values, f.type) for values, f in zip(zip(*rows), _KINDS)], schema=_KINDS)
+
+
 def chunk_documents(documents: DataFrame, target: int = 220, limit: int = 300, overlap: int = 30, fold_d: bool = True, wide: bool = True) -> DataFrame:
     """documents(doc_id, doc_number, doc_title, content_text) -> one row a chunk. No shuffle, no list held beyond a document's."""
-    columns = [p.split()[0] for p in SCHEMA.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, number, title, text in batch.itertuples(index=False):
+            rows, held = [], 0
+            for doc_id, number, title, text in zip(*batch.columns):
+                doc_id, number, title, text = doc_id.as_py(), number.as_py(), title.as_py(), text.as_py()
                 for i, c in enumerate(split(text, target, limit, overlap, fold_d, wide), 1):
                     rows.append((f"{safe(doc_id)}__{i:05d}", doc_id, number, title, i, c.text, len(c.tokens), c.tokens, *c.place.values(), c.references))
-            yield pd.DataFrame(rows, columns=columns)
+                held += len(text)
+                if held >= HELD:
+                    yield _batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows)
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    return documents.select(*[text(c) for c in ("doc_id", "doc_number", "doc_title", "content_text")]).mapInPandas(run, SCHEMA)
+    return documents.select(*[text(c) for c in ("doc_id", "doc_number", "doc_title", "content_text")]).mapInArrow(run, SCHEMA)
 
 
 def register_chunker(spark: SparkSession, name: str = "chunk_document") -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import chunker as K
@@ -92,11 +93,12 @@ def udf1_bounds(s, d):
 @register("win8_overlap", f"WITH RECURSIVE {BOUNDS} SELECT doc_id, CAST(max(chunk) AS BIGINT) AS chunks, CAST(max(chunk) - 1 AS BIGINT) AS prefixed FROM st GROUP BY doc_id")
 def win8(s, d):
     """Each chunk but a document's first begins with the last thirty tokens of the one before, itself already prefixed."""
-    c = _chunks(s, d, 30).select("number", "chunk_order", "tokens", "chunk_text")
-    after = c.select("number", (F.col("chunk_order") - 1).alias("chunk_order"), F.substring_index("chunk_text", "\n", 1).alias("head"))
     tail = F.array_join(F.slice("tokens", F.greatest(F.size("tokens") - 29, F.lit(1)), F.lit(30)), " ")
-    pairs = c.join(after, ["number", "chunk_order"], "left")
-    return pairs.groupBy(F.col("number").alias("doc_id")).agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("head") == tail).alias("prefixed"))
+    # The thirty tokens and the first line move, not texts; a document's first chunk has no line to compare.
+    head = F.when(F.col("chunk_order") > 1, F.substring_index("chunk_text", "\n", 1))
+    after = F.lead("head").over(Window.partitionBy("number").orderBy("chunk_order"))
+    pairs = _chunks(s, d, 30).select("number", "chunk_order", tail.alias("tail"), head.alias("head")).withColumn("prefixed", after == F.col("tail"))
+    return pairs.groupBy(F.col("number").alias("doc_id")).agg(F.count(F.lit(1)).alias("chunks"), F.count_if("prefixed").alias("prefixed"))
 
 
 @register("udf2_chunker", "SELECT doc_id, chunk_order, 'dieu ' || doc_id AS article, CASE WHEN chunk_order > 1 THEN (chunk_order - 1) || '. ' END AS clause, CASE WHEN chunk_order = 1 THEN 1 ELSE 0 END AS n_references FROM documents, (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS chunk_order)")
@@ -142,12 +144,12 @@ def ret8(s, d):
     return I.classify(asked).select("conv_id", "turn", "intent", F.size("references").alias("n"))
 
 
-def _down(prompt):
-    raise RuntimeError("503 down")
 def _missing(prompt):
     raise RuntimeError("404 NOT_FOUND: no such model")
 
 
+def _down(prompt):
+    raise RuntimeError("503 down")
 
 
 @register("ret11_answers", """SELECT conv_id, turn, case_name, CASE case_name WHEN 'second model' THEN 'Answer' WHEN 'error' THEN '503 down' || chr(10) || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END AS answer,
@@ -179,9 +181,9 @@ def snk4(s, d):
 
     schema = f"qg_{uuid.uuid4().hex}"
     IO.create_schema(s, schema)
+    IO.create_schema(s, schema)
     S.raw(s, d, "documents").write.format("parquet").saveAsTable(f"{schema}.t")
     rows = [(1, "written", s.table(f"{schema}.t").count())]
-    IO.create_schema(s, schema)
     IO.truncate(s, f"{schema}.t")
     rows += [(2, "truncated", s.table(f"{schema}.t").count()), (3, "absent", 0 if IO.truncate(s, f"{schema}.none") else -1)]
     s.sql(f"DROP SCHEMA {schema} CASCADE")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -109,18 +110,16 @@ def gold(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], don
     kept = [c for c in todo.columns if c not in ("tokens", "references_to")]
     schema = todo.select(*kept).schema.add("embedding", ArrayType(FloatType()))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            vectors: list[list[float]] = []
-            texts = part["chunk_text"].fillna("").tolist()
-            for i in range(0, len(texts), batch):
-                got = embed(texts[i : i + batch])
-                if len(got) != len(texts[i : i + batch]) or dim and any(len(v) != dim for v in got):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in batches:
+            for i in range(0, held.num_rows, batch):
+                part = held.slice(i, batch)
+                vectors = embed([t or "" for t in part.column("chunk_text").to_pylist()])
+                if len(vectors) != part.num_rows or dim and any(len(v) != dim for v in vectors):
                     raise ValueError("the embedder returned other sizes than asked for")
-                vectors += got
-            yield part.assign(embedding=vectors)
+                yield part.append_column("embedding", pa.array(vectors, pa.list_(pa.float32())))
 
-    return todo.select(*kept).mapInPandas(run, schema)
+    return todo.select(*kept).mapInArrow(run, schema)
 
 
 def hierarchy_path(metadata: Column, parts: dict[str, Column]) -> Column:

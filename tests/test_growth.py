@@ -33,3 +33,73 @@ def test_a_search_writes_a_row_a_question(spark, tmp_path, monkeypatch):
     assert len(hits) == 180 and sum(written) <= 60
     monkeypatch.setattr(postings, "QUESTION_BYTES", 200)  # the same in many blocks of questions
     assert sorted(postings.search(spark, path, questions, 3).collect()) == sorted(hits)
+
+
+def test_index_is_built_without_a_shuffle(spark, tmp_path):
+    from quillgraph.operators import retrieval
+
+    chunks = spark.createDataFrame([("a", "x y x"), ("b", None)], "chunk_uid string, chunk_text string")
+    rows = retrieval.postings(chunks, "chunk_uid", "chunk_text")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, rows.select("id", "term", "tf", "dl").collect())) == [("a", "x", 2, 3), ("a", "y", 1, 3)]
+
+
+def test_knn_holds_no_more_with_more_queries():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quillgraph.operators import retrieval
+
+    rng = np.random.default_rng(3)
+    v, ids, q = rng.normal(size=(5000, 8)), pa.array(range(5000)), rng.normal(size=(800, 8))
+    for metric in ("dot", "manhattan"):
+        tracemalloc.start()
+        n = sum(len(x) for x, _, _, _ in retrieval.best_pairs(v, ids, q, metric, None, 3))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == 2400 and most < 60 << 20
+
+
+def test_chunker_hands_on_before_a_batch_ends(spark, monkeypatch):
+    from quillgraph.functions import chunker
+
+    docs = spark.createDataFrame([(f"d{i}", "n", "t", "a b c.\n" * 50) for i in range(40)], "doc_id string, doc_number string, doc_title string, content_text string").coalesce(1)
+    whole = sorted(map(tuple, chunker.chunk_documents(docs).select("chunk_uid", "chunk_text", "token_count").collect()))
+    assert chunker.HELD <= 2_000_000
+    monkeypatch.setattr(chunker, "HELD", 400)
+    assert sorted(map(tuple, chunker.chunk_documents(docs).select("chunk_uid", "chunk_text", "token_count").collect())) == whole and len(whole) == 40
+
+
+def test_embedding_hands_on_before_a_batch_ends(spark, monkeypatch):
+    import pyarrow as pa
+
+    from quillgraph.operators import etl
+
+    chunks, caught = spark.createDataFrame([("c", "t")], "chunk_uid string, chunk_text string"), []
+    monkeypatch.setattr(type(chunks), "mapInArrow", lambda self, run, schema: caught.append(run))
+    etl.gold(chunks, lambda texts: [[float(len(t))] for t in texts], batch=8)
+    rows = pa.RecordBatch.from_pydict({"chunk_uid": [f"c{i}" for i in range(20)], "chunk_text": [None] + ["t"] * 19})
+    out = list(caught[0](iter([rows])))
+    assert [b.num_rows for b in out] == [8, 8, 4] and out[0].column("embedding").to_pylist()[:2] == [[0.0], [1.0]]
+
+
+def test_lookup_moves_no_text(spark):
+    from quillgraph.operators import lookup
+
+    names = spark.createDataFrame([(1, "abc"), (2, "a long name that ends so"), (1, "b")], "key long, name string")
+    texts = spark.createDataFrame([(9, "xx ABC"), (8, "abcabc"), (7, "A long name that ends so, it says"), (6, None)], "id long, text string")
+    found = lookup.shortest(names, texts)
+    assert "text" not in [c for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line for c in line.split()]
+    assert sorted(map(tuple, found.collect())) == [(1, 8), (2, 7)]
+
+
+def test_answers_of_every_turn_and_case(spark):
+    from quillgraph.plans import catalog, surrogates
+    from conftest import SF
+
+    assert catalog.QUERIES["ret11_answers"](spark, SF).count() == 3 * surrogates.raw(spark, SF, "conversations").count()
+    assert {r.step: r.n for r in catalog.QUERIES["snk4_schema_and_truncate"](spark, SF).collect()}["absent"] == -1
+    e = surrogates.raw(spark, SF, "embeddings")
+    assert catalog.QUERIES["join17_query_by_corpus"](spark, SF).count() == e.where("label = 1").count() * e.where("vec_id % 100 = 0").count()

@@ -45,7 +45,7 @@ CONTEXTS = 3
 #: Slots of the byte contexts of one, two and three bytes.
 SPELL = (256, 4096, 16384)
 SPELL_CELLS = sum(SPELL) * 256
-LANE = 512
+LANE = 384
 #: The step of the weights falls from ``FAST + RATE`` at a lane's start to ``RATE``, by half of the difference after ``SETTLED`` tokens.
 RATE, FAST, SETTLED = 0.02, 0.08, 64
 SPELL_RATE = 0.002
@@ -456,7 +456,7 @@ def mix_bits(model: dict, bucket: np.ndarray, near: np.ndarray, guess: tuple[np.
             for k in range(2):
                 says = bits[hint[k], j]
                 v[:, 4 + k] = np.where(fits[k], 4.0 * says - 2.0, 0.0)
-                fits[k] = fits[k] & (says == b) & (length[hint[k]] > j)
+                fits[k] = fits[k] & (says == b)  # a code that agreed to its end is the token's own, which ends there too
             at = lane * GATES + (v[:, 4] != 0) + 2 * (v[:, 5] != 0)
             own = w[at]
             p = 1 / (1 + np.exp(-np.einsum("ij,ij->i", own, v)))

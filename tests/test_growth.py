@@ -103,3 +103,35 @@ def test_answers_of_every_turn_and_case(spark):
     assert {r.step: r.n for r in catalog.QUERIES["snk4_schema_and_truncate"](spark, SF).collect()}["absent"] == -1
     e = surrogates.raw(spark, SF, "embeddings")
     assert catalog.QUERIES["join17_query_by_corpus"](spark, SF).count() == e.where("label = 1").count() * e.where("vec_id % 100 = 0").count()
+
+
+def moved(spark, query, d, out):
+    """Bytes shuffled by a query over the tables in ``d``, its index included."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    bus, total = spark.sparkContext._jsc.sc().listenerBus(), []
+    for run in (lambda: None, lambda: query(spark, d).write.parquet(out)):
+        run()
+        bus.waitUntilEmpty(30_000)
+        held = store.executorList(False)
+        total.append(sum(held.apply(i).totalShuffleWrite() for i in range(held.size())))
+    return total[1] - total[0]
+
+
+@pytest.mark.parametrize("name", ["win1_rank_in_list"])
+def test_fused_lists_move_no_words(spark, tmp_path, name):
+    """Chunks of fifty more words each move as much as before: neither index nor lists shuffle postings."""
+    from pyspark.sql import functions as F
+
+    from conftest import SF
+    from quillgraph.plans import catalog, surrogates
+
+    docs, vectors = surrogates.raw(spark, SF, "documents"), surrogates.raw(spark, SF, "embeddings")
+    more = F.concat(F.lit(" "), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.concat(F.lit("q"), F.col("doc_id").cast("string"), F.lit("x"), i.cast("string")))))
+    longer = docs.withColumn("text", F.array_join(F.transform(F.split("text", "\n"), lambda x: F.when(F.trim(x) != "", F.concat(x, more)).otherwise(x)), "\n"))
+    bytes_moved = {}
+    for kind, rows in (("short", docs), ("long", longer)):
+        rows.write.parquet(f"{tmp_path}/{kind}/documents.parquet")
+        vectors.write.parquet(f"{tmp_path}/{kind}/embeddings.parquet")
+        bytes_moved[kind] = moved(spark, catalog.QUERIES[name], f"{tmp_path}/{kind}", f"{tmp_path}/out-{kind}")
+    assert spark.read.parquet(f"{tmp_path}/out-long").count() > 0
+    assert 0 < bytes_moved["long"] < 1.3 * bytes_moved["short"], bytes_moved

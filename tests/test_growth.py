@@ -117,7 +117,7 @@ def moved(spark, query, d, out):
     return total[1] - total[0]
 
 
-@pytest.mark.parametrize("name", ["win1_rank_in_list", "agg11_weighted_sum", "srt10_fused_order", "join18_rank_fusion", "mth3_reciprocal_rank"])
+@pytest.mark.parametrize("name", ["win1_rank_in_list", "agg11_weighted_sum", "srt10_fused_order", "join18_rank_fusion", "mth3_reciprocal_rank", "mth4_fusion_weights"])
 def test_fused_lists_move_no_words(spark, tmp_path, name):
     """Chunks of fifty more words each move as much as before: neither index nor lists shuffle postings."""
     from pyspark.sql import functions as F

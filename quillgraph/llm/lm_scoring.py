@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, input_bytes, public_id, row_id, stored
+from ._common import NULL_ID, input_bytes, public_id, row_id, stored, tidy
 from ._tokens import mix, words
 
 FOLDS = 10
@@ -162,6 +162,11 @@ def _by_range(unit: int, vocabulary: np.ndarray, counts: np.ndarray, spelt: list
         yield 1, unit, int(part[a]), (_sorted_out(vocabulary[a:b]), _squeeze(counts[a:b].astype(np.int32)), int(a), zstandard.compress(b" ".join(spelt[a:b]), 1))
 
 
+def _tokens_at_most(text: bytes) -> int:
+    """About a text's tokens by its bytes; more where white space shows that its words may be shorter."""
+    return max(len(text) // 6, sum(text.count(x) for x in b"\t\n\v\f\r ")) + 2
+
+
 def _gather(folds: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -183,13 +188,15 @@ def _gather(folds: int, parts: int):
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())):
                 held.append((doc, text.as_py()))
-                size += len(held[-1][1]) // 6 + 2
+                size += _tokens_at_most(held[-1][1])
                 if size >= UNIT:
                     yield from unit_of(held)
                     held, size = [], 0
         if held:
             yield from unit_of(held)
         yield from _cell_rows(2, TaskContext.get().partitionId(), table)
+        held = table = None
+        tidy()
 
     return run
 
@@ -404,7 +411,8 @@ def last_followers(owner: np.ndarray, ids: np.ndarray, n: int, firsts: np.ndarra
     one = np.concatenate([[0], ids[:-1]]).astype(np.int64)
     two = np.concatenate([[0, 0], ids[:-2]])[: len(ids)].astype(np.int64)
     at = np.arange(len(ids)) - np.repeat(firsts, np.diff(np.append(firsts, len(ids))))
-    for key, far in ((owner * n + one, 1), ((mix((two * n + one).astype(np.uint64)) >> np.uint64(24)).astype(np.int64) + (owner.astype(np.int64) << 40), 2)):
+    for far in (1, 2):
+        key = owner * n + one if far == 1 else (mix((two * n + one).astype(np.uint64)) >> np.uint64(24)).astype(np.int64) + (owner.astype(np.int64) << 40)
         order = np.argsort(key, kind="stable")
         same = (key[order][1:] == key[order][:-1]) & (at[order][1:] >= far) & (at[order][:-1] >= far)
         found = np.full(len(ids), -1, np.int32)
@@ -490,6 +498,7 @@ def score_unit(model: dict, unit: dict, counts: np.ndarray) -> dict:
     longest = np.argsort(-sizes, kind="stable")
     # An unknown word costs no code bits; its bucket's code is read for nothing but the weights.
     code, _ = mix_bits(model, bucket[ids], near, guess, lanes[longest], sizes[longest], model["weights"])
+    del near, one, two, guess
     fresh = ~known[ids]
     before = np.cumsum(fresh) - fresh
     before = before - np.repeat(before[firsts], per)
@@ -540,32 +549,29 @@ def score_documents(documents: DataFrame, folds: int = FOLDS) -> DataFrame:
     mass = np.array([sums.get(b, 0) for b in range(BUCKETS)], float)
     tokens, distinct, once = int(mass.sum()), sums.get(-1, 0), sums.get(-2, 0)
     table, spell = dense[2][: CONTEXTS * CLASSES * BUCKETS], dense[3][:SPELL_CELLS]
-    counts = ranges.where("kind = 1").groupBy("unit").agg(F.collect_list(F.struct("part", "payload")).alias("counts"))
-    units = gathered.where("kind = 0").select("unit", "payload").join(counts, "unit")
-
-    def unit_of(payload: bytes) -> dict:
-        unit = pickle.loads(payload)
-        return unit | {k: _swell(unit[k]) for k in ARRAYS}
-
-    def counts_of(unit: dict, found: list[dict]) -> np.ndarray:
-        out = np.zeros(len(unit["vocabulary"]), np.int64)
-        for x in found:
-            c = _swell(pickle.loads(x["payload"]))
-            out[x["part"] : x["part"] + len(c)] = c
-        return out
-
     model = build(mass, table, spell, tokens, once) | {"distinct": distinct, "weights": first_weights()}
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                unit = unit_of(batch.column("payload")[i].as_py())
-                found = score_unit(shared.value, unit, counts_of(unit, batch.column("counts")[i].as_py()))
-                kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "n_bytes": pa.int64()}
-                yield pa.RecordBatch.from_arrays([pa.array(found[k], t) for k, t in kinds.items()], names=list(kinds))
-
-    out = units.select("payload", "counts").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    def columns(rows: pa.Table) -> dict:
+        kinds, payloads = rows.column("kind").to_pylist(), rows.column("payload")
+        unit = pickle.loads(payloads[kinds.index(0)].as_py())
+        unit |= {k: _swell(unit[k]) for k in ARRAYS}
+        counts = np.zeros(len(unit["vocabulary"]), np.int64)
+        for kind, start, payload in zip(kinds, rows.column("part").to_pylist(), payloads):
+            if kind == 1:
+                c = _swell(pickle.loads(payload.as_py()))
+                counts[start : start + len(c)] = c
+        return score_unit(shared.value, unit, counts)
+
+    def scored(rows: pa.Table) -> pa.Table:
+        found = columns(rows)
+        tidy()
+        kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "n_bytes": pa.int64()}
+        return pa.table([pa.array(found[k], t) for k, t in kinds.items()], names=list(kinds))
+
+    # A unit and its counts are one group, so that a worker is sent one unit at a time, however many a task has.
+    units = gathered.where("kind = 0").select("kind", "unit", "part", "payload").unionByName(ranges.where("kind = 1").select("kind", "unit", "part", "payload"))
+    out = units.groupBy("unit").applyInArrow(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     ids = public_id("doc_id")
     return out.select(
         ids, F.coalesce(F.crc32(ids.cast("string").cast("binary")) % folds == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score",

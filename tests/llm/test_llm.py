@@ -1,5 +1,6 @@
 import hashlib
 import os
+import pickle
 import random
 import sys
 import zlib
@@ -282,6 +283,44 @@ def test_word_hashes():
     assert owner.tolist() == [0] * (len(words) - 2) + [1, 1]
 
 
+def test_word_hashes_keep_nothing_of_long_texts():
+    """Before, powers for every byte of the longest text stayed in the worker: 67 MB here."""
+    import tracemalloc
+
+    text = (b"x" * 300_000 + b" some Words ") * 2 + b"some words here " * 250_000
+    tracemalloc.start()
+    try:
+        low, s, e, h, owner = _tokens.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        by = {}
+        for a, b, x in zip(s[:5000].tolist() + s[-5000:].tolist(), e[:5000].tolist() + e[-5000:].tolist(), h[:5000].tolist() + h[-5000:].tolist()):
+            by.setdefault(low[a:b].tobytes(), set()).add(x)
+        assert sorted(map(len, by)) == [4, 4, 5, 300_000] and all(len(x) == 1 for x in by.values())
+        del low, s, e, h, owner, by
+        assert tracemalloc.get_traced_memory()[0] < 1_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_lm_units_hold_no_more_tokens_where_words_are_short(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyspark
+
+    monkeypatch.setattr(lm_scoring, "UNIT", 1000)
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": ["a b\t" * 50] * 40})
+    rows = [r for x in lm_scoring._gather(10, 16)(iter([batch])) for r in x.to_pylist() if r["kind"] == 0]
+    per = [pickle.loads(r["payload"])["per"] for r in rows]
+    assert sum(map(len, per)) == 40 and max(x.sum() for x in per) <= 1000 + 101
+
+
+def test_lm_scores_one_unit_at_a_time(spark):
+    """Before, all units of a task, each with a list of its counts, went to the worker as one batch."""
+    plan = lm_scoring.score_documents(docs(spark, [(i, f"t {i}") for i in range(30)]).select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "collect_list" not in plan
+
+
 def test_lm_base_and_gain(spark):
     df = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     got = {r.doc_id: r for r in lm_scoring.score_documents(df).collect()}

@@ -437,7 +437,7 @@ def mix_bits(model: dict, bucket: np.ndarray, near: np.ndarray, guess: tuple[np.
 
     ``lanes``: first token of each lane, longest lane first; ``sizes``: their tokens.
     """
-    node, bits, length, order0 = model["node"], model["bit"], model["length"], model["order0"]
+    node, bits, length, order0 = np.ascontiguousarray(model["node"].T), np.ascontiguousarray(model["bit"].T), model["length"], model["order0"]
     cells = [c.ravel() for c in model["cells"]]
     width = model["cells"].shape[2]
     w = np.tile(weights.ravel(), (len(lanes), 1)).reshape(len(lanes) * GATES, INPUTS)
@@ -455,18 +455,18 @@ def mix_bits(model: dict, bucket: np.ndarray, near: np.ndarray, guess: tuple[np.
         rate = RATE + FAST / (1 + t / SETTLED)
         j = 0
         while len(lane):
-            n, b = node[mine, j].astype(np.int64), bits[mine, j]
+            n, b = node[j].take(mine).astype(np.int64), bits[j].take(mine)
             v = x[: len(lane)]
-            v[:, 0] = order0[n]
+            v[:, 0] = order0.take(n)
             for k in range(CONTEXTS):
-                v[:, 1 + k] = cells[k][rows[k] + n]
+                v[:, 1 + k] = cells[k].take(rows[k] + n)
             v[:, 1 : 1 + CONTEXTS] *= 1 / 12
             for k in range(2):
-                says = bits[hint[k], j]
+                says = bits[j].take(hint[k])
                 v[:, 4 + k] = np.where(fits[k], 4.0 * says - 2.0, 0.0)
                 fits[k] = fits[k] & (says == b)  # a code that agreed to its end is the token's own, which ends there too
             at = lane * GATES + (v[:, 4] != 0) + 2 * (v[:, 5] != 0)
-            own = w[at]
+            own = w.take(at, axis=0)
             p = 1 / (1 + np.exp(-np.einsum("ij,ij->i", own, v)))
             np.clip(p, 1e-4, 1 - 1e-4, out=p)
             out[token[lane]] += np.log10(np.where(b == 1, p, 1 - p))
